@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from hashlib import md5
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-# Vector size, and how text is cut into words for hashing.
+# Vector size, and what counts as a word for hashing.
 DIMENSIONS = 384
-WORD_BREAK = r"[ \t\r\n]+"
+WORD = re.compile(r"[^ \t\r\n]+")
 
 
 class HashingEmbedder:
@@ -24,9 +26,9 @@ class HashingEmbedder:
         self.dimensions = dimensions
 
     def __call__(self, texts: pd.Series) -> np.ndarray:
-        words = texts.str.lower().str.split(WORD_BREAK, regex=True)
-        counts = words.str.len().to_numpy()
-        flat = words.explode().to_numpy(dtype=object)
+        words = [WORD.findall(text.lower()) for text in texts]
+        counts = [len(found) for found in words]
+        flat = np.array(list(chain.from_iterable(words)), dtype=object)
         # Words repeat a lot, so each is hashed once per batch.
         codes, vocabulary = pd.factorize(flat)
         hashed = np.fromiter(
@@ -36,7 +38,6 @@ class HashingEmbedder:
         )
         position = hashed % self.dimensions
         sign = np.where(hashed // self.dimensions % 2 == 0, 1.0, -1.0)
-        sign[np.array([word == "" for word in vocabulary], bool)] = 0.0
         row = np.repeat(np.arange(len(texts)), counts)
         table = np.bincount(
             row * self.dimensions + position[codes],
@@ -83,6 +84,7 @@ class TopMatches:
 
     def add(self, parents: np.ndarray, vectors: np.ndarray) -> None:
         scores = np.round(normalise(vectors) @ self._queries.T, self._digits)
+        np.nan_to_num(scores, copy=False, nan=-1.0)  # a broken vector matches nothing
         for q, (ids, held) in enumerate(self._best):
             self._best[q] = self._cut(
                 np.concatenate([ids, parents]), np.concatenate([held, scores[:, q]])

@@ -78,6 +78,9 @@ def bronze_payloads(spark: SparkSession, folder: str) -> DataFrame:
         parts.withColumn("doc_id", key % documents.count())
         .join(documents, "doc_id", "left")
         .withColumn("movie_id", key)
+        # The joins below need this partitioning; asking for it here keeps it
+        # when they turn out small enough to broadcast.
+        .repartition("movie_id")
         .join(_entries(spark, folder, movies), "movie_id", "left")
         .join(_reviews(spark, folder, movies), "movie_id", "left")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,8 +50,18 @@ class PageReplay:
 
 
 def _crawl(spark: SparkSession, folder: str) -> DataFrame:
+    return _crawled(spark.conf.get("spark.app.id"), folder)
+
+
+@lru_cache(maxsize=8)
+def _crawled(app: str, folder: str) -> DataFrame:
+    """Fetched once per session and folder; every reader uses the written rows."""
+    return tables.write_barrier(fetch_pages(SparkSession.getActiveSession(), folder), "crawl")
+
+
+def fetch_pages(spark: SparkSession, folder: str) -> DataFrame:
     requests = table(spark, folder, "pages").withColumnRenamed("page_id", "movie_id")
-    return tables.write_barrier(fetch.fetch_records(requests, PageReplay, partitions=8), "crawl")
+    return fetch.fetch_records(requests, PageReplay, partitions=8)
 
 
 def crawl_to_bronze(spark, folder):
@@ -79,7 +90,8 @@ def success_ratio(spark, folder):
 
 
 def pages_first_seen_ids(spark, folder):
-    return listing.first_seen_ids(listing.parse_pages(listing_pages(spark, folder)))
+    raw = tables.write_barrier(listing_pages(spark, folder), "listing")
+    return listing.first_seen_ids(listing.parse_pages(raw))
 
 
 def _part_catalogue(spark, folder):
@@ -246,7 +258,7 @@ def table_counts(spark, folder):
 
 def _document_chunks(spark, folder):
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    return chunks.chunk_documents(documents, "text")
+    return chunks.chunk_documents(tables.spread_small(documents), "text")
 
 
 def chunk_documents(spark, folder):

@@ -55,6 +55,22 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+SPLIT_BYTES = 128 * 2**20  # Spark's usual size of one read split
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give every core a part of an input too small to be split among them.
+
+    A Parquet file is read in parallel only by row group, so a small table in
+    one file occupies one core, however heavy the work on it. Inputs with a
+    read split or more per core are returned as they are, so what is shuffled
+    here stays below one split per core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
 _local_roots: dict[str, str] = {}
 
 
