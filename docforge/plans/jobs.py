@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from docforge.config import Settings
 from docforge.functions.vectors import HashingEmbedder
-from docforge.operators import checks, chunks, embed, fetch, gold, listing, parse, silver
+from docforge.operators import checks, chunks, embed, fetch, gold, groups, listing, parse, silver
 from docforge.schemas import BRONZE_GENRES
-from docforge.sources import tables
+from docforge.sources import jdbc, tables
 from docforge.sources.fetchers import Fetcher
 
 
@@ -67,10 +66,12 @@ def build(spark: SparkSession, settings: Settings) -> dict[str, int]:
     unique = checks.keys_unique(parsed, "movie_id")
 
     def store(table: str, df: DataFrame) -> None:
-        rows[table] = tables.write_snapshot(df, name(table))
+        rows[table] = tables.write_snapshot(df, name(table), settings.buckets)
 
+    rows["silver_genres"] = tables.write_snapshot(
+        silver.genres(spark.table(name("bronze_genres"))), name("silver_genres")
+    )
     store("silver_movies", silver.movies(parsed))
-    store("silver_genres", silver.genres(spark.table(name("bronze_genres"))))
     store("silver_movie_genres", silver.genre_links(parsed, spark.table(name("silver_genres")), unique))
     store("silver_cast", silver.cast(parsed, settings.cast_limit, unique))
     store("silver_keywords", silver.keywords(parsed, unique))
@@ -94,15 +95,18 @@ def build(spark: SparkSession, settings: Settings) -> dict[str, int]:
 def embed_changed(spark: SparkSession, settings: Settings, open_embedder: Callable = HashingEmbedder) -> int:
     """Embed the documents whose text changed and drop superseded vectors.
 
+    Only keys are compared and written first. The planner then knows how many
+    documents changed: few are looked up by broadcast and no text is shuffled.
     Returns the number of vectors in the new snapshot.
     """
     documents = spark.table(settings.table("gold_documents"))
     target = settings.table("movie_embeddings")
-    if spark.catalog.tableExists(target):
-        held = spark.table(target)
-        todo = embed.unembedded(documents, held)
-    else:
-        held, todo = None, documents
+    held = spark.table(target) if spark.catalog.tableExists(target) else None
+    todo = documents
+    if held is not None:
+        keys = documents.select(*embed.DOCUMENT_KEY)
+        changed = tables.write_barrier(embed.unembedded(keys, held), "changed")
+        todo = documents.join(changed, list(embed.DOCUMENT_KEY), "left_semi")
     pieces = chunks.chunk_documents(
         todo.select("movie_id", "content_hash", "doc_text"),
         size=settings.chunk_size,
@@ -111,4 +115,30 @@ def embed_changed(spark: SparkSession, settings: Settings, open_embedder: Callab
     fresh = embed.embed_chunks(pieces, open_embedder)
     if held is not None:
         fresh = embed.live_embeddings(held, documents).unionByName(fresh)
-    return tables.replace_from_itself(spark, fresh, target)
+    return tables.replace_from_itself(spark, fresh, target, settings.buckets)
+
+
+def record(spark: SparkSession, table: str, records: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> int:
+    """Add ratings, watchlist entries or the like; the newest record of a key wins."""
+    updates = groups.latest(records, keys, order)
+    if not spark.catalog.tableExists(table):
+        return tables.write_snapshot(updates, table)
+    return tables.replace_from_itself(spark, groups.upsert(spark.table(table), updates, keys), table)
+
+
+def publish(
+    spark: SparkSession,
+    updates: DataFrame,
+    url: str,
+    table: str,
+    keys: Sequence[str],
+    options: Mapping[str, str] | None = None,
+) -> int:
+    """Upsert rows into a serving table over JDBC; returns its new number of rows.
+
+    The merged rows are written to the shared folder before the table is
+    replaced, so nothing is read from a table that is being rewritten.
+    """
+    target = jdbc.read_table(spark, url, table, options)
+    merged = tables.write_barrier(groups.upsert(target, updates, keys), "publish")
+    return jdbc.write_table(merged, url, table, "overwrite", options)

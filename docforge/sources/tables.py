@@ -14,35 +14,34 @@ def ensure_namespace(spark: SparkSession, catalog: str, schema: str) -> None:
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {catalog}.{schema}")
 
 
-def write_snapshot(
-    df: DataFrame, table: str, bucket_by: str | None = None, buckets: int = 0
-) -> int:
+def write_snapshot(df: DataFrame, table: str, buckets: int = 0, key: str = "movie_id") -> int:
     """Replace ``table`` and its schema by ``df``; returns the rows written.
 
     Rows are counted while they are written, with no second scan. With
-    ``bucket_by`` later joins and aggregates on that column need no shuffle;
+    ``buckets`` above 0 later joins and aggregates on ``key`` need no shuffle;
     rows are gathered by bucket first, so each bucket becomes one file.
     """
     seen = Observation()
-    if bucket_by:
-        df = df.repartition(buckets, bucket_by)
+    if buckets:
+        df = df.repartition(buckets, key)
     writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").format("parquet")
-    if bucket_by:
-        writer = writer.bucketBy(buckets, bucket_by).sortBy(bucket_by)
+    if buckets:
+        writer = writer.bucketBy(buckets, key).sortBy(key)
     writer.saveAsTable(table)
     return seen.get["rows"]
 
 
-def replace_from_itself(spark: SparkSession, df: DataFrame, table: str) -> int:
+def replace_from_itself(spark: SparkSession, df: DataFrame, table: str, buckets: int = 0) -> int:
     """Replace ``table`` by ``df`` even when ``df`` reads ``table``.
 
     The new snapshot is written beside the old one and then takes its name. A
     failure before the swap leaves the old snapshot in place.
     """
     fresh = f"{table}__{uuid4().hex[:8]}"
-    rows = write_snapshot(df, fresh)
+    rows = write_snapshot(df, fresh, buckets)
     spark.sql(f"DROP TABLE IF EXISTS {table}")
     spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
+    spark.catalog.refreshTable(table)
     return rows
 
 
