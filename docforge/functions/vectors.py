@@ -49,6 +49,7 @@ class HashingEmbedder:
 
 def normalise(rows: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1; a zero row stays zero."""
+    rows = np.asarray(rows, np.float64)
     length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 

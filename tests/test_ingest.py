@@ -1,0 +1,232 @@
+"""Fetching, listings, fetchers and crawl gates, all from recorded responses."""
+
+import io
+import json
+import urllib.error
+
+import pytest
+from catalogue import NOW
+from conftest import rows
+
+from docforge.operators import checks, fetch, listing
+from docforge.schemas import BRONZE_PAYLOADS
+from docforge.sources.fetchers import (
+    FetchError,
+    HttpJsonFetcher,
+    NotFoundError,
+    RecordedFetcher,
+    listing_params,
+)
+
+
+def ids(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "movie_id long")
+
+
+def test_failures_are_rows(spark):
+    answers = {1: {"id": 1}, 2: FetchError("down"), 4: {"title": "é"}}
+    found = fetch.fetch_records(ids(spark, 1, 2, 3, 4), lambda: RecordedFetcher(answers), 2)
+    assert found.dtypes == spark.createDataFrame([], BRONZE_PAYLOADS).dtypes
+    assert found.rdd.getNumPartitions() == 2
+    assert rows(found.drop("ingested_at")) == [
+        (1, '{"id": 1}', "success", None),
+        (2, None, "error", "down"),
+        (3, None, "not_found", "no recording for 3"),
+        (4, '{"title": "\\u00e9"}', "success", None),
+    ]
+
+
+def test_other_exceptions_stop_the_job(spark):
+    broken = fetch.fetch_records(ids(spark, 1), lambda: RecordedFetcher({1: RuntimeError("bug")}), 1)
+    with pytest.raises(Exception, match="bug"):
+        broken.collect()
+
+
+def test_one_fetcher_per_task_and_pacing(spark, tmp_path):
+    opened = tmp_path / "opened"
+    opened.mkdir()
+
+    def open_fetcher():
+        import uuid
+
+        (opened / uuid.uuid4().hex).touch()
+        return RecordedFetcher({i: i for i in range(30)})
+
+    import time
+
+    start = time.monotonic()
+    fetched = fetch.fetch_records(ids(spark, *range(30)), open_fetcher, 3, max_requests_per_second=30)
+    stamps = {row.ingested_at for row in fetched.collect()}
+    assert len(list(opened.iterdir())) == 3
+    assert len(stamps) == 3
+    # 10 requests per task at 10 per second each.
+    assert time.monotonic() - start > 0.9
+
+
+def test_large_payloads_leave_the_task_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(fetch, "FLUSH_CHARS", 50)
+    found = fetch.fetch_records(ids(spark, *range(9)), lambda: RecordedFetcher({i: "p" * 30 for i in range(9)}), 1)
+    assert [r[0] for r in rows(found.select("movie_id"))] == list(range(9))
+
+
+def pages(spark, *bodies, failed=()):
+    data = [
+        (number, None if number in failed else json.dumps(body), "error" if number in failed else "success")
+        for number, body in enumerate(bodies, 1)
+    ]
+    return listing.parse_pages(spark.createDataFrame(data, "page int, payload string, status string"))
+
+
+def page(*found, total=None):
+    return {"results": [{"id": i} for i in found], "total_pages": total}
+
+
+def seen(spark, *bodies):
+    return [r[0] for r in listing.first_seen_ids(pages(spark, *bodies)).orderBy("page", "position").collect()]
+
+
+def test_first_seen_order(spark):
+    assert seen(spark, page(5, 3, 9), page(3, 7, 5), page(1)) == [5, 3, 9, 7, 1]
+
+
+def test_non_integer_ids_are_skipped(spark):
+    assert seen(spark, page("12", 4, None, 2.5, 6)) == [4, 6]
+
+
+def test_stops_at_the_first_empty_page(spark):
+    assert seen(spark, page(1), page(), page(2)) == [1]
+    assert seen(spark, page(1), {"page": 2}, page(2)) == [1]
+
+
+def test_stops_at_total_pages(spark):
+    assert seen(spark, page(1, total=2), page(2, total=2), page(3, total=2)) == [1, 2]
+
+
+def test_empty_listing_raises(spark):
+    with pytest.raises(RuntimeError, match="no ids"):
+        listing.require_rows(listing.first_seen_ids(pages(spark, page())))
+
+
+def test_lost_page_raises_only_before_the_end(spark):
+    bodies = (page(1), page(2), page(3, total=3), page(4))
+    with pytest.raises(RuntimeError, match="1 listing page"):
+        listing.require_pages(pages(spark, *bodies, failed=(2,)))
+    listing.require_pages(pages(spark, *bodies, failed=(4,)))
+
+
+@pytest.mark.parametrize("number", [0, 501])
+def test_page_number_is_checked(number):
+    with pytest.raises(ValueError):
+        listing.check_page(number)
+
+
+def test_pages_are_fetched_by_number(spark):
+    answers = {1: page(1), 2: page(2)}
+    raw = listing.fetch_pages(spark, lambda: RecordedFetcher(answers, "page"), 3, 2)
+    assert rows(raw.select("page", "status")) == [(1, "success"), (2, "success"), (3, "not_found")]
+
+
+def test_listing_page_filters_and_order(spark):
+    films = spark.createDataFrame(
+        [(i, float(i % 30), 40 + i, i % 2 == 0) for i in range(60)],
+        "movie_id long, popularity double, vote_count int, adult boolean",
+    )
+
+    def listed(**kwargs):
+        return [r.movie_id for r in listing.listing_page(films, **kwargs).collect()]
+
+    usable = sorted((i for i in range(60) if 40 + i >= 50 and i % 2), key=lambda i: (-(i % 30), i))
+    assert listed() == usable[:20]
+    assert listed(page=2) == usable[20:40]
+    assert listed(vote_count_gte=95, include_adult=True) == [59, 58, 57, 56, 55]
+    assert listed(popularity_lte=1.0) == [31]
+    with pytest.raises(ValueError):
+        listed(popularity=3)
+
+
+# ---------------------------------------------------------------- HTTP fetcher
+
+
+class Answers:
+    """Stands in for the network: hands out prepared answers, notes the calls."""
+
+    def __init__(self, *answers):
+        self.answers, self.urls, self.headers, self.slept = list(answers), [], [], []
+
+    def send(self, request, timeout):
+        self.urls.append(request.full_url)
+        self.headers.append(dict(request.header_items()))
+        answer = self.answers.pop(0)
+        if isinstance(answer, Exception):
+            raise answer
+        return io.BytesIO(answer.encode())
+
+    def fetcher(self, **kwargs):
+        return HttpJsonFetcher(
+            "https://api.test/3/", "/movie/{movie_id}", "secret", send=self.send, sleep=self.slept.append, **kwargs
+        )
+
+
+def status(code, **headers):
+    return urllib.error.HTTPError("https://api.test", code, "no", headers, None)
+
+
+def test_http_request_and_answer():
+    net = Answers('{"id": 7}')
+    assert net.fetcher(params={"language": "en-US"}).fetch({"movie_id": 7}) == {"id": 7}
+    assert net.urls == ["https://api.test/3/movie/7?language=en-US"]
+    assert net.headers[0]["Authorization"] == "Bearer secret"
+
+
+def test_http_retries_then_succeeds():
+    net = Answers(status(429, **{"Retry-After": "3"}), status(503), "[1]")
+    assert net.fetcher().fetch({"movie_id": 7}) == [1]
+    assert net.slept == [3.0, 2.0]
+
+
+@pytest.mark.parametrize(
+    "answers, expected",
+    [
+        ([status(404)], NotFoundError),
+        ([status(401)], FetchError),
+        ([status(400)], FetchError),
+        ([status(500)] * 4, FetchError),
+        (["{bad"], FetchError),
+        ([OSError("unreachable")], FetchError),
+    ],
+)
+def test_http_failures(answers, expected):
+    net = Answers(*answers)
+    with pytest.raises(expected) as raised:
+        net.fetcher().fetch({"movie_id": 7})
+    assert "secret" not in str(raised.value)
+    assert not net.answers
+
+
+def test_listing_params():
+    params = listing_params(released_gte="2015-01-01", **{"vote_count_gte": 10})
+    assert params["released.gte"] == "2015-01-01"
+    assert params["vote_count.gte"] == 10
+    assert params["sort_by"] == "popularity.desc"
+
+
+# ---------------------------------------------------------------- gates
+
+
+def crawl(spark, good, bad):
+    data = [(i, "{}", "success", None, NOW) for i in range(good)]
+    data += [(good + i, None, "error" if i % 2 else "not_found", "m", NOW) for i in range(bad)]
+    return spark.createDataFrame(data, BRONZE_PAYLOADS)
+
+
+def test_success_gate(spark):
+    checks.require_success(crawl(spark, 8, 2))
+    for good, bad in ((799, 201), (0, 0)):
+        with pytest.raises(checks.QualityError, match=f"only {good} of {good + bad}"):
+            checks.require_success(crawl(spark, good, bad))
+
+
+def test_status_summary_and_failures(spark):
+    data = crawl(spark, 3, 3)
+    assert [tuple(r) for r in checks.status_summary(data).collect()] == [("error", 1), ("not_found", 2), ("success", 3)]
+    assert [tuple(r) for r in checks.non_success(data).collect()] == [("error", 1), ("not_found", 2)]
