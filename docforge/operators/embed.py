@@ -45,7 +45,8 @@ def embed_chunks(
 def unembedded(documents: DataFrame, embedded: DataFrame, key: tuple[str, ...] = DOCUMENT_KEY) -> DataFrame:
     """Documents whose current text has no embedding yet.
 
-    Both tables bucketed by document id join without a shuffle.
+    Both tables bucketed by document id join without a shuffle when
+    ``spark.sql.requireAllClusterKeysForCoPartition`` is false.
     """
     return documents.join(embedded.select(*key), list(key), "left_anti")
 

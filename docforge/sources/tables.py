@@ -40,7 +40,8 @@ def replace_from_itself(spark: SparkSession, df: DataFrame, table: str, buckets:
     fresh = f"{table}__{uuid4().hex[:8]}"
     rows = write_snapshot(df, fresh, buckets)
     spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
+    # The new name is resolved inside the table's own catalog.
+    spark.sql(f"ALTER TABLE {fresh} RENAME TO {'.'.join(table.split('.')[-2:])}")
     spark.catalog.refreshTable(table)
     return rows
 
