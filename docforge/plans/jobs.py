@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from docforge.config import Settings
 from docforge.functions.vectors import HashingEmbedder
 from docforge.operators import checks, chunks, embed, fetch, gold, groups, listing, parse, silver
-from docforge.schemas import BRONZE_GENRES
+from docforge.schemas import APPLICATION, BRONZE_GENRES
 from docforge.sources import jdbc, tables
 from docforge.sources.fetchers import Fetcher
 
@@ -118,6 +118,14 @@ def embed_changed(spark: SparkSession, settings: Settings, open_embedder: Callab
     return tables.replace_from_itself(spark, fresh, target, settings.buckets)
 
 
+def create_application_tables(spark: SparkSession, settings: Settings) -> None:
+    """Empty user, group, rating, watchlist and recommendation tables, where missing."""
+    tables.ensure_namespace(spark, settings.catalog, settings.schema)
+    for name, columns in APPLICATION.items():
+        if not spark.catalog.tableExists(settings.table(name)):
+            tables.write_snapshot(spark.createDataFrame([], columns), settings.table(name))
+
+
 def record(spark: SparkSession, table: str, records: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> int:
     """Add ratings, watchlist entries or the like; the newest record of a key wins."""
     updates = groups.latest(records, keys, order)

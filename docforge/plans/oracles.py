@@ -313,8 +313,12 @@ UNION ALL SELECT 'silver_keywords', count(*) FROM (
 UNION ALL SELECT 'silver_reviews', count(*) FROM top_reviews""",
     "chunk_documents": f"WITH {CHUNKS} SELECT * FROM chunks",
     "embed_chunks": f"""
-WITH {EMBEDDED} SELECT doc_id, chunk_index, dim, CAST(CAST(weight / norm AS FLOAT) AS DOUBLE) AS value
-FROM weights JOIN norms USING (doc_id, chunk_index)""",
+WITH {EMBEDDED}, shown AS (
+  SELECT doc_id, chunk_index, string_agg(
+    dim || ':' || CAST(round(CAST(CAST(weight / norm AS FLOAT) AS DOUBLE) * 1e6) AS INTEGER), ' ' ORDER BY dim) AS vector
+  FROM weights JOIN norms USING (doc_id, chunk_index) GROUP BY ALL
+)
+SELECT doc_id, chunk_index, coalesce(vector, '') AS vector FROM chunks LEFT JOIN shown USING (doc_id, chunk_index)""",
     "semantic_search": f"""
 WITH {_request_texts()}, {EMBEDDED},
 asked_weights AS ({_hashed("asked", "query_id", "body")}),

@@ -266,9 +266,16 @@ def chunk_documents(spark, folder):
 
 
 def embed_chunks(spark, folder):
+    """Vectors as text: ``position:value`` of the non-zero values, in millionths."""
+
+    def shown(value, position):
+        millionths = F.round(value.cast("double") * 1e6).cast("int")
+        return F.when(value != 0, F.concat_ws(":", position.cast("string"), millionths.cast("string")))
+
     embedded = embed.embed_chunks(_document_chunks(spark, folder))
-    values = embedded.select("doc_id", "chunk_index", F.posexplode("embedding").alias("dim", "value"))
-    return values.where(F.col("value") != 0).withColumn("value", F.col("value").cast("double"))
+    return embedded.select(
+        "doc_id", "chunk_index", F.array_join(F.transform("embedding", shown), " ").alias("vector")
+    )
 
 
 def semantic_search(spark, folder):

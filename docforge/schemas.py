@@ -31,3 +31,13 @@ BRONZE_PAYLOADS = (
     "movie_id BIGINT NOT NULL, payload STRING, status STRING NOT NULL, "
     "error STRING, ingested_at TIMESTAMP NOT NULL"
 )
+
+# Tables that groups of users write to; stored next to the catalogue.
+APPLICATION = {
+    "users": "user_id BIGINT, name STRING, created_at TIMESTAMP",
+    "groups": "group_id BIGINT, name STRING, created_at TIMESTAMP",
+    "group_members": "group_id BIGINT, user_id BIGINT",
+    "ratings": "user_id BIGINT, movie_id BIGINT, rating DOUBLE, watched BOOLEAN, rated_at TIMESTAMP",
+    "watchlist_items": "group_id BIGINT, movie_id BIGINT, added_by BIGINT, watched BOOLEAN, added_at TIMESTAMP",
+    "recommendations": "group_id BIGINT, movie_id BIGINT, reason STRING, score DOUBLE, created_at TIMESTAMP",
+}

@@ -20,7 +20,11 @@ RETRY_STATUS = (429, 500, 502, 503, 504)
 RETRY_WAITS = (0.0, 2.0, 4.0)
 TIMEOUT_SECONDS = 30
 
-# Request parameters of the external service.
+# Paths and request parameters of the external service.
+DETAIL_PATH = "/movie/{movie_id}"
+LISTING_PATH = "/discover/movie"
+GENRE_PATH = "/genre/movie/list"
+LANGUAGE = {"language": "en-US"}
 DETAIL_BLOCKS = {"append_to_response": "credits,keywords,reviews,watch/providers"}
 LISTING_DEFAULTS = {
     "sort_by": "popularity.desc",
@@ -119,3 +123,18 @@ def listing_params(**filters: Any) -> dict[str, Any]:
         for name, value in filters.items()
     }
     return {**LISTING_DEFAULTS, "page": "{page}", **dotted}
+
+
+def listing_over_http(base_url: str, token: str, **filters: Any) -> Fetcher:
+    """One listing page per ``page``. Wrap in ``functools.partial`` to open it in tasks."""
+    return HttpJsonFetcher(base_url, LISTING_PATH, token, {**LANGUAGE, **listing_params(**filters)})
+
+
+def details_over_http(base_url: str, token: str) -> Fetcher:
+    """One record per ``movie_id`` with its cast, keywords, reviews and providers."""
+    return HttpJsonFetcher(base_url, DETAIL_PATH, token, {**LANGUAGE, **DETAIL_BLOCKS})
+
+
+def genres_over_http(base_url: str, token: str) -> list[dict[str, Any]]:
+    """The short reference list of genres; empty when the answer holds none."""
+    return HttpJsonFetcher(base_url, GENRE_PATH, token, LANGUAGE).fetch({}).get("genres") or []

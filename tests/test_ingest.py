@@ -3,6 +3,7 @@
 import io
 import json
 import urllib.error
+from urllib.parse import parse_qsl, urlsplit
 
 import pytest
 from catalogue import NOW
@@ -10,6 +11,7 @@ from conftest import rows
 
 from docforge.operators import checks, fetch, listing
 from docforge.schemas import BRONZE_PAYLOADS
+from docforge.sources import fetchers
 from docforge.sources.fetchers import (
     FetchError,
     HttpJsonFetcher,
@@ -210,6 +212,32 @@ def test_listing_params():
     assert params["sort_by"] == "popularity.desc"
 
 
+def test_service_requests(monkeypatch):
+    net = Answers('{"results": []}', '{"id": 7}', '{"genres": [{"id": 1, "name": "Action"}]}', "{}")
+    monkeypatch.setattr(HttpJsonFetcher.__init__, "__defaults__", (None, net.send, net.slept.append))
+    fetchers.listing_over_http("https://api.test/3", "t", released_gte="2015-01-01").fetch({"page": 4})
+    fetchers.details_over_http("https://api.test/3", "t").fetch({"movie_id": 7})
+    assert fetchers.genres_over_http("https://api.test/3", "t") == [{"id": 1, "name": "Action"}]
+    assert fetchers.genres_over_http("https://api.test/3", "t") == []
+    listed, detail, *_ = ((urlsplit(url).path, dict(parse_qsl(urlsplit(url).query))) for url in net.urls)
+    assert listed == (
+        "/3/discover/movie",
+        {
+            "language": "en-US",
+            "page": "4",
+            "sort_by": "popularity.desc",
+            "include_adult": "false",
+            "include_video": "false",
+            "vote_count.gte": "50",
+            "released.gte": "2015-01-01",
+        },
+    )
+    assert detail == (
+        "/3/movie/7",
+        {"language": "en-US", "append_to_response": "credits,keywords,reviews,watch/providers"},
+    )
+
+
 # ---------------------------------------------------------------- gates
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docforge.config import Settings
 from docforge.operators import checks, gold, groups, silver
 from docforge.plans import jobs
+from docforge.schemas import APPLICATION
 from docforge.sources import jdbc, tables
 from docforge.sources.fetchers import FetchError, RecordedFetcher
 
@@ -171,18 +172,21 @@ def test_group_exclusion(spark):
 
 def ratings(spark, *data):
     return spark.createDataFrame(
-        [(user, movie, stars, datetime(2024, 1, day)) for user, movie, stars, day in data],
-        "user_id int, movie_id int, rating double, at timestamp",
+        [(user, movie, stars, True, datetime(2024, 1, day)) for user, movie, stars, day in data],
+        APPLICATION["ratings"],
     )
 
 
 def test_recorded_ratings_keep_the_newest(spark):
-    tables.ensure_namespace(spark, "spark_catalog", "app")
-    key, order = ["user_id", "movie_id"], [F.desc("at")]
-    record = partial(jobs.record, spark, "spark_catalog.app.ratings", keys=key, order=order)
+    app = Settings(schema="app")
+    for _ in range(2):
+        jobs.create_application_tables(spark, app)
+    assert spark.table(app.table("recommendations")).isEmpty()
+    key, order = ["user_id", "movie_id"], [F.desc("rated_at")]
+    record = partial(jobs.record, spark, app.table("ratings"), keys=key, order=order)
     assert record(records=ratings(spark, (1, 1, 5.0, 1), (1, 1, 4.0, 3), (2, 1, 3.0, 1))) == 2
     assert record(records=ratings(spark, (2, 1, 1.0, 4), (2, 1, 2.0, 3), (3, 9, 5.0, 1))) == 3
-    found = rows(spark.table("spark_catalog.app.ratings").select("user_id", "movie_id", "rating"))
+    found = rows(spark.table(app.table("ratings")).select("user_id", "movie_id", "rating"))
     assert found == [(1, 1, 4.0), (2, 1, 1.0), (3, 9, 5.0)]
 
 
