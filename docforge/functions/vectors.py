@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from hashlib import md5
 from itertools import chain
 
@@ -10,40 +9,44 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-# Vector size, and what counts as a word for hashing.
 DIMENSIONS = 384
-WORD = re.compile(r"[^ \t\r\n]+")
+REMEMBERED_WORDS = 2**20
+
+
+class WordHashes(dict):
+    """First 28 bits of md5 by word; words repeat, so each is hashed once."""
+
+    def __missing__(self, word: str) -> int:
+        hashed = int.from_bytes(md5(word.encode()).digest()[:4], "big") >> 4
+        self[word] = hashed
+        return hashed
 
 
 class HashingEmbedder:
     """Signed feature hashing of lower-cased words, L2-normalised.
 
-    Stands in for a learned model where none can be downloaded. Word w adds +1
-    or -1 to one position; both come from the first 28 bits of md5(w).
+    Stands in for a learned model where none can be downloaded. A word adds +1
+    or -1 to one position; its hash gives both. Words end at white space.
     """
 
     def __init__(self, dimensions: int = DIMENSIONS):
         self.dimensions = dimensions
+        self._hashes = WordHashes()
 
     def __call__(self, texts: pd.Series) -> np.ndarray:
-        words = [WORD.findall(text.lower()) for text in texts]
-        counts = [len(found) for found in words]
-        flat = np.array(list(chain.from_iterable(words)), dtype=object)
-        # Words repeat a lot, so each is hashed once per batch.
-        codes, vocabulary = pd.factorize(flat)
+        words = [text.lower().split() for text in texts]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
         hashed = np.fromiter(
-            (int(md5(word.encode()).hexdigest()[:7], 16) for word in vocabulary),
-            np.int64,
-            len(vocabulary),
+            map(self._hashes.__getitem__, chain.from_iterable(words)), np.int64, counts.sum()
         )
-        position = hashed % self.dimensions
-        sign = np.where(hashed // self.dimensions % 2 == 0, 1.0, -1.0)
-        row = np.repeat(np.arange(len(texts)), counts)
+        if len(self._hashes) > REMEMBERED_WORDS:
+            self._hashes.clear()
+        row = np.repeat(np.arange(len(words)), counts)
         table = np.bincount(
-            row * self.dimensions + position[codes],
-            weights=sign[codes],
-            minlength=len(texts) * self.dimensions,
-        ).reshape(len(texts), self.dimensions)
+            row * self.dimensions + hashed % self.dimensions,
+            weights=1.0 - 2.0 * (hashed // self.dimensions % 2),
+            minlength=len(words) * self.dimensions,
+        ).reshape(len(words), self.dimensions)
         return normalise(table)
 
 

@@ -165,13 +165,17 @@ chunks AS (
 )"""
 
 
+# Every white-space character of Unicode.
+WHITE_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\pZ]+"
+
+
 def _hashed(table: str, keys: str, text: str) -> str:
     """Signed word hashing of a text column: keys, dim, weight."""
     return f"""
   SELECT {keys}, CAST(h % {DIMENSIONS} AS INTEGER) AS dim,
          sum(CASE WHEN h // {DIMENSIONS} % 2 = 0 THEN 1 ELSE -1 END) AS weight
   FROM (SELECT {keys}, CAST('0x' || left(md5(word), 7) AS BIGINT) AS h
-        FROM (SELECT {keys}, unnest(regexp_split_to_array(lower({text}), '[ \\t\\r\\n]+')) AS word FROM {table})
+        FROM (SELECT {keys}, unnest(regexp_split_to_array(lower({text}), '{WHITE_SPACE}')) AS word FROM {table})
         WHERE word <> '')
   GROUP BY {keys}, dim HAVING weight <> 0"""
 
