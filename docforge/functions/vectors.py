@@ -11,6 +11,7 @@ import pyarrow as pa
 
 DIMENSIONS = 384
 REMEMBERED_WORDS = 2**20
+ROWS_AT_ONCE = 256
 
 
 class WordHashes(dict):
@@ -34,13 +35,20 @@ class HashingEmbedder:
         self._hashes = WordHashes()
 
     def __call__(self, texts: pd.Series) -> np.ndarray:
+        out = np.empty((len(texts), self.dimensions), np.float32)
+        # Few rows at a time, so that the counting table stays in the cache.
+        for start in range(0, len(texts), ROWS_AT_ONCE):
+            out[start : start + ROWS_AT_ONCE] = self._embed(texts[start : start + ROWS_AT_ONCE])
+        if len(self._hashes) > REMEMBERED_WORDS:
+            self._hashes.clear()
+        return out
+
+    def _embed(self, texts: pd.Series) -> np.ndarray:
         words = [text.lower().split() for text in texts]
         counts = np.fromiter(map(len, words), np.int64, len(words))
         hashed = np.fromiter(
             map(self._hashes.__getitem__, chain.from_iterable(words)), np.int64, counts.sum()
         )
-        if len(self._hashes) > REMEMBERED_WORDS:
-            self._hashes.clear()
         row = np.repeat(np.arange(len(words)), counts)
         table = np.bincount(
             row * self.dimensions + hashed % self.dimensions,
@@ -60,7 +68,7 @@ def normalise(rows: np.ndarray) -> np.ndarray:
 def to_lists(rows: np.ndarray) -> pa.ListArray:
     """A matrix as an Arrow ``list<float>`` array, without a Python object per value."""
     offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
-    return pa.ListArray.from_arrays(offsets, pa.array(rows.astype(np.float32).ravel()))
+    return pa.ListArray.from_arrays(offsets, pa.array(rows.astype(np.float32, copy=False).ravel()))
 
 
 def to_matrix(lists: pa.Array, dimensions: int) -> np.ndarray:

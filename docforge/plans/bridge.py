@@ -132,7 +132,7 @@ def _reviews(spark: SparkSession, folder: str, movies: int) -> DataFrame:
         table(spark, folder, "conversations")
         .select(F.explode(reviewed).alias("movie_id"), review.alias("review"))
         .groupBy("movie_id")
-        .agg(F.sort_array(F.collect_list("review")).alias("found_reviews"))
+        .agg(F.sort_array(F.collect_set("review")).alias("found_reviews"))
     )
 
 
@@ -207,7 +207,7 @@ def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
     page = F.floor(F.col("event_id") / 20) + 1
     last = events.select(F.max(page)).first()[0]
     item = F.struct((F.col("event_id") % 20).alias("pos"), F.col("user_id").alias("id"))
-    items = F.sort_array(F.collect_list(item))
+    items = F.sort_array(F.collect_set(item))
     body = F.struct(
         F.col("page"),
         F.lit(last).alias("total_pages"),

@@ -98,7 +98,7 @@ cast_lines AS (
 
 REVIEWS = f"""{CAST},
 turns AS (
-  SELECT (conv_id * 13 + turn * 7) % slots + copy * slots AS movie_id, conv_id || '-' || turn AS review_id,
+  SELECT DISTINCT (conv_id * 13 + turn * 7) % slots + copy * slots AS movie_id, conv_id || '-' || turn AS review_id,
     CASE WHEN role <> 'system' THEN role END AS author, text AS content,
     CASE WHEN (conv_id + turn) % 23 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00'
       + to_days(CAST(conv_id % 365 AS INTEGER)) + to_minutes(turn) END AS created_at
@@ -253,9 +253,9 @@ WITH {CRAWL} SELECT count(*) AS total, count(*) FILTER (status = 'success') AS s
   round(avg(CASE WHEN status = 'success' THEN 1.0 ELSE 0.0 END), 6) AS ratio FROM crawl""",
     "pages_first_seen_ids": """
 WITH items AS (
-  SELECT event_id // 20 + 1 AS page, event_id % 20 AS id_place, user_id,
-         row_number() OVER (PARTITION BY event_id // 20 ORDER BY event_id % 20) - 1 AS position
-  FROM events
+  SELECT event_id // 20 + 1 AS page, user_id,
+         row_number() OVER (PARTITION BY event_id // 20 ORDER BY event_id % 20, user_id) - 1 AS position
+  FROM (SELECT DISTINCT event_id, user_id FROM events)
 ),
 stop AS (SELECT max(page) * 9 // 10 AS page FROM items)
 SELECT user_id AS movie_id, min(page) AS page,
@@ -325,17 +325,26 @@ WITH {EMBEDDED}, shown AS (
 SELECT doc_id, chunk_index, coalesce(vector, '') AS vector FROM chunks LEFT JOIN shown USING (doc_id, chunk_index)""",
     "semantic_search": f"""
 WITH {_request_texts()}, {EMBEDDED},
+vectors AS (
+  SELECT doc_id, chunk_index, dim, CAST(CAST(weight / norm AS FLOAT) AS DOUBLE) AS value
+  FROM weights JOIN norms USING (doc_id, chunk_index)
+),
+lengths AS (SELECT doc_id, chunk_index, sqrt(sum(value * value)) AS length FROM vectors GROUP BY ALL),
 asked_weights AS ({_hashed("asked", "query_id", "body")}),
-asked_norms AS (SELECT query_id, sqrt(sum(weight * weight)) AS norm FROM asked_weights GROUP BY ALL),
+asked_vectors AS (
+  SELECT query_id, dim, CAST(CAST(weight / sqrt(sum(weight * weight) OVER (PARTITION BY query_id)) AS FLOAT) AS DOUBLE) AS value
+  FROM asked_weights
+),
+asked_lengths AS (SELECT query_id, sqrt(sum(value * value)) AS length FROM asked_vectors GROUP BY ALL),
 dots AS (
-  SELECT query_id, doc_id, chunk_index, sum(a.weight * w.weight) AS dot
-  FROM weights w JOIN asked_weights a USING (dim) GROUP BY ALL
+  SELECT query_id, doc_id, chunk_index, sum(a.value * v.value) AS dot
+  FROM vectors v JOIN asked_vectors a USING (dim) GROUP BY ALL
 ),
-every AS (SELECT DISTINCT query_id, doc_id, chunk_index FROM chunks CROSS JOIN asked),
 scored AS (
-  SELECT query_id, doc_id AS parent, max(round(coalesce(dot / (n.norm * a.norm), 0), 6)) AS score
-  FROM every LEFT JOIN dots USING (query_id, doc_id, chunk_index)
-    LEFT JOIN norms n USING (doc_id, chunk_index) JOIN asked_norms a USING (query_id) GROUP BY ALL
+  SELECT query_id, doc_id AS parent, max(round(coalesce(dot / (v.length * a.length), 0), 6)) AS score
+  FROM chunks CROSS JOIN asked_lengths a LEFT JOIN dots USING (query_id, doc_id, chunk_index)
+    LEFT JOIN lengths v USING (doc_id, chunk_index)
+  GROUP BY ALL
 )
 {_ranked("doc_id")}""",
     "vector_top_k": _top_k("vec_id") + _ranked("vec_id"),
