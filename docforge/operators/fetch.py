@@ -21,17 +21,20 @@ FLUSH_CHARS = 8_000_000
 def fetch_records(
     requests: DataFrame,
     open_fetcher: Callable[[], Fetcher],
-    partitions: int = 4,
+    partitions: int | None = 4,
     key: str = "movie_id",
     max_requests_per_second: float | None = None,
 ) -> DataFrame:
     """Fetch every request; returns the bronze payload schema.
 
     ``partitions`` caps the concurrent connections, and each task spaces its
-    calls so that all of them together stay below the rate given. The result
-    is lazy and calls the service each time it runs: write it once, read that
-    table afterwards. A retried task fetches its keys again.
+    calls so that all of them together stay below the rate given. With ``None``
+    the requests stay where they are, for sources that need no such cap. The
+    result is lazy and calls the service each time it runs: write it once, read
+    that table afterwards. A retried task fetches its keys again.
     """
+    if max_requests_per_second and partitions is None:
+        raise ValueError("a request rate needs a number of partitions")
     pause = partitions / max_requests_per_second if max_requests_per_second else 0.0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -53,7 +56,8 @@ def fetch_records(
                 yield _frame(rows)
                 rows, chars = [], 0
 
-    return requests.repartition(partitions).mapInPandas(run, BRONZE_PAYLOADS)
+    spread = requests if partitions is None else requests.repartition(partitions)
+    return spread.mapInPandas(run, BRONZE_PAYLOADS)
 
 
 def _outcome(fetcher: Fetcher, request: dict) -> tuple[str | None, str, str | None]:

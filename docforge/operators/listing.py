@@ -74,7 +74,9 @@ def first_seen_ids(pages: DataFrame) -> DataFrame:
     place = F.shiftleft(F.col("page").cast("long"), 24) + F.col("pos")
     return (
         until_stop(pages)
-        .select("page", F.posexplode("results.id").alias("pos", "movie_id"))
+        # The outer form, because Spark adds a size test below the plain one and
+        # would parse the listing text for it once more. Its null rows go next.
+        .select("page", F.posexplode_outer("results.id").alias("pos", "movie_id"))
         .where(F.col("movie_id").isNotNull())
         .groupBy("movie_id")
         .agg(F.min(place).alias("place"))

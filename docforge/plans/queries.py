@@ -61,7 +61,7 @@ def _crawled(app: str, folder: str) -> DataFrame:
 
 def fetch_pages(spark: SparkSession, folder: str) -> DataFrame:
     requests = table(spark, folder, "pages").withColumnRenamed("page_id", "movie_id")
-    return fetch.fetch_records(requests, PageReplay, partitions=8)
+    return fetch.fetch_records(tables.spread_small(requests), PageReplay, partitions=None)
 
 
 def crawl_to_bronze(spark, folder):

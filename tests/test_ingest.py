@@ -65,6 +65,14 @@ def test_one_fetcher_per_task_and_pacing(spark, tmp_path):
     assert time.monotonic() - start > 0.9
 
 
+def test_requests_can_stay_where_they_are(spark):
+    requests = ids(spark, 1, 2, 3).repartition(3)
+    found = fetch.fetch_records(requests, lambda: RecordedFetcher({1: 1}), None)
+    assert found.rdd.getNumPartitions() == 3
+    with pytest.raises(ValueError):
+        fetch.fetch_records(requests, lambda: RecordedFetcher({}), None, max_requests_per_second=5)
+
+
 def test_large_payloads_leave_the_task_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(fetch, "FLUSH_CHARS", 50)
     found = fetch.fetch_records(ids(spark, *range(9)), lambda: RecordedFetcher({i: "p" * 30 for i in range(9)}), 1)

@@ -95,6 +95,14 @@ def test_first_seen_is_a_hash_aggregate_without_joins(spark):
     assert "Subquery" in text
 
 
+def test_listing_text_is_parsed_once_per_use(spark, tmp_path):
+    raw = spark.createDataFrame([(1, "{}", "success")], "page int, payload string, status string")
+    raw.write.parquet(str(tmp_path / "raw"))
+    text = plan(listing.first_seen_ids(listing.parse_pages(spark.read.parquet(str(tmp_path / "raw")))))
+    main = text[: text.index("Subquery")]
+    assert main.count("from_json(") == 1
+
+
 def test_search_shuffles_only_candidates(spark):
     corpus = spark.createDataFrame([], "movie_id long, embedding array<float>, noise string")
     text = plan(search.vector_top_k(corpus, {0: [1.0, 2.0]}))
