@@ -49,14 +49,10 @@ class PageReplay:
         return {"url": request["url"], "html": request["html"]}
 
 
-def _crawl(spark: SparkSession, folder: str) -> DataFrame:
-    return _crawled(spark.conf.get("spark.app.id"), folder)
-
-
 @lru_cache(maxsize=8)
-def _crawled(app: str, folder: str) -> DataFrame:
+def _crawl(spark: SparkSession, folder: str) -> DataFrame:
     """Fetched once per session and folder; every reader uses the written rows."""
-    return tables.write_barrier(fetch_pages(SparkSession.getActiveSession(), folder), "crawl")
+    return tables.write_barrier(fetch_pages(spark, folder), "crawl")
 
 
 def fetch_pages(spark: SparkSession, folder: str) -> DataFrame:

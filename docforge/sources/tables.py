@@ -34,18 +34,28 @@ def write_snapshot(df: DataFrame, table: str, buckets: int = 0, key: str = "movi
 def replace_from_itself(spark: SparkSession, df: DataFrame, table: str, buckets: int = 0) -> int:
     """Replace ``table`` by ``df`` even when ``df`` reads ``table``.
 
-    The new snapshot is written beside the old one and then takes its name. A
-    failure before the swap leaves the old snapshot in place.
+    The new snapshot is written beside the old one, and then names are
+    exchanged. The old snapshot is dropped last, so a failure at any point
+    leaves it under its own name or under ``<table>__old_...``.
     """
-    fresh = f"{table}__{uuid4().hex[:8]}"
+    mark = uuid4().hex[:8]
+    fresh, old = f"{table}__new_{mark}", f"{table}__old_{mark}"
     rows = write_snapshot(df, fresh, buckets)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    # The new name is resolved inside the table's own catalog.
-    spark.sql(f"ALTER TABLE {fresh} RENAME TO {'.'.join(table.split('.')[-2:])}")
+    exists = spark.catalog.tableExists(table)
+    if exists:
+        _rename(spark, table, old)
+    _rename(spark, fresh, table)
+    if exists:
+        spark.sql(f"DROP TABLE {old}")
     spark.catalog.refreshTable(table)
     return rows
 
 
+def _rename(spark: SparkSession, table: str, name: str) -> None:
+    # The new name is resolved inside the table's own catalog.
+    spark.sql(f"ALTER TABLE {table} RENAME TO {'.'.join(name.split('.')[-2:])}")
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """``table_name, rows`` for every table; Parquet answers from file footers."""
     counts = [
