@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docforge.llm import chat, mixing, quality, secrets, wordpiece
+from docforge.llm import chat, mixing, quality, secrets, tokens, warc, wordpiece
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -60,6 +60,10 @@ def op4_quality_rules(spark, folder):
     )
 
 
+def op5_token_output(spark, folder):
+    return tokens.tokenize_to_files(_table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op6_secret_scans(spark, folder):
     found = secrets.find_secrets(_table(spark, folder, "documents"))
     return found.select(
@@ -70,6 +74,10 @@ def op6_secret_scans(spark, folder):
     )
 
 
+def op7_warc(spark, folder):
+    return warc.read_archives(warc.archive(_table(spark, folder, "pages")))
+
+
 def op9_token_counts(spark, folder):
     counted = wordpiece.count_tokens(_table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
     return counted.select("row.doc_id", "n_words", "n_pieces")
@@ -108,7 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for query in (
         op3_mixing,
         op4_quality_rules,
+        op5_token_output,
         op6_secret_scans,
+        op7_warc,
         op9_token_counts,
         op10_chat_formatting,
     )
