@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docforge.llm.common import barrier
 
 #: Documents of a leaf are dealt by their order into slices of about this many.
-SLICE = 2048
+SLICE = 512
 WHITE = r"[ \t-\r]+"
 
 

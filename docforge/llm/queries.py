@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docforge.llm import chat, mixing, quality, secrets, tokens, warc, wordpiece
+from docforge.llm import chat, latent, mixing, quality, secrets, tokens, warc, wordpiece
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -78,6 +78,12 @@ def op7_warc(spark, folder):
     return warc.read_archives(warc.archive(_table(spark, folder, "pages")))
 
 
+def op8_decontamination(spark, folder):
+    """One row for each document and benchmark item that it holds."""
+    found = latent.scan(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select("row.doc_id", F.inline("matches"))
+
+
 def op9_token_counts(spark, folder):
     counted = wordpiece.count_tokens(_table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
     return counted.select("row.doc_id", "n_words", "n_pieces")
@@ -119,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_token_output,
         op6_secret_scans,
         op7_warc,
+        op8_decontamination,
         op9_token_counts,
         op10_chat_formatting,
     )
