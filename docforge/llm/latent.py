@@ -39,7 +39,7 @@ class Limits:
     cosine: float = 0.4  # a window this near to an item is checked
     share: float = 0.25  # and holds at least this part of the item's own length in the space
     same: float = 0.8  # common subsequence, of the item's words, that decides alone
-    paraphrase: float = 0.55  # that decides with the answer
+    paraphrase: float = 0.6  # that decides with the answer
     answer: float = 0.6  # of the answer's words, in order
     common: float = 0.1  # terms in more than this part of all documents are no features
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -14,65 +18,116 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docforge.llm.codes import Codes, encode
-from docforge.llm.common import REMEMBERED, barrier, read_file, scratch, split_words, texts_of, write_file
+from docforge.llm.common import barrier, read_file, scratch, split_words, texts_of, write_file
 
 #: A shard is closed when it holds this many ids or documents; bounds a task's memory and a file's size.
 SHARD_IDS = 4_000_000
 SHARD_DOCS = 200_000
 _HEAD = "<8sQ"
 _MAGIC = b"IDSHARD1"
+#: Words and parts of words that a task remembers before it starts anew.
+REMEMBERED = 400_000
 _PUNCTUATION = b".,;:!?"
+#: Words that one call of the tokenizer encodes, and words of the texts that are encoded together.
+_TOGETHER = 2048
+_BLOCK = 50_000
 
 
 class WordEncoder:
-    """Ids of a text as little-endian unsigned 32-bit integers, word by word.
+    """Ids of texts as little-endian unsigned 32-bit integers, word by word.
 
-    For tokenizers that drop white space and never join across it. Words that repeat are
-    remembered; an ASCII word is looked up in lower case and without the marks that close it, where
-    the vocabulary reads them as pieces of their own (``folds``).
+    For tokenizers that drop white space and never join across it, put no marks into words of letters,
+    and read letters and the marks that close a word as pieces of their own. Words that repeat are
+    remembered. Other words of letters are encoded many at a time, as one text: each ends with the one
+    piece that closes it (``word_end``).
     """
 
-    def __init__(self, path: str, folds: bool = True):
+    def __init__(self, path: str, word_end: str = "</w>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.folds = folds
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[number for piece, number in vocabulary.items() if piece.endswith(word_end)]] = True
         self.words: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
 
-    def _cut(self, word: bytes) -> tuple[bytes, bytes]:
-        if self.folds and word.isascii():
-            core = word.rstrip(_PUNCTUATION)
-            if core and core[-1:].isalnum():
-                return core.lower(), word[len(core) :]
-        return word, b""
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return [np.array(code.ids, "<u4").tobytes() for code in coded]
+
+    def _encode_letters(self, parts: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+        if len(ends) != len(parts):
+            return self._encode(parts)
+        data, out, start = ids.tobytes(), [], 0
+        for end in ends:
+            out.append(data[4 * start : 4 * end])
+            start = end
+        return out
 
     def _learn(self, words: set[bytes]) -> None:
-        """Afterwards all ``words`` are known, also if the memory had to be emptied."""
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words.clear()
-        words = {word for word in words if word not in self.words}
-        cut = {word: self._cut(word) for word in words}
-        new = {part for pair in cut.values() for part in pair if part and part not in self.cores}
-        if len(self.cores) + len(new) > REMEMBERED:
-            self.cores.clear()
-            new = {part for pair in cut.values() for part in pair if part}
-        order = list(new)
-        coded = self.tokenizer.encode_batch_fast([part.decode("utf-8", "replace") for part in order], add_special_tokens=False)
-        for part, code in zip(order, coded, strict=True):
-            self.cores[part] = np.array(code.ids, "<u4").tobytes()
-        for word, (core, marks) in cut.items():
-            self.words[word] = self.cores[core] + (self.cores[marks] if marks else b"")
-
-    def encode(self, text: bytes | None, block: int = 50_000) -> bytes:
-        words, parts = split_words(text), []
-        for at in range(0, len(words), block):
-            some = words[at : at + block]
-            if any(word not in self.words for word in some):
-                self._learn(set(some))
-            parts += map(self.words.__getitem__, some)
-        return b"".join(parts)
+        cut = []
+        letters: dict[bytes, str] = {}
+        others: dict[bytes, str] = {}
+        cores = self.cores
+        pieces = self.tokenizer.model.tokenize  # ASCII letters in lower case are what the model itself reads
+        for word in words:
+            core, marks = word, b""
+            if not word.isalpha():  # ASCII letters alone
+                core = word.rstrip(_PUNCTUATION)
+                marks = word[len(core) :]
+            if core.isalpha():
+                core = core.lower()
+                if core not in cores:
+                    cores[core] = array("I", [piece.id for piece in pieces(core.decode())]).tobytes()
+            else:
+                text = core.decode("utf-8", "replace")
+                if text.isalpha() and text.lower().isalpha():
+                    if core not in cores:
+                        letters[core] = text
+                else:
+                    core, marks = word, b""
+                    if core not in cores:
+                        others[core] = core.decode("utf-8", "replace")
+            if marks and marks not in cores:
+                others[marks] = marks.decode()
+            cut.append((word, core, marks))
+        order = list(letters)
+        for at in range(0, len(order), _TOGETHER):
+            some = order[at : at + _TOGETHER]
+            cores.update(zip(some, self._encode_letters([letters[core] for core in some]), strict=True))
+        if others:
+            cores.update(zip(others, self._encode(list(others.values())), strict=True))
+        for word, core, marks in cut:
+            self.words[word] = cores[core] + cores[marks] if marks else cores[core]
+        if len(cores) > REMEMBERED:
+            cores.clear()
+
+    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """The ids of each text, in order; words are learnt for some texts at a time."""
+        at = 0
+        while at < len(texts):
+            lists, known, held = [], [], 0
+            new: set[bytes] = set()
+            while at < len(texts) and held < _BLOCK:
+                words = split_words(texts[at])
+                found = list(map(self.words.get, words))
+                if None in found:
+                    new.update(compress(words, map(is_, found, repeat(None))))
+                    found = None
+                lists.append(words)
+                known.append(found)
+                held += len(words)
+                at += 1
+            if new:
+                self._learn(new)
+            for words, found in zip(lists, known, strict=True):
+                yield b"".join(found if found is not None else map(self.words.__getitem__, words))
+            if len(self.words) > REMEMBERED:
+                self.words.clear()
 
 
 @lru_cache(maxsize=2)
@@ -151,8 +206,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
 
         held = 0
         for batch in batches:
-            for own, value in zip(batch.column("key").to_pylist(), texts_of(batch.column("text")), strict=True):
-                data = code.encode(value) + tail
+            for own, coded_text in zip(batch.column("key").to_pylist(), code.encode(texts_of(batch.column("text"))), strict=True):
+                data = coded_text + tail
                 keys.append(own)
                 counts.append(len(data) // 4)
                 coded.append(data)

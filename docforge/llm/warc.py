@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from docforge.llm.common import barrier, open_store, read_file, remove, scratch, write_file
 
 #: An archive is closed when it holds this many bytes of records; bounds a task's memory and a file's size.
-ARCHIVE_BYTES = 32_000_000
+ARCHIVE_BYTES = 16_000_000
 LEAST_REVISIT = 1000
 CHUNK = 1 << 20
 GZIP = 31  # zlib's window bits for a gzip stream
@@ -146,7 +146,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:
         part, number = TaskContext.get().partitionId(), 0
         machine, parts, records, size = None, [], 0, 0
         for batch in batches:
-            for row in zip(*(batch.column(name).to_pylist() for name in ("page_id", "url", "payload", "refers_to")), strict=True):
+            for row in rows_of(batch):
                 if machine is None:
                     machine, parts, records, size = zlib.compressobj(level, zlib.DEFLATED, GZIP), [], 0, 0
                 data = format_record(*row, date)
@@ -166,6 +166,12 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:
     return barrier(with_roles(pages, least).mapInArrow(write, "path string, records long"), "archives")[0]
 
 
+def rows_of(batch: pa.RecordBatch, size: int = 256):
+    """The rows of a batch as tuples, a few at a time, so that large payloads aren't held twice."""
+    for at in range(0, batch.num_rows, size):
+        yield from zip(*(column.to_pylist() for column in batch.slice(at, size).columns), strict=True)
+
+
 def _spread(files: DataFrame) -> DataFrame:
     """One task for each file, up to 10,000."""
     return files.repartition(min(max(files.count(), 1), 10_000))
