@@ -13,7 +13,7 @@ from docforge.llm.common import hash_words, join_hashes, mix, split_words, windo
 SHINGLE = 5
 #: Similarity is at least OVER / UNDER.
 OVER, UNDER = 3, 4
-CELLS = 64
+CELLS = 256
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -53,8 +53,8 @@ def print_of(names: np.ndarray) -> tuple[int, int]:
 
 
 def cells_of(names: np.ndarray) -> bytes:
-    """Elements in each of 64 cells, up to 255. Cells of two sets differ by no more than the sets do."""
-    return np.minimum(np.bincount((names >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+    """Elements in each cell, up to 255. Cells of two sets differ by no more than the sets do."""
+    return np.minimum(np.bincount((names >> np.uint64(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
 
 
 # ---------------------------------------------------------------- size bands
@@ -117,9 +117,10 @@ class Segments:
     sizes: np.ndarray
     names: np.ndarray
     elements: np.ndarray
+    common: np.ndarray
 
     @classmethod
-    def deal(cls, names: np.ndarray, band: Band) -> Segments:
+    def deal(cls, names: np.ndarray, band: Band, frequent: np.ndarray) -> Segments:
         place = mix(names ^ np.uint64(0xA5A5 + 7919 * band.number))
         segment = (place % np.uint64(band.segments)).astype(np.int64)
         order = np.argsort(segment, kind="stable")
@@ -128,7 +129,8 @@ class Segments:
         values = place[order]
         used = segment[starts]
         sizes = np.diff(np.concatenate([starts, [len(segment)]]))
-        return cls(band, used, starts, sizes, cls._name(np.add.reduceat(values, starts), used, sizes, band), values)
+        common = np.logical_and.reduceat(frequent[order], starts)
+        return cls(band, used, starts, sizes, cls._name(np.add.reduceat(values, starts), used, sizes, band), values, common)
 
     @staticmethod
     def _name(sums, segments, sizes, band):
@@ -152,10 +154,11 @@ def allocate(segments: Segments, need: int) -> tuple[np.ndarray, np.ndarray] | N
 
     Two sets that differ by fewer than ``need`` elements agree on one of the first, or nearly on one of the
     second, if each of the first counts one and each of the second two. The cheapest go first: large
-    subsets are rare, one-deletion probes cost a probe for each element, and empty segments, which all
-    sets would share, are never probed. None if the segments can't reach ``need``.
+    subsets are rare, those of frequent elements alone come last, one-deletion probes cost a probe for
+    each element, and empty segments, which all sets would share, are never probed. None if the
+    segments can't reach ``need``.
     """
-    order = np.argsort(-segments.sizes, kind="stable")
+    order = np.lexsort((-segments.sizes, segments.common))
     count = len(order)
     if count >= need:
         return order[:need], order[:0]
@@ -167,48 +170,46 @@ def allocate(segments: Segments, need: int) -> tuple[np.ndarray, np.ndarray] | N
     return None
 
 
-PROBE, INDEX = 0, 1
+#: Roles of an entry. A pair meets where one of the two probes.
+PROBE, INDEX, SHORT = 0, 1, 2
 
 
-def signatures(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-    """``signature, role`` of a set in all bands, and whether an allocation fell short.
+def signatures(names: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``signature, role`` of a set in all bands.
 
     In its own band a set indexes all its subsets (and one-deletion neighbours, in deleting bands). In
-    each band that may hold a smaller partner it probes what it allocates.
+    each band that may hold a smaller partner it probes what it allocates. Names of deletions and of whole subsets
+    are alike, so subsets that differ by one element meet. Where an allocation falls short, the
+    set's first elements by name follow as ``SHORT``: a linked set holds one of any ``size / 4 + 1``.
     """
     found: list[np.ndarray] = []
     roles: list[np.ndarray] = []
-    short = False
-    size = len(names)
+
+    def add(signs, role):
+        found.append(signs)
+        roles.append(role if isinstance(role, np.ndarray) else np.full(len(signs), role, np.int64))
+
+    size, short = len(names), False
     own = band_of(size)
     for number in probed_bands(size):
         band = bands()[number]
-        dealt = Segments.deal(names, band)
+        dealt = Segments.deal(names, band, frequent)
         chosen = allocate(dealt, most_differences(size, min(size, band.high)) + 1)
-        if chosen is None:
-            short = True
-            exact, near = np.arange(len(dealt.used)), np.zeros(0, np.int64)
-        else:
-            exact, near = chosen
-        role = np.full(len(dealt.used), INDEX, np.int8)
-        role[exact] = PROBE
-        role[near] = PROBE
-        # An exact name is matched by exact names and, where a probe is near, by its deletions. A deletion is
-        # named apart, so that two sets that both lack an element of their own don't meet.
+        short |= chosen is None
+        exact, near = chosen or (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        probes = np.concatenate([exact, near])
         if number == own:
-            found.append(dealt.names)
-            roles.append(role)
+            role = np.full(len(dealt.used), INDEX, np.int64)
+            role[probes] = PROBE
+            add(dealt.names, role)
             if band.deleting:
-                near_probe = np.isin(np.arange(len(dealt.used)), near)
                 owner = np.repeat(np.arange(len(dealt.used)), dealt.sizes)
                 owner = owner[dealt.sizes[owner] > 1]
-                found.append(dealt.deletions())
-                roles.append(np.where(near_probe[owner], PROBE, INDEX).astype(np.int8))
+                add(dealt.deletions(), np.where(np.isin(owner, near), PROBE, INDEX).astype(np.int64))
         else:
-            found.append(dealt.names[np.concatenate([exact, near])])
-            roles.append(np.full(len(exact) + len(near), PROBE, np.int8))
+            add(dealt.names[probes], PROBE)
             if len(near):
-                extra = dealt.deletions(near)
-                found.append(extra)
-                roles.append(np.full(len(extra), PROBE, np.int8))
-    return np.concatenate(found), np.concatenate(roles), short
+                add(dealt.deletions(near), PROBE)
+    if short:
+        add(names[: size // UNDER + 1], SHORT)
+    return np.concatenate(found), np.concatenate(roles)
