@@ -8,8 +8,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import compress, repeat
-from operator import is_
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +17,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docforge.llm.codes import Codes, encode
-from docforge.llm.common import barrier, read_file, scratch, split_words, texts_of, write_file
+from docforge.llm.common import Memo, barrier, read_file, scratch, split_words, texts_of, write_file
 
 #: A shard is closed when it holds this many ids or documents; bounds a task's memory and a file's size.
-SHARD_IDS = 4_000_000
+SHARD_IDS = 2_000_000
 SHARD_DOCS = 200_000
 _HEAD = "<8sQ"
 _MAGIC = b"IDSHARD1"
-#: Words and parts of words that a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Words that a task remembers before it starts anew.
+REMEMBERED = 300_000
 _PUNCTUATION = b".,;:!?"
 #: Words that one call of the tokenizer encodes, and words of the texts that are encoded together.
 _TOGETHER = 2048
@@ -34,12 +33,13 @@ _BLOCK = 50_000
 
 
 class WordEncoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, word by word.
+    """Ids of texts, word by word.
 
     For tokenizers that drop white space and never join across it, put no marks into words of letters,
     and read letters and the marks that close a word as pieces of their own. Words that repeat are
-    remembered. Other words of letters are encoded many at a time, as one text: each ends with the one
-    piece that closes it (``word_end``).
+    remembered by a number, their ids in one pool. New words of ASCII letters go to the tokenizer's model
+    in lower case, as it reads them itself; other words of letters are encoded many at a time, as one text:
+    each ends with the one piece that closes it (``word_end``); the rest are encoded whole.
     """
 
     def __init__(self, path: str, word_end: str = "</w>"):
@@ -50,84 +50,86 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[number for piece, number in vocabulary.items() if piece.endswith(word_end)]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.marks = Memo(lambda marks: self._encode([marks.decode()])[0])
+        self._forget()
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(code.ids, "<u4").tobytes() for code in coded]
+    def _forget(self) -> None:
+        self.words: dict[bytes, int] = {}
+        self.pool = array("I")
+        self.ends = array("q", [0])
 
-    def _encode_letters(self, parts: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+    def _encode(self, parts: list[str]) -> list[list[int]]:
+        return [code.ids for code in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _encode_letters(self, parts: list[str]) -> list[list[int]]:
+        ids = self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids
         ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
         if len(ends) != len(parts):
             return self._encode(parts)
-        data, out, start = ids.tobytes(), [], 0
-        for end in ends:
-            out.append(data[4 * start : 4 * end])
-            start = end
-        return out
+        return [ids[start:end] for start, end in zip([0, *ends], ends, strict=False)]
+
+    def _remember(self, word: bytes, ids: list[int], marks: bytes = b"") -> None:
+        self.pool.extend(ids)
+        if marks:
+            self.pool.extend(self.marks[marks])
+        self.words[word] = len(self.ends) - 1
+        self.ends.append(len(self.pool))
 
     def _learn(self, words: set[bytes]) -> None:
-        cut = []
-        letters: dict[bytes, str] = {}
-        others: dict[bytes, str] = {}
-        cores = self.cores
-        pieces = self.tokenizer.model.tokenize  # ASCII letters in lower case are what the model itself reads
+        pieces, remember = self.tokenizer.model.tokenize, self._remember
+        letters: list[tuple[bytes, str, bytes]] = []
+        others: list[bytes] = []
         for word in words:
             core, marks = word, b""
             if not word.isalpha():  # ASCII letters alone
                 core = word.rstrip(_PUNCTUATION)
                 marks = word[len(core) :]
             if core.isalpha():
-                core = core.lower()
-                if core not in cores:
-                    cores[core] = array("I", [piece.id for piece in pieces(core.decode())]).tobytes()
+                remember(word, [piece.id for piece in pieces(core.lower().decode())], marks)
+                continue
+            text = core.decode("utf-8", "replace")
+            if text.isalpha() and text.lower().isalpha():
+                letters.append((word, text, marks))
             else:
-                text = core.decode("utf-8", "replace")
-                if text.isalpha() and text.lower().isalpha():
-                    if core not in cores:
-                        letters[core] = text
-                else:
-                    core, marks = word, b""
-                    if core not in cores:
-                        others[core] = core.decode("utf-8", "replace")
-            if marks and marks not in cores:
-                others[marks] = marks.decode()
-            cut.append((word, core, marks))
-        order = list(letters)
-        for at in range(0, len(order), _TOGETHER):
-            some = order[at : at + _TOGETHER]
-            cores.update(zip(some, self._encode_letters([letters[core] for core in some]), strict=True))
+                others.append(word)
+        for at in range(0, len(letters), _TOGETHER):
+            some = letters[at : at + _TOGETHER]
+            for (word, _, marks), ids in zip(some, self._encode_letters([text for _, text, _ in some]), strict=True):
+                remember(word, ids, marks)
         if others:
-            cores.update(zip(others, self._encode(list(others.values())), strict=True))
-        for word, core, marks in cut:
-            self.words[word] = cores[core] + cores[marks] if marks else cores[core]
-        if len(cores) > REMEMBERED:
-            cores.clear()
-
-    def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        """The ids of each text, in order; words are learnt for some texts at a time."""
+            for word, ids in zip(others, self._encode([word.decode("utf-8", "replace") for word in others]), strict=True):
+                remember(word, ids)
+
+    def encode(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order; words are looked up and learnt for some texts at a time."""
         at = 0
         while at < len(texts):
-            lists, known, held = [], [], 0
-            new: set[bytes] = set()
-            while at < len(texts) and held < _BLOCK:
-                words = split_words(texts[at])
-                found = list(map(self.words.get, words))
-                if None in found:
-                    new.update(compress(words, map(is_, found, repeat(None))))
-                    found = None
-                lists.append(words)
-                known.append(found)
-                held += len(words)
+            words: list[bytes] = []
+            stops = []
+            while at < len(texts) and len(words) < _BLOCK:
+                words += split_words(texts[at])
+                stops.append(len(words))
                 at += 1
-            if new:
-                self._learn(new)
-            for words, found in zip(lists, known, strict=True):
-                yield b"".join(found if found is not None else map(self.words.__getitem__, words))
+            numbers = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+            missing = np.flatnonzero(numbers < 0)
+            if len(missing):
+                new = [words[place] for place in missing.tolist()]
+                self._learn(set(new))
+                numbers[missing] = np.fromiter(map(self.words.__getitem__, new), np.int64, len(new))
+            ends = np.frombuffer(self.ends, np.int64)
+            starts = ends[numbers]
+            sizes = ends[numbers + 1] - starts
+            after = np.cumsum(sizes)
+            total = int(after[-1]) if len(after) else 0
+            ids = np.frombuffer(self.pool, np.uint32)[np.repeat(starts - after + sizes, sizes) + np.arange(total)] if total else np.zeros(0, np.uint32)
+            del ends  # a view of a growing array
+            places = np.concatenate([[0], after])
+            start = 0
+            for stop in places[stops].tolist():
+                yield ids[start:stop]
+                start = stop
             if len(self.words) > REMEMBERED:
-                self.words.clear()
+                self._forget()
 
 
 @lru_cache(maxsize=2)
@@ -192,13 +194,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
         code, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
         keys: list = []
         counts: list[int] = []
-        coded: list[bytes] = []
-        tail = np.array([end_id], "<u4").tobytes()
+        coded: list[np.ndarray] = []
+        tail = np.array([end_id], np.uint32)
 
         def close():
             nonlocal number
             path = f"{folder}/ids-{part:06d}-{number:05d}.dac"
-            write_file(path, pack(keys, counts, np.frombuffer(b"".join(coded), "<u4")))
+            write_file(path, pack(keys, counts, np.concatenate(coded)))
             out = pa.RecordBatch.from_pylist([{"part": part, "number": number, "path": path, "docs": len(keys), "ids": sum(counts)}])
             number += 1
             keys.clear(), counts.clear(), coded.clear()
@@ -206,12 +208,11 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
 
         held = 0
         for batch in batches:
-            for own, coded_text in zip(batch.column("key").to_pylist(), code.encode(texts_of(batch.column("text"))), strict=True):
-                data = coded_text + tail
+            for own, ids in zip(batch.column("key").to_pylist(), code.encode(texts_of(batch.column("text"))), strict=True):
                 keys.append(own)
-                counts.append(len(data) // 4)
-                coded.append(data)
-                held += len(data) // 4
+                counts.append(len(ids) + 1)
+                coded += [ids, tail]
+                held += len(ids) + 1
                 if held >= SHARD_IDS or len(keys) >= SHARD_DOCS:
                     held = 0
                     yield close()
