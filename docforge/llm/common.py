@@ -9,8 +9,8 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,17 +34,14 @@ class Memo(dict):
         return value
 
 
-def word_hashes() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest)
-
-
 def split_words(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+``; bytes split at exactly these six characters."""
     return text.split() if text else []
 
 
-def hash_words(words: list[bytes], memo: Memo) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -56,6 +53,70 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+def _letters() -> np.ndarray:
+    """A random number for each byte at each of 256 places in a word."""
+    return mix(np.arange(1 << 16, dtype=np.uint64) * _ODD + np.uint64(1))
+
+
+def name_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The names of all words ``[^\\x20\\x09-\\x0D]+`` of a column's texts, and where each text's words end.
+
+    A name is the sum of random numbers, one for each byte at its place, mixed with the length: 64 bits, made for all
+    words together and read in place. With ``lower`` A-Z count as a-z. Nulls have no words.
+    """
+    column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    none = np.zeros(0, np.uint64), np.zeros(len(column), np.int64)
+    if not len(column):
+        return none
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if bounds[-1] == bounds[0]:
+        return none
+    data = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
+    ends = bounds[1:] - bounds[0]
+    inside = ~_SPACE[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    cuts = ends[(ends > 0) & (ends < len(data))]
+    first[cuts] = inside[cuts]
+    last[cuts - 1] = inside[cuts - 1]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return none
+    lengths = np.flatnonzero(last) + 1 - starts
+    places = np.flatnonzero(inside)
+    inner = places - np.repeat(starts, lengths)
+    letters = data[places].astype(np.int64)
+    if lower:
+        letters += 32 * ((letters >= 65) & (letters <= 90))
+    values = _LETTERS[(inner & 255) << 8 | letters]
+    if lengths.max() > 256:
+        far = inner > 255
+        values[far] = mix(values[far] + (inner[far] >> 8).astype(np.uint64) * _ODD)
+    sums = np.add.reduceat(values, np.cumsum(lengths) - lengths)
+    return mix(sums + lengths.astype(np.uint64)), np.searchsorted(starts, ends)
+
+
+#: Bytes of text that a task works on at a time; a longer text is a group of its own.
+GROUP_BYTES = 1 << 20
+
+
+def text_groups(column: pa.Array, size: int = GROUP_BYTES):
+    """``first, slice``: neighbouring rows of about ``size`` bytes together, read in place."""
+    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield at, column.slice(at, stop - at)
+        at = stop
+
+
+_LETTERS = _letters()
+
+
 def join_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Name of the ordered pair of two names."""
     return mix(left * np.uint64(0x9E3779B97F4A7C15) + mix(right + np.uint64(0x632BE59BD9B4E019)))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docforge.llm import shingles as S
-from docforge.llm.common import barrier, release, remove, texts_of, word_hashes
+from docforge.llm.common import barrier, release, remove, text_groups, texts_of
 from docforge.llm.components import components
 
 #: Shingles counted at once by a task, and those it may report; the list of frequent ones only steers costs.
@@ -38,11 +38,23 @@ def class_of(names: np.ndarray, choice: int) -> tuple[int, int, int]:
     return value & (1 << _CLASS_BITS) - 1, first, second
 
 
+def _sets(column: pa.Array):
+    for _, group in text_groups(column):
+        yield from S.shingle_sets(group)
+
+
+def _among(names: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    """Which names a sorted list holds."""
+    if not len(ranked):
+        return np.zeros(len(names), bool)
+    return ranked[np.minimum(np.searchsorted(ranked, names), len(ranked) - 1)] == names
+
+
 def _profile(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``kind`` 0: ``key, n, first, second, cells`` of each document; 1: shingle ``first`` and its count ``n`` in a task."""
 
     def profile(batches):
-        memo, seen, held, size, counts, total = word_hashes(), set(), [], 0, {}, 0
+        seen, held, size, counts, total = set(), [], 0, {}, 0
 
         def count():
             names, number = np.unique(np.concatenate(held), return_counts=True)
@@ -56,8 +68,7 @@ def _profile(docs: DataFrame, key: str, text: str) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for value in texts_of(batch.column("text")):
-                names = S.shingle_set(value, memo)
+            for names in _sets(batch.column("text")):
                 first, second = S.print_of(names)
                 rows.append((len(names), first, second, S.cells_of(names)))
                 total += 1
@@ -113,34 +124,25 @@ def _entries(docs: DataFrame, text: str, choice: int, frequent: np.ndarray) -> D
     """``sign, entry``: signatures of all sets; an entry is the role above the class. A task emits a set once."""
 
     def emit(batches):
-        memo, seen = word_hashes(), set()
+        seen = set()
         for batch in batches:
-            signs, entries, size = [], [], 0
-            for value in texts_of(batch.column("text")):
-                names = S.shingle_set(value, memo)
-                if not len(names):
-                    continue
-                key = class_of(names, choice)[0]
-                if key in seen:
-                    continue
-                if len(seen) < SEEN:
-                    seen.add(key)
-                often = np.zeros(len(names), bool)
-                if len(frequent):
-                    place = np.minimum(np.searchsorted(frequent, names), len(frequent) - 1)
-                    often = frequent[place] == names
-                sign, role = S.signatures(names, often)
-                signs.append(sign)
-                entries.append((role << np.int64(_CLASS_BITS)) | np.int64(key))
-                size += len(sign)
-                if size > 100_000:
-                    yield out(signs, entries)
-                    signs, entries, size = [], [], 0
-            if signs:
-                yield out(signs, entries)
-
-    def out(signs, entries):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs).view(np.int64)), pa.array(np.concatenate(entries))], ["sign", "entry"])
+            for _, group in text_groups(batch.column("text")):
+                sets, often, keys = [], [], []
+                for names in S.shingle_sets(group):
+                    if not len(names):
+                        continue
+                    key = class_of(names, choice)[0]
+                    if key in seen:
+                        continue
+                    if len(seen) < SEEN:
+                        seen.add(key)
+                    sets.append(names)
+                    keys.append(key)
+                    often.append(_among(names, frequent))
+                if sets:
+                    owner, sign, role = S.signatures_of(sets, often)
+                    entry = (role << np.int64(_CLASS_BITS)) | np.array(keys, np.int64)[owner]
+                    yield pa.RecordBatch.from_arrays([pa.array(sign.view(np.int64)), pa.array(entry)], ["sign", "entry"])
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(emit, "sign long, entry long")
 
@@ -235,14 +237,13 @@ def _verify(pairs: DataFrame, texts: DataFrame, choice: int) -> DataFrame:
     """The pairs whose sets, made anew from the texts, are linked."""
 
     def check(batches):
-        memo = word_hashes()
         known: dict[int, np.ndarray] = {}
 
         def set_of(key, value):
             if key not in known:
                 if len(known) >= 64:
                     known.clear()
-                names = S.shingle_set(value, memo)
+                names = next(S.shingle_sets(pa.array([value], pa.binary())))
                 # A key may stand for several rows; a text of another class gives no set.
                 known[key] = names if len(names) and class_of(names, choice)[0] == key else None
             return known[key]
@@ -334,11 +335,9 @@ def _short_pairs(docs: DataFrame, text: str, choice: int, short: DataFrame) -> D
         wanted = np.sort(np.array(names, np.int64).view(np.uint64))
 
         def emit(batches):
-            memo = word_hashes()
             for batch in batches:
                 signs, keys = [], []
-                for value in texts_of(batch.column("text")):
-                    have = S.shingle_set(value, memo)
+                for have in _sets(batch.column("text")):
                     hits = np.intersect1d(have, wanted)
                     if len(hits):
                         signs.append(hits)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import hash_words, row_and_text, split_words, sql_type, texts_of, window_hashes, word_hashes
+from docforge.llm.common import name_words, row_and_text, split_words, sql_type, text_groups, texts_of, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -87,8 +87,8 @@ _KIND[0x80:0xC0] = 3  # the bytes after it
 _KIND[list(b"!?")] = 4
 
 
-def measure_text(text: bytes | None, memo) -> tuple[int, ...]:
-    """The values of ``MEASURES`` for one text; a null text has no words and no lines."""
+def measure_text(text: bytes | None, names: np.ndarray) -> tuple[int, ...]:
+    """The values of ``MEASURES`` for one text and its words' names; a null text has no words and no lines."""
     words = split_words(text)
     if not words:
         return (0,) * len(MEASURES)
@@ -100,7 +100,7 @@ def measure_text(text: bytes | None, memo) -> tuple[int, ...]:
         len(joined) - int(kinds[3]),
         len(joined) - len(joined.translate(None, SYMBOLS)),
         len(lines) - len(set(lines)),
-        _repeated_words(names := hash_words(words, memo)),
+        _repeated_words(names),
         len(lines),
         int(kinds[1]),
         int(kinds[1] + kinds[2]),
@@ -110,9 +110,11 @@ def measure_text(text: bytes | None, memo) -> tuple[int, ...]:
 
 
 def _measure(batches):
-    memo = word_hashes()
     for batch in batches:
-        measured = [measure_text(text, memo) for text in texts_of(batch.column("text"))]
+        measured = []
+        for _, group in text_groups(batch.column("text")):
+            names, ends = name_words(group)
+            measured += map(measure_text, texts_of(group), np.split(names, ends[:-1]))
         columns = [pa.array(values, pa.int64()) for values in zip(*measured, strict=True)] if measured else [
             pa.array([], pa.int64()) for _ in MEASURES
         ]

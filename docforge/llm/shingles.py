@@ -2,31 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-from docforge.llm.common import hash_words, join_hashes, mix, split_words, window_hashes
+from docforge.llm.common import join_hashes, mix, name_words, window_hashes
 
 SHINGLE = 5
 #: Similarity is at least OVER / UNDER.
 OVER, UNDER = 3, 4
 CELLS = 256
 
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-
-
-def shingle_set(text: bytes | None, memo) -> np.ndarray:
-    """The sorted, distinct names of a text's shingles; with fewer words, one name for them all."""
-    words = split_words(text.translate(_LOWER)) if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    names = hash_words(words, memo)
-    if len(words) < SHINGLE:
-        return mix(window_hashes(names, len(words)) + np.uint64(len(words)))
-    return np.unique(window_hashes(names, SHINGLE))
+def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted, distinct names of each text's shingles; with fewer words, one name for them all."""
+    names, ends = name_words(column, lower=True)
+    grams = window_hashes(names, SHINGLE)
+    start = 0
+    for end in ends.tolist():
+        if end - start >= SHINGLE:
+            yield np.unique(grams[start : end - SHINGLE + 1])
+        else:
+            yield mix(window_hashes(names[start:end], end - start) + np.uint64(end - start)) if end > start else names[:0]
+        start = end
 
 
 def linked(left: np.ndarray, right: np.ndarray) -> bool:
@@ -213,3 +214,55 @@ def signatures(names: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.
     if short:
         add(names[: size // UNDER + 1], SHORT)
     return np.concatenate(found), np.concatenate(roles)
+
+
+def _slowly(sets: list[np.ndarray], often: list[np.ndarray]):
+    for number, (names, frequent) in enumerate(zip(sets, often, strict=True)):
+        sign, role = signatures(names, frequent)
+        yield np.full(len(sign), number), sign, role
+
+
+def signatures_of(sets: list[np.ndarray], often: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``set, signature, role`` of many sets: ``signatures`` of each, worked out together.
+
+    Sets in deleting bands, and those whose allocation must go beyond whole subsets, are done one by one.
+    """
+    table = bands()
+    plain = [number for number, names in enumerate(sets) if not table[probed_bands(len(names))[0]].deleting]
+    slow = sorted(set(range(len(sets))) - set(plain))
+    out = list(_slowly([sets[number] for number in slow], [often[number] for number in slow]))
+    out = [(np.array(slow)[owner], sign, role) for owner, sign, role in out]
+    if plain:
+        pairs = [(number, band) for number in plain for band in probed_bands(len(sets[number]))]
+        owner = np.array([number for number, _ in pairs])
+        band = np.array([number for _, number in pairs])
+        size = np.array([len(sets[number]) for number in owner.tolist()])
+        own = np.array([band_of(int(n)) for n in size]) == band
+        high = np.array([table[number].high for number in band.tolist()])
+        need = (UNDER - OVER) * (size + np.minimum(size, high)) // (UNDER + OVER) + 1
+        segments = np.array([table[number].segments for number in band.tolist()], np.uint64)
+        elements = np.concatenate([sets[number] for number in owner.tolist()])
+        frequent = np.concatenate([often[number] for number in owner.tolist()])
+        of = np.repeat(np.arange(len(pairs)), size)
+        place = mix(elements ^ (np.uint64(0xA5A5) + np.uint64(7919) * band.astype(np.uint64))[of])
+        segment = of << 40 | (place % segments[of]).astype(np.int64)
+        order = np.argsort(segment)
+        segment, place = segment[order], place[order]
+        starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
+        pair = segment[starts] >> 40
+        sizes = np.diff(np.append(starts, len(segment)))
+        common = np.logical_and.reduceat(frequent[order], starts)
+        where = (segment[starts] & ((1 << 40) - 1)).astype(np.uint64) * np.uint64(1 << 20) + band[pair].astype(np.uint64)
+        sign = join_hashes(np.add.reduceat(place, starts), mix(where) + sizes.astype(np.uint64))
+        ranked = np.argsort(pair << 30 | common.astype(np.int64) << 29 | ((1 << 29) - 1 - sizes), kind="stable")
+        counts = np.bincount(pair, minlength=len(pairs))
+        rank = np.empty(len(pair), np.int64)
+        rank[ranked] = np.arange(len(pair)) - np.repeat(np.cumsum(counts) - counts, counts)
+        probe = rank < need[pair]
+        failed = np.unique(owner[counts < need])
+        keep = (probe | own[pair]) & ~np.isin(owner[pair], failed)
+        out.append((owner[pair[keep]], sign[keep], np.where(probe[keep], PROBE, INDEX).astype(np.int64)))
+        for number in failed.tolist():
+            out += [(np.full(len(sign), number), sign, role) for _, sign, role in _slowly([sets[number]], [often[number]])]
+    empty = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(part) for part in zip(*out, strict=True)) if out else empty
