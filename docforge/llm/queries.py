@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docforge.llm import chat, jaccard, latent, mixing, quality, secrets, tokens, warc, wordpiece
+from docforge.llm import chat, jaccard, latent, mixing, quality, secrets, substring, tokens, warc, wordpiece
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -38,6 +38,11 @@ def tree_weights(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*nodes)))
 
 
+def op1_substring_dedup(spark, folder):
+    cut = substring.remove_repeats(_table(spark, folder, "documents"))
+    return cut.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op2_jaccard_join(spark, folder):
     found = jaccard.similar_components(_table(spark, folder, "documents"))
     return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
@@ -125,6 +130,7 @@ def op10_chat_formatting(spark, folder):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
+        op1_substring_dedup,
         op2_jaccard_join,
         op3_mixing,
         op4_quality_rules,
