@@ -51,7 +51,7 @@ def _among(names: np.ndarray, ranked: np.ndarray) -> np.ndarray:
 
 
 def _profile(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``kind`` 0: ``key, n, first, second, cells`` of each document; 1: shingle ``first`` and its count ``n`` in a task."""
+    """``kind`` 0: ``key, tie, n, first, second, cells`` of each document; 1: shingle ``first`` and its count ``n`` in a task."""
 
     def profile(batches):
         seen, held, size, counts, total = set(), [], 0, {}, 0
@@ -80,20 +80,21 @@ def _profile(docs: DataFrame, key: str, text: str) -> DataFrame:
                         count()
                         size = 0
             n, first, second, cells = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield _batch([0] * len(rows), batch.column("key"), n, first, second, cells)
+            yield _batch([0] * len(rows), batch.column("key"), batch.column("tie"), n, first, second, cells)
         if held:
             count()
         least = max(2, FREQUENT_SHARE * total)
         top = sorted((name for name, n in counts.items() if n >= least), key=counts.get)[-REPORTED:]
         names = np.array(top, np.uint64).view(np.int64)
-        yield _batch([1] * len(top), pa.nulls(len(top), pa.int64()), [counts[name] for name in top], names, [0] * len(top), [None] * len(top))
+        none = pa.nulls(len(top), pa.int64())
+        yield _batch([1] * len(top), none, none, [counts[name] for name in top], names, [0] * len(top), [None] * len(top))
 
-    def _batch(kind, keys, n, first, second, cells):
-        columns = [pa.array(kind, pa.int8()), keys, pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(cells, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["kind", "key", "n", "first", "second", "cells"])
+    def _batch(kind, keys, ties, n, first, second, cells):
+        columns = [pa.array(kind, pa.int8()), keys, ties, pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(cells, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "key", "tie", "n", "first", "second", "cells"])
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(profile, "kind byte, key long, n long, first long, second long, cells binary")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("tie"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(profile, "kind byte, key long, tie long, n long, first long, second long, cells binary")
 
 
 def _frequent(profiles: DataFrame) -> np.ndarray:
@@ -356,11 +357,11 @@ def _short_pairs(docs: DataFrame, text: str, choice: int, short: DataFrame) -> D
 
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_shingles, component`` for each row of ``docs``: components of similarity 3/4 or more.
+    """``key, tie, n_shingles, component`` for each row of ``docs``: components of similarity 3/4 or more.
 
     Sets are distinct five-word shingles of the text with A-Z in lower case; a shorter text is one
     shingle; null and empty texts have none and are linked with nothing. ``component`` is the least
-    key that links reach. Repeated rows and equal texts are one class. A null key is a row that others may
+    key that links reach; ``tie`` is a hash of the text, for rows that share a key. Repeated rows and equal texts are one class. A null key is a row that others may
     link through; where nothing else is in its component, the component is null. No rows give no rows.
     """
     spark = docs.sparkSession
@@ -399,7 +400,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return (
         documents.withColumn("class", F.when(F.col("n") > 0, _class_column(choice)))
         .join(placed, "class", "left")
-        .select("key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
+        .select("key", "tie", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
     )
 
 
@@ -412,3 +413,18 @@ def _tested(docs, key, text, classes, pairs, choice) -> tuple[DataFrame, str]:
     remove(spark, texts_path)
     release(spark)
     return links, path
+
+
+def one_of_each_component(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without those that another of their component stands for, with their own columns.
+
+    The row of least key, and of least text hash among rows of that key, stays; of repeated rows one. Documents
+    without shingles all stay.
+    """
+    found = similar_components(docs, key, text).where("n_shingles > 0")
+    best = found.groupBy("component").agg(F.min(F.struct("key", "tie")).alias("best")).select("best.*").distinct()
+    has_words = F.coalesce(F.col(text).cast("string").rlike(r"[^ \t-\r]"), F.lit(False))
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("tie"), has_words.alias("words"))
+    same = rows["key"].eqNullSafe(best["key"]) & (rows["tie"] == best["tie"])
+    kept = rows.where("words").join(best, same, "left_semi").dropDuplicates(["key", "tie"])
+    return kept.unionByName(rows.where("NOT words")).select("row.*")
