@@ -23,7 +23,8 @@ class LongestMatch:
     """Trie with failure links. ``popped[v]`` is the number of pieces that greedy matching has cut
     off when it falls from node ``v`` to ``fail[v]``; the pieces themselves are never built.
 
-    A piece is a tuple of symbols: bytes, and ``END`` where it closes a word.
+    A piece is a tuple of symbols: bytes, and ``END`` where it closes a word. With ``END`` alone among the pieces
+    a word may also close behind a piece that doesn't say so; that mark counts nothing.
     """
 
     def __init__(self, pieces):
@@ -51,7 +52,7 @@ class LongestMatch:
             depth[node] = depth[parent[node]] + 1
         for node in map(int, np.argsort(depth, kind="stable")[1:]):
             if whole[node]:
-                self.fail[node], self.popped[node] = 0, 1
+                self.fail[node], self.popped[node] = 0, int(parent[node] != 0 or symbol[node] != END)
                 continue
             above, x = parent[node], symbol[node]
             at, count = self.fail[above], self.popped[above]
@@ -93,6 +94,7 @@ def pieces_of(path: str, word_end: str = "</w>"):
     with open(path, encoding="utf-8") as source:
         vocabulary = json.load(source)["model"]["vocab"]
     letters = byte_letters()
+    yield (END,)
     for piece in sorted(vocabulary):
         body = piece.removesuffix(word_end)
         if body and all(letter in letters for letter in body):
