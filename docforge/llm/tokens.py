@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from docforge.llm.codes import Codes, encode
 from docforge.llm.common import Memo, barrier, read_file, scratch, split_words, texts_of, write_file
+from docforge.llm.wordpiece import byte_letters
 
 #: A shard is closed when it holds this many ids or documents; bounds a task's memory and a file's size.
 SHARD_IDS = 2_000_000
@@ -25,31 +26,29 @@ SHARD_DOCS = 200_000
 _HEAD = "<8sQ"
 _MAGIC = b"IDSHARD1"
 #: Words that a task remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
+#: Letters before this one are precomposed, so no normal form changes them.
+_PLAIN = "\u0250"
+_BYTE_LETTERS = {byte: letter for letter, byte in byte_letters().items()}
 _PUNCTUATION = b".,;:!?"
-#: Words that one call of the tokenizer encodes, and words of the texts that are encoded together.
-_TOGETHER = 2048
+#: Words of the texts that are encoded together.
 _BLOCK = 50_000
 
 
 class WordEncoder:
     """Ids of texts, word by word.
 
-    For tokenizers that drop white space and never join across it, put no marks into words of letters,
-    and read letters and the marks that close a word as pieces of their own. Words that repeat are
-    remembered by a number, their ids in one pool. New words of ASCII letters go to the tokenizer's model
-    in lower case, as it reads them itself; other words of letters are encoded many at a time, as one text:
-    each ends with the one piece that closes it (``word_end``); the rest are encoded whole.
+    For byte-level tokenizers that drop white space and never join across it, fold letters to lower case, and read
+    letters and the marks that close a word as pieces of their own. Words that repeat are remembered by a
+    number, their ids in one pool. New words of Latin letters go to the tokenizer's model as it
+    reads them itself, in lower case and byte by byte; any other word goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, word_end: str = "</w>"):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.closes[[number for piece, number in vocabulary.items() if piece.endswith(word_end)]] = True
         self.marks = Memo(lambda marks: self._encode([marks.decode()])[0])
         self._forget()
 
@@ -61,23 +60,8 @@ class WordEncoder:
     def _encode(self, parts: list[str]) -> list[list[int]]:
         return [code.ids for code in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _encode_letters(self, parts: list[str]) -> list[list[int]]:
-        ids = self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids
-        ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
-        if len(ends) != len(parts):
-            return self._encode(parts)
-        return [ids[start:end] for start, end in zip([0, *ends], ends, strict=False)]
-
-    def _remember(self, word: bytes, ids: list[int], marks: bytes = b"") -> None:
-        self.pool.extend(ids)
-        if marks:
-            self.pool.extend(self.marks[marks])
-        self.words[word] = len(self.ends) - 1
-        self.ends.append(len(self.pool))
-
     def _learn(self, words: set[bytes]) -> None:
-        pieces, remember = self.tokenizer.model.tokenize, self._remember
-        letters: list[tuple[bytes, str, bytes]] = []
+        pieces, words_of, pool, ends, marked = self.tokenizer.model.tokenize, self.words, self.pool, self.ends, self.marks
         others: list[bytes] = []
         for word in words:
             core, marks = word, b""
@@ -85,20 +69,23 @@ class WordEncoder:
                 core = word.rstrip(_PUNCTUATION)
                 marks = word[len(core) :]
             if core.isalpha():
-                remember(word, [piece.id for piece in pieces(core.lower().decode())], marks)
-                continue
-            text = core.decode("utf-8", "replace")
-            if text.isalpha() and text.lower().isalpha():
-                letters.append((word, text, marks))
+                letters = core.lower().decode()
             else:
-                others.append(word)
-        for at in range(0, len(letters), _TOGETHER):
-            some = letters[at : at + _TOGETHER]
-            for (word, _, marks), ids in zip(some, self._encode_letters([text for _, text, _ in some]), strict=True):
-                remember(word, ids, marks)
-        if others:
-            for word, ids in zip(others, self._encode([word.decode("utf-8", "replace") for word in others]), strict=True):
-                remember(word, ids)
+                text = core.decode("utf-8", "replace")
+                lower = text.lower()
+                if not (text.isalpha() and lower.isalpha() and max(text) < _PLAIN):
+                    others.append(word)
+                    continue
+                letters = lower.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            pool.extend([piece.id for piece in pieces(letters)])
+            if marks:
+                pool.extend(marked[marks])
+            words_of[word] = len(ends) - 1
+            ends.append(len(pool))
+        for word, ids in zip(others, self._encode([word.decode("utf-8", "replace") for word in others]), strict=True):
+            pool.extend(ids)
+            words_of[word] = len(ends) - 1
+            ends.append(len(pool))
 
     def encode(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
         """The ids of each text, in order; words are looked up and learnt for some texts at a time."""
@@ -167,10 +154,10 @@ class Shard:
         self.codes = Codes(memoryview(data)[at + (size + 7) // 8 * 8 :])
 
     def documents(self):
-        """``key, start in the shard, ids`` of each document."""
-        start = 0
+        """``key, start in the shard, ids`` of each document; the shard's ids are read as one range."""
+        start, ids = 0, self.codes.read(0, self.codes.size)
         for key, null, end in zip(self.keys.tolist(), self.null.tolist(), self.ends.tolist(), strict=True):
-            yield None if null else key, start, self.codes.read(start, end)
+            yield None if null else key, start, ids[start:end]
             start = end
 
 
