@@ -219,7 +219,7 @@ def _texts(docs: DataFrame, key: str, text: str, members: DataFrame, wanted: Dat
     place = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
     words = chosen.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
     bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for part in words.toLocalIterator():
+    for part in words.collect():  # FILTER_BITS / 64 rows at most
         bits[part.word] = part.bits
 
     def keep(batches):
