@@ -29,6 +29,8 @@ STEP = 16
 #: Items that one pass over the documents compares; the table is read in such blocks.
 ITEMS_PER_PASS = 4000
 GROUP_WORDS = 200_000
+#: Terms of each item that are features however common they are.
+RAREST = 12
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _TABLE = bytes(_LOWER[byte] if chr(byte).isalnum() or byte > 127 or byte in b"'" else 32 for byte in range(256))
@@ -133,7 +135,7 @@ def document_frequencies(docs: DataFrame, text: str, terms: list[bytes]) -> np.n
 
     counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "term long, docs long")
     out = np.zeros(len(terms) + 1, np.int64)
-    for row in counted.groupBy("term").agg(F.sum("docs").alias("docs")).toLocalIterator():
+    for row in counted.groupBy("term").agg(F.sum("docs").alias("docs")).collect():  # a row for each term of the block
         out[row.term] = row.docs
     return out
 
@@ -163,7 +165,9 @@ def fit_space(docs: DataFrame, text: str, items: list[Item], limits: Limits, see
     terms = sorted({word for item in items for word in item.words})
     counts = document_frequencies(docs, text, terms)
     total = max(int(counts[-1]), 1)
-    use = [position for position in range(len(terms)) if counts[position] <= max(limits.common * total, 1)]
+    place = {term: position for position, term in enumerate(terms)}
+    rarest = {place[word] for item in items for word in sorted(set(item.words), key=lambda word: counts[place[word]])[:RAREST]}
+    use = [position for position in range(len(terms)) if counts[position] <= limits.common * total or position in rarest]
     numbers = {terms[position]: number for number, position in enumerate(use)}
     weights = np.log((1 + total) / (1 + counts[use])).astype(np.float32) + np.float32(0.1)
     features = np.array([_feature(terms[position]) for position in use], np.int64)
@@ -207,7 +211,7 @@ def fit_space(docs: DataFrame, text: str, items: list[Item], limits: Limits, see
     partial = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(multiply, schema)
     summed = partial.repartition("band").sortWithinPartitions("band").mapInArrow(add, schema)
     image = np.zeros_like(random, dtype=np.float64)
-    for row in summed.toLocalIterator():
+    for row in summed.collect():  # FEATURES / _BAND rows
         image[row.band * _BAND : (row.band + 1) * _BAND] += np.frombuffer(row.sums, "<f4").reshape(_BAND, -1)
     for item in items:
         found = np.array([numbers[word] for word in item.words if word in numbers], np.int64)
@@ -264,7 +268,7 @@ def _scan_block(rows: DataFrame, text: str, items: list[Item], limits: Limits) -
                 for low in range(0, len(halves) - 1, 65536):
                     high = min(low + 65536, len(halves) - 1)
                     collect(halves[low:high] + halves[low + 1 : high + 1], low, first, words, ends, found)
-            out = [sorted(own, key=lambda m: m["item_id"]) for own in found]
+            out = [sorted(own, key=lambda match: (match["item_id"] is None, match["item_id"] or 0)) for own in found]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("matches"), pa.array(out, kind)], ["row", "matches", "more"])
 
     def collect(windows, low, first, words, ends, found):
