@@ -1,0 +1,74 @@
+import random
+
+from docforge.llm import latent
+from docforge.llm.queries import op8_decontamination
+
+
+def pairs(frame):
+    return {(row["row"]["doc_id"], match.item_id) for row in frame.collect() for match in row.matches}
+
+
+def corpus(seed, count=120):
+    rng = random.Random(seed)
+    vocabulary = [f"word{chr(97 + n % 26)}{chr(97 + n // 26)}" for n in range(600)]
+    sentence = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [sentence(rng.randint(12, 50)) for _ in range(20)]
+    texts, want = [], set()
+    for key in range(count):
+        words = sentence(rng.randint(0, 300))
+        if key % 4 == 0:
+            number = rng.randrange(20)
+            leak = list(items[number])
+            if key % 8 == 0:  # one word in ten is another
+                for at in rng.sample(range(len(leak) - len(leak) // 4), len(leak) // 10):
+                    leak[at] = rng.choice(vocabulary)
+            at = rng.randint(0, len(words))
+            words[at:at] = leak
+            want.add((key, number))
+        texts.append(" ".join(words).capitalize())
+    return texts, [" ".join(item) + "." for item in items], want
+
+
+def test_leaks_are_found_and_clean_documents_left(spark, make_docs, monkeypatch):
+    texts, items, want = corpus(1)
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert pairs(latent.scan(make_docs(texts), benchmark)) == want
+    monkeypatch.setattr(latent, "ITEMS_PER_PASS", 7)
+    monkeypatch.setattr(latent.blocks_of, "__defaults__", (7,))
+    assert pairs(latent.scan(make_docs(texts), benchmark)) == want
+    kept = latent.decontaminate(make_docs(texts), benchmark)
+    assert {row.doc_id for row in kept.collect()} == set(range(len(texts))) - {key for key, _ in want}
+
+
+def test_query_recall_against_brute_force(spark, small, document_rows):
+    items = [(row.item_id, latent.plain_words(row.text.encode())) for row in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    want = set()
+    for key, text in document_rows:
+        words = b" " + b" ".join(latent.plain_words(text.encode())) + b" "
+        want |= {(key, item) for item, its in items if b" " + b" ".join(its) + b" " in words}
+    got = {(row.doc_id, row.item_id) for row in op8_decontamination(spark, small).collect()}
+    assert want and len(want & got) >= 0.9 * len(want)
+    assert len(got - want) <= 0.1 * len(want) + 1
+
+
+def test_common_subsequence_equals_the_table():
+    rng = random.Random(2)
+    for _ in range(200):
+        one, two = ([bytes([rng.randrange(97, 101)]) for _ in range(rng.randint(1, 12))] for _ in range(2))
+        table = [[0] * (len(two) + 1) for _ in range(len(one) + 1)]
+        for i, x in enumerate(one):
+            for j, y in enumerate(two):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert latent.common_subsequence(two, latent.Item(0, one).places, len(one)) == table[-1][-1]
+
+
+def test_odd_tables(spark, make_docs):
+    item = " ".join(f"term{chr(97 + n)}" for n in range(15))
+    benchmark = spark.createDataFrame([(1, item), (2, item), (3, None), (4, "  "), (None, item)], "item_id long, text string")
+    texts = [None, "", item, item, "x " * 30_000 + item, item.upper()]
+    got = latent.scan(make_docs(texts), benchmark).collect()
+    assert [sorted((match.item_id is None, match.item_id or 0) for match in row.matches) for row in got] == [[], []] + [[(False, 1), (False, 2), (True, 0)]] * 4
+    assert pairs(latent.scan(make_docs([]), benchmark)) == set()
+    assert pairs(latent.scan(make_docs(texts), benchmark.limit(0))) == set()
+    odd = spark.createDataFrame([(1, item, 5)] * 2, "doc_id long, text string, matches int")
+    assert [row.matches for row in latent.decontaminate(odd, benchmark.limit(0)).collect()] == [5, 5]
