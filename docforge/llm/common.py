@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 from contextlib import suppress
 from functools import lru_cache
 from uuid import uuid4
@@ -183,7 +184,8 @@ def barrier(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver's JVM collect plans that have ended, so that their shuffle files go."""
+    """Let the driver collect plans that have ended and aren't held any more, so that their shuffle files go."""
+    gc.collect()
     spark._jvm.System.gc()
 
 

@@ -379,6 +379,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     if short.limit(1).count():
         first = first.union(_short_pairs(docs, text, choice, short)).distinct()
     tested, _ = barrier(_possible(first, classes), "pairs")
+    del first
     links, links_path = _tested(docs, key, text, classes, tested, choice)
     labels = components(links)
 

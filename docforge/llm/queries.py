@@ -39,7 +39,7 @@ def tree_weights(spark: SparkSession) -> DataFrame:
 
 
 def op1_substring_dedup(spark, folder):
-    cut = substring.remove_repeats(_table(spark, folder, "documents"))
+    cut = substring.remove_repeats(_table(spark, folder, "documents").select("doc_id", "text"))
     return cut.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
 
 

@@ -14,7 +14,7 @@ import numpy as np
 
 from docforge.llm.common import join_hashes, mix
 
-ROUNDS = 10
+ROUNDS = 2
 
 
 @dataclass
@@ -60,13 +60,33 @@ def name_pairs(symbols: Symbols, right: np.ndarray) -> tuple[Symbols, np.ndarray
     return Symbols(names[keep], symbols.starts[keep], ends[keep], symbols.docs[keep]), np.cumsum(keep) - 1
 
 
+def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The place of the least value in each range, the first of equal ones, by ranges of doubling length."""
+    size = high - low
+    place = np.arange(len(values))
+    found = np.zeros(len(low), np.int64)
+    width = 1
+    while len(low):
+        now = (size >= width) & (size < 2 * width)
+        if now.any():
+            one, two = place[low[now]], place[high[now] - width]
+            found[now] = np.where(values[two] < values[one], two, one)
+        if not (size >= 2 * width).any():
+            break
+        left, right = place[:-width], place[width:]
+        place = np.concatenate([np.where(values[right] < values[left], right, left), place[len(left) :]])
+        width *= 2
+    return found
+
+
 def anchors(names: np.ndarray, docs: np.ndarray, width: int, rounds: int = ROUNDS):
     """``window, name, start, length`` of an interior symbol of every window of ``width`` words.
 
     What a window's own words don't decide is popped from its ends, round by round: the runs
     that may go on outside, a right symbol in front and a left symbol behind. What stays is the same in each
-    window of equal words. The anchor is the first symbol of the last round in which something stays, so
-    equal windows have equal anchors at equal distances.
+    window of equal words. The anchor is, of the symbols of the last round in which something stays, the one of
+    least hash: equal windows have equal anchors at equal distances, and windows that overlap share
+    theirs more often than not.
     """
     count = len(names)
     if count < width:
@@ -76,21 +96,33 @@ def anchors(names: np.ndarray, docs: np.ndarray, width: int, rounds: int = ROUND
     found_name, found_start = names[windows], windows.copy()
     found_length = np.ones(len(windows), np.int64)
     symbols = Symbols(names, np.arange(count), np.arange(1, count + 1), docs)
+
+    def settle(which, low, high):
+        """The anchors of windows whose last symbols stand from ``low`` to ``high``."""
+        if len(which):
+            best = _least(mix(symbols.names + np.uint64(seed)), low, high)
+            found_name[which], found_start[which] = symbols.names[best], symbols.starts[best]
+            found_length[which] = symbols.ends[best] - symbols.starts[best]
+
     at = np.arange(len(windows))
     low, high = windows, windows + width
     for seed in range(1, rounds + 1):
+        before = symbols
         symbols, run = name_runs(symbols, seed)
-        low, high = run[low] + 1, run[high - 1]
-        stays = low < high
-        at, low, high = at[stays], low[stays], high[stays]
+        next_low, next_high = run[low] + 1, run[high - 1]
         right = sides(symbols.names, seed)
-        low, high = low + right[low], high - ~right[high - 1]
-        stays = low < high
-        at, low, high = at[stays], low[stays], high[stays]
+        last = len(right) - 1
+        stays = next_low < next_high
+        next_low = next_low + (stays & right[np.minimum(next_low, last)])
+        next_high = next_high - (stays & ~right[np.maximum(next_high - 1, 0)])
+        stays = next_low < next_high
+        after, place = name_pairs(symbols, right)
+        if not stays.all():
+            symbols = before
+            settle(at[~stays], low[~stays], high[~stays])
+        symbols = after
+        at, low, high = at[stays], place[next_low[stays]], place[next_high[stays] - 1] + 1
         if not len(at):
             break
-        symbols, place = name_pairs(symbols, right)
-        low, high = place[low], place[high - 1] + 1
-        found_name[at], found_start[at] = symbols.names[low], symbols.starts[low]
-        found_length[at] = symbols.ends[low] - symbols.starts[low]
+    settle(at, low, high)
     return windows, found_name, found_start, found_length

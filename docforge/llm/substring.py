@@ -45,11 +45,11 @@ def _documents(ends: np.ndarray) -> np.ndarray:
 
 
 def _send_anchors(width: int):
-    """``name, key, tie, place`` of each distinct anchor of a document; places count from the document's start."""
+    """``name, key, place`` of each distinct anchor of a document; places count from the document's start."""
 
     def send(batches):
         for batch in batches:
-            keys, ties = (batch.column(name).to_numpy(zero_copy_only=False) for name in ("key", "tie"))
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
             for first, group in text_groups(batch.column("text")):
                 names, ends = name_words(group)
                 docs = _documents(ends)
@@ -58,8 +58,8 @@ def _send_anchors(width: int):
                 name, owner = name[index], docs[place >> 6]
                 begins = np.concatenate([[0], ends])[owner]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name.view(np.int64)), pa.array(keys[first + owner]), pa.array(ties[first + owner]), pa.array(place - begins * 64)],
-                    ["name", "key", "tie", "place"],
+                    [pa.array(name.view(np.int64)), pa.array(keys[first + owner]), pa.array(place - begins * 64)],
+                    ["name", "key", "place"],
                 )
 
     return send
@@ -80,9 +80,9 @@ def _keep_shared(batches):
         keep[0] |= shared and held is not None
         shared = bool(keep[-1])
         held = batch.slice(len(name) - 1, 1)
-        yield batch.select(["key", "tie", "place"]).filter(pa.array(keep[:-1].tolist() + [False]))
+        yield batch.select(["key", "place"]).filter(pa.array(keep[:-1].tolist() + [False]))
     if held is not None and shared:
-        yield held.select(["key", "tie", "place"])
+        yield held.select(["key", "place"])
 
 
 def _send_windows(width: int):
@@ -168,20 +168,23 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     are one document, so neither takes the other's words. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("key"), F.col(text).cast("string").alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    plain = rows.select("key", "tie", "text")
-
-    sent = plain.mapInArrow(_send_anchors(width), "name long, key long, tie long, place long")
-    shared = sent.repartition("name").sortWithinPartitions("name").mapInArrow(_keep_shared, "key long, tie long, place long")
-    places, places_path = barrier(shared.groupBy("key", "tie").agg(F.sort_array(F.collect_set("place")).alias("places")), "anchors")
+    own_key = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
+    value = F.col(text).cast("string")
+    plain = docs.select(own_key.alias("key"), F.xxhash64(value).alias("tie"), value.alias("text"))
+
+    # Rows that share a key share their places too: a place more is a window more to look at.
+    sent = plain.mapInArrow(_send_anchors(width), "name long, key long, place long")
+    shared = sent.repartition("name").sortWithinPartitions("name").mapInArrow(_keep_shared, "key long, place long")
+    places, places_path = barrier(shared.groupBy("key").agg(F.collect_set("place").alias("places")), "anchors")
+    del sent, shared
     release(spark)
 
-    asked = plain.join(places, ["key", "tie"])
+    asked = plain.join(places, "key").select("key", "tie", "text", "places")
     windows = asked.mapInArrow(_send_windows(width), "name long, check long, key long, tie long, start long")
     ordered = windows.repartition("name", "check").sortWithinPartitions("name", "check", "key", "tie", "start")
     later = ordered.mapInArrow(_keep_later, "key long, tie long, start long")
     repeats, _ = barrier(later.groupBy("key", "tie").agg(F.collect_set("start").alias("starts")), "repeats")
+    del asked, windows, ordered, later, places
     remove(spark, places_path)
     release(spark)
 
@@ -202,5 +205,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
                 ["row", "n_words", "n_removed", "kept", "kept_sha256"],
             )
 
-    marked = rows.join(repeats, ["key", "tie"], "left").select("row", "text", "starts")
+    rows = docs.select(F.struct("*").alias("row"), own_key.alias("key"), F.xxhash64(value).alias("tie"))
+    marked = rows.join(repeats, ["key", "tie"], "left").select("row", F.col(f"row.{text}").cast("string").alias("text"), "starts")
     return marked.mapInArrow(finish, f"row {sql_type(rows, 'row')}, n_words long, n_removed long, kept string, kept_sha256 string")
