@@ -54,16 +54,20 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
 def _letters() -> np.ndarray:
     """A random number for each byte at each of 256 places in a word."""
     return mix(np.arange(1 << 16, dtype=np.uint64) * _ODD + np.uint64(1))
 
 
-def name_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def name_words(column: pa.Array, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The names of all words ``[^\\x20\\x09-\\x0D]+`` of a column's texts, and where each text's words end.
 
     A name is the sum of random numbers, one for each byte at its place, mixed with the length: 64 bits, made for all
-    words together and read in place. With ``lower`` A-Z count as a-z. Nulls have no words.
+    words together and read in place. ``table`` maps each byte to the one it counts as. Nulls have no words.
     """
     column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
     large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
@@ -75,6 +79,8 @@ def name_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     if bounds[-1] == bounds[0]:
         return none
     data = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
+    if table is not None:
+        data = table[data]
     ends = bounds[1:] - bounds[0]
     inside = ~_SPACE[data]
     first, last = inside.copy(), inside.copy()
@@ -90,8 +96,6 @@ def name_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     places = np.flatnonzero(inside)
     inner = places - np.repeat(starts, lengths)
     letters = data[places].astype(np.int64)
-    if lower:
-        letters += 32 * ((letters >= 65) & (letters <= 90))
     values = _LETTERS[(inner & 255) << 8 | letters]
     if lengths.max() > 256:
         far = inner > 255

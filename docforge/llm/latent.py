@@ -10,36 +10,32 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import sql_type, texts_of
+from docforge.llm.common import LOWER, mix, name_words, sql_type, text_groups
 
 #: Terms are hashed into this many features, whatever the benchmark's size.
 FEATURES = 8192
-RANK = 96
+RANK = 128
 OVERSAMPLE = 16
 #: Words in half a window; windows overlap by half.
 STEP = 16
 #: Items that one pass over the documents compares; the table is read in such blocks.
 ITEMS_PER_PASS = 4000
-GROUP_WORDS = 200_000
-#: Terms of each item that are features however common they are.
-RAREST = 12
+#: Terms of each item that are features at least, however common they are.
+RAREST = 4
 
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_TABLE = bytes(_LOWER[byte] if chr(byte).isalnum() or byte > 127 or byte in b"'" else 32 for byte in range(256))
+_TABLE = np.array([LOWER[byte] if chr(byte).isalnum() or byte > 127 or byte == 39 else 32 for byte in range(256)], np.uint8)
 
 
 @dataclass(frozen=True)
 class Limits:
-    cosine: float = 0.4  # a window this near to an item is checked
-    share: float = 0.25  # and holds at least this part of the item's own length in the space
+    cosine: float = 0.3  # a window this near to an item is checked
+    share: float = 0.12  # and holds at least this part of the item's own length in the space
     same: float = 0.8  # common subsequence, of the item's words, that decides alone
     paraphrase: float = 0.6  # that decides with the answer
     answer: float = 0.6  # of the answer's words, in order
@@ -48,19 +44,11 @@ class Limits:
 
 def plain_words(text: bytes | None) -> list[bytes]:
     """Words of letters, digits and bytes beyond ASCII; A-Z in lower case."""
-    return text.translate(_TABLE).split() if text else []
+    return text.translate(_TABLE.tobytes()).split() if text else []
 
 
-@dataclass
-class Item:
-    key: object
-    words: list[bytes]
-    places: dict[bytes, int] = field(default_factory=dict)
-    answer: list[bytes] = field(default_factory=list)
-
-    def __post_init__(self):
-        for position, word in enumerate(self.words):
-            self.places[word] = self.places.get(word, 0) | 1 << position
+def names_of(words: list[bytes]) -> list[int]:
+    return name_words(pa.array([b" ".join(words)], pa.binary()))[0].tolist()
 
 
 def answer_words(text: bytes) -> list[bytes]:
@@ -70,7 +58,27 @@ def answer_words(text: bytes) -> list[bytes]:
     return tail if 0 < len(tail) <= len(words) // 2 else words[-max(1, len(words) // 5) :]
 
 
-def common_subsequence(words: list[bytes], places: dict[bytes, int], size: int) -> int:
+@dataclass
+class Item:
+    """An item of the benchmark: its words and its answer's by name, and the positions of each as bits."""
+
+    key: object
+    words: list[int]
+    answer: list[int]
+    places: dict[int, int] = field(default_factory=dict)
+    answer_places: dict[int, int] = field(default_factory=dict)
+
+    def __post_init__(self):
+        for words, places in ((self.words, self.places), (self.answer, self.answer_places)):
+            for position, word in enumerate(words):
+                places[word] = places.get(word, 0) | 1 << position
+
+    @classmethod
+    def of(cls, key, text: bytes) -> Item:
+        return cls(key, names_of(plain_words(text)), names_of(answer_words(text)))
+
+
+def common_subsequence(words: list[int], places: dict[int, int], size: int) -> int:
     """Length of the longest common subsequence, one bit operation on the item per word."""
     full = (1 << size) - 1
     row = full
@@ -82,34 +90,33 @@ def common_subsequence(words: list[bytes], places: dict[bytes, int], size: int)
     return size - row.bit_count()
 
 
-def _feature(term: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(term) % FEATURES
+class Terms:
+    """A sorted list of term names, and the numbers of those among other names."""
 
+    def __init__(self, names: np.ndarray):
+        self.names = names
+        self.filter = np.zeros(1 << 16, bool)
+        self.filter[(names & np.uint64(0xFFFF)).astype(np.int64)] = True
 
-class Occurrences:
-    """Where a group of documents has terms: ``slot`` counts half windows through the group."""
+    def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the names are terms, and which."""
+        at = np.flatnonzero(self.filter[(names & np.uint64(0xFFFF)).astype(np.int64)])
+        if not len(at) or not len(self.names):
+            return at[:0], at[:0]
+        number = np.minimum(np.searchsorted(self.names, names[at]), len(self.names) - 1)
+        hit = self.names[number] == names[at]
+        return at[hit], number[hit]
 
-    def __init__(self, numbers: dict[bytes, int]):
-        self.numbers = numbers
-
-    def groups(self, texts: list[bytes | None]) -> Iterator[tuple[int, list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]]:
-        """``first document, words of each, first slot of each (and the end), slots, terms``."""
-        at = 0
-        while at < len(texts):
-            first, words, held = at, [], 0
-            while at < len(texts) and held < GROUP_WORDS:
-                words.append(plain_words(texts[at]))
-                held += len(words[-1])
-                at += 1
-            sizes = np.array([len(own) // STEP + 2 for own in words])
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            terms = [np.fromiter(map(self.numbers.get, own, repeat(-1)), np.int32, len(own)) for own in words]
-            slots, found = [], []
-            for own, base in zip(terms, ends[:-1], strict=True):
-                hit = np.flatnonzero(own >= 0)
-                slots.append(base + hit // STEP)
-                found.append(own[hit])
-            yield first, words, ends, np.concatenate(slots), np.concatenate(found)
+    def groups(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For neighbouring texts together: the first one's row, all names, where each text's begin (and the end),
+        the first half window of each (and the end), and the half windows and numbers of terms."""
+        for first, group in text_groups(column):
+            names, ends = name_words(group, _TABLE)
+            begins = np.concatenate([[0], ends])
+            slots = np.concatenate([[0], np.cumsum(np.diff(begins) // STEP + 2)])
+            at, term = self.find(names)
+            owner = np.searchsorted(ends, at, side="right")
+            yield first, names, begins, slots, slots[owner] + (at - begins[owner]) // STEP, term
 
 
 def _sums(rows: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,21 +127,23 @@ def _sums(rows: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return groups[starts], np.add.reduceat(rows, starts, axis=0)
 
 
-def document_frequencies(docs: DataFrame, text: str, terms: list[bytes]) -> np.ndarray:
+def document_frequencies(docs: DataFrame, text: str, terms: Terms) -> np.ndarray:
     """Documents that hold each term, over all documents; the last number is the count of documents."""
 
     def count(batches):
-        numbers = {term: position for position, term in enumerate(terms)}
-        total = np.zeros(len(terms) + 1, np.int64)
+        total = np.zeros(len(terms.names) + 1, np.int64)
         for batch in batches:
-            for value in texts_of(batch.column("text")):
-                total[[numbers[word] for word in numbers.keys() & set(plain_words(value))]] += 1
-                total[-1] += 1
+            total[-1] += batch.num_rows
+            for _, group in text_groups(batch.column("text")):
+                names, ends = name_words(group, _TABLE)
+                at, term = terms.find(names)
+                held = np.unique(np.searchsorted(ends, at, side="right") << 32 | term)
+                total[:-1] += np.bincount(held & 0xFFFFFFFF, minlength=len(terms.names))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], ["term", "docs"])
 
     counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "term long, docs long")
-    out = np.zeros(len(terms) + 1, np.int64)
+    out = np.zeros(len(terms.names) + 1, np.int64)
     for row in counted.groupBy("term").agg(F.sum("docs").alias("docs")).collect():  # a row for each term of the block
         out[row.term] = row.docs
     return out
@@ -142,14 +151,13 @@ def document_frequencies(docs: DataFrame, text: str, terms: list[bytes]) -> np.n
 
 @dataclass
 class Space:
-    """``numbers`` gives a term's row in ``vectors``: its weight times its feature's latent coordinates."""
+    """A row of ``vectors`` for each term: its weight times its feature's latent coordinates."""
 
-    numbers: dict[bytes, int]
+    terms: Terms
     vectors: np.ndarray
 
-    def place(self, words: list[bytes]) -> np.ndarray:
-        rows = [self.numbers[word] for word in words if word in self.numbers]
-        return self.vectors[rows].sum(axis=0)
+    def place(self, words: list[int]) -> np.ndarray:
+        return self.vectors[self.terms.find(np.array(words, np.uint64))[1]].sum(axis=0)
 
 
 _BAND = 64  # features in one row of what tasks send
@@ -162,15 +170,17 @@ def fit_space(docs: DataFrame, text: str, items: list[Item], limits: Limits, see
     leading right singular vectors; bands of features are summed in Spark, and the driver orthonormalises one matrix
     of ``FEATURES`` times ``RANK + OVERSAMPLE``, a size that depends on no table.
     """
-    terms = sorted({word for item in items for word in item.words})
-    counts = document_frequencies(docs, text, terms)
+    known = Terms(np.array(sorted({word for item in items for word in item.words}), np.uint64))
+    counts = document_frequencies(docs, text, known)
     total = max(int(counts[-1]), 1)
-    place = {term: position for position, term in enumerate(terms)}
-    rarest = {place[word] for item in items for word in sorted(set(item.words), key=lambda word: counts[place[word]])[:RAREST]}
-    use = [position for position in range(len(terms)) if counts[position] <= limits.common * total or position in rarest]
-    numbers = {terms[position]: number for number, position in enumerate(use)}
-    weights = np.log((1 + total) / (1 + counts[use])).astype(np.float32) + np.float32(0.1)
-    features = np.array([_feature(terms[position]) for position in use], np.int64)
+    use = counts[:-1] <= limits.common * total
+    for item in items:
+        own = np.unique(known.find(np.array(item.words, np.uint64))[1])
+        if use[own].sum() < RAREST:
+            use[own[np.argsort(counts[own], kind="stable")[:RAREST]]] = True
+    terms = Terms(known.names[use])
+    weights = np.log((1 + total) / (1 + counts[:-1][use])).astype(np.float32) + np.float32(0.1)
+    features = (mix(terms.names) % np.uint64(FEATURES)).astype(np.int64)
     random = np.random.default_rng(seed).standard_normal((FEATURES, RANK + OVERSAMPLE)).astype(np.float32)
 
     def product(slots, found, into):
@@ -185,9 +195,8 @@ def fit_space(docs: DataFrame, text: str, items: list[Item], limits: Limits, see
 
     def multiply(batches):
         into = np.zeros_like(random, dtype=np.float64)
-        reader = Occurrences(numbers)
         for batch in batches:
-            for _, _, _, slots, found in reader.groups(texts_of(batch.column("text"))):
+            for *_, slots, found in terms.groups(batch.column("text")):
                 product(slots // 2, found, into)
         bands = into.astype(np.float32).reshape(-1, _BAND * into.shape[1])
         used = np.flatnonzero(np.abs(bands).max(axis=1) > 0)
@@ -214,11 +223,11 @@ def fit_space(docs: DataFrame, text: str, items: list[Item], limits: Limits, see
     for row in summed.collect():  # FEATURES / _BAND rows
         image[row.band * _BAND : (row.band + 1) * _BAND] += np.frombuffer(row.sums, "<f4").reshape(_BAND, -1)
     for item in items:
-        found = np.array([numbers[word] for word in item.words if word in numbers], np.int64)
+        found = terms.find(np.array(item.words, np.uint64))[1]
         product(np.zeros(len(found), np.int64), found, image)
     left, values, _ = np.linalg.svd(image, full_matrices=False)
     basis = left[:, :RANK] * (values[:RANK] > 0)
-    return Space(numbers, (basis[features] * weights[:, None]).astype(np.float32))
+    return Space(terms, (basis[features] * weights[:, None]).astype(np.float32))
 
 
 def candidates(windows: np.ndarray, queries: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,16 +243,13 @@ def candidates(windows: np.ndarray, queries: np.ndarray, limits: Limits) -> tupl
 MATCHES = "array<struct<item_id:long,item_words:long,lcs:long,answer_lcs:long,cosine:double>>"
 
 
-def verify(words: list[bytes], item: Item, limits: Limits) -> tuple[int, int] | None:
+def verify(words: list[int], item: Item, limits: Limits) -> tuple[int, int] | None:
     """The lengths of the common subsequence and of the answer's, if they decide for a leak."""
     size = len(item.words)
     length = common_subsequence(words, item.places, size)
     if length < limits.paraphrase * size:
         return None
-    bits = {}
-    for position, word in enumerate(item.answer):
-        bits[word] = bits.get(word, 0) | 1 << position
-    said = common_subsequence(words, bits, len(item.answer))
+    said = common_subsequence(words, item.answer_places, len(item.answer))
     if length >= limits.same * size or said >= limits.answer * len(item.answer):
         return length, said
     return None
@@ -255,11 +261,10 @@ def _scan_block(rows: DataFrame, text: str, items: list[Item], limits: Limits) -
     queries = np.array([space.place(item.words) for item in items], np.float32)
 
     def search(batches):
-        reader = Occurrences(space.numbers)
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("item_words", pa.int64()), ("lcs", pa.int64()), ("answer_lcs", pa.int64()), ("cosine", pa.float64())]))
         for batch in batches:
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for first, words, ends, slots, terms in reader.groups(texts_of(batch.column("text"))):
+            for first, names, begins, ends, slots, terms in space.terms.groups(batch.column("text")):
                 if not len(terms):
                     continue
                 used, sums = _sums(space.vectors[terms], slots)
@@ -267,11 +272,11 @@ def _scan_block(rows: DataFrame, text: str, items: list[Item], limits: Limits) -
                 halves[used] = sums
                 for low in range(0, len(halves) - 1, 65536):
                     high = min(low + 65536, len(halves) - 1)
-                    collect(halves[low:high] + halves[low + 1 : high + 1], low, first, words, ends, found)
+                    collect(halves[low:high] + halves[low + 1 : high + 1], low, first, names, begins, ends, found)
             out = [sorted(own, key=lambda match: (match["item_id"] is None, match["item_id"] or 0)) for own in found]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("matches"), pa.array(out, kind)], ["row", "matches", "more"])
 
-    def collect(windows, low, first, words, ends, found):
+    def collect(windows, low, first, names, begins, ends, found):
         window, item, cosine = candidates(windows, queries, limits)
         best: dict[tuple[int, int], list] = {}
         owner = np.searchsorted(ends, window + low, side="right") - 1
@@ -281,7 +286,8 @@ def _scan_block(rows: DataFrame, text: str, items: list[Item], limits: Limits) -
             one = items[number]
             size = len(one.words)
             for value, slot in sorted(places, reverse=True):
-                near = words[own][max(0, slot * STEP - size) : (slot + 2) * STEP + size]
+                middle = int(begins[own]) + slot * STEP
+                near = names[max(middle - size, begins[own]) : min(middle + 2 * STEP + size, begins[own + 1])].tolist()
                 decided = verify(near, one, limits)
                 if decided:
                     known = found[first + own]
@@ -298,9 +304,8 @@ def blocks_of(benchmark: DataFrame, key: str, text: str, size: int = ITEMS_PER_P
     """The stated query set in blocks of bounded size; items without words are left out."""
     block: list[Item] = []
     for row in benchmark.select(F.col(key).cast("long"), F.col(text).cast("string")).toLocalIterator():
-        words = plain_words(row[1].encode() if row[1] else None)
-        if words:
-            block.append(Item(row[0], words, answer=answer_words(row[1].encode())))
+        if row[1] and plain_words(row[1].encode()):
+            block.append(Item.of(row[0], row[1].encode()))
         if len(block) == size:
             yield block
             block = []

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from docforge.llm.common import join_hashes, mix, name_words, window_hashes
+from docforge.llm.common import LOWER, join_hashes, mix, name_words, window_hashes
 
 SHINGLE = 5
 #: Similarity is at least OVER / UNDER.
@@ -19,7 +19,7 @@ CELLS = 256
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """The sorted, distinct names of each text's shingles; with fewer words, one name for them all."""
-    names, ends = name_words(column, lower=True)
+    names, ends = name_words(column, LOWER)
     grams = window_hashes(names, SHINGLE)
     start = 0
     for end in ends.tolist():

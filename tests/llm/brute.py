@@ -1,6 +1,7 @@
 """Plain forms of what the operators compute, in Python over small inputs."""
 
 import hashlib
+import random
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -79,3 +80,23 @@ def greedy_pieces(word, pieces, end=256):
         count += symbols[at : at + size] != (end,)
         at += size
     return count
+
+
+def copies(seed, count=60, vocabulary=400, length=90):
+    """Texts of which many are edited copies of others, with shared passages, and odd ones."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(vocabulary)}"
+    passage = [word() for _ in range(30)]
+    texts = [None, "", "  \n\t ", "one", "Two Words", "a " * 60, "x" * 5000, "é ü\x0bñ\x0c ß"]
+    for _ in range(count):
+        kind = rng.random()
+        base = rng.choice([t for t in texts if t] or ["a"]).split() if kind < 0.5 else [word() for _ in range(rng.randrange(length))]
+        base = list(base)
+        for _ in range(rng.choice([0, 0, 1, 2, 5])):
+            if base:
+                base[rng.randrange(len(base))] = word()
+        if kind > 0.8:
+            at = rng.randrange(len(base) + 1)
+            base[at:at] = passage
+        texts.append(rng.choice([" ", "\n"]).join(base))
+    return texts

@@ -1,10 +1,10 @@
 import random
 
-import brute
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import copies
+from llm import brute
+from llm.brute import copies
 
 from docforge.llm import jaccard, shingles
 from docforge.llm.components import components

@@ -59,7 +59,7 @@ def test_common_subsequence_equals_the_table():
         for i, x in enumerate(one):
             for j, y in enumerate(two):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-        assert latent.common_subsequence(two, latent.Item(0, one).places, len(one)) == table[-1][-1]
+        assert latent.common_subsequence(two, latent.Item(0, one, []).places, len(one)) == table[-1][-1]
 
 
 def test_odd_tables(spark, make_docs):

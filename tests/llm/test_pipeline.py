@@ -1,11 +1,11 @@
 import zlib
 
-import brute
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
+from llm import brute
 
 from docforge.llm import latent, quality
 from docforge.llm.common import barrier

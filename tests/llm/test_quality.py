@@ -1,6 +1,6 @@
-import brute
 import pytest
-from conftest import copies
+from llm import brute
+from llm.brute import copies
 
 from docforge.llm import quality
 

@@ -1,7 +1,7 @@
 import random
 
-import brute
 import public_tokenizers
+from llm import brute
 
 from docforge.llm import wordpiece
 from docforge.llm.wordpiece import END, LongestMatch
