@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import time
 from contextlib import suppress
 from functools import lru_cache
 from uuid import uuid4
@@ -159,6 +161,22 @@ def sql_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def frugal(task):
+    """A task over Arrow batches that hands its memory back to the system when it ends.
+
+    Workers live on for the tasks of later stages; without this they keep the most that any stage took.
+    """
+
+    def run(batches):
+        yield from task(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # only the GNU C library has the call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 # ---------------------------------------------------------------- scratch folders
 
 
@@ -188,9 +206,14 @@ def barrier(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver collect plans that have ended and aren't held any more, so that their shuffle files go."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let the driver collect plans that have ended and aren't held any more, so that their shuffle files go.
+
+    The first pass frees what Python held; only the one after it reaches the plans themselves.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 # ---------------------------------------------------------------- files in a shared store

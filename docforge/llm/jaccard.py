@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docforge.llm import shingles as S
-from docforge.llm.common import barrier, release, remove, text_groups, texts_of
+from docforge.llm.common import barrier, frugal, release, remove, text_groups, texts_of
 from docforge.llm.components import components
 
 #: Shingles counted at once by a task, and those it may report; the list of frequent ones only steers costs.
@@ -94,7 +94,7 @@ def _profile(docs: DataFrame, key: str, text: str) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["kind", "key", "tie", "n", "first", "second", "cells"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("tie"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(profile, "kind byte, key long, tie long, n long, first long, second long, cells binary")
+    return rows.mapInArrow(frugal(profile), "kind byte, key long, tie long, n long, first long, second long, cells binary")
 
 
 def _frequent(profiles: DataFrame) -> np.ndarray:
@@ -145,7 +145,7 @@ def _entries(docs: DataFrame, text: str, choice: int, frequent: np.ndarray) -> D
                     entry = (role << np.int64(_CLASS_BITS)) | np.array(keys, np.int64)[owner]
                     yield pa.RecordBatch.from_arrays([pa.array(sign.view(np.int64)), pa.array(entry)], ["sign", "entry"])
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(emit, "sign long, entry long")
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(frugal(emit), "sign long, entry long")
 
 
 def _stars(entries: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def _stars(entries: DataFrame) -> DataFrame:
             )
 
     ordered = entries.repartition("sign").sortWithinPartitions("sign", "entry")
-    return ordered.mapInArrow(stream, "sign long, center long, member long, probes boolean")
+    return ordered.mapInArrow(frugal(stream), "sign long, center long, member long, probes boolean")
 
 
 def _ordered(a: str, b: str):
@@ -207,7 +207,7 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 keep = pa.array(_compare_cells(_matrix(batch.column("cells_a")), _matrix(batch.column("cells_b")), n_a, n_b))
                 yield batch.select(["a", "b"]).filter(keep)
 
-    return sized.select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(check, "a long, b long")
+    return sized.select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(frugal(check), "a long, b long")
 
 
 def _texts(docs: DataFrame, key: str, text: str, members: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -230,7 +230,7 @@ def _texts(docs: DataFrame, key: str, text: str, members: DataFrame, wanted: Dat
                 yield batch.select(["key", "text"]).filter(pa.array(hit))
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    near = rows.withColumn("place", place).mapInArrow(keep, "key long, text string")
+    near = rows.withColumn("place", place).mapInArrow(frugal(keep), "key long, text string")
     return near.join(chosen, near["key"].eqNullSafe(chosen["key"])).select("class", "text")
 
 
@@ -263,7 +263,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, choice: int) -> DataFrame:
 
     left = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
     right = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct()
+    return pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b").mapInArrow(frugal(check), "a long, b long").distinct()
 
 
 def _blocks(stars: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
@@ -320,7 +320,7 @@ def _blocks(stars: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     ordered = grouped.repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j")
-    return ordered.mapInArrow(compare, "a long, b long").distinct()
+    return ordered.mapInArrow(frugal(compare), "a long, b long").distinct()
 
 
 def _short_pairs(docs: DataFrame, text: str, choice: int, short: DataFrame) -> DataFrame:
@@ -346,7 +346,7 @@ def _short_pairs(docs: DataFrame, text: str, choice: int, short: DataFrame) -> D
                 if signs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs).view(np.int64)), pa.array(np.concatenate(keys))], ["sign", "class"])
 
-        held = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(emit, "sign long, class long").distinct()
+        held = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(frugal(emit), "sign long, class long").distinct()
         return short.join(held, "sign").where("member <> class").select(*_ordered("member", "class"))
 
     for row in short.select("sign").distinct().toLocalIterator():

@@ -16,30 +16,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import LOWER, mix, name_words, sql_type, text_groups
+from docforge.llm.common import LOWER, frugal, mix, name_words, sql_type, text_groups
 
 #: Terms are hashed into this many features, whatever the benchmark's size.
 FEATURES = 8192
-RANK = 128
+RANK = 256
 OVERSAMPLE = 16
 #: Words in half a window; windows overlap by half.
 STEP = 16
 #: Items that one pass over the documents compares; the table is read in such blocks.
 ITEMS_PER_PASS = 4000
 #: Terms of each item that are features at least, however common they are.
-RAREST = 4
+RAREST = 6
 
 _TABLE = np.array([LOWER[byte] if chr(byte).isalnum() or byte > 127 or byte == 39 else 32 for byte in range(256)], np.uint8)
 
 
 @dataclass(frozen=True)
 class Limits:
-    cosine: float = 0.3  # a window this near to an item is checked
-    share: float = 0.12  # and holds at least this part of the item's own length in the space
+    cosine: float = 0.5  # a window this near to an item is checked
+    share: float = 0.2  # and holds at least this part of the item's own length in the space
     same: float = 0.8  # common subsequence, of the item's words, that decides alone
     paraphrase: float = 0.6  # that decides with the answer
     answer: float = 0.6  # of the answer's words, in order
-    common: float = 0.1  # terms in more than this part of all documents are no features
+    common: float = 0.03  # terms in more than this part of all documents are no features
 
 
 def plain_words(text: bytes | None) -> list[bytes]:
@@ -142,7 +142,7 @@ def document_frequencies(docs: DataFrame, text: str, terms: Terms) -> np.ndarray
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], ["term", "docs"])
 
-    counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "term long, docs long")
+    counted = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(frugal(count), "term long, docs long")
     out = np.zeros(len(terms.names) + 1, np.int64)
     for row in counted.groupBy("term").agg(F.sum("docs").alias("docs")).collect():  # a row for each term of the block
         out[row.term] = row.docs
@@ -217,8 +217,8 @@ def fit_space(docs: DataFrame, text: str, items: list[Item], limits: Limits, see
             yield pa.RecordBatch.from_arrays([pa.array([band], pa.int64()), pa.array([total.astype("<f4").tobytes()], pa.binary())], ["band", "sums"])
 
     schema = "band long, sums binary"
-    partial = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(multiply, schema)
-    summed = partial.repartition("band").sortWithinPartitions("band").mapInArrow(add, schema)
+    partial = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(frugal(multiply), schema)
+    summed = partial.repartition("band").sortWithinPartitions("band").mapInArrow(frugal(add), schema)
     image = np.zeros_like(random, dtype=np.float64)
     for row in summed.collect():  # FEATURES / _BAND rows
         image[row.band * _BAND : (row.band + 1) * _BAND] += np.frombuffer(row.sums, "<f4").reshape(_BAND, -1)
@@ -226,7 +226,7 @@ def fit_space(docs: DataFrame, text: str, items: list[Item], limits: Limits, see
         found = terms.find(np.array(item.words, np.uint64))[1]
         product(np.zeros(len(found), np.int64), found, image)
     left, values, _ = np.linalg.svd(image, full_matrices=False)
-    basis = left[:, :RANK] * (values[:RANK] > 0)
+    basis = left[:, :RANK] * np.sqrt(np.divide(1, values[:RANK], out=np.zeros(RANK), where=values[:RANK] > 1e-9 * values[0]))
     return Space(terms, (basis[features] * weights[:, None]).astype(np.float32))
 
 
@@ -296,7 +296,7 @@ def _scan_block(rows: DataFrame, text: str, items: list[Item], limits: Limits) -
                     break
 
     schema = f"row {sql_type(rows, 'row')}, matches {MATCHES}, more {MATCHES}"
-    scanned = rows.select("row", "matches", F.col(f"row.{text}").cast("string").alias("text")).mapInArrow(search, schema)
+    scanned = rows.select("row", "matches", F.col(f"row.{text}").cast("string").alias("text")).mapInArrow(frugal(search), schema)
     return scanned.select("row", F.concat("matches", "more").alias("matches"))
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import name_words, row_and_text, split_words, sql_type, text_groups, texts_of, window_hashes
+from docforge.llm.common import frugal, name_words, row_and_text, split_words, sql_type, text_groups, texts_of, window_hashes
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -130,7 +130,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = row_and_text(docs, F.col(text).cast("string").alias("text"))
     schema = f"row {sql_type(rows, 'row')}, " + ", ".join(f"{name} long" for name in MEASURES)
     bits = sum((F.expr(rule.fails).cast("long") * F.lit(BIT[rule.name]) for rule in RULES), F.lit(0))
-    return rows.mapInArrow(_measure, schema).withColumn("fail_bits", bits.cast("long"))
+    return rows.mapInArrow(frugal(_measure), schema).withColumn("fail_bits", bits.cast("long"))
 
 
 def kept(policy: int = CURRENT):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docforge.llm.automata import Automaton, compile_rules
-from docforge.llm.common import row_and_text, sql_type, texts_of
+from docforge.llm.common import frugal, row_and_text, sql_type, texts_of
 
 
 @dataclass(frozen=True)
@@ -140,7 +140,7 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[SecretRule, .
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.list_(kind))], ["row", "found"])
 
     rows = row_and_text(docs, F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(scan, f"row {sql_type(rows, 'row')}, found array<struct<kind:string,start:long,end:long>>")
+    return rows.mapInArrow(frugal(scan), f"row {sql_type(rows, 'row')}, found array<struct<kind:string,start:long,end:long>>")
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", rules: tuple[SecretRule, ...] = RULES) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import barrier, join_hashes, mix, name_words, release, remove, sql_type, text_groups, texts_of, window_hashes
+from docforge.llm.common import barrier, frugal, join_hashes, mix, name_words, release, remove, sql_type, text_groups, texts_of, window_hashes
 from docforge.llm.recompression import anchors
 
 WIDTH = 20
@@ -173,16 +173,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     plain = docs.select(own_key.alias("key"), F.xxhash64(value).alias("tie"), value.alias("text"))
 
     # Rows that share a key share their places too: a place more is a window more to look at.
-    sent = plain.mapInArrow(_send_anchors(width), "name long, key long, place long")
-    shared = sent.repartition("name").sortWithinPartitions("name").mapInArrow(_keep_shared, "key long, place long")
+    sent = plain.mapInArrow(frugal(_send_anchors(width)), "name long, key long, place long")
+    shared = sent.repartition("name").sortWithinPartitions("name").mapInArrow(frugal(_keep_shared), "key long, place long")
     places, places_path = barrier(shared.groupBy("key").agg(F.collect_set("place").alias("places")), "anchors")
     del sent, shared
     release(spark)
 
     asked = plain.join(places, "key").select("key", "tie", "text", "places")
-    windows = asked.mapInArrow(_send_windows(width), "name long, check long, key long, tie long, start long")
+    windows = asked.mapInArrow(frugal(_send_windows(width)), "name long, check long, key long, tie long, start long")
     ordered = windows.repartition("name", "check").sortWithinPartitions("name", "check", "key", "tie", "start")
-    later = ordered.mapInArrow(_keep_later, "key long, tie long, start long")
+    later = ordered.mapInArrow(frugal(_keep_later), "key long, tie long, start long")
     repeats, _ = barrier(later.groupBy("key", "tie").agg(F.collect_set("start").alias("starts")), "repeats")
     del asked, windows, ordered, later, places
     remove(spark, places_path)
@@ -207,4 +207,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
 
     rows = docs.select(F.struct("*").alias("row"), own_key.alias("key"), F.xxhash64(value).alias("tie"))
     marked = rows.join(repeats, ["key", "tie"], "left").select("row", F.col(f"row.{text}").cast("string").alias("text"), "starts")
-    return marked.mapInArrow(finish, f"row {sql_type(rows, 'row')}, n_words long, n_removed long, kept string, kept_sha256 string")
+    return marked.mapInArrow(frugal(finish), f"row {sql_type(rows, 'row')}, n_words long, n_removed long, kept string, kept_sha256 string")

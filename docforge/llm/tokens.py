@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docforge.llm.codes import Codes, encode
-from docforge.llm.common import Memo, barrier, read_file, scratch, split_words, texts_of, write_file
+from docforge.llm.common import Memo, barrier, frugal, read_file, scratch, split_words, texts_of, write_file
 from docforge.llm.wordpiece import byte_letters
 
 #: A shard is closed when it holds this many ids or documents; bounds a task's memory and a file's size.
@@ -206,7 +206,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
         if keys:
             yield close()
 
-    written = ordered.mapInArrow(write, "part long, number long, path string, docs long, ids long")
+    written = ordered.mapInArrow(frugal(write), "part long, number long, path string, docs long, ids long")
     return barrier(written, "shards")[0]
 
 
@@ -230,7 +230,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32", "path"],
                 )
 
-    return placed.repartition(tasks).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
+    return placed.repartition(tasks).mapInArrow(frugal(read), "doc_id long, start long, n_tokens long, ids_crc32 long, path string")
 
 
 def tokenize_to_files(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import barrier, open_store, read_file, remove, scratch, write_file
+from docforge.llm.common import barrier, frugal, open_store, read_file, remove, scratch, write_file
 
 #: An archive is closed when it holds this many bytes of records; bounds a task's memory and a file's size.
 ARCHIVE_BYTES = 16_000_000
@@ -163,7 +163,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:
         write_file(path, b"".join([*parts, machine.flush()]))
         return pa.RecordBatch.from_pylist([{"path": path, "records": records}])
 
-    return barrier(with_roles(pages, least).mapInArrow(write, "path string, records long"), "archives")[0]
+    return barrier(with_roles(pages, least).mapInArrow(frugal(write), "path string, records long"), "archives")[0]
 
 
 def rows_of(batch: pa.RecordBatch, size: int = 256):
@@ -199,7 +199,7 @@ def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
                 write_file(f"{base}.idx", b"".join(lines))
                 yield pa.RecordBatch.from_pylist([{"path": f"{base}.warc.gz", "index": f"{base}.idx", "records": len(lines)}])
 
-    return barrier(_spread(archives).mapInArrow(rewrite, "path string, index string, records long"), "normalised")[0]
+    return barrier(_spread(archives).mapInArrow(frugal(rewrite), "path string, index string, records long"), "normalised")[0]
 
 
 def read_member(source, offset: int, length: int) -> Record:
@@ -226,7 +226,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                         rows.append((*describe(read_member(source, offset, length)), offset, path))
                 yield pa.RecordBatch.from_arrays([pa.array(values, field.type) for values, field in zip(zip(*rows, strict=True), fields, strict=True)], schema=fields)
 
-    return _spread(files).mapInArrow(read, schema)
+    return _spread(files).mapInArrow(frugal(read), schema)
 
 
 def describe(record: Record) -> tuple:

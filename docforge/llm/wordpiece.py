@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import Memo, row_and_text, split_words, sql_type, texts_of
+from docforge.llm.common import Memo, frugal, row_and_text, split_words, sql_type, texts_of
 
 END = 256  # the mark behind a word's last byte
 SYMBOLS = 257
@@ -128,4 +128,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
             )
 
     rows = row_and_text(docs, F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(count, f"row {sql_type(rows, 'row')}, n_words long, n_pieces long")
+    return rows.mapInArrow(frugal(count), f"row {sql_type(rows, 'row')}, n_words long, n_pieces long")
