@@ -95,8 +95,9 @@ class TopMatches:
         self._best = [empty] * len(self._queries)
 
     def add(self, parents: np.ndarray, vectors: np.ndarray) -> None:
-        scores = np.round(normalise(vectors) @ self._queries.T, self._digits)
-        np.nan_to_num(scores, copy=False, nan=-1.0)  # a broken vector matches nothing
+        sound = np.isfinite(vectors).all(axis=1)  # a broken vector matches nothing
+        parents = parents[sound]
+        scores = np.round(normalise(vectors[sound]) @ self._queries.T, self._digits)
         for q, (ids, held) in enumerate(self._best):
             self._best[q] = self._cut(
                 np.concatenate([ids, parents]), np.concatenate([held, scores[:, q]])

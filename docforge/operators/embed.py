@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +23,17 @@ def embedding(
     """``array<float>`` vector of a text column.
 
     ``open_embedder`` runs once per task and returns a function from a Series
-    of texts to a matrix, so a model is loaded once and fed whole batches.
+    of texts to a matrix, so a model is loaded once and fed whole batches. A
+    null text has a null vector and never reaches it.
     """
 
     @F.arrow_udf("array<float>")
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embedder = open_embedder()
         for texts in batches:
-            yield to_lists(embedder(texts.to_pandas()))
+            vectors = to_lists(embedder(texts.drop_null().to_pandas()))
+            place = pc.subtract(pc.cumulative_sum(texts.is_valid().cast("int64")), 1)
+            yield vectors.take(pc.if_else(texts.is_valid(), place, None)) if texts.null_count else vectors
 
     return embed(text)
 
@@ -51,6 +55,11 @@ def unembedded(documents: DataFrame, embedded: DataFrame, key: tuple[str, ...] =
     return documents.join(embedded.select(*key), list(key), "left_anti")
 
 
+def partition_of(key: Column | str, partitions: int) -> Column:
+    """The partition of the vector table that holds a document's vectors."""
+    return F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int")
+
+
 def live_embeddings(embedded: DataFrame, documents: DataFrame, key: tuple[str, ...] = DOCUMENT_KEY) -> DataFrame:
     """Embeddings that still match their document; superseded ones drop out."""
     return embedded.join(documents.select(*key), list(key), "left_semi")

@@ -70,6 +70,8 @@ def _task_matches(corpus, requests, k, parent, vector):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = TopMatches(vectors, k, SCORE_DIGITS)
         for batch in batches:
+            # Tested here and not by a filter, which would run a lazy embedding once more.
+            batch = batch.filter(batch.column(1).is_valid())
             best.add(
                 batch.column(0).to_numpy(zero_copy_only=False),
                 to_matrix(batch.column(1), vectors.shape[1]),
@@ -79,8 +81,7 @@ def _task_matches(corpus, requests, k, parent, vector):
                 {"query_id": np.full(len(parents), ids[q], np.int64), parent: parents, "score": scores}
             )
 
-    usable = corpus.where(F.col(parent).isNotNull() & F.col(vector).isNotNull())
-    return usable.select(F.col(parent).cast("long"), F.col(vector).cast("array<float>")).mapInArrow(
+    return corpus.where(F.col(parent).isNotNull()).select(F.col(parent).cast("long"), F.col(vector).cast("array<float>")).mapInArrow(
         run, f"query_id BIGINT, `{parent}` BIGINT, score DOUBLE"
     )
 

@@ -1,6 +1,7 @@
 """Document checks, chunks, embeddings and search against brute force."""
 
 import math
+import time
 import warnings
 from hashlib import md5
 
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docforge.functions.vectors import HashingEmbedder, TopMatches
-from docforge.operators import checks, chunks, embed, search
+from docforge.operators import checks, chunks, embed, search, silver
 
 
 def documents(spark, *texts, reviews=1):
@@ -248,3 +249,26 @@ def test_title_search(spark):
 def test_compare_titles(spark):
     found = search.compare_titles(catalogue(spark), [4, 1], ["movie_id", "runtime_minutes"]).collect()
     assert [tuple(r) for r in found] == [(1, 100), (4, 116)]
+
+
+def test_null_texts_and_broken_vectors_match_nothing(spark):
+    data = spark.createDataFrame([(1, "a b"), (2, None), (3, "a")], "movie_id long, chunk_text string")
+    vectors = embed.embed_chunks(data)
+    assert [row.embedding is None for row in vectors.orderBy("movie_id").collect()] == [False, True, False]
+    assert [row.movie_id for row in search.search_text(vectors, ["a b"], HashingEmbedder).orderBy("rank").collect()] == [1, 3]
+    frame = spark.createDataFrame(
+        [(1, [-1.0, 0.0]), (2, [float("nan"), 1.0]), (3, None), (4, [1.0, None]), (5, [float("inf"), 1.0])], "movie_id long, embedding array<float>"
+    )
+    assert [(row.movie_id, row.score) for row in search.vector_top_k(frame, {0: [1.0, 0.0]}).collect()] == [(1, -1.0)]
+
+
+def test_many_keywords_in_one_record(spark):
+    """Linear in the record: a quadratic comparison would take minutes here."""
+    entries = F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda n: F.struct((n % 40_000).alias("id"), F.when(n % 3 != 0, F.concat(F.lit("k:"), n % 40_000)).alias("name")))
+    d = F.struct(F.struct(entries.cast("array<struct<id:bigint,name:string>>").alias("keywords")).alias("keywords")).alias("d")
+    parsed = spark.range(1).select(F.lit(1).cast("long").alias("movie_id"), d)
+    started = time.monotonic()
+    found = silver.keywords(parsed, True).collect()
+    assert time.monotonic() - started < 20
+    want = {(n % 40_000, f"k:{n % 40_000}" if n % 3 else None) for n in range(1, 60_001)}
+    assert len(found) == len(want) and {(row.keyword_id, row.name) for row in found} == want

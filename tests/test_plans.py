@@ -4,6 +4,7 @@ import pytest
 from catalogue import FULL, bronze, genre_list, payload
 from conftest import plan
 
+from docforge.functions.vectors import HashingEmbedder
 from docforge.operators import embed, gold, listing, parse, search, silver
 from docforge.sources import tables
 
@@ -103,6 +104,25 @@ def test_listing_text_is_parsed_once_per_use(spark, tmp_path):
     assert main.count("from_json(") == 1
 
 
+def test_search_over_a_lazy_corpus_embeds_once(spark):
+    corpus = embed.embed_chunks(spark.createDataFrame([(1, "a")], "movie_id long, chunk_text string"))
+    assert plan(search.search_text(corpus, ["a"], HashingEmbedder)).count("ArrowEvalPython") == 1
+
+
+def test_unchanged_vectors_are_not_moved(spark, parsed):
+    """Without buckets and broadcasts: keys are compared by their columns, texts and vectors stay."""
+    documents = gold.documents_from_parsed(parsed).select("movie_id", "content_hash")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(embed.unembedded(documents, documents))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for line in text.splitlines():
+        if "Exchange" in line:
+            assert "doc_text" not in line and "embedding" not in line
+
+
 def test_search_shuffles_only_candidates(spark):
     corpus = spark.createDataFrame([], "movie_id long, embedding array<float>, noise string")
     text = plan(search.vector_top_k(corpus, {0: [1.0, 2.0]}))
