@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# What may hold a mark as text, or the mark itself.
+_MARKS = re.compile(
+    r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|%s""", re.DOTALL
+)
+
+
+def _mark(found: re.Match) -> str:
+    return "?" if found[0] == "%s" else found[0]
+
+
 def read_table(
     spark: SparkSession,
     url: str,
@@ -38,12 +49,13 @@ def run_query(
 ) -> list[dict]:
     """Rows of a parameterised SELECT as dicts; ``?`` or ``%s`` mark the parameters.
 
-    ``tables`` names the frames the statement reads, usually from
-    ``read_table``. The rows come to the driver: meant for lookups.
+    Marks inside quotes and comments are text. ``tables`` names the frames the
+    statement reads, usually from ``read_table``. The rows come to the driver:
+    meant for lookups.
     """
     for name, frame in (tables or {}).items():
         frame.createOrReplaceTempView(name)
-    return [row.asDict() for row in spark.sql(sql.replace("%s", "?"), args=list(params)).collect()]
+    return [row.asDict() for row in spark.sql(_MARKS.sub(_mark, sql), args=list(params)).collect()]
 
 
 def write_table(

@@ -3,6 +3,7 @@
 import io
 import json
 import urllib.error
+from http.client import IncompleteRead
 from urllib.parse import parse_qsl, urlsplit
 
 import pytest
@@ -202,7 +203,9 @@ def test_http_retries_then_succeeds():
         ([status(400)], FetchError),
         ([status(500)] * 4, FetchError),
         (["{bad"], FetchError),
-        ([OSError("unreachable")], FetchError),
+        ([OSError("unreachable")] * 4, FetchError),
+        ([IncompleteRead(b"{")] * 4, FetchError),
+        ([TimeoutError("slow"), status(404)], NotFoundError),
     ],
 )
 def test_http_failures(answers, expected):
@@ -213,10 +216,23 @@ def test_http_failures(answers, expected):
     assert not net.answers
 
 
+def test_lost_answers_are_asked_for_again():
+    net = Answers(IncompleteRead(b"{"), TimeoutError("slow"), ConnectionResetError("reset"), "[1]")
+    assert net.fetcher().fetch({"movie_id": 7}) == [1]
+    assert net.slept == [0.0, 2.0, 4.0]
+
+
+def test_truncated_answers_become_a_row():
+    net = Answers(*[IncompleteRead(b"{")] * 4)
+    payload, state, error = fetch._outcome(net.fetcher(), {"movie_id": 2})
+    assert (payload, state) == (None, "error") and "IncompleteRead" in error
+
+
 def test_listing_params():
     params = listing_params(released_gte="2015-01-01", **{"vote_count_gte": 10})
     assert params["released.gte"] == "2015-01-01"
     assert params["vote_count.gte"] == 10
+    assert listing_params(a_gte_b=1)["a_gte_b"] == 1
     assert params["sort_by"] == "popularity.desc"
 
 
