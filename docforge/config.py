@@ -19,6 +19,7 @@ class Settings:
     review_char_limit: int = 4000
     chunk_size: int = 800
     chunk_overlap: int = 100
+    embedding_partitions: int = 64  # of the vector table; a changed document rewrites one
     buckets: int = 0  # above 0: tables keyed by movie_id are stored in that many buckets
 
     @classmethod

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,7 +47,16 @@ def latest(records: DataFrame, keys: Sequence[str], newest_first: Sequence[Colum
 def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``target`` with the rows of ``updates`` replacing those of equal key.
 
-    ``updates`` holds one row per key; reduce it with ``latest`` first.
+    Null keys are equal to each other. ``updates`` holds one row per key; reduce
+    it with ``latest`` first.
     """
-    kept = target.join(updates.select(*keys), list(keys), "left_anti")
-    return kept.unionByName(updates)
+    held, new = target.alias("held"), updates.alias("new")
+    same = reduce(Column.__and__, [F.col(f"held.{name}").eqNullSafe(F.col(f"new.{name}")) for name in keys])
+    return held.join(new, same, "left_anti").unionByName(updates)
+
+
+def merge_latest(
+    target: DataFrame, records: DataFrame, keys: Sequence[str], newest_first: Sequence[Column]
+) -> DataFrame:
+    """``target`` with ``records`` added; of each key the newest row stays, however late it comes."""
+    return latest(target.unionByName(records), keys, newest_first)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from datetime import datetime, timezone
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -32,7 +33,8 @@ def ingest(
     """Crawl to the bronze tables; returns rows per fetch status.
 
     Each fetch is written once and read back, so no later step calls the
-    service again. Raises when too few records could be fetched.
+    service again. Raises when too few records could be fetched; the tables of
+    the crawl before then stay as they are.
     """
     tables.ensure_namespace(spark, settings.catalog, settings.schema)
     tables.write_snapshot(reference_list(spark, genre_entries), settings.table("bronze_genres"))
@@ -41,16 +43,18 @@ def ingest(
     raw_pages = listing.fetch_pages(
         spark, open_listing, settings.discover_pages, settings.fetch_partitions, rate
     )
-    tables.write_snapshot(raw_pages, settings.table("bronze_listing"))
-    pages = listing.require_pages(listing.parse_pages(spark.table(settings.table("bronze_listing"))))
+    tables.write_snapshot(
+        raw_pages, settings.table("bronze_listing"), gate=lambda raw: listing.require_pages(listing.parse_pages(raw))
+    )
+    pages = listing.parse_pages(spark.table(settings.table("bronze_listing")))
     ids = listing.require_rows(listing.first_seen_ids(pages)).select("movie_id")
 
     target = settings.table("bronze_payloads")
     tables.write_snapshot(
         fetch.fetch_records(ids, open_details, settings.fetch_partitions, max_requests_per_second=rate),
         target,
+        gate=checks.require_success,
     )
-    checks.require_success(spark.table(target))
     return tables.collect_small(checks.status_summary(spark.table(target)), "status", "rows")
 
 
@@ -65,8 +69,8 @@ def build(spark: SparkSession, settings: Settings) -> dict[str, int]:
     parsed = spark.table(name("parsed"))
     unique = checks.keys_unique(parsed, "movie_id")
 
-    def store(table: str, df: DataFrame) -> None:
-        rows[table] = tables.write_snapshot(df, name(table), settings.buckets)
+    def store(table: str, df: DataFrame, gate: Callable | None = None) -> None:
+        rows[table] = tables.write_snapshot(df, name(table), settings.buckets, gate=gate)
 
     rows["silver_genres"] = tables.write_snapshot(
         silver.genres(spark.table(name("bronze_genres"))), name("silver_genres")
@@ -87,35 +91,55 @@ def build(spark: SparkSession, settings: Settings) -> dict[str, int]:
         documents = gold.documents(
             *(spark.table(name(table)) for table in ("silver_movies", "silver_cast", "silver_reviews"))
         )
-    store("gold_documents", documents)
-    checks.require_documents(spark.table(name("gold_documents")))
+    store("gold_documents", documents, checks.require_documents)
     return rows
 
 
 def embed_changed(spark: SparkSession, settings: Settings, open_embedder: Callable = HashingEmbedder) -> int:
     """Embed the documents whose text changed and drop superseded vectors.
 
-    Only keys are compared and written first. The planner then knows how many
-    documents changed: few are looked up by broadcast and no text is shuffled.
-    Returns the number of vectors in the new snapshot.
+    The vectors are partitioned by a hash of the movie. Keys alone are compared, of both tables; then
+    only partitions with a changed key are read and written again, and in them no
+    vector is shuffled while the stale keys are few enough to be looked up by
+    broadcast. A failure leaves the partitions as they were. Returns the number of vectors.
     """
     documents = spark.table(settings.table("gold_documents"))
     target = settings.table("movie_embeddings")
-    held = spark.table(target) if spark.catalog.tableExists(target) else None
-    todo = documents
-    if held is not None:
-        keys = documents.select(*embed.DOCUMENT_KEY)
-        changed = tables.write_barrier(embed.unembedded(keys, held), "changed")
-        todo = documents.join(changed, list(embed.DOCUMENT_KEY), "left_semi")
+    key = list(embed.DOCUMENT_KEY)
+    part = embed.partition_of("movie_id", settings.embedding_partitions)
+    if not spark.catalog.tableExists(target):
+        fresh = _embedded(documents, settings, open_embedder).withColumn("part", part)
+        fresh.write.format("parquet").partitionBy("part").saveAsTable(target)
+        return spark.table(target).count()
+
+    held = spark.table(target)
+    wanted, have = documents.select(*key), held.select(*key).distinct()
+    changed = tables.write_barrier(embed.unembedded(wanted, have).withColumn("part", part), "changed")
+    stale = tables.write_barrier(embed.unembedded(have, wanted).withColumn("part", part), "stale")
+    parts = [row.part for row in changed.select("part").union(stale.select("part")).distinct().collect()]
+    if parts:
+        todo = documents.join(changed.select(*key), key, "left_semi")
+        fresh = _embedded(todo, settings, open_embedder).withColumn("part", part)
+        kept = held.where(held["part"].isin(parts)).join(stale.select(*key), key, "left_anti")
+        rows = tables.write_barrier(kept.unionByName(fresh).select(held.columns), "embeddings")
+        tables.overwrite_partitions(rows, target)
+        filled = {row.part for row in rows.select("part").distinct().collect()}
+        for empty in set(parts) - filled:
+            spark.sql(f"ALTER TABLE {target} DROP IF EXISTS PARTITION (part = {empty})")
+        tables.drop_barrier(rows)
+    tables.drop_barrier(changed)
+    tables.drop_barrier(stale)
+    spark.catalog.refreshTable(target)
+    return spark.table(target).count()
+
+
+def _embedded(documents: DataFrame, settings: Settings, open_embedder: Callable) -> DataFrame:
     pieces = chunks.chunk_documents(
-        todo.select("movie_id", "content_hash", "doc_text"),
+        documents.select("movie_id", "content_hash", "doc_text"),
         size=settings.chunk_size,
         overlap=settings.chunk_overlap,
     )
-    fresh = embed.embed_chunks(pieces, open_embedder)
-    if held is not None:
-        fresh = embed.live_embeddings(held, documents).unionByName(fresh)
-    return tables.replace_from_itself(spark, fresh, target, settings.buckets)
+    return embed.embed_chunks(pieces, open_embedder)
 
 
 def create_application_tables(spark: SparkSession, settings: Settings) -> None:
@@ -127,11 +151,14 @@ def create_application_tables(spark: SparkSession, settings: Settings) -> None:
 
 
 def record(spark: SparkSession, table: str, records: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> int:
-    """Add ratings, watchlist entries or the like; the newest record of a key wins."""
+    """Add ratings, watchlist entries or the like; the newest record of a key wins.
+
+    That may be the one already held: a record that comes late changes nothing.
+    """
     updates = groups.latest(records, keys, order)
-    if not spark.catalog.tableExists(table):
-        return tables.write_snapshot(updates, table)
-    return tables.replace_from_itself(spark, groups.upsert(spark.table(table), updates, keys), table)
+    if spark.catalog.tableExists(table):
+        updates = groups.merge_latest(spark.table(table), updates, keys, order)
+    return tables.write_snapshot(updates, table)
 
 
 def publish(
@@ -141,12 +168,20 @@ def publish(
     table: str,
     keys: Sequence[str],
     options: Mapping[str, str] | None = None,
+    split_by: str | None = None,
+    bounds: tuple[Any, Any] | None = None,
+    partitions: int = 1,
 ) -> int:
     """Upsert rows into a serving table over JDBC; returns its new number of rows.
 
+    ``split_by``, ``bounds`` and ``partitions`` read the table over several
+    connections, as in ``jdbc.read_table``.
+
     The merged rows are written to the shared folder before the table is
     replaced, so nothing is read from a table that is being rewritten.
     """
-    target = jdbc.read_table(spark, url, table, options)
+    target = jdbc.read_table(spark, url, table, options, split_by, bounds, partitions)
     merged = tables.write_barrier(groups.upsert(target, updates, keys), "publish")
-    return jdbc.write_table(merged, url, table, "overwrite", options)
+    rows = jdbc.write_table(merged, url, table, "overwrite", options)
+    tables.drop_barrier(merged)
+    return rows

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from functools import reduce
 from uuid import uuid4
 
@@ -14,33 +15,36 @@ def ensure_namespace(spark: SparkSession, catalog: str, schema: str) -> None:
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {catalog}.{schema}")
 
 
-def write_snapshot(df: DataFrame, table: str, buckets: int = 0, key: str = "movie_id") -> int:
+def write_snapshot(
+    df: DataFrame,
+    table: str,
+    buckets: int = 0,
+    key: str = "movie_id",
+    gate: Callable[[DataFrame], object] | None = None,
+) -> int:
     """Replace ``table`` and its schema by ``df``; returns the rows written.
 
+    The new snapshot is written beside the old one. ``gate`` sees it there and may
+    raise. Only then names are exchanged, and the old snapshot is dropped last: a
+    failure before leaves the old rows in place, and ``df`` may read ``table``.
+    Where a crash fell between the two renames, the next call puts the old
+    snapshot back first (``recover``).
+
     Rows are counted while they are written, with no second scan. With
     ``buckets`` above 0 later joins and aggregates on ``key`` need no shuffle;
     rows are gathered by bucket first, so each bucket becomes one file.
     """
-    seen = Observation()
-    if buckets:
-        df = df.repartition(buckets, key)
-    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").format("parquet")
-    if buckets:
-        writer = writer.bucketBy(buckets, key).sortBy(key)
-    writer.saveAsTable(table)
-    return seen.get["rows"]
-
-
-def replace_from_itself(spark: SparkSession, df: DataFrame, table: str, buckets: int = 0) -> int:
-    """Replace ``table`` by ``df`` even when ``df`` reads ``table``.
-
-    The new snapshot is written beside the old one, and then names are
-    exchanged. The old snapshot is dropped last, so a failure at any point
-    leaves it under its own name or under ``<table>__old_...``.
-    """
+    spark = df.sparkSession
+    recover(spark, table)
     mark = uuid4().hex[:8]
-    fresh, old = f"{table}__new_{mark}", f"{table}__old_{mark}"
-    rows = write_snapshot(df, fresh, buckets)
+    fresh, old = f"{table}__new_{mark}", f"{table}{_OLD}{mark}"
+    try:
+        rows = _write(df, fresh, buckets, key)
+        if gate:
+            gate(spark.table(fresh))
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+        raise
     exists = spark.catalog.tableExists(table)
     if exists:
         _rename(spark, table, old)
@@ -51,6 +55,32 @@ def replace_from_itself(spark: SparkSession, df: DataFrame, table: str, buckets:
     return rows
 
 
+_OLD = "__old_"
+
+
+def recover(spark: SparkSession, table: str) -> bool:
+    """Give a snapshot that lost its name in an interrupted exchange its name back."""
+    if spark.catalog.tableExists(table):
+        return False
+    schema, _, name = table.rpartition(".")
+    kept = [row.tableName for row in spark.sql(f"SHOW TABLES IN {schema} LIKE '{name}{_OLD}*'").collect()] if schema else []
+    if not kept:
+        return False
+    _rename(spark, f"{schema}.{kept[0]}", table)
+    return True
+
+
+def _write(df: DataFrame, table: str, buckets: int, key: str) -> int:
+    seen = Observation()
+    if buckets:
+        df = df.repartition(buckets, key)
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("parquet")
+    if buckets:
+        writer = writer.bucketBy(buckets, key).sortBy(key)
+    writer.saveAsTable(table)
+    return seen.get["rows"]
+
+
 def _rename(spark: SparkSession, table: str, name: str) -> None:
     # The new name is resolved inside the table's own catalog.
     spark.sql(f"ALTER TABLE {table} RENAME TO {'.'.join(name.split('.')[-2:])}")
@@ -65,22 +95,6 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
-SPLIT_BYTES = 128 * 2**20  # Spark's usual size of one read split
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give every core a part of an input too small to be split among them.
-
-    A Parquet file is read in parallel only by row group, so a small table in
-    one file occupies one core, however heavy the work on it. Inputs with a
-    read split or more per core are returned as they are, so what is shuffled
-    here stays below one split per core.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
-
-
 _local_roots: dict[str, str] = {}
 
 
@@ -108,7 +122,32 @@ def write_barrier(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _barriers[id(out)] = path
+    return out
+
+
+_barriers: dict[int, str] = {}
+
+
+def overwrite_partitions(written: DataFrame, table: str) -> None:
+    """Replace those partitions of ``table`` that a barrier has rows for.
+
+    The mode is a setting, and Spark takes it from no option here; it is set in a
+    session of its own, so the caller's stays as it is.
+    """
+    own = written.sparkSession.newSession()
+    own.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    rows = own.read.schema(written.schema).parquet(_barriers[id(written)])
+    rows.write.mode("overwrite").insertInto(table)
+
+
+def drop_barrier(written: DataFrame) -> None:
+    """Delete a barrier's files; nothing derived from it may run afterwards."""
+    path = _barriers.pop(id(written))
+    spark = written.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def collect_small(df: DataFrame, key: str, value: str) -> dict:

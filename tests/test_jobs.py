@@ -2,6 +2,7 @@
 
 from datetime import datetime
 from functools import partial
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -10,7 +11,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from docforge.config import Settings
-from docforge.operators import checks, gold, groups, silver
+from docforge.operators import checks, embed, gold, groups, silver
 from docforge.plans import jobs
 from docforge.schemas import APPLICATION
 from docforge.sources import jdbc, tables
@@ -91,9 +92,28 @@ def refuse():
 
 
 def test_crawl_stops_when_too_much_fails(spark, settings):
+    crawl(spark, settings, films(1, 2), [1, 2])
     bad = {**films(1, 2, 3), 4: FetchError("down")}
     with pytest.raises(checks.QualityError, match="only 3 of 4"):
         crawl(spark, settings, bad, [1, 2, 3, 4])
+    assert spark.table(settings.table("bronze_payloads")).count() == 2
+
+
+@pytest.mark.filterwarnings("ignore::docforge.operators.checks.QualityWarning")
+def test_only_partitions_with_a_changed_document_are_rewritten(spark, settings):
+    crawl(spark, settings, films(*range(1, 13)), range(1, 13))
+    jobs.build(spark, settings)
+    jobs.embed_changed(spark, settings)
+    target = settings.table("movie_embeddings")
+    before = set(spark.table(target).inputFiles())
+    crawl(spark, settings, {**films(*range(1, 12)), 3: payload(3, overview="rewritten")}, range(1, 12))
+    jobs.build(spark, settings)
+    jobs.embed_changed(spark, settings)
+    part = {row.part for row in spark.range(3, 13).where("id IN (3, 12)").select(embed.partition_of("id", 64).alias("part")).collect()}
+    changed = before ^ set(spark.table(target).inputFiles())
+    assert {int(path.split("part=")[1].split("/")[0]) for path in changed} == part
+    held = rows(spark.table(target).select("movie_id", "content_hash").distinct())
+    assert held == rows(spark.table(settings.table("gold_documents")).select("movie_id", "content_hash"))
 
 
 def test_build_of_nothing_raises(spark, settings):
@@ -106,7 +126,7 @@ def test_build_of_nothing_raises(spark, settings):
 def test_repeated_ids_take_the_merging_plans(spark, settings):
     crawl(spark, settings, films(1, 2), [1, 2])
     target = settings.table("bronze_payloads")
-    tables.replace_from_itself(spark, spark.table(target).union(spark.table(target).where("movie_id = 1")), target)
+    tables.write_snapshot(spark.table(target).union(spark.table(target).where("movie_id = 1")), target)
     written = jobs.build(spark, settings)
     assert (written["parsed"], written["silver_movie_genres"], written["gold_documents"]) == (3, 2, 3)
     assert rows(spark.table(settings.table("silver_reviews")).groupBy("movie_id").count()) == [(1, 2), (2, 1)]
@@ -122,11 +142,38 @@ def test_snapshot_replaces_rows_and_schema(spark):
     assert spark.table("spark_catalog.snap.t").columns == ["a", "b"]
     for doubled in (4, 8):
         held = spark.table("spark_catalog.snap.t")
-        assert tables.replace_from_itself(spark, held.union(held), "spark_catalog.snap.t") == doubled
+        assert tables.write_snapshot(held.union(held), "spark_catalog.snap.t") == doubled
     counts = tables.row_counts({"t": spark.table("spark_catalog.snap.t"), "u": spark.range(3)})
     assert tables.collect_small(counts, "table_name", "rows") == {"t": 8, "u": 3}
 
 
+def test_failed_rebuild_and_gate_leave_the_old_rows(spark):
+    tables.ensure_namespace(spark, "spark_catalog", "kept")
+    name = "spark_catalog.kept.t"
+    tables.write_snapshot(spark.range(3), name)
+
+    def refuse_it(df):
+        assert df.count() == 5 and spark.table(name).count() == 3
+        raise checks.QualityError("no")
+
+    with pytest.raises(checks.QualityError):
+        tables.write_snapshot(spark.range(5), name, gate=refuse_it)
+    with pytest.raises(Exception, match="broken"):
+        tables.write_snapshot(spark.range(5).select(F.raise_error(F.lit("broken")).alias("id")), name)
+    assert spark.table(name).count() == 3
+    assert [row.tableName for row in spark.sql("SHOW TABLES IN spark_catalog.kept").collect()] == ["t"]
+
+
+def test_interrupted_exchange_is_mended(spark):
+    tables.ensure_namespace(spark, "spark_catalog", "mended")
+    name = "spark_catalog.mended.t"
+    tables.write_snapshot(spark.range(3), name)
+    spark.sql(f"ALTER TABLE {name} RENAME TO mended.t__old_1")
+    assert tables.recover(spark, name) and spark.table(name).count() == 3
+    assert not tables.recover(spark, name)
+    assert tables.write_snapshot(spark.table(name).union(spark.table(name)), name) == 6
+
+
 def session_with(**conf):
     return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: conf.get(key.replace(".", "_"), default)))
 
@@ -144,13 +191,9 @@ def test_barrier_continues_from_files(spark):
     kept = tables.write_barrier(spark.range(3), "three")
     assert kept.inputFiles()[0].removeprefix("file://").startswith(tables.shared_root(spark).removeprefix("file:"))
     assert kept.count() == 3
-
-
-def test_spread_small_uses_every_core(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert tables.spread_small(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == cores
-    large = spark.range(0, 2**34, numPartitions=3)
-    assert tables.spread_small(large).rdd.getNumPartitions() == 3
+    path = kept.inputFiles()[0].removeprefix("file://")
+    tables.drop_barrier(kept)
+    assert not Path(path).parent.exists()
 
 
 # ---------------------------------------------------------------- groups
@@ -188,6 +231,19 @@ def test_recorded_ratings_keep_the_newest(spark):
     assert record(records=ratings(spark, (2, 1, 1.0, 4), (2, 1, 2.0, 3), (3, 9, 5.0, 1))) == 3
     found = rows(spark.table(app.table("ratings")).select("user_id", "movie_id", "rating"))
     assert found == [(1, 1, 4.0), (2, 1, 1.0), (3, 9, 5.0)]
+    # A late record is older than the one held; null keys are one key.
+    assert record(records=ratings(spark, (2, 1, 5.0, 2), (None, 9, 1.0, 1), (None, 9, 2.0, 2))) == 4
+    assert record(records=ratings(spark, (None, 9, 3.0, 1))) == 4
+    found = spark.table(app.table("ratings")).where("user_id IS NULL OR user_id = 2")
+    assert rows(found.select("rating"), "rating") == [(1.0,), (2.0,)]
+
+
+def test_upsert_replaces_null_keys(spark):
+    old = spark.createDataFrame([(None, 1), (1, 1)], "k int, v int")
+    new = spark.createDataFrame([(None, 2)], "k int, v int")
+    for _ in range(2):
+        old = groups.upsert(old, new, ["k"])
+    assert rows(old, "v") == [(1, 1), (None, 2)]
 
 
 # ---------------------------------------------------------------- JDBC, settings
@@ -198,6 +254,11 @@ def test_query_parameters(spark):
     query = "SELECT id, name FROM people WHERE name = %s OR id > ? ORDER BY id"
     assert jdbc.run_query(spark, query, ("a'b", 2), {"people": people}) == [{"id": 1, "name": "a'b"}, {"id": 3, "name": None}]
     assert jdbc.run_query(spark, "SELECT id FROM people WHERE id > 9", tables={"people": people}) == []
+    titles = spark.createDataFrame([(1, "%science"), (2, "?cience"), (3, "%s")], "id int, title string")
+    query = "SELECT id FROM titles WHERE title LIKE '%science%' AND id < %s -- %s is text here"
+    assert jdbc.run_query(spark, query, (9,), {"titles": titles}) == [{"id": 1}]
+    query = "SELECT id AS `%s` FROM titles WHERE title = '%s' /* %s */ AND title <> 'it''s %s' AND id = %s"
+    assert jdbc.run_query(spark, query, (3,), {"titles": titles}) == [{"%s": 3}]
 
 
 def test_jdbc_write_mode_is_checked(spark):
