@@ -101,7 +101,7 @@ def listing_page(
     include_adult: bool = False,
     **ranges: object,
 ) -> DataFrame:
-    """One page of the catalogue by popularity.
+    """One page of the catalogue by popularity; any page from 1 on.
 
     ``ranges`` are ``<column>_gte`` / ``<column>_lte`` bounds, which replace
     ``min_votes`` where they name ``vote_count``.
@@ -113,8 +113,10 @@ def listing_page(
         if side not in ("gte", "lte"):
             raise ValueError(f"unknown filter {name!r}")
         rows = rows.where(F.col(column) >= value if side == "gte" else F.col(column) <= value)
+    if page < 1:
+        raise ValueError(f"page must be at least 1 (got {page})")
     return (
         rows.orderBy(F.desc("popularity"), "movie_id")
-        .offset((check_page(page) - 1) * RESULTS_PER_PAGE)
+        .offset((page - 1) * RESULTS_PER_PAGE)
         .limit(RESULTS_PER_PAGE)
     )

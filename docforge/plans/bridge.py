@@ -22,6 +22,7 @@ from docforge.operators import checks, parse
 from docforge.sources import tables
 
 REVIEW_SPREAD = 16  # every conversation turn reviews this many movies
+ODD_ID = 9  # place on a listing page whose id is a text
 ORPHAN_GENRE = 999  # genre id that the reference list does not hold
 
 
@@ -40,12 +41,17 @@ class Layers:
 
 @lru_cache(maxsize=8)
 def layers(spark: SparkSession, folder: str) -> Layers:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     bronze = tables.write_barrier(bronze_payloads(spark, folder), "bronze")
     parsed = tables.write_barrier(parse.parse_payloads(bronze), "parsed")
     return Layers(bronze, parsed, checks.keys_unique(parsed, "movie_id"))
 
 
+def utc_text(moment: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` of a timestamp in UTC, without a look at the session's zone."""
+    seconds = F.make_dt_interval(secs=F.unix_seconds(moment).cast("decimal(18,6)"))
+    return (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + seconds).cast("string")
+
+
 def genre_id(name: Column) -> Column:
     """Stable id of a part type."""
     return (F.ascii(name) * 100 + F.length(name)).cast("long")
@@ -83,7 +89,10 @@ def bronze_payloads(spark: SparkSession, folder: str) -> DataFrame:
     fetched = status == "success"
     return whole.select(
         "movie_id",
-        F.when(fetched & (key % 50 == 7), "{bad").when(fetched, F.to_json(_payload())).alias("payload"),
+        F.when(fetched & (key % 50 == 7), "{bad")
+        .when(fetched & (key % 31 == 0), F.regexp_replace(F.to_json(_payload()), r'"runtime":(\d+)', '"runtime":"$1"'))
+        .when(fetched, F.to_json(_payload()))
+        .alias("payload"),
         status.alias("status"),
         F.when(~fetched, F.concat(status, F.lit(" "), key.cast("string"))).alias("error"),
         F.current_timestamp().alias("ingested_at"),
@@ -115,12 +124,13 @@ def _reviews(spark: SparkSession, folder: str, movies: int) -> DataFrame:
     written = F.timestamp_seconds(
         F.lit(1704067200) + F.col("conv_id") % 365 * 86400 + F.col("turn") * 60
     )
+    shown = F.concat(F.replace(utc_text(written), F.lit(" "), F.lit("T")), F.lit("Z"))
     review = F.struct(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
         F.when(F.col("role") != "system", F.col("role")).alias("author"),
         F.col("text").alias("content"),
         F.when((F.col("conv_id") + F.col("turn")) % 23 == 0, "not a time")
-        .otherwise(F.date_format(written, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+        .otherwise(shown)
         .alias("created_at"),
     )
     return (
@@ -197,23 +207,24 @@ def _payload() -> Column:
 
 
 def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as listing pages of 20, in bronze form; one late page is empty."""
+    """Events as listing pages of 20, in bronze form; one late page is empty, and one id of each page is no number."""
     events = table(spark, folder, "events")
-    page = F.floor(F.col("event_id") / 20) + 1
+    page = F.expr("event_id div 20") + 1
     last = events.select(F.max(page)).first()[0]
     item = F.struct((F.col("event_id") % 20).alias("pos"), F.col("user_id").alias("id"))
     items = F.sort_array(F.collect_set(item))
-    body = F.struct(
-        F.col("page"),
-        F.lit(last).alias("total_pages"),
-        F.when(
-            F.col("page") != empty_page(last), F.transform("items", lambda i: F.struct(i["id"].alias("id")))
-        ).alias("results"),
+    shown = F.transform(
+        "items",
+        lambda i: F.concat(F.lit('{"id":'), F.when(i["pos"] == ODD_ID, F.lit('"none"')).otherwise(i["id"].cast("string")), F.lit("}")),
+    )
+    results = F.when(F.col("page") != empty_page(last), F.concat(F.lit("["), F.array_join(shown, ","), F.lit("]")))
+    body = F.concat(
+        F.lit('{"page":'), F.col("page").cast("string"), F.lit(f',"total_pages":{last},"results":'), F.coalesce(results, F.lit("null")), F.lit("}")
     )
     return (
         events.groupBy(page.alias("page"))
         .agg(items.alias("items"))
-        .select("page", F.to_json(body).alias("payload"), F.lit("success").alias("status"))
+        .select("page", body.alias("payload"), F.lit("success").alias("status"))
     )
 
 

@@ -11,9 +11,9 @@ from docforge.plans.queries import (
     COMPARED_IDS,
     IMAGE_BASE,
     REQUEST_TEXTS,
-    REVIEW_CHARS,
-    REVIEW_LIMIT,
     SEARCHED_TITLE,
+    TIGHT_REVIEW_CHARS,
+    TIGHT_REVIEW_LIMIT,
     UPSERT_CUT,
     request_vectors,
 )
@@ -41,7 +41,7 @@ movies AS (
     CASE WHEN p_size % 3 <> 0 THEN p_brand END AS tagline, overview,
     CASE WHEN p_partkey % 11 <> 0 AND p_partkey % 23 <> 0
          THEN DATE '1990-01-01' + CAST(p_partkey % 12000 AS INTEGER) END AS release_date,
-    CASE WHEN p_partkey % 13 <> 0 THEN p_size + 60 END AS runtime_minutes,
+    CASE WHEN p_partkey % 13 <> 0 AND p_partkey % 31 <> 0 THEN p_size + 60 END AS runtime_minutes,
     p_retailprice / 100 AS vote_average, p_size AS vote_count, p_retailprice AS popularity,
     'en' AS original_language,
     CASE WHEN p_size % 2 <> 0 THEN p_size % 7 = 0 ELSE false END AS adult,
@@ -96,6 +96,8 @@ cast_lines AS (
   FROM top_cast GROUP BY movie_id
 )"""
 
+REVIEW_LIMIT, REVIEW_CHARS = 8, 4000
+
 REVIEWS = f"""{CAST},
 turns AS (
   SELECT DISTINCT (conv_id * 13 + turn * 7) % slots + copy * slots AS movie_id, conv_id || '-' || turn AS review_id,
@@ -217,6 +219,8 @@ SELECT user_id, event_type, event_id, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r
   FROM events WHERE {where}) WHERE r = 1"""
 
+NULL_KEYED = LATEST.replace("FROM events", "FROM (SELECT * REPLACE (nullif(user_id % 17, 0) AS user_id) FROM events)")
+
 FINGERPRINTED = """
 hashed AS (SELECT doc_id, sha256(text) AS content_hash FROM documents),
 embedded AS (
@@ -253,19 +257,19 @@ WITH {CRAWL} SELECT count(*) AS total, count(*) FILTER (status = 'success') AS s
   round(avg(CASE WHEN status = 'success' THEN 1.0 ELSE 0.0 END), 6) AS ratio FROM crawl""",
     "pages_first_seen_ids": """
 WITH items AS (
-  SELECT event_id // 20 + 1 AS page, user_id,
+  SELECT event_id // 20 + 1 AS page, user_id, event_id % 20 = 9 AS odd,
          row_number() OVER (PARTITION BY event_id // 20 ORDER BY event_id % 20, user_id) - 1 AS position
   FROM (SELECT DISTINCT event_id, user_id FROM events)
 ),
 stop AS (SELECT max(page) * 9 // 10 AS page FROM items)
 SELECT user_id AS movie_id, min(page) AS page,
   CAST(min(page * 1000 + position) % 1000 AS INTEGER) AS position
-FROM items WHERE page < (SELECT page FROM stop) GROUP BY user_id""",
+FROM items WHERE page < (SELECT page FROM stop) AND NOT odd GROUP BY user_id""",
     "listing_filters": f"""
 SELECT movie_id, title, popularity, vote_count FROM ({CATALOGUE})
 WHERE NOT adult AND vote_count >= 50 AND popularity <= 1000.0
 ORDER BY popularity DESC, movie_id LIMIT 20 OFFSET 20""",
-    "bronze_reference_list": f"WITH {LINKS} SELECT genre_id, name FROM genres",
+    "bronze_reference_list": "SELECT ascii(p_type) * 100 + length(p_type) AS genre_id, p_type AS name FROM part",
     "parse_props_json": """
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""",
     "parse_yield": f"""
@@ -291,6 +295,10 @@ WITH {KEYWORDS} SELECT DISTINCT movie_id, keyword_id, name FROM themes WHERE key
     "silver_reviews": f"""
 WITH {REVIEWS} SELECT movie_id, review_id, author, content,
   strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, review_rank FROM top_reviews""",
+    "silver_reviews_tight": f"""
+WITH {REVIEWS} SELECT movie_id, review_id, author, left(content, {TIGHT_REVIEW_CHARS}) AS content,
+  strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, review_rank FROM top_reviews
+WHERE review_rank < {TIGHT_REVIEW_LIMIT}""",
     "cast_line": f"WITH {CAST} SELECT * FROM cast_lines",
     "review_block": f"WITH {REVIEWS} SELECT * FROM blocks",
     "gold_documents": f"WITH {GOLD} SELECT * FROM gold",
@@ -365,6 +373,12 @@ WITH {FINGERPRINTED} SELECT * FROM embedded SEMI JOIN hashed USING (doc_id, cont
 WITH old AS ({LATEST.format(where=f"ts < TIMESTAMP '{UPSERT_CUT}'")}),
 new AS ({LATEST.format(where=f"ts >= TIMESTAMP '{UPSERT_CUT}'")})
 SELECT * FROM old ANTI JOIN new USING (user_id, event_type) UNION ALL SELECT * FROM new""",
+    "upsert_null_keys": f"""
+WITH old AS ({NULL_KEYED.format(where=f"ts < TIMESTAMP '{UPSERT_CUT}'")}),
+new AS ({NULL_KEYED.format(where=f"ts >= TIMESTAMP '{UPSERT_CUT}'")})
+SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.user_id IS NOT DISTINCT FROM old.user_id
+  AND new.event_type = old.event_type) UNION ALL SELECT * FROM new""",
+    "late_records": NULL_KEYED.format(where="true"),
     "group_exclusion": f"""
 WITH {SIZES},
 acts AS (SELECT user_id, user_id % 10 AS group_id, event_id % greatest(parts, 1) AS movie_id, event_type
@@ -384,3 +398,6 @@ ORDER BY popularity DESC, movie_id LIMIT 5""",
     "poster_urls": f"""
 SELECT page_id, CASE WHEN page_id % 4 > 1 THEN '{IMAGE_BASE}/w342/' || url END AS poster_url FROM pages""",
 }
+
+#: Plans for repeated ids give what the narrow ones give.
+ORACLES |= {f"{name}_merged": ORACLES[name] for name in ("silver_keywords", "silver_links", "silver_reviews")}

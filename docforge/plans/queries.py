@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from docforge.functions import text as T
 from docforge.functions.vectors import HashingEmbedder
 from docforge.operators import checks, chunks, embed, fetch, gold, groups, listing, parse, search, silver
-from docforge.plans.bridge import genre_entries, layers, listing_pages, table
+from docforge.plans.bridge import genre_entries, layers, listing_pages, table, utc_text
 from docforge.sources import tables
 from docforge.sources.fetchers import FetchError, NotFoundError
 
-# Limits that make both cuts bite on the driver's conversations.
-REVIEW_LIMIT = 3
-REVIEW_CHARS = 500
+# Limits that make both cuts bite on the driver's conversations, for one query; all others use the defaults.
+TIGHT_REVIEW_LIMIT = 3
+TIGHT_REVIEW_CHARS = 500
 
 REQUEST_TEXTS = ("elle nous the and", "dass und ich", "que los para con")
 IMAGE_BASE = "https://images.example/t/p"
@@ -57,7 +57,12 @@ def _crawl(spark: SparkSession, folder: str) -> DataFrame:
 
 def fetch_pages(spark: SparkSession, folder: str) -> DataFrame:
     requests = table(spark, folder, "pages").withColumnRenamed("page_id", "movie_id")
-    return fetch.fetch_records(tables.spread_small(requests), PageReplay, partitions=None)
+    return fetch.fetch_records(requests, PageReplay, partitions=_parts(spark))
+
+
+def _parts(spark: SparkSession) -> int:
+    """Tasks for work that is dear by the row: as many as the session shuffles into."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def crawl_to_bronze(spark, folder):
@@ -85,9 +90,14 @@ def success_ratio(spark, folder):
     )
 
 
+@lru_cache(maxsize=8)
+def _listing(spark: SparkSession, folder: str) -> DataFrame:
+    """Parsed once per session and folder; the stop and the ids read the written pages."""
+    return tables.write_barrier(listing.parse_pages(listing_pages(spark, folder)), "listing")
+
+
 def pages_first_seen_ids(spark, folder):
-    raw = tables.write_barrier(listing_pages(spark, folder), "listing")
-    return listing.first_seen_ids(listing.parse_pages(raw))
+    return listing.first_seen_ids(_listing(spark, folder))
 
 
 def _part_catalogue(spark, folder):
@@ -112,7 +122,8 @@ def listing_filters(spark, folder):
 
 
 def bronze_reference_list(spark, folder):
-    return genre_entries(spark, folder).distinct()
+    """The list as the service sends it, repeats and all."""
+    return genre_entries(spark, folder)
 
 
 # ---------------------------------------------------------------- parse
@@ -179,14 +190,40 @@ def silver_keywords(spark, folder):
     return silver.keywords(have.parsed, have.ids_unique)
 
 
+def silver_keywords_merged(spark, folder):
+    """The plan for repeated ids; same result."""
+    return silver.keywords(layers(spark, folder).parsed)
+
+
+def silver_links_merged(spark, folder):
+    """The plan for repeated ids; same result."""
+    return silver.genre_links(layers(spark, folder).parsed, silver_genres(spark, folder))
+
+
 def _reviews(spark, folder):
     have = layers(spark, folder)
-    return silver.reviews(have.parsed, REVIEW_LIMIT, REVIEW_CHARS, have.ids_unique)
+    return silver.reviews(have.parsed, one_row_per_id=have.ids_unique)
+
+
+def _with_written_time(reviews):
+    """``created_at`` as UTC text, whatever zone the session shows."""
+    return reviews.withColumn("created_at", utc_text(F.col("created_at")))
 
 
 def silver_reviews(spark, folder):
-    return _reviews(spark, folder).withColumn(
-        "created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")
+    return _with_written_time(_reviews(spark, folder))
+
+
+def silver_reviews_merged(spark, folder):
+    """The plan for repeated ids; same result."""
+    return _with_written_time(silver.reviews(layers(spark, folder).parsed))
+
+
+def silver_reviews_tight(spark, folder):
+    """Both cuts bite here."""
+    have = layers(spark, folder)
+    return _with_written_time(
+        silver.reviews(have.parsed, TIGHT_REVIEW_LIMIT, TIGHT_REVIEW_CHARS, have.ids_unique)
     )
 
 
@@ -205,9 +242,7 @@ def _gold_narrow(spark, folder):
     have = layers(spark, folder)
     if not have.ids_unique:
         return _gold_joined(spark, folder)
-    return gold.documents_from_parsed(
-        have.parsed, review_limit=REVIEW_LIMIT, review_char_limit=REVIEW_CHARS
-    )
+    return gold.documents_from_parsed(have.parsed)
 
 
 def _gold_joined(spark, folder):
@@ -222,11 +257,16 @@ def gold_documents_joined(spark, folder):
     return _gold_joined(spark, folder).drop("built_at")
 
 
-def gold_profile(spark, folder):
-    documents = tables.write_barrier(
+@lru_cache(maxsize=8)
+def _profiled(spark: SparkSession, folder: str) -> DataFrame:
+    """What the profile reads, built once per session and folder."""
+    return tables.write_barrier(
         _gold_narrow(spark, folder).select("content_hash", "char_length", "review_count"), "gold"
     )
-    return checks.gold_profile(documents)
+
+
+def gold_profile(spark, folder):
+    return checks.gold_profile(_profiled(spark, folder))
 
 
 def document_fingerprint_dups(spark, folder):
@@ -252,13 +292,20 @@ def table_counts(spark, folder):
 # ---------------------------------------------------------------- documents and vectors
 
 
-def _document_chunks(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id", "text")
-    return chunks.chunk_documents(tables.spread_small(documents), "text")
+def chunk_documents(spark, folder):
+    return chunks.chunk_documents(table(spark, folder, "documents").select("doc_id", "text"), "text")
+
 
+def _embedded_chunks(spark, folder):
+    """Texts are dealt out before they are cut; embedding costs far more than moving them."""
+    documents = table(spark, folder, "documents").select("doc_id", "text").repartition(_parts(spark))
+    return embed.embed_chunks(chunks.chunk_documents(documents, "text"))
 
-def chunk_documents(spark, folder):
-    return _document_chunks(spark, folder)
+
+@lru_cache(maxsize=8)
+def _vector_layer(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored vectors of all chunks, as a job stores them; embedded once per session and folder."""
+    return tables.write_barrier(_embedded_chunks(spark, folder).drop("chunk_text"), "vectors")
 
 
 def embed_chunks(spark, folder):
@@ -268,20 +315,18 @@ def embed_chunks(spark, folder):
         millionths = F.round(value.cast("double") * 1e6).cast("int")
         return F.when(value != 0, F.concat_ws(":", position.cast("string"), millionths.cast("string")))
 
-    embedded = embed.embed_chunks(_document_chunks(spark, folder))
-    return embedded.select(
+    return _embedded_chunks(spark, folder).select(
         "doc_id", "chunk_index", F.array_join(F.transform("embedding", shown), " ").alias("vector")
     )
 
 
 def semantic_search(spark, folder):
-    corpus = embed.embed_chunks(_document_chunks(spark, folder))
-    return search.search_text(corpus, REQUEST_TEXTS, HashingEmbedder, parent="doc_id")
+    return search.search_text(_vector_layer(spark, folder), REQUEST_TEXTS, HashingEmbedder, parent="doc_id")
 
 
 def _vectors(spark, folder):
     return table(spark, folder, "embeddings").select(
-        F.floor(F.col("vec_id") / 4).alias("movie_id"), "vec_id", "label", "embedding"
+        F.expr("vec_id div 4").alias("movie_id"), "vec_id", "label", "embedding"
     )
 
 
@@ -354,6 +399,22 @@ def upsert_snapshot(spark, folder):
     return _rating_columns(groups.upsert(before, after, _RATING_KEY))
 
 
+def late_records(spark, folder):
+    """Two batches of records, interleaved in time, some without a user: the newest of each key stays."""
+    events = table(spark, folder, "events").withColumn("user_id", F.expr("nullif(user_id % 17, 0)"))
+    first, second = (events.where(F.col("event_id") % 2 == side) for side in (0, 1))
+    held = groups.latest(first, _RATING_KEY, _newest())
+    return _rating_columns(groups.merge_latest(held, second, _RATING_KEY, _newest()))
+
+
+def upsert_null_keys(spark, folder):
+    """An upsert in which some keys are null: they are replaced like any other."""
+    events = table(spark, folder, "events").withColumn("user_id", F.expr("nullif(user_id % 17, 0)"))
+    cut = F.col("ts") < F.lit(UPSERT_CUT).cast("timestamp_ntz")
+    before, after = (groups.latest(events.where(side), _RATING_KEY, _newest()) for side in (cut, ~cut))
+    return _rating_columns(groups.upsert(before, after, _RATING_KEY))
+
+
 def group_exclusion(spark, folder):
     events = table(spark, folder, "events").withColumn("group_id", F.col("user_id") % 10)
     titles = max(table(spark, folder, "part").count(), 1)
@@ -409,7 +470,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         silver_cast,
         silver_cast_merged,
         silver_keywords,
+        silver_keywords_merged,
+        silver_links_merged,
         silver_reviews,
+        silver_reviews_merged,
+        silver_reviews_tight,
         cast_line,
         review_block,
         gold_documents,
@@ -428,6 +493,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         live_embeddings,
         latest_ratings,
         upsert_snapshot,
+        upsert_null_keys,
+        late_records,
         group_exclusion,
         compare_titles,
         title_search,

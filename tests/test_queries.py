@@ -3,7 +3,9 @@
 import oracle
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from docforge.plans.oracles import ORACLES
+from docforge.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -14,13 +16,13 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, db, name):
-    got = oracle.spark_result(queries()[name](spark, FOLDER))
-    want = oracle.sql_result(db, oracle_sql()[name])
+    got = oracle.spark_result(QUERIES[name](spark, FOLDER))
+    want = oracle.sql_result(db, ORACLES[name])
     assert got[0] == want[0]
     assert got[1] == want[1]
     assert got[1], "an empty result checks nothing"
