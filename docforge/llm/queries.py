@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docforge.llm import chat, jaccard, latent, mixing, quality, secrets, substring, tokens, warc, wordpiece
+from docforge.llm.oracles import ORACLES
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -85,7 +86,8 @@ def op6_secret_scans(spark, folder):
 
 
 def op7_warc(spark, folder):
-    return warc.read_archives(warc.archive(_table(spark, folder, "pages")))
+    read = warc.read_archives(warc.archive(_table(spark, folder, "pages")))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_decontamination(spark, folder):
@@ -142,4 +144,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_chat_formatting,
     )
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
