@@ -231,7 +231,11 @@ def write_file(path: str, data: bytes) -> None:
     part = f"{place}.{uuid4().hex}.part"
     with store.open_output_stream(part) as out:
         out.write(data)
-    store.move(part, place)
+    try:
+        store.move(part, place)
+    except OSError:  # some stores don't move onto a file that an earlier attempt has left
+        store.delete_file(place)
+        store.move(part, place)
 
 
 def read_file(path: str) -> bytes:
