@@ -44,8 +44,18 @@ def _documents(ends: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
 
 
+def _spread(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Names for rows that are decided already and only have to travel: each its own, so that they spread."""
+    return mix(keys.astype(np.uint64) * np.uint64(_ODD) + mix(places.astype(np.uint64) + np.uint64(1)))
+
+
 def _send_anchors(width: int):
-    """``name, key, place`` of each distinct anchor of a document; places count from the document's start."""
+    """``name, key, place, sure`` of each distinct anchor of a document; places count from the document's start.
+
+    Of a name that some neighbouring texts hold more than once, all are shared (``sure``) and go under names of
+    their own; one goes under the name, for the others elsewhere. So a name brings a row for each group of
+    texts to its task, however common it is.
+    """
 
     def send(batches):
         for batch in batches:
@@ -56,17 +66,26 @@ def _send_anchors(width: int):
                 _, name, place = anchor_keys(names, docs, width)
                 place, index = np.unique(place, return_index=True)
                 name, owner = name[index], docs[place >> 6]
-                begins = np.concatenate([[0], ends])[owner]
+                own, place = keys[first + owner], place - np.concatenate([[0], ends])[owner] * 64
+                order = np.argsort(name, kind="stable")
+                fresh = np.concatenate([[True], name[order][1:] != name[order][:-1]])[: len(order)]
+                often = np.bincount(np.cumsum(fresh) - 1, minlength=int(fresh.sum()))[np.cumsum(fresh) - 1] > 1
+                alone, sure = order[fresh], order[often]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name.view(np.int64)), pa.array(keys[first + owner]), pa.array(place - begins * 64)],
-                    ["name", "key", "place"],
+                    [
+                        pa.array(np.concatenate([name[alone], _spread(own[sure], place[sure])]).view(np.int64)),
+                        pa.array(np.concatenate([own[alone], own[sure]])),
+                        pa.array(np.concatenate([place[alone], place[sure]])),
+                        pa.array(np.arange(len(alone) + len(sure)) >= len(alone)),
+                    ],
+                    ["name", "key", "place", "sure"],
                 )
 
     return send
 
 
 def _keep_shared(batches):
-    """Rows, in the order of their name, whose name occurs again; what is held is one row."""
+    """Rows, in the order of their name, whose name occurs again or that are sure; what is held is one row."""
     held = None
     shared = False
     for batch in batches:
@@ -78,6 +97,7 @@ def _keep_shared(batches):
         keep[1:] |= same
         keep[:-1] |= same
         keep[0] |= shared and held is not None
+        keep |= batch.column("sure").to_numpy(zero_copy_only=False)
         shared = bool(keep[-1])
         held = batch.slice(len(name) - 1, 1)
         yield batch.select(["key", "place"]).filter(pa.array(keep[:-1].tolist() + [False]))
@@ -86,7 +106,11 @@ def _keep_shared(batches):
 
 
 def _send_windows(width: int):
-    """``name, check, key, tie, start`` of each window whose anchor is shared."""
+    """``name, check, key, tie, start, sure`` of each window whose anchor is shared.
+
+    A window that has an earlier equal among neighbouring texts is decided there (``sure``) and goes under a name of
+    its own; only the first of each name competes with those of other tasks.
+    """
 
     def send(batches):
         for batch in batches:
@@ -107,23 +131,26 @@ def _send_windows(width: int):
                 if not len(window):
                     continue
                 owner = docs[window]
-                check = window_hashes(mix(names + np.uint64(_ODD)), width)
+                name = window_hashes(names, width)[window]
+                check = window_hashes(mix(names + np.uint64(_ODD)), width)[window]
+                place = (keys[first + owner], ties[first + owner], window - begins[owner])
+                order = np.lexsort((*place[::-1], check, name))
+                name, check, (key, tie, start) = name[order], check[order], (column[order] for column in place)
+                fresh = np.ones(len(name), bool)
+                fresh[1:] = (name[1:] != name[:-1]) | (check[1:] != check[:-1])
+                least = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+                sure = (key != key[least]) | (tie != tie[least]) | (start != start[least])
+                name = np.where(sure, _spread(key ^ tie, start), name)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(window_hashes(names, width)[window].view(np.int64)),
-                        pa.array(check[window].view(np.int64)),
-                        pa.array(keys[first + owner]),
-                        pa.array(ties[first + owner]),
-                        pa.array(window - begins[owner]),
-                    ],
-                    ["name", "check", "key", "tie", "start"],
+                    [pa.array(name.view(np.int64)), pa.array(check.view(np.int64)), pa.array(key), pa.array(tie), pa.array(start), pa.array(sure)],
+                    ["name", "check", "key", "tie", "start", "sure"],
                 )
 
     return send
 
 
 def _keep_later(batches):
-    """Windows, in the order of their names and places, without those at the place of the first of each name."""
+    """Windows, in the order of their names and places, that are sure or not at the place of the first of their name."""
     last = None
     for batch in batches:
         if not batch.num_rows:
@@ -134,7 +161,7 @@ def _keep_later(batches):
         goes_on = last is not None and last[:2] == (name[0], check[0])
         fresh[0] = not goes_on
         run = np.cumsum(fresh) - (0 if goes_on else 1)
-        later = np.zeros(len(name), bool)
+        later = batch.column("sure").to_numpy(zero_copy_only=False).copy()
         firsts = []
         for position, column in enumerate(place):
             first = column[fresh]
@@ -173,14 +200,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     plain = docs.select(own_key.alias("key"), F.xxhash64(value).alias("tie"), value.alias("text"))
 
     # Rows that share a key share their places too: a place more is a window more to look at.
-    sent = plain.mapInArrow(frugal(_send_anchors(width)), "name long, key long, place long")
+    sent = plain.mapInArrow(frugal(_send_anchors(width)), "name long, key long, place long, sure boolean")
     shared = sent.repartition("name").sortWithinPartitions("name").mapInArrow(frugal(_keep_shared), "key long, place long")
     places, places_path = barrier(shared.groupBy("key").agg(F.collect_set("place").alias("places")), "anchors")
     del sent, shared
     release(spark)
 
     asked = plain.join(places, "key").select("key", "tie", "text", "places")
-    windows = asked.mapInArrow(frugal(_send_windows(width)), "name long, check long, key long, tie long, start long")
+    windows = asked.mapInArrow(frugal(_send_windows(width)), "name long, check long, key long, tie long, start long, sure boolean")
     ordered = windows.repartition("name", "check").sortWithinPartitions("name", "check", "key", "tie", "start")
     later = ordered.mapInArrow(frugal(_keep_later), "key long, tie long, start long")
     repeats, _ = barrier(later.groupBy("key", "tie").agg(F.collect_set("start").alias("starts")), "repeats")
