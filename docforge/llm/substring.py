@@ -44,9 +44,10 @@ def _documents(ends: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
 
 
-def _spread(keys: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Names for rows that are decided already and only have to travel: each its own, so that they spread."""
-    return mix(keys.astype(np.uint64) * np.uint64(_ODD) + mix(places.astype(np.uint64) + np.uint64(1)))
+def _spread(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Names for rows that are decided already and only have to travel: one for 64 places of a document, so that
+    rows spread, and lie together where they are written."""
+    return mix(keys.astype(np.uint64) * np.uint64(_ODD) + (starts >> 6).astype(np.uint64))
 
 
 def _send_anchors(width: int):
@@ -70,10 +71,10 @@ def _send_anchors(width: int):
                 order = np.argsort(name, kind="stable")
                 fresh = np.concatenate([[True], name[order][1:] != name[order][:-1]])[: len(order)]
                 often = np.bincount(np.cumsum(fresh) - 1, minlength=int(fresh.sum()))[np.cumsum(fresh) - 1] > 1
-                alone, sure = order[fresh], order[often]
+                alone, sure = np.sort(order[fresh]), np.sort(order[often])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([name[alone], _spread(own[sure], place[sure])]).view(np.int64)),
+                        pa.array(np.concatenate([name[alone], _spread(own[sure], place[sure] >> 6)]).view(np.int64)),
                         pa.array(np.concatenate([own[alone], own[sure]])),
                         pa.array(np.concatenate([place[alone], place[sure]])),
                         pa.array(np.arange(len(alone) + len(sure)) >= len(alone)),
@@ -141,6 +142,12 @@ def _send_windows(width: int):
                 least = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
                 sure = (key != key[least]) | (tie != tie[least]) | (start != start[least])
                 name = np.where(sure, _spread(key ^ tie, start), name)
+                check = np.where(sure, 0, check)
+                again = np.zeros(len(name), bool)  # the same place of a row that is repeated
+                again[1:] = ~fresh[1:] & (key[1:] == key[:-1]) & (tie[1:] == tie[:-1]) & (start[1:] == start[:-1])
+                send = np.lexsort((start, key))
+                send = send[~again[send]]
+                name, check, key, tie, start, sure = (column[send] for column in (name, check, key, tie, start, sure))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(name.view(np.int64)), pa.array(check.view(np.int64)), pa.array(key), pa.array(tie), pa.array(start), pa.array(sure)],
                     ["name", "check", "key", "tie", "start", "sure"],
