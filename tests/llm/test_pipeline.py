@@ -48,7 +48,16 @@ def test_benchmark_passages_go_and_others_stay(spark, small, steps):
     items = [latent.plain_words(row.text.encode()) for row in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     before = rows(steps[2])
     leaks = {key for key, text in before.items() if any(b" ".join(item) in b" ".join(latent.plain_words(text.encode())) for item in items)}
-    assert leaks and rows(steps[3]).keys() == before.keys() - leaks
+    gone = before.keys() - rows(steps[3]).keys()
+    assert leaks and leaks <= gone
+    for key in gone - leaks:  # edited copies, e.g. with a word put in: an item stands there in order, nearly whole
+        words = latent.names_of(latent.plain_words(before[key].encode()))
+        edited = [latent.Item(0, latent.names_of(item), []) for item in items]
+        assert any(
+            latent.common_subsequence(words[at : at + 2 * len(item.words)], item.places, len(item.words)) >= 0.8 * len(item.words)
+            for item in edited
+            for at in range(0, len(words), 8)
+        )
 
 
 def test_mixture_takes_its_share(steps):
