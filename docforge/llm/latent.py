@@ -22,11 +22,13 @@ from docforge.llm.common import LOWER, frugal, mix, name_words, sql_type, text_g
 FEATURES = 8192
 RANK = 256
 OVERSAMPLE = 16
-#: Words in half a window; windows overlap by half.
+#: Words in half a passage of the fit.
 STEP = 16
-#: Items that one pass over the documents compares; the table is read in such blocks.
+#: Words in half a window; an item is compared with the narrowest windows that could hold it. Windows overlap by half.
+STEPS = (16,)
+#: Passages of items that one pass over the documents compares; the table is read in such blocks.
 ITEMS_PER_PASS = 4000
-#: Terms of each item that are features at least, however common they are.
+#: Terms of each passage of an item that are features at least, however common they are.
 RAREST = 6
 
 _TABLE = np.array([LOWER[byte] if chr(byte).isalnum() or byte > 127 or byte == 39 else 32 for byte in range(256)], np.uint8)
@@ -77,6 +79,15 @@ class Item:
     def of(cls, key, text: bytes) -> Item:
         return cls(key, names_of(plain_words(text)), names_of(answer_words(text)))
 
+    def step(self) -> int:
+        return next((step for step in STEPS if len(self.words) <= 2 * step), STEPS[-1])
+
+    def passages(self) -> list[list[int]]:
+        """All words, if a window can hold them, else passages of the widest window's size that overlap by half."""
+        step = self.step()
+        last = max(len(self.words) - 2 * step, 0)
+        return [self.words[at : at + 2 * step] for at in (*range(0, last, step), last)]
+
 
 def common_subsequence(words: list[int], places: dict[int, int], size: int) -> int:
     """Length of the longest common subsequence, one bit operation on the item per word."""
@@ -107,16 +118,17 @@ class Terms:
         hit = self.names[number] == names[at]
         return at[hit], number[hit]
 
-    def groups(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def groups(self, column: pa.Array, step: int = STEP) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For neighbouring texts together: the first one's row, all names, where each text's begin (and the end),
-        the first half window of each (and the end), and the half windows and numbers of terms."""
+        the first half window of each (and the end), and the half windows and numbers of terms. Half windows of any
+        width begin with the text, and the widest one after it is empty."""
         for first, group in text_groups(column):
             names, ends = name_words(group, _TABLE)
             begins = np.concatenate([[0], ends])
-            slots = np.concatenate([[0], np.cumsum(np.diff(begins) // STEP + 2)])
+            slots = np.concatenate([[0], np.cumsum(np.diff(begins) // STEPS[-1] + 2)]) * (STEPS[-1] // step)
             at, term = self.find(names)
             owner = np.searchsorted(ends, at, side="right")
-            yield first, names, begins, slots, slots[owner] + (at - begins[owner]) // STEP, term
+            yield first, names, begins, slots, slots[owner] + (at - begins[owner]) // step, term
 
 
 def _sums(rows: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,8 +186,9 @@ def fit_space(docs: DataFrame, text: str, items: list[Item], limits: Limits, see
     counts = document_frequencies(docs, text, known)
     total = max(int(counts[-1]), 1)
     use = counts[:-1] <= limits.common * total
-    for item in items:
-        own = np.unique(known.find(np.array(item.words, np.uint64))[1])
+    passages = [words for item in items for words in item.passages()]
+    for words in passages:
+        own = np.unique(known.find(np.array(words, np.uint64))[1])
         if use[own].sum() < RAREST:
             use[own[np.argsort(counts[own], kind="stable")[:RAREST]]] = True
     terms = Terms(known.names[use])
@@ -187,8 +200,8 @@ def fit_space(docs: DataFrame, text: str, items: list[Item], limits: Limits, see
         """Adds A' (A R) for the passages that the slots number."""
         if len(found):
             rows = random[features[found]] * weights[found, None]
-            passages, images = _sums(rows, slots)
-            back = images[np.searchsorted(passages, slots)] * weights[found, None]
+            held, images = _sums(rows, slots)
+            back = images[np.searchsorted(held, slots)] * weights[found, None]
             order = np.argsort(features[found], kind="stable")
             held, sums = _sums(back[order], features[found][order])
             into[held] += sums
@@ -222,22 +235,39 @@ def fit_space(docs: DataFrame, text: str, items: list[Item], limits: Limits, see
     image = np.zeros_like(random, dtype=np.float64)
     for row in summed.collect():  # FEATURES / _BAND rows
         image[row.band * _BAND : (row.band + 1) * _BAND] += np.frombuffer(row.sums, "<f4").reshape(_BAND, -1)
-    for item in items:
-        found = terms.find(np.array(item.words, np.uint64))[1]
+    for words in passages:
+        found = terms.find(np.array(words, np.uint64))[1]
         product(np.zeros(len(found), np.int64), found, image)
     left, values, _ = np.linalg.svd(image, full_matrices=False)
     basis = left[:, :RANK] * np.sqrt(np.divide(1, values[:RANK], out=np.zeros(RANK), where=values[:RANK] > 1e-9 * values[0]))
     return Space(terms, (basis[features] * weights[:, None]).astype(np.float32))
 
 
-def candidates(windows: np.ndarray, queries: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows and items whose cosine reaches the limit: one matrix product for the whole group."""
-    lengths = np.linalg.norm(windows, axis=1)
-    sizes = np.linalg.norm(queries, axis=1)
-    dots = windows @ queries.T
-    near = (dots >= limits.cosine * lengths[:, None] * sizes) & (dots >= limits.share * sizes * sizes) & (sizes > 0)
-    window, item = np.nonzero(near)
-    return window, item, dots[window, item] / np.maximum(lengths[window] * sizes[item], 1e-12)
+class Queries:
+    """The passages of the items that windows of one width are compared with."""
+
+    def __init__(self, space: Space, items: list[Item], step: int):
+        own = [(number, words) for number, item in enumerate(items) if item.step() == step for words in item.passages()]
+        vectors = np.array([space.place(words) for _, words in own], np.float32)
+        lengths = np.linalg.norm(vectors, axis=1)
+        use = lengths > 0
+        self.step = step
+        self.items = np.array([number for number, _ in own], np.int64)[use]
+        self.lengths = lengths[use]
+        self.scaled = np.ascontiguousarray((vectors[use] / self.lengths[:, None] ** 2).T)
+        self.fill = np.sqrt(np.array([len(words) / (2 * step) for _, words in own]))[use]
+
+    def candidates(self, windows: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows and items that come near, and their cosine: one matrix product for all windows."""
+        shares = windows @ self.scaled  # of the passage's own length
+        window, query = np.divmod(np.flatnonzero(shares >= limits.share), max(len(self.items), 1))
+        cosine = shares[window, query] * self.lengths[query] / np.maximum(np.linalg.norm(windows, axis=1)[window], 1e-12)
+        near = cosine >= limits.cosine * self.fill[query]
+        return window[near], self.items[query[near]], cosine[near]
+
+
+#: Windows times passages that are compared at a time.
+CELLS = 1 << 23
 
 
 MATCHES = "array<struct<item_id:long,item_words:long,lcs:long,answer_lcs:long,cosine:double>>"
@@ -258,26 +288,30 @@ def verify(words: list[int], item: Item, limits: Limits) -> tuple[int, int] | No
 def _scan_block(rows: DataFrame, text: str, items: list[Item], limits: Limits) -> DataFrame:
     docs = rows.select(F.col(f"row.{text}").alias(text))
     space = fit_space(docs, text, items, limits)
-    queries = np.array([space.place(item.words) for item in items], np.float32)
+    queries = [Queries(space, items, step) for step in sorted({item.step() for item in items})]
 
     def search(batches):
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("item_words", pa.int64()), ("lcs", pa.int64()), ("answer_lcs", pa.int64()), ("cosine", pa.float64())]))
         for batch in batches:
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for first, names, begins, ends, slots, terms in space.terms.groups(batch.column("text")):
+            for first, names, begins, ends, slots, terms in space.terms.groups(batch.column("text"), queries[0].step):
                 if not len(terms):
                     continue
                 used, sums = _sums(space.vectors[terms], slots)
-                halves = np.zeros((int(ends[-1]) + 1, queries.shape[1]), np.float32)
+                halves = np.zeros((int(ends[-1]), sums.shape[1]), np.float32)
                 halves[used] = sums
-                for low in range(0, len(halves) - 1, 65536):
-                    high = min(low + 65536, len(halves) - 1)
-                    collect(halves[low:high] + halves[low + 1 : high + 1], low, first, names, begins, ends, found)
+                for wide in queries:
+                    ratio = wide.step // queries[0].step
+                    own = halves.reshape(-1, ratio, halves.shape[1]).sum(axis=1) if ratio > 1 else halves
+                    size = max(CELLS // max(len(wide.items), 1), 1)
+                    for low in range(0, len(own) - 1, size):
+                        high = min(low + size, len(own) - 1)
+                        collect(own[low:high] + own[low + 1 : high + 1], wide, low, first, names, begins, ends // ratio, found)
             out = [sorted(own, key=lambda match: (match["item_id"] is None, match["item_id"] or 0)) for own in found]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("matches"), pa.array(out, kind)], ["row", "matches", "more"])
 
-    def collect(windows, low, first, names, begins, ends, found):
-        window, item, cosine = candidates(windows, queries, limits)
+    def collect(windows, wide, low, first, names, begins, ends, found):
+        window, item, cosine = wide.candidates(windows, limits)
         best: dict[tuple[int, int], list] = {}
         owner = np.searchsorted(ends, window + low, side="right") - 1
         for own, slot, number, value in zip(owner.tolist(), (window + low - ends[owner]).tolist(), item.tolist(), cosine.tolist(), strict=True):
@@ -285,9 +319,10 @@ def _scan_block(rows: DataFrame, text: str, items: list[Item], limits: Limits) -
         for (own, number), places in best.items():
             one = items[number]
             size = len(one.words)
-            for value, slot in sorted(places, reverse=True):
-                middle = int(begins[own]) + slot * STEP
-                near = names[max(middle - size, begins[own]) : min(middle + 2 * STEP + size, begins[own + 1])].tolist()
+            reach = size + max(STEP, wide.step)
+            for slot, value in sorted(dict((slot, value) for value, slot in sorted(places)).items(), key=lambda place: -place[1]):
+                middle = int(begins[own]) + (slot + 1) * wide.step
+                near = names[max(middle - reach, begins[own]) : min(middle + reach, begins[own + 1])].tolist()
                 decided = verify(near, one, limits)
                 if decided:
                     known = found[first + own]
@@ -301,14 +336,16 @@ def _scan_block(rows: DataFrame, text: str, items: list[Item], limits: Limits) -
 
 
 def blocks_of(benchmark: DataFrame, key: str, text: str, size: int = ITEMS_PER_PASS) -> Iterator[list[Item]]:
-    """The stated query set in blocks of bounded size; items without words are left out."""
+    """The stated query set in blocks of about ``size`` passages; items without words are left out."""
     block: list[Item] = []
+    held = 0
     for row in benchmark.select(F.col(key).cast("long"), F.col(text).cast("string")).toLocalIterator():
         if row[1] and plain_words(row[1].encode()):
             block.append(Item.of(row[0], row[1].encode()))
-        if len(block) == size:
+            held += len(block[-1].passages())
+        if held >= size:
             yield block
-            block = []
+            block, held = [], 0
     if block:
         yield block
 

@@ -51,6 +51,34 @@ def test_query_recall_against_brute_force(spark, small, document_rows):
     assert len(got - want) <= 0.1 * len(want) + 1
 
 
+def planted(rng, vocabulary, sizes, edits, per, clean=0):
+    """Texts with one item each, its words before the answer edited in part; the items; and the size of each pair's item."""
+    sentence = lambda n: rng.choices(vocabulary, k=n)
+    items, texts, pairs_of = [], [], {}
+    for low, high in sizes:
+        for share in edits:
+            for _ in range(per):
+                item = sentence(rng.randint(low, high))
+                body = len(item) - max(1, len(item) // 5)
+                leak = list(item)
+                for at in rng.sample(range(body), round(share * body)):
+                    leak[at] = rng.choice(vocabulary)
+                words = sentence(rng.randint(50, 300))
+                at = rng.randint(0, len(words))
+                words[at:at] = leak
+                pairs_of[len(texts), len(items)] = (low, high)
+                items.append(" ".join(item))
+                texts.append(" ".join(words))
+    return texts + [" ".join(sentence(200)) for _ in range(clean)], items, pairs_of
+
+
+def test_long_items_are_found_whole(spark, make_docs):
+    rng = random.Random(3)
+    vocabulary = [f"w{n:x}q" for n in range(8000)]
+    texts, items, want = planted(rng, vocabulary, [(65, 65), (200, 200), (300, 300), (1000, 1000)], [0, 0.2], 4, clean=60)
+    assert pairs(latent.scan(make_docs(texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))) == set(want)
+
+
 def test_common_subsequence_equals_the_table():
     rng = random.Random(2)
     for _ in range(200):
