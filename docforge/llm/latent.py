@@ -25,7 +25,7 @@ OVERSAMPLE = 16
 #: Words in half a passage of the fit.
 STEP = 16
 #: Words in half a window; an item is compared with the narrowest windows that could hold it. Windows overlap by half.
-STEPS = (16,)
+STEPS = (4, 8, 16, 32)
 #: Passages of items that one pass over the documents compares; the table is read in such blocks.
 ITEMS_PER_PASS = 4000
 #: Terms of each passage of an item that are features at least, however common they are.
@@ -36,8 +36,8 @@ _TABLE = np.array([LOWER[byte] if chr(byte).isalnum() or byte > 127 or byte == 3
 
 @dataclass(frozen=True)
 class Limits:
-    cosine: float = 0.5  # a window this near to an item is checked
-    share: float = 0.2  # and holds at least this part of the item's own length in the space
+    cosine: float = 0.35  # a window this near to a passage of its own size is checked; less near to a smaller one
+    share: float = 0.15  # and holds at least this part of the passage's own length in the space
     same: float = 0.8  # common subsequence, of the item's words, that decides alone
     paraphrase: float = 0.6  # that decides with the answer
     answer: float = 0.6  # of the answer's words, in order

@@ -79,6 +79,26 @@ def test_long_items_are_found_whole(spark, make_docs):
     assert pairs(latent.scan(make_docs(texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))) == set(want)
 
 
+def test_paraphrase_recall_against_the_verdict_of_all_windows(spark, make_docs):
+    rng = random.Random(4)
+    vocabulary = [f"w{n:x}q" for n in range(8000)]
+    bands = [(5, 8), (9, 16), (17, 32), (33, 60)]
+    texts, items, own = planted(rng, vocabulary, bands, [0.2, 0.3, 0.4], 12, clean=100)
+    limits = latent.Limits()
+    names = [latent.names_of(latent.plain_words(text.encode())) for text in texts]
+    want = {band: set() for band in bands}
+    for number, text in enumerate(items):
+        item = latent.Item.of(number, text.encode())
+        band = next(band for band in bands if len(item.words) <= band[1])
+        reach = len(item.words) + 16
+        for key, words in enumerate(names):
+            if latent.verify(words, item, limits) and any(latent.verify(words[max(at - reach, 0) : at + reach], item, limits) for at in range(0, len(words) + 1, 4)):
+                want[band].add((key, number))
+    got = pairs(latent.scan(make_docs(texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")))
+    assert set(own) <= set().union(*want.values())
+    assert {band: len(pairs & got) / len(pairs) for band, pairs in want.items() if len(pairs & got) < 0.9 * len(pairs)} == {}
+
+
 def test_common_subsequence_equals_the_table():
     rng = random.Random(2)
     for _ in range(200):
