@@ -32,11 +32,11 @@ FROM docs LEFT JOIN cut USING (doc_id)"""
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-JACCARD = f"""
-WITH RECURSIVE docs AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS ws FROM documents),
+_SIMILAR = """
+WITH RECURSIVE docs AS (SELECT doc_id, {words} AS ws FROM documents),
 shingles AS (
-  SELECT DISTINCT doc_id, array_to_string(ws[s:s + 4], ' ') AS body
-  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS s FROM docs WHERE len(ws) > 0)
+  SELECT DISTINCT doc_id, array_to_string(ws[s:s + {shingle} - 1], ' ') AS body
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) + 2 - {shingle}, 2))) AS s FROM docs WHERE len(ws) > 0)
 ),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 common AS (
@@ -44,12 +44,15 @@ common AS (
   FROM shingles a JOIN shingles b ON a.body = b.body AND a.doc_id < b.doc_id GROUP BY ALL
 ),
 links AS (
-  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)
 ),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(a, b) AS (SELECT doc_id, doc_id FROM docs UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id
-FROM docs LEFT JOIN sizes USING (doc_id)"""
+SELECT *{more} FROM (
+  SELECT doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id FROM docs LEFT JOIN sizes USING (doc_id))"""
+
+JACCARD = _SIMILAR.format(words=_WORDS.format(text=_LOWER), shingle=5, percent=75, more="")
+MINHASH = _SIMILAR.format(words=_WORDS.format(text=_LOWER), shingle=4, percent=80, more=", component_id = doc_id AS kept")
 
 _FAILED = " + ".join(f"CASE WHEN {rule.fails} THEN {quality.BIT[rule.name]} ELSE 0 END" for rule in quality.RULES)
 
@@ -119,10 +122,85 @@ joined AS (
 SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
   CAST(size AS BIGINT) AS formatted_chars FROM joined"""
 
+# Of each distance, the places where five words and the five behind that distance agree form islands; an island is a
+# maximal pair, and the least distance of a stretch its period.
+_CRC = """xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: CAST(ascii((doc_id::VARCHAR)[i]) AS BIGINT)),
+  lambda c, x: list_reduce([xor(c, x)] || range(0, 8), lambda b, i: xor(b >> 1, 3988292384 * (b & 1)))), 4294967295)"""
+
+PERIODS = f"""
+WITH plain AS (SELECT doc_id, {_WORDS.format(text="text")} AS ws FROM documents),
+drawn AS (SELECT doc_id, ws, CAST(len(ws) AS BIGINT) AS n, {_CRC} AS h FROM plain),
+placed AS (SELECT *, (h // 10) % greatest(n, 1) AS a, h // 10 % 8 AS k FROM drawn),
+docs AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN ws[:a] || list_transform(range(a, n), lambda i: ws[a + (i - a) % (1 + (n - a) // (3 + k)) + 1]) ELSE ws END AS ws FROM placed
+),
+grams AS (
+  SELECT doc_id, s - 1 AS place, n, array_to_string(ws[s:s + 4], ' ') AS body FROM (SELECT *, unnest(range(1, n - 3)) AS s FROM docs WHERE n >= 6)
+),
+often AS (SELECT * FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, body) > 1),
+pairs AS (
+  SELECT x.doc_id, x.place, y.place - x.place AS gap FROM often x JOIN often y
+  ON x.doc_id = y.doc_id AND x.body = y.body AND y.place > x.place AND y.place - x.place <= x.n // 4
+),
+islands AS (
+  SELECT doc_id, gap, min(place) AS start, count(*) + 4 + gap AS length
+  FROM (SELECT *, place - row_number() OVER (PARTITION BY doc_id, gap ORDER BY place) AS island FROM pairs) GROUP BY doc_id, gap, island
+),
+runs AS (
+  SELECT doc_id, start, length, min(gap) AS period FROM islands WHERE length >= greatest(6, 4 * gap) GROUP BY ALL
+),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id
+),
+best AS (SELECT * FROM runs r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, n)) AS place FROM docs),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS place FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS body FROM words ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, CAST(length AS BIGINT) AS length, period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256, n AS n_words
+FROM docs LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+INTERACTIONS = f"""
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_WORDS.format(text="text")} AS ws FROM documents),
+failed AS (
+  SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad,
+    CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS f
+  FROM docs LEFT JOIN labels USING (doc_id)
+),
+cells AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad FROM failed GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+),
+steps AS (
+  SELECT filter_order, CAST(s AS INTEGER) AS step, filter_order[s] AS l, 1 << (ascii(filter_order[s]) - 65) AS bit,
+    coalesce(list_sum(list_transform(range(1, s), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0)::INTEGER AS before FROM orders, range(1, 6) t(s)
+),
+judged AS (
+  SELECT part, filter_order, step, l, n, good, bad, f & bit <> 0 AS mine, f & before <> 0 AS gone, f = bit AS alone FROM cells, steps
+),
+counted AS (
+  SELECT part, filter_order, step, l, coalesce(sum(n) FILTER (NOT mine AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (mine AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (mine AND gone), 0) AS redundant, coalesce(sum(n) FILTER (mine AND alone), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mine AND NOT gone), 0) AS good_lost, coalesce(sum(bad) FILTER (mine AND NOT gone), 0) AS toxic_lost
+  FROM judged GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, l) AS BIGINT) AS shapley
+FROM counted"""
+
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING,
     "op2_jaccard_join": JACCARD,
     "op4_quality_rules": QUALITY,
     "op7_warc": WARC,
     "op10_chat_formatting": CHAT,
+    "op11_periodic_runs": PERIODS,
+    "op12_filter_interactions": INTERACTIONS,
+    "op13_minhash_dedup": MINHASH,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docforge.llm import chat, jaccard, latent, mixing, quality, secrets, substring, tokens, warc, wordpiece
+from docforge.llm import chat, interactions, jaccard, latent, minhash, mixing, periodic, quality, secrets, substring, tokens, warc, wordpiece
 from docforge.llm.oracles import ORACLES
 
 VOCABULARY = "word_bpe_49k.json"
@@ -129,6 +129,49 @@ def op10_chat_formatting(spark, folder):
     )
 
 
+def planted_periods(key: F.Column, text: F.Column) -> F.Column:
+    """The text, of which a tenth of the documents repeat a stretch of their own words up to the end."""
+    name = F.crc32(key.cast("string"))
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda word: word != "")
+
+    def repeat(words):
+        n, g = F.size(words).cast("long"), F.floor(name / 10)
+        start = g % n
+        period = 1 + F.floor((n - start) / (3 + g % 8))
+        tail = F.transform(F.sequence(start, n - 1), lambda i: F.get(words, (start + (i - start) % period).cast("int")))
+        return F.array_join(F.concat(F.slice(words, 1, start.cast("int")), tail), " ")
+
+    # the array is bound once, by a one-element transform
+    planted = F.transform(F.array(words), lambda ws: F.when(F.size(ws) > 0, repeat(ws)).otherwise(text))[0]
+    return F.when((name % 10 == 0) & text.isNotNull(), planted).otherwise(text)
+
+
+def op11_periodic_runs(spark, folder):
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    planted = documents.withColumn("text", planted_periods(F.col("doc_id"), F.col("text")))
+    found = periodic.find_runs(planted)
+    return found.select(
+        "row.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "strongest.start",
+        "strongest.length",
+        "strongest.period",
+        F.expr("(1000 * strongest.length) div strongest.period").alias("exponent_milli"),
+        periodic.digest().alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+def op12_filter_interactions(spark, folder):
+    return interactions.audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op13_minhash_dedup(spark, folder):
+    found = minhash.similar_components(_table(spark, folder, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -142,6 +185,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontamination,
         op9_token_counts,
         op10_chat_formatting,
+        op11_periodic_runs,
+        op12_filter_interactions,
+        op13_minhash_dedup,
     )
 }
 

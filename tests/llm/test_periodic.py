@@ -1,0 +1,114 @@
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from llm import brute
+
+from docforge.llm import periodic
+from docforge.llm.queries import op11_periodic_runs, planted_periods
+
+
+def runs(words):
+    """Runs by trying every period at every place."""
+    out = set()
+    for period in range(1, len(words) // 4 + 1):
+        at = 0
+        while at + period < len(words):
+            start = at
+            while at + period < len(words) and words[at] == words[at + period]:
+                at += 1
+            length = at - start + period
+            at += at == start
+            if length >= max(6, 4 * period):
+                stretch = words[start : start + length]
+                if not any(stretch[less:] == stretch[:-less] for less in range(1, period)):
+                    out.add((start, length, period))
+    return sorted(out, key=lambda run: (run[0], run[2]))
+
+
+def collapsed(words, found):
+    gone = {place for start, length, period in found for place in range(start + period, start + length)}
+    return [word for place, word in enumerate(words) if place not in gone]
+
+
+def expected(text):
+    words = brute.words_of(text)
+    found = runs(words)
+    best = max(found, key=lambda run: (run[1] / run[2], -run[0], -run[2]), default=None)
+    return len(words), found, best, b" ".join(collapsed(words, found)).decode()
+
+
+def got(rows):
+    return [(row.n_words, [tuple(run) for run in row.runs], row.strongest and tuple(row.strongest), row.collapsed) for row in rows]
+
+
+def periodic_text(rng, letters):
+    words = []
+    while len(words) < rng.randint(0, 120):
+        words += [str(rng.randrange(letters)) for _ in range(rng.randint(1, 8))] * rng.randint(1, 9)
+        words += [str(rng.randrange(letters)) for _ in range(rng.randint(0, 5))]
+    return words * rng.choice([1, 1, 1, 4])
+
+
+@pytest.mark.parametrize("letters", [1, 2, 3, 9])
+def test_runs_equal_brute_force(letters):
+    rng = random.Random(letters)
+    for _ in range(120):
+        texts = [periodic_text(rng, letters) for _ in range(rng.randint(1, 4))]
+        names = np.array([7 + 3 * int(word) for words in texts for word in words], np.uint64)
+        found = periodic.runs_of(names, np.cumsum([len(words) for words in texts]))
+        assert [tuple(row) for row in found.tolist()] == [(number, *run) for number, words in enumerate(texts) for run in runs(words)]
+
+
+def test_other_lengths_and_exponents():
+    words = np.array([1, 2] * 3 + [5] + [1] * 4, np.uint64)
+    assert periodic.runs_of(words, np.array([11]), 6, 3).tolist() == [[0, 0, 6, 2]]
+    assert periodic.runs_of(words, np.array([11]), 4, 4).tolist() == [[0, 7, 4, 1]]
+    with pytest.raises(ValueError, match="three periods"):
+        periodic.runs_of(words, np.array([11]), 4, 2)
+
+
+def test_odd_texts_and_clashing_columns(spark):
+    rng = random.Random(4)
+    texts = [None, "", " \n\t", "a", "a " * 5, "a " * 6, "x\x0by " * 4, "É é " * 9, " ".join(periodic_text(rng, 2)), "b " * 300_000, "c" * 2_000_000]
+    rows = [(text, number, "x") for number, text in enumerate(texts)] * 2 + [("a " * 6, None, None)]
+    docs = spark.createDataFrame(rows, "text string, runs long, row string")
+    found = periodic.find_runs(docs).collect()
+    assert [tuple(row.row) for row in found] == rows
+    short = [number for number, row in enumerate(rows) if len(row[0] or "") < 10_000]
+    assert got([found[number] for number in short]) == [expected(rows[number][0]) for number in short]
+    assert got([found[9]]) == [(300_000, [(0, 300_000, 1)], (0, 300_000, 1), "b")]
+    assert periodic.find_runs(docs.limit(0)).collect() == []
+
+
+def planted(key, words):
+    name = zlib.crc32(str(key).encode())
+    if name % 10 or not words:
+        return words
+    g, n = name // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def test_planted_periods(spark):
+    texts = [None, "", "  ", "one", "one two", "a b c d e f g h i\nj", " ".join(map(str, range(400)))]
+    rows = [(key, text) for key in range(-3, 90) for text in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = docs.select(planted_periods(docs["doc_id"], docs["text"]).alias("text")).collect()
+    assert [brute.words_of(row.text) for row in made] == [planted(key, brute.words_of(text)) for key, text in rows]
+
+
+def test_query_equals_brute_force(spark, small, document_rows):
+    want = {}
+    for key, text in document_rows:
+        words = planted(key, brute.words_of(text))
+        found = runs(words)
+        best = max(found, key=lambda run: (run[1] / run[2], -run[0], -run[2]), default=(None,) * 3)
+        lines = "".join(f"{start},{length},{period}\n" for start, length, period in found)
+        exponent = 1000 * best[1] // best[2] if found else None
+        kept = hashlib.sha256(b" ".join(collapsed(words, found))).hexdigest()
+        want[key] = (len(found), *best, exponent, hashlib.sha256(lines.encode()).hexdigest(), kept, len(words))
+    assert {row[0]: tuple(row)[1:] for row in op11_periodic_runs(spark, small).collect()} == want
