@@ -77,7 +77,7 @@ def components(links: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``a, b`` links: the label is the least node of its component.
 
     Chunks of links are contracted in their tasks, then large and small stars tie the chunks together, until
-    nothing changes; one chunk alone is done at once. Each round is written to the shared folder. Links of a node with
+    nothing changes; where there is but one chunk, nothing is left to tie. Each round is written to the shared folder. Links of a node with
     itself are dropped; no links give no rows.
     """
     spark = links.sparkSession
@@ -94,3 +94,19 @@ def components(links: DataFrame) -> DataFrame:
         remove(spark, after_path)
     nodes = current.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return nodes.union(current.select("b", "b").distinct())
+
+
+def labelled(rows: DataFrame, labels: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
+    """Each row with its node's label; a node without links is its own."""
+    named = labels.select(F.col("node").alias(node), F.col("label").alias(label))
+    return rows.join(named, node, "left").withColumn(label, F.coalesce(label, node))
+
+
+def join_more(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more ``a, b`` links between nodes."""
+    between = labelled(labelled(links, labels, "a", "x"), labels, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    above, _ = barrier(components(between), "above")
+    known = labels.select("node", "label").join(above.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
+    moved = known.select("node", F.coalesce("top", "label").alias("label"))
+    fresh = above.join(labels.select("node"), "node", "left_anti")
+    return barrier(moved.union(fresh.select("node", "label")), "labels")[0]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from docforge.llm import parity
 from docforge.llm.common import LOWER, barrier, frugal, join_hashes, mix, name_words, text_groups, texts_of, window_hashes
-from docforge.llm.components import components
+from docforge.llm.components import components, join_more, labelled
 
 SHINGLE = 4
 #: Similarity is at least OVER / UNDER.
@@ -173,33 +173,6 @@ def _confirmed(docs: DataFrame, key: str, text: str, pairs: DataFrame) -> DataFr
     return barrier(both.mapInArrow(frugal(check), "a long, b long").distinct(), "links")[0]
 
 
-def _labelled(rows: DataFrame, labels: DataFrame, node: str = "node", label: str = "label") -> DataFrame:
-    """Each row with its node's label; a node without links is its own."""
-    named = labels.select(F.col("node").alias(node), F.col("label").alias(label))
-    return rows.join(named, node, "left").withColumn(label, F.coalesce(label, node))
-
-
-def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``node, label`` after more links."""
-    between = _labelled(_labelled(links, labels, "a", "x"), labels, "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    above, _ = barrier(components(between), "above")
-    known = labels.select("node", "label").join(above.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
-    moved = known.select("node", F.coalesce("top", "label").alias("label"))
-    fresh = above.join(labels.select("node"), "node", "left_anti")
-    return barrier(moved.union(fresh.select("node", "label")), "labels")[0]
-
-
-def _open(spokes: DataFrame, labels: DataFrame) -> DataFrame:
-    """``sign, n_sign, node`` of the buckets that links leave apart, each set of members once."""
-    apart = _labelled(_labelled(spokes.where("n_sign > 2"), labels), labels, "center", "of").where("label <> of")
-    open_, _ = barrier(apart.select("sign").distinct(), "open")
-    members = spokes.join(open_, "sign", "left_semi")
-    print_ = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print")
-    once = members.groupBy("sign").agg(F.max("n_sign").alias("n"), print_).groupBy("n", "print").agg(F.min("sign").alias("sign"))
-    once, _ = barrier(once.select("sign"), "once")
-    return members.join(once, "sign", "left_semi").select("sign", "n_sign", "node")
-
-
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, n_shingles, component, kept`` for each row: components of similarity 4/5 or more.
 
@@ -220,29 +193,18 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     heads = named.where(F.col("n") >= LEAST).join(own, ["first", "second", "doc"]).dropDuplicates(["first", "second", "doc"])
     sets, _ = barrier(heads.select("node", "n", "bands", "parity"), "sets")
     entries = sets.select("node", F.explode("bands").alias("sign"))
-    centers, _ = barrier(entries.groupBy("sign").agg(F.min("node").alias("center"), F.count("*").alias("n_sign")).where("n_sign > 1"), "centers")
+    centers, _ = barrier(entries.groupBy("sign").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1").select("sign", "center"), "centers")
     spokes, _ = barrier(entries.join(centers, "sign").where("node <> center"), "spokes")
     stars, _ = barrier(parity.filter_pairs(spokes.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), sets, OVER, UNDER), "stars")
     labels, _ = barrier(components(_confirmed(docs, key, text, stars)), "labels")
 
-    members, _ = barrier(_labelled(_open(spokes, labels), labels).join(sets.select("node", "n", "parity"), "node"), "members")
-    blocks = parity.in_blocks(members)
-    forest, _ = barrier(parity.possible_links(blocks, OVER, UNDER, spanning=True), "forest")
-    links = _confirmed(docs, key, text, forest.select("a", "b").distinct())
-    labels = _joined(labels, links)
-
-    # A forest with a pair that is no link may hide one: its block is looked through once more, all pairs of it.
-    doubtful, _ = barrier(forest.join(links, ["a", "b"], "left_anti").select("sign", "i", "j").distinct(), "doubtful")
-    again = _labelled(blocks.drop("label").join(doubtful, ["sign", "i", "j"], "left_semi"), labels)
-    rest = parity.possible_links(again.select("sign", "i", "j", "own", "node", "label", "n", "parity"), OVER, UNDER, spanning=False)
-    rest, _ = barrier(rest.select("a", "b").distinct().join(links, ["a", "b"], "left_anti"), "rest")
-    labels = _joined(labels, _confirmed(docs, key, text, rest))
+    labels = parity.between_spokes(spokes, labels, sets, OVER, UNDER, lambda pairs: _confirmed(docs, key, text, pairs))
 
     # Documents hang on nodes. One that hangs on several, or is a node itself, has several texts under its id and ties their nodes together.
     hanging = placed.select(F.col("doc").alias("a"), F.col("node").alias("b"))
     several = hanging.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a").union(hanging.join(classes.select(F.col("node").alias("a")), "a", "left_semi").select("a"))
-    labels = _joined(labels, hanging.join(several.distinct(), "a", "left_semi"))
-    hung = _labelled(placed, labels).groupBy("doc").agg(F.min("label").alias("of"))
+    labels = join_more(labels, hanging.join(several.distinct(), "a", "left_semi"))
+    hung = labelled(placed, labels).groupBy("doc").agg(F.min("label").alias("of"))
     marked = profiles.select("doc", "n").join(hung, "doc", "left").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
     component = F.when(F.col("n") > 0, F.coalesce("of", "label", "doc")).otherwise(F.col("doc"))
     return marked.select("doc", F.col("n").alias("n_shingles"), component.alias("component"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))

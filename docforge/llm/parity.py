@@ -6,12 +6,15 @@ by ``d`` bits at most, so pairs whose bits differ by more than a link allows are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docforge.llm.common import frugal
+from docforge.llm.common import barrier, frugal
+from docforge.llm.components import join_more, labelled
 
 #: Bits for each name, at least; twice as many at most. Sets of up to 1 / SHARE of each other's size are compared bit by bit.
 BITS = 8
@@ -145,3 +148,39 @@ def possible_links(blocks: DataFrame, over: int, under: int, spanning: bool) ->
 
     ordered = blocks.repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j")
     return ordered.mapInArrow(frugal(compare), "sign long, i int, j int, a long, b long")
+
+
+def open_members(spokes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``sign, n_sign, node``: the members, without its center, of each group that labels leave apart.
+
+    ``spokes`` has ``sign, center, node``. A pair that many groups share is looked at once, and groups of the same members count as one.
+    """
+    pairs = spokes.select("center", "node").distinct()
+    apart = labelled(labelled(pairs, labels), labels, "center", "of").where("label <> of").select("center", "node")
+    apart, _ = barrier(apart, "apart")
+    signs, _ = barrier(spokes.join(apart, ["center", "node"], "left_semi").select("sign").distinct(), "open")
+    members = spokes.join(signs, "sign", "left_semi").select("sign", "node").distinct()
+    print_ = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print")
+    counted = members.groupBy("sign").agg(F.count("*").alias("n_sign"), print_).where("n_sign > 1")
+    once, _ = barrier(counted.groupBy("n_sign", "print").agg(F.min("sign").alias("sign")).select("sign", "n_sign"), "once")
+    return members.join(once, "sign")
+
+
+def between_spokes(spokes: DataFrame, labels: DataFrame, sets: DataFrame, over: int, under: int, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``labels`` after the links between two spokes of a star, which no star can see.
+
+    ``spokes`` has ``sign, center, node``, each of whose pairs of center and node was tested before; ``sets`` has
+    ``node, n, parity``; ``confirm`` gives the links among pairs, written. Groups that labels leave apart are looked through in blocks.
+    Each block gives a forest of possible links. A forest with a pair that is no link may hide one: its block is looked through once more, all pairs of it.
+    """
+    named, _ = barrier(labelled(sets.select("node", "n", "parity"), labels), "named")
+    members, _ = barrier(open_members(spokes, labels).join(named, "node"), "members")
+    blocks = in_blocks(members)
+    forest, _ = barrier(possible_links(blocks, over, under, spanning=True), "forest")
+    links = confirm(forest.select("a", "b").distinct())
+    labels = join_more(labels, links)
+    doubtful, _ = barrier(forest.join(links, ["a", "b"], "left_anti").select("sign", "i", "j").distinct(), "doubtful")
+    again = labelled(blocks.drop("label").join(doubtful, ["sign", "i", "j"], "left_semi"), labels)
+    rest = possible_links(again.select("sign", "i", "j", "own", "node", "label", "n", "parity"), over, under, spanning=False)
+    rest, _ = barrier(rest.select("a", "b").distinct().join(links, ["a", "b"], "left_anti"), "rest")
+    return join_more(labels, confirm(rest))
