@@ -2,16 +2,20 @@
 
 Equal sets form a class first, and only classes are joined. Classes that share a signature of which one is
 a probe are candidates. They are tested along stars, then the components so found leave only pairs
-between different components to test; those are compared in blocks of a bucket.
+between different components to test; those are looked for in blocks of a bucket, by parity bits.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docforge.llm import parity
 from docforge.llm import shingles as S
 from docforge.llm.common import barrier, frugal, release, remove, text_groups, texts_of
 from docforge.llm.components import components
@@ -21,21 +25,31 @@ COUNTED = 1_000_000
 REPORTED = 20_000
 FREQUENT = 50_000
 FREQUENT_SHARE = 0.002
-#: Members of a bucket that are compared with as many others at once.
-BLOCK = 512
 #: Bits of the filter that spares most texts the way to the verification. A full filter spares fewer.
 FILTER_BITS = 1 << 24
 SEEN = 1_000_000
-SHORT_BLOCK = 200_000
 
 _CLASS_BITS = 61
 
 
-def class_of(names: np.ndarray, choice: int) -> tuple[int, int, int]:
-    """A class key of 61 bits, and the 128 bits that it is taken from."""
-    first, second = S.print_of(names)
-    value = (first, second, first ^ second)[choice]
-    return value & (1 << _CLASS_BITS) - 1, first, second
+@dataclass(frozen=True)
+class Keys:
+    """Class keys: the low bits of a set's first 64, or an alias where another set has the same."""
+
+    bits: int = _CLASS_BITS
+    aliases: dict[tuple[int, int], int] = field(default_factory=dict)
+
+    def of(self, names: np.ndarray) -> int:
+        both = S.print_of(names)
+        return self.aliases.get(both, both[0] & (1 << self.bits) - 1)
+
+    def added(self, rows: DataFrame) -> DataFrame:
+        """``rows`` of ``first, second`` with their ``class``."""
+        plain = F.col("first").bitwiseAND(F.lit((1 << self.bits) - 1))
+        if not self.aliases:
+            return rows.withColumn("class", plain)
+        known = rows.sparkSession.createDataFrame([(*both, key) for both, key in self.aliases.items()], "first long, second long, alias long")
+        return rows.join(known, ["first", "second"], "left").withColumn("class", F.coalesce("alias", plain)).drop("alias")
 
 
 def _sets(column: pa.Array):
@@ -51,7 +65,7 @@ def _among(names: np.ndarray, ranked: np.ndarray) -> np.ndarray:
 
 
 def _profile(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``kind`` 0: ``key, tie, n, first, second, cells`` of each document; 1: shingle ``first`` and its count ``n`` in a task."""
+    """``kind`` 0: ``key, tie, n, first, second, parity`` of each document; 1: shingle ``first`` and its count ``n`` in a task."""
 
     def profile(batches):
         seen, held, size, counts, total = set(), [], 0, {}, 0
@@ -70,7 +84,7 @@ def _profile(docs: DataFrame, key: str, text: str) -> DataFrame:
             rows = []
             for names in _sets(batch.column("text")):
                 first, second = S.print_of(names)
-                rows.append((len(names), first, second, S.cells_of(names)))
+                rows.append((len(names), first, second, parity.parity_of(names)))
                 total += 1
                 if len(seen) < SEEN and first not in seen:
                     seen.add(first)
@@ -79,8 +93,8 @@ def _profile(docs: DataFrame, key: str, text: str) -> DataFrame:
                     if size >= COUNTED:
                         count()
                         size = 0
-            n, first, second, cells = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield _batch([0] * len(rows), batch.column("key"), batch.column("tie"), n, first, second, cells)
+            n, first, second, bits = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield _batch([0] * len(rows), batch.column("key"), batch.column("tie"), n, first, second, bits)
         if held:
             count()
         least = max(2, FREQUENT_SHARE * total)
@@ -89,12 +103,12 @@ def _profile(docs: DataFrame, key: str, text: str) -> DataFrame:
         none = pa.nulls(len(top), pa.int64())
         yield _batch([1] * len(top), none, none, [counts[name] for name in top], names, [0] * len(top), [None] * len(top))
 
-    def _batch(kind, keys, ties, n, first, second, cells):
-        columns = [pa.array(kind, pa.int8()), keys, ties, pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(cells, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["kind", "key", "tie", "n", "first", "second", "cells"])
+    def _batch(kind, keys, ties, n, first, second, bits):
+        columns = [pa.array(kind, pa.int8()), keys, ties, pa.array(n, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(bits, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "key", "tie", "n", "first", "second", "parity"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("tie"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(frugal(profile), "kind byte, key long, tie long, n long, first long, second long, cells binary")
+    return rows.mapInArrow(frugal(profile), "kind byte, key long, tie long, n long, first long, second long, parity binary")
 
 
 def _frequent(profiles: DataFrame) -> np.ndarray:
@@ -105,23 +119,26 @@ def _frequent(profiles: DataFrame) -> np.ndarray:
     return np.sort(np.array(names, np.int64).view(np.uint64))
 
 
-def _choice(members: DataFrame) -> int:
-    """The first way to take keys from prints by which no two sets share one."""
-    columns = [F.col("first"), F.col("second"), F.col("first").bitwiseXOR(F.col("second"))]
-    for choice, column in enumerate(columns):
-        key = column.bitwiseAND(F.lit((1 << _CLASS_BITS) - 1))
-        sets = members.select("first", "second", key.alias("class")).distinct()
-        if not sets.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-            return choice
-    raise ValueError("no key tells all sets apart")
-
+def _keys(members: DataFrame, bits: int = _CLASS_BITS) -> Keys:
+    """Keys that tell all sets of ``members`` (``first, second``) apart.
 
-def _class_column(choice: int):
-    column = [F.col("first"), F.col("second"), F.col("first").bitwiseXOR(F.col("second"))][choice]
-    return column.bitwiseAND(F.lit((1 << _CLASS_BITS) - 1))
-
-
-def _entries(docs: DataFrame, text: str, choice: int, frequent: np.ndarray) -> DataFrame:
+    Sets that share their low bits get aliases: of ``n`` sets about ``n ** 2 / 2 ** 62`` pairs do, 540 of 5 x 10^10 sets, so the
+    list of aliases is short, and it is drawn anew until no alias meets another set.
+    """
+    plain, _ = barrier(Keys(bits).added(members.select("first", "second").distinct()), "prints")
+    shared = plain.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
+    rows = plain.join(shared, "class", "left_semi").select("first", "second").collect()
+    seed = 0
+    while rows:
+        drawn = {(row["first"], row["second"]): xxhash.xxh3_64_intdigest(b"%d %d" % tuple(row), seed=seed) >> 64 - _CLASS_BITS for row in rows}
+        seed += 1
+        met = plain.where(F.col("class").isin(*drawn.values())).limit(1).count()
+        if len(set(drawn.values())) == len(rows) and not met:
+            return Keys(bits, drawn)
+    return Keys(bits)
+
+
+def _entries(docs: DataFrame, text: str, class_of: Keys, frequent: np.ndarray) -> DataFrame:
     """``sign, entry``: signatures of all sets; an entry is the role above the class. A task emits a set once."""
 
     def emit(batches):
@@ -132,7 +149,7 @@ def _entries(docs: DataFrame, text: str, choice: int, frequent: np.ndarray) -> D
                 for names in S.shingle_sets(group):
                     if not len(names):
                         continue
-                    key = class_of(names, choice)[0]
+                    key = class_of.of(names)
                     if key in seen:
                         continue
                     if len(seen) < SEEN:
@@ -184,30 +201,13 @@ def _ordered(a: str, b: str):
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _compare_cells(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
-    """Row by row: whether sizes and cells leave a link possible. Both are bounds, so no link is lost."""
-    small, large = np.minimum(n_left, n_right), np.maximum(n_left, n_right)
-    apart = np.abs(left.astype(np.int16) - right.astype(np.int16)).sum(axis=-1, dtype=np.int64)
-    return (small * S.UNDER >= S.OVER * large) & (apart <= (n_left + n_right) * (S.UNDER - S.OVER) // (S.UNDER + S.OVER))
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), S.CELLS)
-
-
-def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that pass the bounds."""
-    side = lambda name: classes.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("cells").alias(f"cells_{name}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"least(n_a, n_b) * {S.UNDER} >= {S.OVER} * greatest(n_a, n_b)")
-
-    def check(batches):
-        for batch in batches:
-            if batch.num_rows:
-                n_a, n_b = (batch.column(name).to_numpy() for name in ("n_a", "n_b"))
-                keep = pa.array(_compare_cells(_matrix(batch.column("cells_a")), _matrix(batch.column("cells_b")), n_a, n_b))
-                yield batch.select(["a", "b"]).filter(keep)
-
-    return sized.select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(frugal(check), "a long, b long")
+def _filled(places: DataFrame) -> np.ndarray:
+    """A filter of ``FILTER_BITS`` bits with those at ``p`` set."""
+    words = places.groupBy((F.col("p") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    for part in words.collect():  # FILTER_BITS / 64 rows at most
+        bits[part.word] = part.bits
+    return bits
 
 
 def _texts(docs: DataFrame, key: str, text: str, members: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -217,10 +217,7 @@ def _texts(docs: DataFrame, key: str, text: str, members: DataFrame, wanted: Dat
     """
     chosen = wanted.join(members, "class").select("class", F.col("doc").alias("key"))
     place = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
-    words = chosen.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for part in words.collect():  # FILTER_BITS / 64 rows at most
-        bits[part.word] = part.bits
+    bits = _filled(chosen.select(place.alias("p")))
 
     def keep(batches):
         for batch in batches:
@@ -234,7 +231,7 @@ def _texts(docs: DataFrame, key: str, text: str, members: DataFrame, wanted: Dat
     return near.join(chosen, near["key"].eqNullSafe(chosen["key"])).select("class", "text")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, choice: int) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, class_of: Keys) -> DataFrame:
     """The pairs whose sets, made anew from the texts, are linked."""
 
     def check(batches):
@@ -246,7 +243,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, choice: int) -> DataFrame:
                     known.clear()
                 names = next(S.shingle_sets(pa.array([value], pa.binary())))
                 # A key may stand for several rows; a text of another class gives no set.
-                known[key] = names if len(names) and class_of(names, choice)[0] == key else None
+                known[key] = names if len(names) and class_of.of(names) == key else None
             return known[key]
 
         for batch in batches:
@@ -266,94 +263,28 @@ def _verify(pairs: DataFrame, texts: DataFrame, choice: int) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b").mapInArrow(frugal(check), "a long, b long").distinct()
 
 
-def _blocks(stars: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of a bucket, one of them a probe, that stars left in different components and bounds allow.
-
-    Buckets of the same members are compared once. Members are dealt to blocks, each pair of
-    blocks is a group of its own, and only pairs that pass the bounds leave it.
-    """
-    spokes = stars.where("center IS NOT NULL")
-    counted = spokes.groupBy("sign").agg(F.count("*").alias("n"), F.sum(F.xxhash64("center", "member", "probes").cast("decimal(38,0)")).alias("sum"), F.min("center").alias("center"))
-    once = counted.where("n > 1").groupBy("n", "sum").agg(F.min("sign").alias("sign"), F.first("center").alias("center"))
-    rows = once.select("sign", F.col("center").alias("class"), F.lit(True).alias("probes"), "n").union(
-        spokes.join(once.select("sign", "n"), "sign").select("sign", F.col("member").alias("class"), "probes", "n")
-    )
-    marked = rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    mixed = marked.groupBy("sign").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("sign")
-    open_ = marked.join(mixed, "sign").join(classes.select("class", F.col("n").alias("size"), "cells"), "class")
-    blocks = F.ceil((F.col("n") + 1) / BLOCK).cast("int")
-    dealt = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grouped = spread.select("sign", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "probes", "label", "size", "cells")
-
-    def compare(batches):
-        key, held = None, []
-        for batch in batches:
-            keys = np.stack([batch.column(name).to_numpy().astype(np.int64) for name in ("sign", "i", "j")], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for start, stop in zip(cuts, cuts[1:], strict=False):
-                own = tuple(keys[start].tolist())
-                if key is not None and own != key:
-                    yield pairs_of(pa.Table.from_batches(held), key)
-                    held = []
-                key = own
-                held.append(batch.slice(start, stop - start))
-        if held:
-            yield pairs_of(pa.Table.from_batches(held), key)
-
-    def pairs_of(table, key):
-        table = table.combine_chunks()
-        own, known, probes, label, size = (table[name].to_numpy() for name in ("own", "class", "probes", "label", "size"))
-        cells = _matrix(table["cells"].combine_chunks())
-        low, high = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
-        left, right = [], []
-        for at in low.tolist():
-            others = high[(label[high] != label[at]) & (probes[high] | probes[at])]
-            if key[1] == key[2]:
-                others = others[others > at]
-            if len(others):
-                fits = others[_compare_cells(cells[others], cells[at], size[others], size[at])]
-                left.append(np.full(len(fits), known[at]))
-                right.append(known[fits])
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    ordered = grouped.repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j")
-    return ordered.mapInArrow(frugal(compare), "a long, b long").distinct()
-
-
-def _short_pairs(docs: DataFrame, text: str, choice: int, short: DataFrame) -> DataFrame:
+def _short_pairs(docs: DataFrame, text: str, class_of: Keys, short: DataFrame) -> DataFrame:
     """Candidates of sets whose allocation fell short: all sets that hold one of their first shingles.
 
-    The shingles asked for are read in blocks of bounded size; each block is one pass over all texts.
+    One pass over all texts emits the shingles that pass a filter of fixed size; the join decides.
     """
-    spark = docs.sparkSession
-    found = spark.createDataFrame([], "a long, b long")
-    block: list[int] = []
-
-    def asked(names):
-        wanted = np.sort(np.array(names, np.int64).view(np.uint64))
+    place = F.pmod(F.col("sign"), F.lit(FILTER_BITS))
+    bits = _filled(short.select(place.alias("p")))
 
-        def emit(batches):
-            for batch in batches:
-                signs, keys = [], []
-                for have in _sets(batch.column("text")):
-                    hits = np.intersect1d(have, wanted)
-                    if len(hits):
-                        signs.append(hits)
-                        keys.append(np.full(len(hits), class_of(have, choice)[0], np.int64))
-                if signs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs).view(np.int64)), pa.array(np.concatenate(keys))], ["sign", "class"])
-
-        held = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(frugal(emit), "sign long, class long").distinct()
-        return short.join(held, "sign").where("member <> class").select(*_ordered("member", "class"))
+    def emit(batches):
+        for batch in batches:
+            signs, keys = [], []
+            for have in _sets(batch.column("text")):
+                at = (have & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                hits = have[(bits[at >> 6] >> (at & 63)) & 1 == 1]
+                if len(hits):
+                    signs.append(hits)
+                    keys.append(np.full(len(hits), class_of.of(have), np.int64))
+            if signs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs).view(np.int64)), pa.array(np.concatenate(keys))], ["sign", "class"])
 
-    for row in short.select("sign").distinct().toLocalIterator():
-        block.append(row["sign"])
-        if len(block) == SHORT_BLOCK:
-            found, block = found.union(asked(block)), []
-    return (found.union(asked(block)) if block else found).distinct()
+    held = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(frugal(emit), "sign long, class long").distinct()
+    return short.join(held, "sign").where("member <> class").select(*_ordered("member", "class")).distinct()
 
 
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -367,53 +298,47 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     profiles, _ = barrier(_profile(docs, key, text), "profiles")
     documents = profiles.where("kind = 0")
-    choice = _choice(documents.where("n > 0"))
+    named = documents.where("n > 0")
+    class_of = _keys(named)
     frequent = _frequent(profiles)
-    keyed = documents.where("n > 0").withColumn("class", _class_column(choice))
-    classes, _ = barrier(keyed.groupBy("class").agg(F.min("key").alias("doc"), F.first("n").alias("n"), F.first("cells").alias("cells")), "classes")
+    classes, _ = barrier(class_of.added(named).groupBy("class").agg(F.min("key").alias("doc"), F.first("n").alias("n"), F.first("parity").alias("parity")), "classes")
+    sets = classes.select(F.col("class").alias("node"), "n", "parity")
 
-    stars, _ = barrier(_stars(_entries(docs, text, choice, frequent)), "stars")
+    stars, _ = barrier(_stars(_entries(docs, text, class_of, frequent)), "stars")
     release(spark)
-    first = stars.where("center IS NOT NULL").select(*_ordered("center", "member")).distinct()
+    spokes = stars.where("center IS NOT NULL").select("sign", "center", F.col("member").alias("node"))
+    first = spokes.select(*_ordered("center", "node")).distinct()
     short = stars.where("center IS NULL").select("sign", "member")
     if short.limit(1).count():
-        first = first.union(_short_pairs(docs, text, choice, short)).distinct()
-    tested, _ = barrier(_possible(first, classes), "pairs")
+        first = first.union(_short_pairs(docs, text, class_of, short)).distinct()
+    tested, _ = barrier(parity.filter_pairs(first, sets, S.OVER, S.UNDER), "pairs")
     del first
-    links, links_path = _tested(docs, key, text, classes, tested, choice)
-    labels = components(links)
-
-    second, _ = barrier(_blocks(stars, labels, classes).join(tested, ["a", "b"], "left_anti"), "pairs")
-    more, more_path = _tested(docs, key, text, classes, second, choice)
-    name = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
-    between = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
-    above = components(between).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    placed = (
-        classes.select("class", "doc")
-        .join(labels.withColumnRenamed("node", "class"), "class", "left")
-        .withColumn("label", F.coalesce("label", "class"))
-        .join(above, "label", "left")
-        .withColumn("top", F.coalesce("top", "label"))
-    )
+
+    def confirm(pairs):
+        return _tested(docs, key, text, classes, pairs, class_of)
+
+    labels, _ = barrier(components(confirm(tested)), "labels")
+    labels = parity.between_spokes(spokes, labels, sets, S.OVER, S.UNDER, confirm)
+    placed = classes.select("class", "doc").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("top", F.coalesce("label", "class"))
     least = placed.groupBy("top").agg(F.min("doc").alias("component"))
     placed = placed.join(least, "top").select("class", "component")
-    remove(spark, links_path), remove(spark, more_path)
     return (
-        documents.withColumn("class", F.when(F.col("n") > 0, _class_column(choice)))
+        class_of.added(documents)
+        .withColumn("class", F.when(F.col("n") > 0, F.col("class")))
         .join(placed, "class", "left")
         .select("key", "tie", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
     )
 
 
-def _tested(docs, key, text, classes, pairs, choice) -> tuple[DataFrame, str]:
+def _tested(docs, key, text, classes, pairs, class_of) -> DataFrame:
     """The links among ``pairs``, written."""
     spark = docs.sparkSession
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     texts, texts_path = barrier(_texts(docs, key, text, classes.select("class", "doc"), wanted), "texts")
-    links, path = barrier(_verify(pairs, texts, choice), "links")
+    links, _ = barrier(_verify(pairs, texts, class_of), "links")
     remove(spark, texts_path)
     release(spark)
-    return links, path
+    return links
 
 
 def one_of_each_component(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

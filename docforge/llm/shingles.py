@@ -15,7 +15,7 @@ from docforge.llm.common import LOWER, join_hashes, mix, name_words, window_hash
 SHINGLE = 5
 #: Similarity is at least OVER / UNDER.
 OVER, UNDER = 3, 4
-CELLS = 256
+
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """The sorted, distinct names of each text's shingles; with fewer words, one name for them all."""
@@ -53,11 +53,6 @@ def print_of(names: np.ndarray) -> tuple[int, int]:
     return (value >> 64) - (1 << 63), (value & (1 << 64) - 1) - (1 << 63)
 
 
-def cells_of(names: np.ndarray) -> bytes:
-    """Elements in each cell, up to 255. Cells of two sets differ by no more than the sets do."""
-    return np.minimum(np.bincount((names >> np.uint64(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
-
-
 # ---------------------------------------------------------------- size bands
 
 

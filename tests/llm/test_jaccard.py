@@ -6,7 +6,8 @@ import pytest
 from llm import brute
 from llm.brute import copies
 
-from docforge.llm import jaccard, shingles
+from docforge.llm import components as C
+from docforge.llm import jaccard, parity, shingles
 from docforge.llm.components import components
 
 
@@ -65,15 +66,51 @@ def test_many_sets_together_give_the_same_signatures():
         assert sorted(zip(sign[mine].tolist(), role[mine].tolist(), strict=True)) == sorted(zip(one.tolist(), its.tolist(), strict=True))
 
 
-def test_sets_whose_allocation_falls_short_are_found(make_docs, monkeypatch):
-    monkeypatch.setattr(shingles, "allocate", lambda segments, need: None)
-    monkeypatch.setattr(jaccard, "SHORT_BLOCK", 3)
+def test_sets_whose_allocation_falls_short_are_found(spark, make_docs):
     texts = copies(5, count=40)
+    keys = jaccard.Keys()
+    sets = [(keys.of(names), names) for names in sets_of(texts) if len(names)]
+    asked = [(int(sign), key) for key, names in sets[::3] for sign in names[: len(names) // 4 + 1].view(np.int64)]
+    short = spark.createDataFrame(asked, "sign long, member long").distinct()
+    got = {(row.a, row.b) for row in jaccard._short_pairs(make_docs(texts), "text", keys, short).collect()}
+    links = {tuple(sorted((one, two))) for one, left in sets[::3] for two, right in sets if one != two and shingles.linked(left, right)}
+    assert links and links <= got
+
+
+def test_sets_that_share_a_key_are_told_apart(make_docs, monkeypatch):
+    made = jaccard._keys
+    monkeypatch.setattr(jaccard, "_keys", lambda members: made(members, bits=5))
+    texts = copies(6, count=80)
+    docs = make_docs(texts)
+    keys = made(jaccard._profile(docs, "doc_id", "text").where("kind = 0 AND n > 0"), bits=5)
+    assert len(keys.aliases) > 20
+    assert found(jaccard.similar_components(docs)) == brute.groups(list(enumerate(texts)))
+
+
+def test_links_between_spokes(make_docs, monkeypatch):
+    """Copies linked with one another but not with the one that their star starts from."""
+    monkeypatch.setattr(parity, "BLOCK", 4)
+    rng = random.Random(5)
+    base = [f"w{n}" for n in range(120)]
+    near = base[:96] + [f"v{n}" for n in range(24)]
+    texts = [" ".join(base)]
+    for _ in range(30):
+        words = list(near)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3])):
+            words[at] = f"x{rng.random()}"
+        texts.append(" ".join(words))
     assert found(jaccard.similar_components(make_docs(texts))) == brute.groups(list(enumerate(texts)))
 
 
+def test_very_long_text_and_clashing_columns(spark):
+    long = " ".join(f"w{n % 5000}" for n in range(60_000))
+    rows = [(1, long), (2, long + " one more"), (3, "q" * 1_000_000), (4, None), (5, long.upper())]
+    docs = spark.createDataFrame([(key, text, 1, "x", "y", "z") for key, text in rows], "doc_id long, text string, key int, tie string, component string, class string")
+    assert found(jaccard.similar_components(docs)) == brute.groups(rows)
+
+
 def test_large_buckets_are_compared_in_blocks(make_docs, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(parity, "BLOCK", 3)
     rng = random.Random(8)
     base = [f"w{n}" for n in range(60)]
     texts = []
@@ -106,3 +143,30 @@ def test_components_of_paths_and_stars(spark):
     got = {row.node: row.label for row in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100), 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_many_chunks_are_tied_by_stars(spark, monkeypatch, seed):
+    monkeypatch.setattr(C, "CHUNK", 7)
+    rng = random.Random(seed)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(rng.choice([25, 40, 55]))]
+    root = {node: node for link in links for node in link}
+
+    def find(node):
+        while root[node] != node:
+            node = root[node]
+        return node
+
+    for a, b in links:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    alone = {node for node in root if not any(a != b and node in (a, b) for a, b in links)}
+    got = {row.node: row.label for row in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {node: find(node) for node in root if node not in alone}
+
+
+def test_more_links_join_components(spark):
+    links = lambda pairs: spark.createDataFrame(pairs, "a long, b long")
+    labels = components(links([(1, 2), (5, 6), (8, 9)]))
+    got = {row.node: row.label for row in C.join_more(labels, links([(6, 2), (20, 9), (30, 31), (5, 6)])).collect()}
+    assert got == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8, 20: 8, 30: 30, 31: 30}
