@@ -306,11 +306,12 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     stars, _ = barrier(_stars(_entries(docs, text, class_of, frequent)), "stars")
     release(spark)
-    spokes = stars.where("center IS NOT NULL").select("sign", "center", F.col("member").alias("node"))
-    first = spokes.select(*_ordered("center", "node")).distinct()
+    spokes, _ = barrier(stars.where("center IS NOT NULL").select("center", F.col("member").alias("node")).distinct(), "spokes")
+    first = spokes.select(*_ordered("center", "node"))
     short = stars.where("center IS NULL").select("sign", "member")
     if short.limit(1).count():
-        first = first.union(_short_pairs(docs, text, class_of, short)).distinct()
+        first = first.union(_short_pairs(docs, text, class_of, short))
+    first = first.distinct()
     tested, _ = barrier(parity.filter_pairs(first, sets, S.OVER, S.UNDER), "pairs")
     del first
 

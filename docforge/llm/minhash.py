@@ -194,10 +194,9 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     sets, _ = barrier(heads.select("node", "n", "bands", "parity"), "sets")
     entries = sets.select("node", F.explode("bands").alias("sign"))
     centers, _ = barrier(entries.groupBy("sign").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1").select("sign", "center"), "centers")
-    spokes, _ = barrier(entries.join(centers, "sign").where("node <> center"), "spokes")
-    stars, _ = barrier(parity.filter_pairs(spokes.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), sets, OVER, UNDER), "stars")
+    spokes, _ = barrier(entries.join(centers, "sign").where("node <> center").select("center", "node").distinct(), "spokes")
+    stars, _ = barrier(parity.filter_pairs(spokes.select(F.col("center").alias("a"), F.col("node").alias("b")), sets, OVER, UNDER), "stars")
     labels, _ = barrier(components(_confirmed(docs, key, text, stars)), "labels")
-
     labels = parity.between_spokes(spokes, labels, sets, OVER, UNDER, lambda pairs: _confirmed(docs, key, text, pairs))
 
     # Documents hang on nodes. One that hangs on several, or is a node itself, has several texts under its id and ties their nodes together.

@@ -20,6 +20,7 @@ from docforge.llm.components import join_more, labelled
 BITS = 8
 #: Members of a group that are compared with as many others at once.
 BLOCK = 512
+_BLOCK_KEY = ("center", "kind", "i", "j")
 
 
 def parity_of(names: np.ndarray) -> bytes:
@@ -65,19 +66,28 @@ def filter_pairs(pairs: DataFrame, sets: DataFrame, over: int, under: int) -> Da
 
 
 def in_blocks(members: DataFrame) -> DataFrame:
-    """``sign, i, j, own`` and the rest of each member of a group, once for each pair of blocks ``i <= j`` that it is part of.
+    """``center, kind, i, j, own`` and the rest of each member of a group, once for each pair of blocks that it is part of.
 
-    ``members`` has ``sign, n_sign, node``: a group, how many members it has, and one of them.
+    ``members`` has ``center, node, inside`` and what goes with them; ``inside`` says that the node's label is the center's. Pairs to look at are
+    of kind 0, both outside, and kind 1, one of each. Inside members meet no other inside ones, so a group
+    of which few are outside is sent about once.
     """
-    blocks = F.ceil(F.col("n_sign") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return spread.select("sign", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "parity")
+    counted = members.groupBy("center").agg(F.count(F.when(F.col("inside"), 1)).alias("n_in"), F.count(F.when(~F.col("inside"), 1)).alias("n_out"))
+    counted, _ = barrier(counted.where("n_out > 0 AND n_in + n_out > 1"), "groups")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    dealt = members.join(counted, "center").withColumn("k_in", blocks("n_in")).withColumn("k_out", blocks("n_out"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("k_in")).otherwise(F.col("k_out"))).cast("int"))
+    place = lambda kind, i, j: F.struct(F.lit(kind).cast("int").alias("kind"), i.alias("i"), j.alias("j"))
+    up_to = lambda n, made: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), made)).otherwise(F.array().cast("array<struct<kind:int,i:int,j:int>>"))
+    own = F.col("own")
+    outside = F.concat(up_to("k_out", lambda other: place(0, F.least(own, other), F.greatest(own, other))), up_to("k_in", lambda other: place(1, own, other)))
+    spread = dealt.withColumn("at", F.explode(F.when(F.col("inside"), up_to("k_out", lambda other: place(1, other, own))).otherwise(outside)))
+    return spread.select("center", "at.kind", "at.i", "at.j", "own", "inside", "node", "label", "n", "parity")
 
 
 def _passing(rows: pa.Table, key, over: int, under: int):
     """``at, others`` for each row: those behind it, of another label, that may be linked with it."""
-    own, label, size = (rows[name].to_numpy() for name in ("own", "label", "n"))
+    own, label, size, inside = (rows[name].to_numpy() for name in ("own", "label", "n", "inside"))
     bits = rows["parity"].to_pylist()
     width = np.array([len(value) for value in bits])
     for least in np.unique(width).tolist():
@@ -87,7 +97,9 @@ def _passing(rows: pa.Table, key, over: int, under: int):
         theirs = np.concatenate([_fold(_words([bits[at]]), least // 8) for at in near.tolist()])
         for at, mask in zip(here.tolist(), mine, strict=True):
             fits = (label[near] != label[at]) & ((width[near] > least) | (near > at))
-            if key[1] != key[2]:
+            if key[1]:
+                fits &= inside[near] != inside[at]
+            elif key[2] != key[3]:
                 fits &= own[near] != own[at]
             fits &= possible(size[near], size[at], 0, over, under)
             some = np.flatnonzero(fits)
@@ -99,7 +111,7 @@ def _passing(rows: pa.Table, key, over: int, under: int):
 
 
 def possible_links(blocks: DataFrame, over: int, under: int, spanning: bool) -> DataFrame:
-    """``sign, i, j, a, b``: pairs of a block's nodes of different labels that may be linked.
+    """``center, kind, i, j, a, b``: pairs of a block's nodes of different labels that may be linked.
 
     ``spanning`` gives a forest only: no pair between labels that the block's pairs before it tie already. If all pairs of a block's forest are
     links, no other of its pairs can join anything more. Rows of a block come together and are bounded by two blocks.
@@ -108,7 +120,7 @@ def possible_links(blocks: DataFrame, over: int, under: int, spanning: bool) ->
     def compare(batches):
         key, held = None, []
         for batch in batches:
-            keys = np.stack([batch.column(name).to_numpy().astype(np.int64) for name in ("sign", "i", "j")], axis=1)
+            keys = np.stack([batch.column(name).to_numpy().astype(np.int64) for name in _BLOCK_KEY], axis=1)
             if not len(keys):
                 continue
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
@@ -143,44 +155,33 @@ def possible_links(blocks: DataFrame, over: int, under: int, spanning: bool) ->
                     left.append(node[at])
                     right.append(node[other])
         a, b = np.array(left, np.int64), np.array(right, np.int64)
-        same = [pa.array(np.full(len(a), value), kind) for value, kind in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
-        return pa.RecordBatch.from_arrays([*same, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["sign", "i", "j", "a", "b"])
+        same = [pa.array(np.full(len(a), value), kind) for value, kind in zip(key, (pa.int64(), *[pa.int32()] * 3), strict=True)]
+        return pa.RecordBatch.from_arrays([*same, pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], [*_BLOCK_KEY, "a", "b"])
 
-    ordered = blocks.repartition("sign", "i", "j").sortWithinPartitions("sign", "i", "j")
-    return ordered.mapInArrow(frugal(compare), "sign long, i int, j int, a long, b long")
+    ordered = blocks.repartition(*_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY)
+    return ordered.mapInArrow(frugal(compare), "center long, kind int, i int, j int, a long, b long")
 
 
-def open_members(spokes: DataFrame, labels: DataFrame) -> DataFrame:
-    """``sign, n_sign, node``: the members, without its center, of each group that labels leave apart.
-
-    ``spokes`` has ``sign, center, node``. A pair that many groups share is looked at once, and groups of the same members count as one.
-    """
-    pairs = spokes.select("center", "node").distinct()
-    apart = labelled(labelled(pairs, labels), labels, "center", "of").where("label <> of").select("center", "node")
-    apart, _ = barrier(apart, "apart")
-    signs, _ = barrier(spokes.join(apart, ["center", "node"], "left_semi").select("sign").distinct(), "open")
-    members = spokes.join(signs, "sign", "left_semi").select("sign", "node").distinct()
-    print_ = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("print")
-    counted = members.groupBy("sign").agg(F.count("*").alias("n_sign"), print_).where("n_sign > 1")
-    once, _ = barrier(counted.groupBy("n_sign", "print").agg(F.min("sign").alias("sign")).select("sign", "n_sign"), "once")
-    return members.join(once, "sign")
-
-
-def between_spokes(spokes: DataFrame, labels: DataFrame, sets: DataFrame, over: int, under: int, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def between_spokes(pairs: DataFrame, labels: DataFrame, sets: DataFrame, over: int, under: int, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``labels`` after the links between two spokes of a star, which no star can see.
 
-    ``spokes`` has ``sign, center, node``, each of whose pairs of center and node was tested before; ``sets`` has
-    ``node, n, parity``; ``confirm`` gives the links among pairs, written. Groups that labels leave apart are looked through in blocks.
-    Each block gives a forest of possible links. A forest with a pair that is no link may hide one: its block is looked through once more, all pairs of it.
+    ``pairs`` are the distinct ``center, node`` of all stars, each of which was tested before; ``sets`` has ``node, n, parity``;
+    ``confirm`` gives the links among pairs, written. All spokes of a center are one group, however many stars they share with it.
+    Groups that labels leave apart are looked through in blocks, each of which gives a forest of possible links. A forest with a
+    pair that is no link may hide one: its block is looked through once more, all pairs of it.
     """
     named, _ = barrier(labelled(sets.select("node", "n", "parity"), labels), "named")
-    members, _ = barrier(open_members(spokes, labels).join(named, "node"), "members")
+    marked = pairs.join(named.select("node", "label"), "node").join(named.select(F.col("node").alias("center"), F.col("label").alias("of")), "center")
+    apart, _ = barrier(marked.where("label <> of").select("center").distinct(), "apart")
+    members = marked.join(apart, "center", "left_semi").select("center", "node", (F.col("label") == F.col("of")).alias("inside"))
+    members, _ = barrier(members.join(named, "node"), "members")
     blocks = in_blocks(members)
     forest, _ = barrier(possible_links(blocks, over, under, spanning=True), "forest")
     links = confirm(forest.select("a", "b").distinct())
     labels = join_more(labels, links)
-    doubtful, _ = barrier(forest.join(links, ["a", "b"], "left_anti").select("sign", "i", "j").distinct(), "doubtful")
-    again = labelled(blocks.drop("label").join(doubtful, ["sign", "i", "j"], "left_semi"), labels)
-    rest = possible_links(again.select("sign", "i", "j", "own", "node", "label", "n", "parity"), over, under, spanning=False)
+    refuted = labelled(labelled(forest.join(links, ["a", "b"], "left_anti"), labels, "a", "x"), labels, "b", "y").where("x <> y")
+    doubtful, _ = barrier(refuted.select(*_BLOCK_KEY).distinct(), "doubtful")
+    again = labelled(blocks.drop("label").join(doubtful, list(_BLOCK_KEY), "left_semi"), labels)
+    rest = possible_links(again.select(blocks.columns), over, under, spanning=False)
     rest, _ = barrier(rest.select("a", "b").distinct().join(links, ["a", "b"], "left_anti"), "rest")
     return join_more(labels, confirm(rest))
