@@ -13,12 +13,15 @@ class Settings:
     schema: str = "catalogue"
     discover_pages: int = 25
     fetch_partitions: int = 4
+    fetch_waves: int = 8  # slices of a crawl, each committed as a whole
+    fetch_attempts: int = 3  # of a record whose failure may pass
     max_requests_per_second: int = 40
     cast_limit: int = 10
     review_limit: int = 8
     review_char_limit: int = 4000
     chunk_size: int = 800
     chunk_overlap: int = 100
+    layer_partitions: int = 64  # of each layer that refresh keeps; a changed record rewrites one
     embedding_partitions: int = 64  # of the vector table; a changed document rewrites one
     buckets: int = 0  # above 0: tables keyed by movie_id are stored in that many buckets
 

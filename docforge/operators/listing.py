@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docforge.operators.fetch import fetch_records
+from docforge.operators.fetch import fetch_records, outcome
 from docforge.schemas import LISTING
+from docforge.sources import tables
 from docforge.sources.fetchers import Fetcher
+from docforge.sources.listing_source import listing_source, read_pages
 
 # Limits of the external listing.
 RESULTS_PER_PAGE = 20
@@ -36,6 +38,34 @@ def fetch_pages(
     return raw.withColumnRenamed("movie_id", "page")
 
 
+def fetch_until_stop(
+    spark: SparkSession,
+    open_fetcher: Callable[[], Fetcher],
+    most_pages: int,
+    max_requests_per_second: float | None = None,
+) -> DataFrame:
+    """Pages in waves of doubling size, until the listing ends; bronze rows keyed by ``page``.
+
+    The waves end at page 1, 2, 4, 8 ..., so fewer than twice the pages up to the end are asked for. Each wave is
+    written before its end is looked for, and no page is asked for twice. A page that failed doesn't end the listing.
+    """
+    slots = spark.sparkContext.defaultParallelism
+    pause = slots / max_requests_per_second if max_requests_per_second else 0.0
+    source = listing_source(open_fetcher, outcome, pause)
+    done, last, ended = None, 0, False
+    while last < most_pages and not ended:
+        first, last = last + 1, min(max(2 * last, 1), most_pages)
+        wave = tables.write_barrier(read_pages(spark, source, first, last), "pages")
+        ended = not parse_pages(wave).where((F.col("status") == "success") & _ends_here()).isEmpty()
+        done = wave if done is None else done.union(wave)
+    return done
+
+
+def _ends_here():
+    """A page without results, or the last by its own count."""
+    return ~(F.coalesce(F.size("results"), F.lit(0)) > 0) | F.coalesce(F.col("page") >= F.col("total_pages"), F.lit(False))
+
+
 def parse_pages(raw: DataFrame) -> DataFrame:
     """Listing text to ``page, status, total_pages, results``; a non-integer id becomes null."""
     return raw.select("page", "status", F.from_json("payload", LISTING).alias("body")).select(

@@ -13,7 +13,6 @@ collapse before they are collected.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +22,7 @@ from docforge.sources import tables
 
 REVIEW_SPREAD = 16  # every conversation turn reviews this many movies
 ODD_ID = 9  # place on a listing page whose id is a text
+GONE_IDS = 10**9  # ids of records that only the earlier crawl has
 ORPHAN_GENRE = 999  # genre id that the reference list does not hold
 
 
@@ -39,13 +39,33 @@ class Layers:
     ids_unique: bool
 
 
-@lru_cache(maxsize=8)
+@tables.remembered
 def layers(spark: SparkSession, folder: str) -> Layers:
     bronze = tables.write_barrier(bronze_payloads(spark, folder), "bronze")
     parsed = tables.write_barrier(parse.parse_payloads(bronze), "parsed")
     return Layers(bronze, parsed, checks.keys_unique(parsed, "movie_id"))
 
 
+def earlier_payloads(bronze: DataFrame) -> DataFrame:
+    """Bronze as an earlier crawl left it: some records are missing, some read otherwise, some have gone since."""
+    key = F.col("movie_id")
+    older = F.when(key % 7 == 2, F.regexp_replace("payload", '"title":"', '"title":"Old ')).otherwise(F.col("payload"))
+    here = bronze.where(key % 9 != 4).withColumn("payload", older)
+    gone = bronze.where(key % 11 == 5).withColumn("movie_id", key + GONE_IDS)
+    return here.unionByName(gone)
+
+
+def earlier_genres(entries: DataFrame) -> DataFrame:
+    """The reference list of that time: a third of the genres was unknown, one has gone since."""
+    known = entries.where(F.col("genre_id") % 3 != 0)
+    return known.unionByName(entries.sparkSession.range(1).select(F.lit(ORPHAN_GENRE).cast("long").alias("genre_id"), F.lit("GONE").alias("name")))
+
+
+def repeated_ids(parsed: DataFrame) -> DataFrame:
+    """Parsed rows of which neighbouring records share an id, as a listing that repeats itself gives them."""
+    return parsed.withColumn("movie_id", F.expr("movie_id div 2 * 2"))
+
+
 def utc_text(moment: Column) -> Column:
     """``yyyy-MM-dd HH:mm:ss`` of a timestamp in UTC, without a look at the session's zone."""
     seconds = F.make_dt_interval(secs=F.unix_seconds(moment).cast("decimal(18,6)"))

@@ -269,7 +269,7 @@ FROM items WHERE page < (SELECT page FROM stop) AND NOT odd GROUP BY user_id""",
 SELECT movie_id, title, popularity, vote_count FROM ({CATALOGUE})
 WHERE NOT adult AND vote_count >= 50 AND popularity <= 1000.0
 ORDER BY popularity DESC, movie_id LIMIT 20 OFFSET 20""",
-    "bronze_reference_list": "SELECT ascii(p_type) * 100 + length(p_type) AS genre_id, p_type AS name FROM part",
+    "bronze_reference_list": "SELECT DISTINCT ascii(p_type) * 100 + length(p_type) AS genre_id, p_type AS name FROM part",
     "parse_props_json": """
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""",
     "parse_yield": f"""
@@ -401,3 +401,45 @@ SELECT page_id, CASE WHEN page_id % 4 > 1 THEN '{IMAGE_BASE}/w342/' || url END A
 
 #: Plans for repeated ids give what the narrow ones give.
 ORACLES |= {f"{name}_merged": ORACLES[name] for name in ("silver_keywords", "silver_links", "silver_reviews")}
+
+
+def _repeated(query: str) -> str:
+    """A query in which neighbouring records share an id."""
+    shared = ORACLES[query].replace("PARTITION BY movie_id", "PARTITION BY movie_id // 2 * 2")
+    return f"SELECT * REPLACE (movie_id // 2 * 2 AS movie_id) FROM ({shared})"
+
+
+_CHANGED = f"""
+WITH {CRAWL} SELECT p_partkey AS movie_id, CASE WHEN p_partkey % 9 = 4 THEN 'added' ELSE 'changed' END AS change FROM crawl
+WHERE status = 'success' AND (p_partkey % 9 = 4 OR p_partkey % 7 = 2 AND NOT broken AND title IS NOT NULL)
+UNION ALL SELECT p_partkey + 1000000000, 'removed' FROM crawl WHERE status = 'success' AND p_partkey % 11 = 5"""
+
+_HELD = NULL_KEYED.format(where=f"ts < TIMESTAMP '{UPSERT_CUT}'")
+_WANTED = NULL_KEYED.format(where="event_type <> 'error'")
+
+ORACLES |= {
+    "silver_links_repeated": f"SELECT DISTINCT * FROM ({_repeated('silver_links')})",
+    "silver_cast_repeated": _repeated("silver_cast"),
+    "silver_keywords_repeated": f"SELECT DISTINCT * FROM ({_repeated('silver_keywords')})",
+    "silver_reviews_repeated": _repeated("silver_reviews"),
+    "changed_records": _CHANGED,
+    **{f"refreshed_{name}": ORACLES[query] for name, query in (
+        ("links", "silver_links"), ("cast", "silver_cast"), ("keywords", "silver_keywords"), ("reviews", "silver_reviews"), ("documents", "gold_documents"))},
+    "resumed_crawl": """
+SELECT page_id AS movie_id, CASE WHEN turn = 3 THEN 'not_found' WHEN turn IN (7, 13) THEN 'error' ELSE 'success' END AS status,
+  CASE turn WHEN 3 THEN 'gone' WHEN 7 THEN 'unavailable' WHEN 13 THEN 'busy' END AS error,
+  CASE WHEN turn NOT IN (3, 7, 13) THEN url END AS url, CASE turn WHEN 11 THEN 2 WHEN 13 THEN 3 ELSE 1 END AS requests
+FROM (SELECT *, page_id % 20 AS turn FROM pages)""",
+    "listing_source_ids": ORACLES["pages_first_seen_ids"],
+    "listing_requests": """
+WITH last AS (SELECT max(event_id // 20 + 1) AS page FROM events),
+stop AS (SELECT page AS last, page * 9 // 10 AS stop FROM last)
+SELECT least(last, CAST(2 ** ceil(log2(stop)) AS BIGINT)) AS requested, stop AS used FROM stop""",
+    "publish_change_set": f"""
+SELECT coalesce(w.user_id, h.user_id) AS user_id, coalesce(w.event_type, h.event_type) AS event_type, w.event_id, w.value,
+  CASE WHEN h.event_id IS NULL THEN 'added' WHEN w.event_id IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM ({_WANTED}) w FULL JOIN ({_HELD}) h ON w.user_id IS NOT DISTINCT FROM h.user_id AND w.event_type = h.event_type
+WHERE w.event_id IS DISTINCT FROM h.event_id OR w.value IS DISTINCT FROM h.value""",
+    "published_rows": _WANTED,
+    "recorded_by_part": ORACLES["late_records"],
+}

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
-from functools import lru_cache
+from functools import partial
+from uuid import uuid4
+
+import pyarrow.compute as pc
+import pyarrow.dataset as ds
+import pyarrow.fs as pafs
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docforge.config import Settings
 from docforge.functions import text as T
 from docforge.functions.vectors import HashingEmbedder
-from docforge.operators import checks, chunks, embed, fetch, gold, groups, listing, parse, search, silver
-from docforge.plans.bridge import genre_entries, layers, listing_pages, table, utc_text
-from docforge.sources import tables
-from docforge.sources.fetchers import FetchError, NotFoundError
+from docforge.operators import changes, checks, chunks, embed, fetch, gold, groups, listing, parse, search, silver
+from docforge.plans import jobs, refresh
+from docforge.plans.bridge import earlier_genres, earlier_payloads, genre_entries, layers, listing_pages, repeated_ids, table, utc_text
+from docforge.sources import parts, tables
+from docforge.sources.fetchers import FetchError, NotFoundError, TransientError
 
 # Limits that make both cuts bite on the driver's conversations, for one query; all others use the defaults.
 TIGHT_REVIEW_LIMIT = 3
@@ -49,7 +57,7 @@ class PageReplay:
         return {"url": request["url"], "html": request["html"]}
 
 
-@lru_cache(maxsize=8)
+@tables.remembered
 def _crawl(spark: SparkSession, folder: str) -> DataFrame:
     """Fetched once per session and folder; every reader uses the written rows."""
     return tables.write_barrier(fetch_pages(spark, folder), "crawl")
@@ -76,6 +84,43 @@ def crawl_to_bronze(spark, folder):
     )
 
 
+class FlakyReplay(PageReplay):
+    """Some pages fail by rule in a way that passes, some in one that doesn't."""
+
+    def fetch(self, request):
+        turn = request["movie_id"] % 20
+        if turn == 13 or turn == 11 and not request["attempt"]:
+            raise TransientError("busy")
+        return super().fetch(request)
+
+
+@tables.remembered
+def _resumed(spark: SparkSession, folder: str) -> str:
+    """The ledger of a crawl that was cut short after three of its five slices, and then went on."""
+    ledger = f"{_scratch_schema(spark)}.fetch_ledger"
+    requests = table(spark, folder, "pages").withColumnRenamed("page_id", "movie_id")
+    run = partial(fetch.fetch_in_waves, requests, FlakyReplay, ledger, slices=5, attempts=3, partitions=_parts(spark))
+    run(most_waves=3)
+    run()
+    return ledger
+
+
+def resumed_crawl(spark, folder):
+    """Each page's answer, and how often it was asked for over both runs."""
+    ledger = spark.table(_resumed(spark, folder))
+    asked = ledger.groupBy("movie_id").agg(F.count("*").alias("requests"))
+    return fetch.answers(ledger).join(asked, "movie_id").select(
+        "movie_id", "status", "error", F.get_json_object("payload", "$.url").alias("url"), "requests"
+    )
+
+
+def _scratch_schema(spark: SparkSession) -> str:
+    """A namespace of this run in the shared folder."""
+    schema = f"docforge_{uuid4().hex[:12]}"
+    tables.ensure_namespace(spark, "spark_catalog", schema, f"{tables.shared_root(spark)}/{schema}")
+    return f"spark_catalog.{schema}"
+
+
 def fetch_status_summary(spark, folder):
     return checks.status_summary(_crawl(spark, folder))
 
@@ -90,7 +135,7 @@ def success_ratio(spark, folder):
     )
 
 
-@lru_cache(maxsize=8)
+@tables.remembered
 def _listing(spark: SparkSession, folder: str) -> DataFrame:
     """Parsed once per session and folder; the stop and the ids read the written pages."""
     return tables.write_barrier(listing.parse_pages(listing_pages(spark, folder)), "listing")
@@ -100,6 +145,42 @@ def pages_first_seen_ids(spark, folder):
     return listing.first_seen_ids(_listing(spark, folder))
 
 
+class PageFiles:
+    """Listing pages from files, as a service would answer; beyond the last page nothing is there."""
+
+    def __init__(self, path: str):
+        self.store, self.place = pafs.FileSystem.from_uri(path)
+
+    def fetch(self, request):
+        # Files are sorted by page, so all but one row group are passed over.
+        found = ds.dataset(self.place, filesystem=self.store, format="parquet").to_table(["payload"], filter=pc.field("page") == request["page"])
+        if not found.num_rows:
+            raise NotFoundError(f"no page {request['page']}")
+        return json.loads(found["payload"][0].as_py())
+
+
+@tables.remembered
+def _listing_source(spark: SparkSession, folder: str) -> DataFrame:
+    """The listing as its data source gives it, up to its end."""
+    pages = listing_pages(spark, folder)
+    path = f"{tables.shared_root(spark)}/listing-{uuid4().hex}"
+    pages.select("page", "payload").repartitionByRange(16, "page").sortWithinPartitions("page").write.option("parquet.block.size", 1 << 16).parquet(path)
+    last = spark.read.parquet(path).agg(F.max("page")).first()[0]
+    return listing.fetch_until_stop(spark, partial(PageFiles, path), int(last))
+
+
+def listing_source_ids(spark, folder):
+    """The ids of ``pages_first_seen_ids``, from pages that were asked for in waves."""
+    return listing.first_seen_ids(listing.parse_pages(_listing_source(spark, folder)))
+
+
+def listing_requests(spark, folder):
+    """How many pages were asked for, and how many the listing has up to its end."""
+    asked = _listing_source(spark, folder)
+    used = listing.until_stop(listing.parse_pages(asked))
+    return asked.agg(F.count("*").alias("requested")).crossJoin(used.agg(F.count("*").alias("used")))
+
+
 def _part_catalogue(spark, folder):
     return table(spark, folder, "part").select(
         F.col("p_partkey").alias("movie_id"),
@@ -122,8 +203,9 @@ def listing_filters(spark, folder):
 
 
 def bronze_reference_list(spark, folder):
-    """The list as the service sends it, repeats and all."""
-    return genre_entries(spark, folder)
+    """The short list of types, as the job writes it down."""
+    kinds = genre_entries(spark, folder).distinct().collect()
+    return jobs.reference_list(spark, [{"id": kind.genre_id, "name": kind.name} for kind in kinds]).select("genre_id", "name")
 
 
 # ---------------------------------------------------------------- parse
@@ -257,7 +339,7 @@ def gold_documents_joined(spark, folder):
     return _gold_joined(spark, folder).drop("built_at")
 
 
-@lru_cache(maxsize=8)
+@tables.remembered
 def _profiled(spark: SparkSession, folder: str) -> DataFrame:
     """What the profile reads, built once per session and folder."""
     return tables.write_barrier(
@@ -289,6 +371,71 @@ def table_counts(spark, folder):
     )
 
 
+# ---------------------------------------------------------------- repeated ids
+
+
+def silver_links_repeated(spark, folder):
+    return silver.genre_links(repeated_ids(layers(spark, folder).parsed), silver_genres(spark, folder))
+
+
+def silver_cast_repeated(spark, folder):
+    return silver.cast(repeated_ids(layers(spark, folder).parsed))
+
+
+def silver_keywords_repeated(spark, folder):
+    return silver.keywords(repeated_ids(layers(spark, folder).parsed))
+
+
+def silver_reviews_repeated(spark, folder):
+    return _with_written_time(silver.reviews(repeated_ids(layers(spark, folder).parsed)))
+
+
+# ---------------------------------------------------------------- changes through the layers
+
+
+@tables.remembered
+def _refreshed(spark: SparkSession, folder: str) -> Settings:
+    """Layers built from an earlier crawl, and then brought up to date with this one."""
+    schema = _scratch_schema(spark)
+    settings = Settings(schema=schema.split(".")[1], layer_partitions=_parts(spark))
+    bronze, entries = layers(spark, folder).bronze, genre_entries(spark, folder).distinct()
+    for payloads, genres in ((earlier_payloads(bronze), earlier_genres(entries)), (bronze, entries)):
+        tables.write_snapshot(payloads, settings.table("bronze_payloads"))
+        tables.write_snapshot(genres, settings.table("bronze_genres"))
+        refresh.refresh(spark, settings)
+    return settings
+
+
+def _refreshed_table(spark, folder, name):
+    return spark.table(_refreshed(spark, folder).table(name)).drop(parts.PART)
+
+
+def changed_records(spark, folder):
+    """What the ledger finds between the two crawls."""
+    bronze = layers(spark, folder).bronze
+    return changes.changed_keys(changes.payload_digests(earlier_payloads(bronze)), changes.payload_digests(bronze))
+
+
+def refreshed_links(spark, folder):
+    return _refreshed_table(spark, folder, "silver_movie_genres").select("genre_id", "movie_id")
+
+
+def refreshed_cast(spark, folder):
+    return _refreshed_table(spark, folder, "silver_cast")
+
+
+def refreshed_keywords(spark, folder):
+    return _refreshed_table(spark, folder, "silver_keywords")
+
+
+def refreshed_reviews(spark, folder):
+    return _with_written_time(_refreshed_table(spark, folder, "silver_reviews"))
+
+
+def refreshed_documents(spark, folder):
+    return _refreshed_table(spark, folder, "gold_documents").drop("built_at")
+
+
 # ---------------------------------------------------------------- documents and vectors
 
 
@@ -302,7 +449,7 @@ def _embedded_chunks(spark, folder):
     return embed.embed_chunks(chunks.chunk_documents(documents, "text"))
 
 
-@lru_cache(maxsize=8)
+@tables.remembered
 def _vector_layer(spark: SparkSession, folder: str) -> DataFrame:
     """Stored vectors of all chunks, as a job stores them; embedded once per session and folder."""
     return tables.write_barrier(_embedded_chunks(spark, folder).drop("chunk_text"), "vectors")
@@ -407,6 +554,38 @@ def late_records(spark, folder):
     return _rating_columns(groups.merge_latest(held, second, _RATING_KEY, _newest()))
 
 
+def _published(spark, folder):
+    """A serving table as it was at the cut, and as it should be: one kind of record has gone, one moved on."""
+    events = table(spark, folder, "events").withColumn("user_id", F.expr("nullif(user_id % 17, 0)"))
+    cut = F.col("ts") < F.lit(UPSERT_CUT).cast("timestamp_ntz")
+    held, wanted = (_rating_columns(groups.latest(rows, _RATING_KEY, _newest())) for rows in (events.where(cut), events.where("event_type <> 'error'")))
+    return held, wanted
+
+
+def publish_change_set(spark, folder):
+    return changes.change_set(*_published(spark, folder), _RATING_KEY)
+
+
+def published_rows(spark, folder):
+    """The serving table after its change set."""
+    held, wanted = _published(spark, folder)
+    return changes.apply_changes(held, changes.change_set(held, wanted, _RATING_KEY), _RATING_KEY)
+
+
+@tables.remembered
+def _recorded(spark: SparkSession, folder: str) -> str:
+    """Two batches of records, interleaved in time, into one table dealt by its keys."""
+    name = f"{_scratch_schema(spark)}.ratings"
+    events = table(spark, folder, "events").withColumn("user_id", F.expr("nullif(user_id % 17, 0)"))
+    for side in (0, 1):
+        jobs.record(spark, name, events.where(F.col("event_id") % 2 == side), _RATING_KEY, _newest(), _parts(spark))
+    return name
+
+
+def recorded_by_part(spark, folder):
+    return _rating_columns(spark.table(_recorded(spark, folder)))
+
+
 def upsert_null_keys(spark, folder):
     """An upsert in which some keys are null: they are replaced like any other."""
     events = table(spark, folder, "events").withColumn("user_id", F.expr("nullif(user_id % 17, 0)"))
@@ -454,10 +633,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
         crawl_to_bronze,
+        resumed_crawl,
         fetch_status_summary,
         fetch_failures,
         success_ratio,
         pages_first_seen_ids,
+        listing_source_ids,
+        listing_requests,
         listing_filters,
         bronze_reference_list,
         parse_props_json,
@@ -475,6 +657,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         silver_reviews,
         silver_reviews_merged,
         silver_reviews_tight,
+        silver_links_repeated,
+        silver_cast_repeated,
+        silver_keywords_repeated,
+        silver_reviews_repeated,
         cast_line,
         review_block,
         gold_documents,
@@ -482,6 +668,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         gold_profile,
         document_fingerprint_dups,
         table_counts,
+        changed_records,
+        refreshed_links,
+        refreshed_cast,
+        refreshed_keywords,
+        refreshed_reviews,
+        refreshed_documents,
         chunk_documents,
         embed_chunks,
         semantic_search,
@@ -495,6 +687,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         upsert_snapshot,
         upsert_null_keys,
         late_records,
+        publish_change_set,
+        published_rows,
+        recorded_by_part,
         group_exclusion,
         compare_titles,
         title_search,

@@ -32,7 +32,21 @@ BRONZE_PAYLOADS = (
     "error STRING, ingested_at TIMESTAMP NOT NULL"
 )
 
-# Tables that groups of users write to; stored next to the catalogue.
+# Every request that was made: its bronze row, whether a failure may pass, and the wave.
+FETCH_LEDGER = (
+    "movie_id BIGINT, payload STRING, status STRING, error STRING, ingested_at TIMESTAMP, "
+    "retry BOOLEAN, wave INT"
+)
+
+# Tables that groups of users write to; stored next to the catalogue, dealt by their keys.
+APPLICATION_KEYS = {
+    "users": ["user_id"],
+    "groups": ["group_id"],
+    "group_members": ["group_id", "user_id"],
+    "ratings": ["user_id", "movie_id"],
+    "watchlist_items": ["group_id", "movie_id"],
+    "recommendations": ["group_id", "movie_id"],
+}
 APPLICATION = {
     "users": "user_id BIGINT, name STRING, created_at TIMESTAMP",
     "groups": "group_id BIGINT, name STRING, created_at TIMESTAMP",

@@ -39,6 +39,10 @@ class FetchError(RuntimeError):
     """The service failed: network, status code or malformed body."""
 
 
+class TransientError(FetchError):
+    """The service failed in a way that may pass: overload, a lost connection, a timeout."""
+
+
 class NotFoundError(LookupError):
     """The service answered that the key does not exist."""
 
@@ -100,14 +104,16 @@ class HttpJsonFetcher:
                     raise NotFoundError(f"no resource at {self._url.format_map(request)}") from failed
                 if failed.code == 401:
                     raise FetchError("the service rejected the credential (401)") from failed
-                if failed.code not in RETRY_STATUS or wait is None:
+                if failed.code not in RETRY_STATUS:
                     raise FetchError(f"status {failed.code}") from failed
+                if wait is None:
+                    raise TransientError(f"status {failed.code}") from failed
                 self._sleep(_retry_after(failed, wait))
             except ValueError as failed:
                 raise FetchError(f"malformed JSON: {failed}") from failed
             except (OSError, http.client.HTTPException) as failed:  # lost connections, timeouts, truncated answers
                 if wait is None:
-                    raise FetchError(f"request failed: {failed!r}") from failed
+                    raise TransientError(f"request failed: {failed!r}") from failed
                 self._sleep(wait)
         raise AssertionError("unreachable")
 

@@ -82,3 +82,20 @@ def write_table(
         .save()
     )
     return rows
+
+
+def merge_statements(table: str, columns: Sequence[str], keys: Sequence[str]) -> list[str]:
+    """SQL by which a database takes over ``<table>__changes``, to be run in one transaction.
+
+    Removed and changed rows go, added and changed ones come, and the changes are emptied. Plain
+    SQL; null keys are equal to each other.
+    """
+    quoted = lambda name: '"' + name.replace('"', '""') + '"'
+    both = " AND ".join(f"(t.{quoted(k)} = c.{quoted(k)} OR (t.{quoted(k)} IS NULL AND c.{quoted(k)} IS NULL))" for k in keys)
+    listed = ", ".join(map(quoted, columns))
+    staged = f"{table}__changes"
+    return [
+        f"DELETE FROM {table} AS t WHERE EXISTS (SELECT 1 FROM {staged} AS c WHERE {both})",
+        f"INSERT INTO {table} ({listed}) SELECT {listed} FROM {staged} WHERE \"change\" <> 'removed'",
+        f"DELETE FROM {staged}",
+    ]

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
+import time
 from collections.abc import Callable
-from functools import reduce
+from contextlib import suppress
+from functools import reduce, wraps
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def ensure_namespace(spark: SparkSession, catalog: str, schema: str) -> None:
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {catalog}.{schema}")
+def ensure_namespace(spark: SparkSession, catalog: str, schema: str, location: str | None = None) -> None:
+    place = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {catalog}.{schema}{place}")
 
 
 def write_snapshot(
@@ -36,8 +42,7 @@ def write_snapshot(
     """
     spark = df.sparkSession
     recover(spark, table)
-    mark = uuid4().hex[:8]
-    fresh, old = f"{table}__new_{mark}", f"{table}{_OLD}{mark}"
+    fresh, old = side_names(table)
     try:
         rows = _write(df, fresh, buckets, key)
         if gate:
@@ -47,27 +52,53 @@ def write_snapshot(
         raise
     exists = spark.catalog.tableExists(table)
     if exists:
-        _rename(spark, table, old)
-    _rename(spark, fresh, table)
+        rename(spark, table, old)
+    rename(spark, fresh, table)
     if exists:
         spark.sql(f"DROP TABLE {old}")
     spark.catalog.refreshTable(table)
     return rows
 
 
-_OLD = "__old_"
+# What an exchange leaves behind when it is cut short; the time in nanoseconds follows, in digits of one length, so names sort by age.
+_OLD, _NEW = "__old_", "__new_"
 
 
-def recover(spark: SparkSession, table: str) -> bool:
-    """Give a snapshot that lost its name in an interrupted exchange its name back."""
-    if spark.catalog.tableExists(table):
-        return False
+def side_names(table: str) -> tuple[str, str]:
+    """The names of a new and of an old snapshot during an exchange."""
+    stamp = f"{time.time_ns():020d}"
+    return f"{table}{_NEW}{stamp}", f"{table}{_OLD}{stamp}"
+
+
+def leftovers(spark: SparkSession, table: str) -> dict[str, list[str]]:
+    """Names that interrupted writes of ``table`` left, of both kinds, the oldest first."""
     schema, _, name = table.rpartition(".")
-    kept = [row.tableName for row in spark.sql(f"SHOW TABLES IN {schema} LIKE '{name}{_OLD}*'").collect()] if schema else []
-    if not kept:
-        return False
-    _rename(spark, f"{schema}.{kept[0]}", table)
-    return True
+    if not schema or not spark.catalog.databaseExists(schema):
+        return {_OLD: [], _NEW: []}
+    found = [row.tableName for row in spark.sql(f"SHOW TABLES IN {schema} LIKE '{name}__*'").collect()]
+    kinds = {kind: sorted((each for each in found if each.startswith(f"{name.lower()}{kind}")), key=_age) for kind in (_OLD, _NEW)}
+    return {kind: [f"{schema}.{each}" for each in names] for kind, names in kinds.items()}
+
+
+def _age(name: str) -> tuple[int, str]:
+    stamp = re.split("__(?:old|new)_", name)[-1]
+    return (int(stamp) if stamp.isdigit() else -1, stamp)
+
+
+def recover(spark: SparkSession, table: str) -> bool:
+    """Mend an interrupted write; whether a snapshot got its name back.
+
+    If ``table`` lost its name between the two renames, the newest old snapshot takes it again. All else
+    that interrupted writes left goes: older snapshots, and new ones that never got the
+    name. One job at a time writes a table, so none of them is being written.
+    """
+    left = leftovers(spark, table)
+    lost = not spark.catalog.tableExists(table) and bool(left[_OLD])
+    if lost:
+        rename(spark, left[_OLD].pop(), table)
+    for name in left[_OLD] + left[_NEW]:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return lost
 
 
 def _write(df: DataFrame, table: str, buckets: int, key: str) -> int:
@@ -81,7 +112,7 @@ def _write(df: DataFrame, table: str, buckets: int, key: str) -> int:
     return seen.get["rows"]
 
 
-def _rename(spark: SparkSession, table: str, name: str) -> None:
+def rename(spark: SparkSession, table: str, name: str) -> None:
     # The new name is resolved inside the table's own catalog.
     spark.sql(f"ALTER TABLE {table} RENAME TO {'.'.join(name.split('.')[-2:])}")
 
@@ -111,6 +142,7 @@ def shared_root(spark: SparkSession) -> str:
     app = spark.conf.get("spark.app.id")
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="docforge-")
+        atexit.register(shutil.rmtree, _local_roots[app], ignore_errors=True)
     return _local_roots[app]
 
 
@@ -124,10 +156,21 @@ def write_barrier(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _barriers[id(out)] = path
+    if not _at_exit:
+        _at_exit.append(atexit.register(_drop_rest, spark))
     return out
 
 
 _barriers: dict[int, str] = {}
+_at_exit: list = []
+
+
+def _drop_rest(spark: SparkSession) -> None:
+    """Barriers that nobody dropped go when the program ends."""
+    with suppress(Exception):  # the session may have ended before
+        for path in _barriers.values():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def overwrite_partitions(written: DataFrame, table: str) -> None:
@@ -150,6 +193,34 @@ def drop_barrier(written: DataFrame) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def files_of(spark: SparkSession, folder: str) -> tuple:
+    """What lies in a folder: names, sizes and times, through the file system that Spark reads it by."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
+    files = []
+    while found.hasNext():
+        each = found.next()
+        files.append((each.getPath().toString(), each.getLen(), each.getModificationTime()))
+    return tuple(sorted(files))
+
+
+def remembered(make: Callable) -> Callable:
+    """``make(spark, folder)``, once for each state of a folder's files in a session.
+
+    Files that change are read again. What ``make`` writes stays until the program ends.
+    """
+    held: dict[tuple, object] = {}
+
+    @wraps(make)
+    def get(spark: SparkSession, folder: str):
+        key = spark.sparkContext.applicationId, folder, files_of(spark, folder)
+        if key not in held:
+            held[key] = make(spark, folder)
+        return held[key]
+
+    return get
+
+
 def collect_small(df: DataFrame, key: str, value: str) -> dict:
     """A grouped summary as a dict; only for frames already reduced to a few rows."""
     return {row[key]: row[value] for row in df.select(key, value).collect()}

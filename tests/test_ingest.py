@@ -224,7 +224,7 @@ def test_lost_answers_are_asked_for_again():
 
 def test_truncated_answers_become_a_row():
     net = Answers(*[IncompleteRead(b"{")] * 4)
-    payload, state, error = fetch._outcome(net.fetcher(), {"movie_id": 2})
+    payload, state, error, again = fetch.outcome(net.fetcher(), {"movie_id": 2})
     assert (payload, state) == (None, "error") and "IncompleteRead" in error
 
 
