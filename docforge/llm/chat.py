@@ -5,7 +5,7 @@ Native column functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Marks that open and close a turn, by role; any other role is written into its own opening mark.
@@ -17,7 +17,8 @@ CONTROL = r"\[/?(?:INST|SYS|RESP|TURN)|</?s>|<(?:image|audio|document|file):"
 #: A reader for each kind of part: placeholder name, and tokens that the part expands to if it doesn't say.
 EXPANDED = {"image": 256, "audio": 128, "document": 512}
 
-_TURN = r"(?s)(\[INST\] |\[SYS\] |\[RESP\] |\[TURN (?:[^\]\\]|\\.)*\] )(.*?)( \[/INST\]| \[/SYS\]| </s>| \[/TURN\])"
+# Possessive throughout, so that a long role takes no stack and is read once.
+_TURN = r"(?s)(\[INST\] |\[SYS\] |\[RESP\] |\[TURN [^\]\\]*+(?:\\.[^\]\\]*+)*+\] )(.*?)( \[/INST\]| \[/SYS\]| </s>| \[/TURN\])"
 
 PARTS = "array<struct<type:string,text:string,uri:string,tokens:bigint>>"
 
@@ -78,7 +79,8 @@ def format_conversations(turns: DataFrame, parts: str | None = None) -> DataFram
     Turns stand in the order of ``turn`` (null first), ties and repeated rows by role and content;
     each row is a turn. A null text is an empty turn, a null role an empty role; a null ``conv_id``
     is a conversation of its own. ``loss_mask`` holds ``start, length`` of assistant contents in code
-    points. Attachments carry the turn's position. No turns give no rows.
+    points. Attachments carry the turn's position. No turns give no rows. Texts and roles of any length are
+    read whole; other columns are not read, so any names do.
 
     The turns of one conversation end in one string, so they meet in one row: a conversation is
     the unit that is trained on. Nothing else is gathered, and no other key is shuffled by.
@@ -89,27 +91,20 @@ def format_conversations(turns: DataFrame, parts: str | None = None) -> DataFram
     flat = turns.select("conv_id", "turn", role.alias("role"), flatten_parts(content).alias("flat"))
     marked = flat.select(
         "conv_id",
-        F.struct(
-            F.col("turn"),
-            F.col("role"),
-            pick(0, F.concat(F.lit(OTHER[0]), _escape_role(F.col("role")), F.lit(OTHER[1]))).alias("open"),
-            F.col("flat.body").alias("body"),
-            pick(1, F.lit(OTHER[2])).alias("close"),
-            F.col("flat.attachments").alias("attachments"),
-        ).alias("t"),
+        "turn",
+        "role",
+        pick(0, F.concat(F.lit(OTHER[0]), _escape_role(F.col("role")), F.lit(OTHER[1]))).alias("open"),
+        F.col("flat.body").alias("body"),
+        pick(1, F.lit(OTHER[2])).alias("close"),
+        F.col("flat.attachments").alias("attachments"),
     )
-    joined = marked.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-
-    def add(done, turn):
-        start = done["at"] + F.length(turn["open"])
-        size = F.length(turn["body"])
-        span = F.struct(start.alias("start"), size.alias("length"))
-        return F.struct(
-            (start + size + F.length(turn["close"])).alias("at"),
-            F.when(turn["role"] == LEARNED, F.array_append(done["mask"], span)).otherwise(done["mask"]).alias("mask"),
-        )
-
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("mask"))
+    # Where a turn starts is a running sum in the order of the turns, so the mask needs no pass over what was gathered.
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "open", "body", "close", "attachments").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("open") + F.length("body") + F.length("close")
+    placed = marked.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int"))
+    joined = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "role", "open", "body", "close", "attachments"))).alias("turns"))
+    learned = F.filter("turns", lambda turn: turn["role"] == LEARNED)
+    span = lambda turn: F.struct((turn["at"] + F.length(turn["open"])).alias("start"), F.length(turn["body"]).alias("length"))
     attachments = F.flatten(
         F.transform("turns", lambda turn, i: F.transform(turn["attachments"], lambda a: F.struct(i.alias("turn"), a["number"].alias("number"), a["type"].alias("type"), a["uri"].alias("uri"), a["tokens"].alias("tokens"))))
     )
@@ -117,7 +112,7 @@ def format_conversations(turns: DataFrame, parts: str | None = None) -> DataFram
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("turns", lambda turn: F.concat(turn["open"], turn["body"], turn["close"])), "").alias("formatted"),
-        F.aggregate("turns", empty, add, lambda done: done["mask"]).alias("loss_mask"),
+        F.transform(learned, span).alias("loss_mask"),
         attachments.alias("attachments"),
     ).withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("bigint"), lambda total, a: total + a["tokens"]))
 
@@ -136,6 +131,23 @@ def read_turns(formatted: Column) -> Column:
     return F.transform(F.arrays_zip(opened.alias("0"), bodies.alias("1")), turn)
 
 
+#: Code points of a piece of formatted text; a span is cut from the few pieces that it lies in.
+PIECE = 4096
+
+
 def read_loss(formatted: Column, mask: Column) -> Column:
-    """The unescaped texts under the loss mask, in order."""
-    return F.transform(mask, lambda span: unescape(F.substring(formatted, span["start"] + 1, span["length"])))
+    """The unescaped texts under the loss mask, in order.
+
+    A substring counts code points from the start of its text, so long texts are cut into pieces once.
+    """
+    pieces = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def cut(held):
+        def one(span):
+            first, at = F.floor(span["start"] / PIECE).cast("int"), span["start"] % PIECE
+            near = F.array_join(F.slice(held, first + 1, F.floor((at + span["length"]) / PIECE).cast("int") + 1), "")
+            return unescape(F.substring(near, at + 1, span["length"]))
+
+        return F.transform(mask, one)
+
+    return F.transform(F.array(pieces), cut)[0]

@@ -44,6 +44,22 @@ def test_order_ties_nulls_and_empty(spark):
     assert read(spark, []) == {}
 
 
+def test_long_roles_texts_and_many_turns(spark):
+    roles = ["r" * 100_000, "\\]" * 50_000, "]" * 100_000, "assistant"]
+    rows = [(1, turn, role, "x" * 1_000_000 if turn == 3 else f"t{turn} </s>") for turn, role in enumerate(roles)]
+    rows += [(2, turn, ("user", "assistant")[turn % 2], f"[INST]{turn}") for turn in range(20_000)]
+    got = read(spark, rows)
+    assert [(t.role, t.text) for t in got[1].turns] == [(role, text) for _, _, role, text in rows[:4]]
+    assert got[1].loss == ["x" * 1_000_000]
+    assert [t.text for t in got[2].turns] == [text for _, _, _, text in rows[4:]]
+    assert got[2].loss == [text for _, turn, _, text in rows[4:] if turn % 2]
+
+
+def test_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "a", 1, "b", "c")], TURNS + ", at long, flat string, turns string")
+    assert chat.format_conversations(rows).first().formatted == "[INST] a [/INST]"
+
+
 def test_query_against_brute_force(spark, small):
     rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{small}/conversations.parquet").collect()]
     rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
