@@ -32,6 +32,33 @@ def exclude_seen(
     return candidates.join(excluded, ["group_id", "movie_id"], "left_anti")
 
 
+def seen_bitmaps(members: DataFrame, history: DataFrame, dislike_below: float = 3.0) -> DataFrame:
+    """``group_id, bucket, seen``: a bitmap of the titles that some member has watched or disliked, for each 32,768 titles.
+
+    A member's history becomes bitmaps on the map side first. What meets the members is a row for each
+    member and bucket, however many titles a member has seen.
+    """
+    own = (
+        history.where((F.col("watched") | (F.col("rating") < dislike_below)) & F.col("movie_id").isNotNull())
+        .groupBy("user_id", F.bitmap_bucket_number("movie_id").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("movie_id")).alias("seen"))
+    )
+    return members.distinct().join(own, "user_id").groupBy("group_id", "bucket").agg(F.bitmap_or_agg("seen").alias("seen"))
+
+
+def exclude_seen_by_bitmap(
+    candidates: DataFrame, members: DataFrame, history: DataFrame, dislike_below: float = 3.0
+) -> DataFrame:
+    """``exclude_seen`` with a bitmap for each group in place of a row for each title that it has seen."""
+    bitmaps = seen_bitmaps(members, history, dislike_below).withColumnsRenamed({"bucket": "_bucket", "seen": "_seen"})
+    place = F.bitmap_bit_position("movie_id")
+    byte = F.conv(F.hex(F.substring("_seen", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.expr("shiftright(_byte, cast(_place % 8 as int)) & 1")
+    met = candidates.withColumn("_bucket", F.bitmap_bucket_number("movie_id")).join(bitmaps, ["group_id", "_bucket"], "left")
+    marked = met.withColumn("_place", place).withColumn("_byte", byte)
+    return marked.where(F.col("_seen").isNull() | (held == 0)).select(candidates.columns)
+
+
 def latest(records: DataFrame, keys: Sequence[str], newest_first: Sequence[Column]) -> DataFrame:
     """The newest record of each key.
 

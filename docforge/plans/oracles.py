@@ -443,3 +443,24 @@ WHERE w.event_id IS DISTINCT FROM h.event_id OR w.value IS DISTINCT FROM h.value
     "published_rows": _WANTED,
     "recorded_by_part": ORACLES["late_records"],
 }
+
+_MISSING = {
+    "title": ("string", "title IS NULL"),
+    "overview": ("string", "overview IS NULL"),
+    "runtime": ("integer", "p_partkey % 13 = 0"),
+    "adult": ("boolean", "p_size % 2 = 0"),
+    "genres": ("array", "p_partkey % 19 = 0"),
+    "watch/providers": ("object", "p_size >= 10"),
+}
+
+ORACLES |= {
+    "group_exclusion_bitmaps": ORACLES["group_exclusion"],
+    "payload_drift": f"""
+WITH {CRAWL}, sent AS (SELECT * FROM crawl WHERE status = 'success' AND NOT broken)
+SELECT * FROM (
+  SELECT '$.runtime' AS path, 'wrong type' AS finding, 'integer' AS expected, 'string' AS found, count(*) AS occurrences
+  FROM sent WHERE p_partkey % 31 = 0 AND p_partkey % 13 <> 0
+  """
+    + "\n  ".join(f"UNION ALL SELECT '$.{name}', 'missing', '{kind}', NULL, count(*) FROM sent WHERE {gone}" for name, (kind, gone) in _MISSING.items())
+    + "\n) WHERE occurrences > 0",
+}

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from docforge.config import Settings
 from docforge.functions import text as T
 from docforge.functions.vectors import HashingEmbedder
-from docforge.operators import changes, checks, chunks, embed, fetch, gold, groups, listing, parse, search, silver
+from docforge.operators import changes, checks, chunks, drift, embed, fetch, gold, groups, listing, parse, search, silver
 from docforge.plans import jobs, refresh
 from docforge.plans.bridge import earlier_genres, earlier_payloads, genre_entries, layers, listing_pages, repeated_ids, table, utc_text
 from docforge.sources import parts, tables
@@ -220,6 +220,11 @@ def parse_yield(spark, folder):
     return parse.parse_yield(layers(spark, folder).bronze)
 
 
+def payload_drift(spark, folder):
+    """Departures of the payloads' own fields."""
+    return drift.schema_drift(layers(spark, folder).bronze, depth=1)
+
+
 # ---------------------------------------------------------------- silver
 
 
@@ -594,7 +599,8 @@ def upsert_null_keys(spark, folder):
     return _rating_columns(groups.upsert(before, after, _RATING_KEY))
 
 
-def group_exclusion(spark, folder):
+def _watching(spark, folder):
+    """Candidates, members and history of groups of users."""
     events = table(spark, folder, "events").withColumn("group_id", F.col("user_id") % 10)
     titles = max(table(spark, folder, "part").count(), 1)
     title = (F.col("event_id") % titles).alias("movie_id")
@@ -606,7 +612,15 @@ def group_exclusion(spark, folder):
         F.when(kind == "error", 1.0).otherwise(5.0).alias("rating"),
     )
     candidates = events.where(kind.isin("click", "signup")).select("group_id", title).distinct()
-    return groups.exclude_seen(candidates, events.select("group_id", "user_id"), history)
+    return candidates, events.select("group_id", "user_id"), history
+
+
+def group_exclusion(spark, folder):
+    return groups.exclude_seen(*_watching(spark, folder))
+
+
+def group_exclusion_bitmaps(spark, folder):
+    return groups.exclude_seen_by_bitmap(*_watching(spark, folder))
 
 
 def compare_titles(spark, folder):
@@ -644,6 +658,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bronze_reference_list,
         parse_props_json,
         parse_yield,
+        payload_drift,
         silver_movies,
         silver_null_counts,
         silver_genres,
@@ -691,6 +706,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         published_rows,
         recorded_by_part,
         group_exclusion,
+        group_exclusion_bitmaps,
         compare_titles,
         title_search,
         poster_urls,

@@ -12,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from docforge.config import Settings
-from docforge.operators import changes, checks, fetch, groups, listing
+from docforge.operators import changes, checks, drift, fetch, groups, listing
 from docforge.plans import jobs, refresh
 from docforge.schemas import FETCH_LEDGER
 from docforge.sources import parts, tables
@@ -393,3 +393,52 @@ def test_remembered_results_follow_the_files(spark, tmp_path):
 
 def test_payload_text_is_json(spark):
     assert json.loads(fetch.outcome(RecordedFetcher({1: {"a": 1}}), {"movie_id": 1})[0]) == {"a": 1}
+
+
+# ---------------------------------------------------------------- drift, bitmaps
+
+
+def test_a_row_for_each_planted_drift(spark):
+    plain = payload(1, runtime=90, vote_average=7, genres=[{"id": 1, "name": "a"}], credits={"cast": [person(1), person(2)]})
+    odd = payload(
+        2, runtime="90", vote_average=7.5, budget=12, studio={"city": {"name": "x"}}, title=None, adult="yes",
+        genres=[{"id": "1", "name": "a"}, {"id": 2, "name": None, "slug": "s"}, 7], credits={"cast": {"id": 1}},
+    )
+    found = drift.schema_drift(bronze(spark, [(1, plain), (2, odd), (3, "{bad"), (4, "[1]")], [(5, "error")]))
+    told = {(row.path, row.finding): (row.expected, row.found, row.occurrences) for row in found.where("finding <> 'missing'").collect()}
+    assert told == {
+        ("$", "wrong type"): ("object", "array", 1),
+        ("$[]", "unknown"): (None, "integer", 1),
+        ("$.runtime", "wrong type"): ("integer", "string", 1),
+        ("$.adult", "wrong type"): ("boolean", "string", 1),
+        ("$.budget", "unknown"): (None, "integer", 1),
+        ("$.studio", "unknown"): (None, "object", 1),
+        ("$.genres[].id", "wrong type"): ("integer", "string", 1),
+        ("$.genres[].slug", "unknown"): (None, "string", 1),
+        ("$.genres[]", "wrong type"): ("object", "integer", 1),
+        ("$.credits.cast", "wrong type"): ("array", "object", 1),
+        ("$.credits.cast.id", "unknown"): (None, "integer", 1),
+    }
+    gone = {row.path: row.occurrences for row in found.where("finding = 'missing'").collect()}
+    assert gone["$.tagline"] == 2 and gone["$.adult"] == 1 and "$.title" not in gone and "$.id" not in gone
+    assert not any(path.startswith(("$.reviews.", "$.watch/providers.")) for path in gone)
+
+
+def test_bitmaps_exclude_the_same_titles(spark):
+    rng = random.Random(5)
+    ids = [None, -70_000, -1, 0, 1, 2, 32_767, 32_768, 32_769, 65_536, 10**10]
+    history = [(rng.choice([None, 1, 2, 3, 4]), rng.choice(ids), rng.choice([None, True, False]), rng.choice([None, 1.0, 4.0])) for _ in range(60)]
+    frame = lambda data, schema: spark.createDataFrame(data, schema)
+    candidates = frame([(group, title, f"{group}{title}") for group in (None, 1, 2, 3) for title in ids] * 2, "group_id int, movie_id long, why string")
+    members = frame([(1, 1), (1, 2), (1, 1), (2, 3), (2, None), (None, 4)], "group_id int, user_id int")
+    seen = frame(history, "user_id int, movie_id long, watched boolean, rating double")
+    got, want = (made(candidates, members, seen) for made in (groups.exclude_seen_by_bitmap, groups.exclude_seen))
+    key = lambda row: str(row)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.select(candidates.columns).collect()), key=key)
+
+
+def test_bitmaps_send_a_row_for_each_member_and_bucket(spark):
+    history = spark.range(20_000).selectExpr("id % 4 AS user_id", "id AS movie_id", "true AS watched", "5.0 AS rating")
+    members = spark.createDataFrame([(1, user) for user in range(4)], "group_id int, user_id long")
+    bitmaps = groups.seen_bitmaps(members, history)
+    assert bitmaps.count() == 2 and "partial_bitmap_construct_agg" in plan(bitmaps)
