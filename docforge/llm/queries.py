@@ -24,8 +24,8 @@ LANG_WEIGHTS = {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}
 
 
 def domain() -> F.Column:
-    number = F.regexp_extract("source", r"(\d+)", 1)
-    return F.concat(F.lit("d"), F.when(number == "", "x").otherwise(number.cast("long") % 4))
+    number = F.regexp_extract("source", r"(\d+)", 1)  # of any length; its last two digits say what is left of it by 4
+    return F.concat(F.lit("d"), F.when(number == "", "x").otherwise(F.substring(number, -2, 2).cast("long") % 4))
 
 
 def tree_levels() -> list[F.Column]:
