@@ -7,6 +7,7 @@ import warnings
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Thresholds of the quality gates.
 MIN_SUCCESS_RATIO = 0.8
 SHORT_MEDIAN_CHARS = 800
 
@@ -68,6 +69,7 @@ def gold_profile(documents: DataFrame) -> DataFrame:
     The hex hash is shuffled as its 32 bytes.
     """
     distinct = documents.agg(F.count_distinct(F.unhex("content_hash")).alias("n")).scalar()
+    # Names of the metrics.
     return documents.agg(
         F.count("*").alias("documents"),
         F.round(F.avg("char_length")).alias("avg_chars"),
