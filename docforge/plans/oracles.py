@@ -399,6 +399,9 @@ ORDER BY popularity DESC, movie_id LIMIT 5""",
 SELECT page_id, CASE WHEN page_id % 4 > 1 THEN '{IMAGE_BASE}/w342/' || url END AS poster_url FROM pages""",
 }
 
+ORACLES |= {"pruned_top_k": ORACLES["vector_top_k"], "title_search_indexed": ORACLES["title_search"]}
+ORACLES["merged_profile"] = f"SELECT * EXCLUDE (median_chars, distinct_hashes) FROM ({ORACLES['gold_profile']})"
+
 #: Plans for repeated ids give what the narrow ones give.
 ORACLES |= {f"{name}_merged": ORACLES[name] for name in ("silver_keywords", "silver_links", "silver_reviews")}
 

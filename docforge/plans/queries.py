@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from docforge.config import Settings
 from docforge.functions import text as T
 from docforge.functions.vectors import HashingEmbedder
-from docforge.operators import changes, checks, chunks, drift, embed, fetch, gold, groups, listing, parse, search, silver
+from docforge.operators import cells, changes, checks, chunks, drift, embed, fetch, gold, groups, listing, parse, postings, profile, search, silver
 from docforge.plans import jobs, refresh
 from docforge.plans.bridge import earlier_genres, earlier_payloads, genre_entries, layers, listing_pages, repeated_ids, table, utc_text
 from docforge.sources import parts, tables
@@ -356,6 +356,27 @@ def gold_profile(spark, folder):
     return checks.gold_profile(_profiled(spark, folder))
 
 
+@tables.remembered
+def _profile_states(spark: SparkSession, folder: str) -> str:
+    """Documents in a dealt table that grows between two profiles; the second reads grown partitions alone."""
+    schema = _scratch_schema(spark)
+    documents, states = f"{schema}.documents", f"{schema}.profile"
+    rows = _gold_narrow(spark, folder).select("movie_id", "content_hash", "char_length", "review_count")
+    late = (F.col("movie_id") % 5 == 2) & (parts.part_of(["movie_id"], _parts(spark)) % 2 == 0)
+    parts.write_whole(rows.where(~late), documents, ["movie_id"], _parts(spark))
+    profile.refresh_profile(spark, documents, states)
+    grown = tables.write_barrier(rows.where(late), "grown")
+    parts.replace_keys(spark, documents, grown, grown)
+    profile.refresh_profile(spark, documents, states)
+    return states
+
+
+def merged_profile(spark, folder):
+    """The exact metrics; what the sketches say is held against its error in the tests."""
+    merged = profile.merged_profile(spark.table(_profile_states(spark, folder)))
+    return merged.drop("near_median_chars", "near_distinct_hashes")
+
+
 def document_fingerprint_dups(spark, folder):
     documents = table(spark, folder, "documents")
     return checks.duplicate_fingerprints(documents.select(T.fingerprint(F.col("text")).alias("content_hash")))
@@ -490,6 +511,16 @@ def vector_top_k_parents(spark, folder):
     return search.vector_top_k(_vectors(spark, folder), request_vectors())
 
 
+@tables.remembered
+def _cells(spark: SparkSession, folder: str) -> cells.Cells:
+    path = f"{tables.shared_root(spark)}/cells-{uuid4().hex}"
+    return cells.write_cells(_vectors(spark, folder), path, cells=32, parent="vec_id")
+
+
+def pruned_top_k(spark, folder):
+    return cells.pruned_top_k(_cells(spark, folder), request_vectors())
+
+
 def labelled_vector_top_k(spark, folder):
     return search.vector_top_k(_vectors(spark, folder).where("label < 5"), request_vectors(), parent="vec_id")
 
@@ -638,6 +669,18 @@ def title_search(spark, folder):
     return search.title_search(_part_catalogue(spark, folder), SEARCHED_TITLE, image_base=IMAGE_BASE)
 
 
+@tables.remembered
+def _title_index(spark: SparkSession, folder: str) -> tuple[str, str]:
+    schema = _scratch_schema(spark)
+    names = f"{schema}.titles", f"{schema}.title_postings"
+    postings.write_title_index(_part_catalogue(spark, folder), *names, _parts(spark))
+    return names
+
+
+def title_search_indexed(spark, folder):
+    return postings.indexed_title_search(spark, *_title_index(spark, folder), SEARCHED_TITLE, image_base=IMAGE_BASE)
+
+
 def poster_urls(spark, folder):
     path = F.when(F.col("page_id") % 4 == 0, "").when(F.col("page_id") % 4 != 1, F.concat(F.lit("/"), F.col("url")))
     return table(spark, folder, "pages").select("page_id", T.poster_url(path, IMAGE_BASE).alias("poster_url"))
@@ -681,6 +724,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         gold_documents,
         gold_documents_joined,
         gold_profile,
+        merged_profile,
         document_fingerprint_dups,
         table_counts,
         changed_records,
@@ -694,6 +738,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         semantic_search,
         vector_top_k,
         vector_top_k_parents,
+        pruned_top_k,
         labelled_vector_top_k,
         constrained_top_k,
         unembedded_documents,
@@ -709,6 +754,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         group_exclusion_bitmaps,
         compare_titles,
         title_search,
+        title_search_indexed,
         poster_urls,
     )
 }

@@ -78,6 +78,16 @@ def _exchange(rows: DataFrame, table: str, before: Iterable[int]) -> None:
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({PART} = {empty})")
 
 
+def only(spark: SparkSession, table: str, touched: DataFrame) -> DataFrame:
+    """The partitions of ``table`` that can hold a key of ``touched``; no other is read."""
+    return spark.table(table).where(F.col(PART).isin(_touched(spark, table, touched)))
+
+
+def _touched(spark: SparkSession, table: str, touched: DataFrame) -> list[int]:
+    keys, partitions = layout(spark, table)
+    return sorted(row[PART] for row in touched.select(part_of(keys, partitions)).distinct().collect())  # no more than the table has
+
+
 def rewrite(spark: SparkSession, table: str, touched: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> list[int]:
     """Replace the partitions that hold a key of ``touched`` by ``merge`` of their rows; returns their numbers.
 
@@ -85,7 +95,7 @@ def rewrite(spark: SparkSession, table: str, touched: DataFrame, merge: Callable
     table as it was; the exchange itself goes partition by partition, and running it again gives the same rows.
     """
     keys, partitions = layout(spark, table)
-    parts = sorted(row[PART] for row in touched.select(part_of(keys, partitions)).distinct().collect())  # no more than the table has
+    parts = _touched(spark, table, touched)
     if parts:
         held = spark.table(table)
         merged = merge(held.where(F.col(PART).isin(parts)).drop(PART))
