@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import time
+from collections.abc import Iterable
 from contextlib import suppress
 from functools import lru_cache
 from uuid import uuid4
@@ -226,11 +227,17 @@ def open_store(path: str) -> tuple[pafs.FileSystem, str]:
 
 def write_file(path: str, data: bytes) -> None:
     """The file appears whole or not at all: it is written beside its name and then takes it."""
+    write_pieces(path, [data])
+
+
+def write_pieces(path: str, pieces: Iterable[bytes]) -> None:
+    """``write_file`` of what the pieces make up, none of which is held longer than it takes to write it."""
     store, place = open_store(path)
     store.create_dir(place.rpartition("/")[0], recursive=True)
     part = f"{place}.{uuid4().hex}.part"
     with store.open_output_stream(part) as out:
-        out.write(data)
+        for piece in pieces:
+            out.write(piece)
     try:
         store.move(part, place)
     except OSError:  # some stores don't move onto a file that an earlier attempt has left

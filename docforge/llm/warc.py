@@ -10,10 +10,10 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docforge.llm.common import barrier, frugal, open_store, read_file, remove, scratch, write_file
+from docforge.llm.common import barrier, frugal, open_store, read_file, remove, scratch, write_file, write_pieces
 
 #: An archive is closed when it holds this many bytes of records; bounds a task's memory and a file's size.
 ARCHIVE_BYTES = 16_000_000
@@ -120,20 +120,28 @@ def deflate(data: bytes, level: int) -> bytes:
 # ---------------------------------------------------------------- jobs
 
 
+#: Equal payloads are dealt to this many groups by page, so that copies of one payload never meet in a task.
+SALTS = 4096
+
+
 def with_roles(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """``page_id, url, payload, refers_to`` (null for responses).
 
     Of equal payloads of at least ``least`` bytes the largest ``page_id`` is the response. Rows that
-    share that id are responses too. Digests alone are grouped, combined before the shuffle, and only those
-    that occur twice are joined back.
+    share that id are responses too. Digests alone are grouped, combined before the shuffle: by digest and page salt first, then
+    a digest's salts, ``SALTS`` at most. Payloads are joined to their response by digest and salt, those under ``least`` bytes among
+    them by the same even spread, so the copies of a hot payload go to as many tasks as others do.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    marked = rows.withColumn("digest", F.sha1("payload"))
+    key = ["digest", "salt"]
+    marked = rows.withColumns({"digest": F.unhex(F.sha1("payload")), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")})
     large = marked.where(F.length("payload") >= least)
-    groups = large.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
+    salted = large.groupBy(*key).agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
+    alike = Window.partitionBy("digest")
+    groups = salted.withColumns({"keeper": F.max("last").over(alike), "copies": F.sum("n").over(alike)}).where("copies > 1").select(*key, "keeper")
     refers = F.when((F.length("payload") >= least) & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
-    return marked.join(groups, "digest", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    return marked.join(groups, key, "left").select("page_id", "url", "payload", refers.alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:00Z", level: int = 1, least: int = LEAST_REVISIT) -> DataFrame:
@@ -177,10 +185,21 @@ def _spread(files: DataFrame) -> DataFrame:
     return files.repartition(min(max(files.count(), 1), 10_000))
 
 
+def members_of(path: str, level: int, lines: list[bytes]):
+    """A gzip member for each record of an archive, one at a time; its line of the index is appended to ``lines``."""
+    offset = 0
+    for raw in records_of(inflate(path)):
+        member = deflate(raw, level)
+        headers = _headers(raw.partition(END)[0])
+        lines.append(b"%d\t%d\t%s\t%s\n" % (offset, len(member), headers[b"warc-type"], headers[b"warc-record-id"]))
+        offset += len(member)
+        yield member
+
+
 def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """Rewrites each archive of ``path``: every record becomes a gzip member of its own.
 
-    Each file is inflated once, as a stream. Beside it stands a sidecar index with a line
+    Each file is inflated once and written as a stream: a task holds one record and the index, whatever the archive's size. Beside it stands a sidecar index with a line
     ``offset, length, type, record id`` for each record. Returns ``path, index, records``.
     """
 
@@ -188,14 +207,8 @@ def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 base = f"{folder}/{path.rpartition('/')[2].removeprefix('whole-').removesuffix('.warc.gz')}"
-                members, lines, offset = [], [], 0
-                for raw in records_of(inflate(path)):
-                    member = deflate(raw, level)
-                    headers = _headers(raw.partition(END)[0])
-                    lines.append(b"%d\t%d\t%s\t%s\n" % (offset, len(member), headers[b"warc-type"], headers[b"warc-record-id"]))
-                    members.append(member)
-                    offset += len(member)
-                write_file(f"{base}.warc.gz", b"".join(members))
+                lines: list[bytes] = []
+                write_pieces(f"{base}.warc.gz", members_of(path, level, lines))
                 write_file(f"{base}.idx", b"".join(lines))
                 yield pa.RecordBatch.from_pylist([{"path": f"{base}.warc.gz", "index": f"{base}.idx", "records": len(lines)}])
 
