@@ -2,14 +2,16 @@
 
 Passages are TF-IDF vectors over the benchmark's terms, hashed into a fixed number of features. A
 randomised singular value decomposition over all passages gives the latent space; windows of every
-document are compared with every item there, in blocks; what comes near is decided by the longest
-common subsequence and, for paraphrases, by the item's answer.
+document are compared with every item there; what comes near is decided by the longest common
+subsequence and, for paraphrases, by the item's answer. The documents are read three times, however many items
+there are: for document frequencies, for the fit, and for the search.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,6 @@ OVERSAMPLE = 16
 STEP = 16
 #: Words in half a window; an item is compared with the narrowest windows that could hold it. Windows overlap by half.
 STEPS = (4, 8, 16, 32)
-#: Passages of items that one pass over the documents compares; the table is read in such blocks.
-ITEMS_PER_PASS = 4000
 #: Terms of each passage of an item that are features at least, however common they are.
 RAREST = 6
 
@@ -60,20 +60,29 @@ def answer_words(text: bytes) -> list[bytes]:
     return tail if 0 < len(tail) <= len(words) // 2 else words[-max(1, len(words) // 5) :]
 
 
+def positions(words: list[int]) -> dict[int, int]:
+    """The positions of each word, as bits."""
+    places: dict[int, int] = {}
+    for position, word in enumerate(words):
+        places[word] = places.get(word, 0) | 1 << position
+    return places
+
+
 @dataclass
 class Item:
-    """An item of the benchmark: its words and its answer's by name, and the positions of each as bits."""
+    """An item of the benchmark: its words and its answer's by name. Positions are worked out where a task first meets the item."""
 
     key: object
     words: list[int]
     answer: list[int]
-    places: dict[int, int] = field(default_factory=dict)
-    answer_places: dict[int, int] = field(default_factory=dict)
 
-    def __post_init__(self):
-        for words, places in ((self.words, self.places), (self.answer, self.answer_places)):
-            for position, word in enumerate(words):
-                places[word] = places.get(word, 0) | 1 << position
+    @cached_property
+    def places(self) -> dict[int, int]:
+        return positions(self.words)
+
+    @cached_property
+    def answer_places(self) -> dict[int, int]:
+        return positions(self.answer)
 
     @classmethod
     def of(cls, key, text: bytes) -> Item:
@@ -163,13 +172,18 @@ def document_frequencies(docs: DataFrame, text: str, terms: Terms) -> np.ndarray
 
 @dataclass
 class Space:
-    """A row of ``vectors`` for each term: its weight times its feature's latent coordinates."""
+    """Each term has a feature and a weight; ``basis`` has the latent coordinates of each feature, a fixed number of rows."""
 
     terms: Terms
-    vectors: np.ndarray
+    features: np.ndarray
+    weights: np.ndarray
+    basis: np.ndarray
+
+    def vectors(self, found: np.ndarray) -> np.ndarray:
+        return self.basis[self.features[found]] * self.weights[found, None]
 
     def place(self, words: list[int]) -> np.ndarray:
-        return self.vectors[self.terms.find(np.array(words, np.uint64))[1]].sum(axis=0)
+        return self.vectors(self.terms.find(np.array(words, np.uint64))[1]).sum(axis=0)
 
 
 _BAND = 64  # features in one row of what tasks send
@@ -240,7 +254,7 @@ def fit_space(docs: DataFrame, text: str, items: list[Item], limits: Limits, see
         product(np.zeros(len(found), np.int64), found, image)
     left, values, _ = np.linalg.svd(image, full_matrices=False)
     basis = left[:, :RANK] * np.sqrt(np.divide(1, values[:RANK], out=np.zeros(RANK), where=values[:RANK] > 1e-9 * values[0]))
-    return Space(terms, (basis[features] * weights[:, None]).astype(np.float32))
+    return Space(terms, features, weights, basis.astype(np.float32))
 
 
 class Queries:
@@ -257,13 +271,35 @@ class Queries:
         self.scaled = np.ascontiguousarray((vectors[use] / self.lengths[:, None] ** 2).T)
         self.fill = np.sqrt(np.array([len(words) / (2 * step) for _, words in own]))[use]
 
-    def candidates(self, windows: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows and items that come near, and their cosine: one matrix product for all windows."""
-        shares = windows @ self.scaled  # of the passage's own length
-        window, query = np.divmod(np.flatnonzero(shares >= limits.share), max(len(self.items), 1))
-        cosine = shares[window, query] * self.lengths[query] / np.maximum(np.linalg.norm(windows, axis=1)[window], 1e-12)
-        near = cosine >= limits.cosine * self.fill[query]
-        return window[near], self.items[query[near]], cosine[near]
+    def candidates(self, held: np.ndarray, sums: np.ndarray, limits: Limits) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows and items that come near, and their cosine, for ``CELLS`` windows times passages together.
+
+        A window is two neighbouring half windows. Only those that hold a term are given (``held``, ascending, and their
+        ``sums``), each is multiplied with all passages once, and a window's product is the sum of its halves'. Vectors of whole windows
+        are built for candidates alone.
+        """
+        windows = np.union1d(held, held - 1)
+        windows = windows[windows >= 0]
+        size = max(CELLS // max(len(self.items), 1), 1)
+        for low in range(0, len(windows) if len(self.items) else 0, size):
+            part = windows[low : low + size]
+            start, stop = np.searchsorted(held, (part[0], part[-1] + 2))
+            rows = np.concatenate([sums[start:stop], np.zeros((1, sums.shape[1]), sums.dtype)])
+            left, right = _places(held[start:stop], part), _places(held[start:stop], part + 1)
+            products = rows @ self.scaled
+            shares = products[left] + products[right]  # of the passage's own length
+            window, query = np.divmod(np.flatnonzero(shares >= limits.share), len(self.items))
+            different, own = np.unique(window, return_inverse=True)
+            lengths = np.linalg.norm(rows[left[different]] + rows[right[different]], axis=1)
+            cosine = shares[window, query] * self.lengths[query] / np.maximum(lengths, 1e-12)[own]
+            near = cosine >= limits.cosine * self.fill[query]
+            yield part[window[near]], self.items[query[near]], cosine[near]
+
+
+def _places(held: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where the wanted numbers stand in an ascending list, or its length."""
+    at = np.searchsorted(held, wanted)
+    return np.where(held[np.minimum(at, len(held) - 1)] == wanted, at, len(held)) if len(held) else at
 
 
 #: Windows times passages that are compared at a time.
@@ -285,82 +321,63 @@ def verify(words: list[int], item: Item, limits: Limits) -> tuple[int, int] | No
     return None
 
 
-def _scan_block(rows: DataFrame, text: str, items: list[Item], limits: Limits) -> DataFrame:
-    docs = rows.select(F.col(f"row.{text}").alias(text))
+def items_of(benchmark: DataFrame, key: str, text: str) -> list[Item]:
+    """The stated query set; items without words are left out."""
+    rows = benchmark.select(F.col(key).cast("long"), F.col(text).cast("string")).toLocalIterator()
+    return [Item.of(row[0], row[1].encode()) for row in rows if row[1] and plain_words(row[1].encode())]
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", limits: Limits = Limits()) -> DataFrame:
+    """``row`` (the document's columns) and ``matches``: the items that its text holds, verbatim or as a paraphrase.
+
+    All documents against all items: one fit over all passages and one search over all windows. The items, their vectors
+    and their terms travel to every task, so the benchmark must fit in a task's memory (about 1.5 kB for each passage); nothing of the documents does.
+    Null and empty texts match nothing; a very long text is searched whole; repeated rows are judged each for itself;
+    items that share a text match together, items with one key, or without, make one match; an empty benchmark matches nothing. Columns of any name stay in ``row``.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).cast("string").alias("text"))
+    items = items_of(benchmark, item_key, item_text)
+    if not items:
+        return rows.select("row", F.array().cast(MATCHES).alias("matches"))
     space = fit_space(docs, text, items, limits)
     queries = [Queries(space, items, step) for step in sorted({item.step() for item in items})]
+    least = queries[0].step
 
     def search(batches):
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("item_words", pa.int64()), ("lcs", pa.int64()), ("answer_lcs", pa.int64()), ("cosine", pa.float64())]))
         for batch in batches:
-            found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for first, names, begins, ends, slots, terms in space.terms.groups(batch.column("text"), queries[0].step):
-                if not len(terms):
-                    continue
-                used, sums = _sums(space.vectors[terms], slots)
-                halves = np.zeros((int(ends[-1]), sums.shape[1]), np.float32)
-                halves[used] = sums
+            found: list[dict[object, dict]] = [{} for _ in range(batch.num_rows)]
+            for first, names, begins, ends, slots, terms in space.terms.groups(batch.column("text"), least):
+                used, sums = _sums(space.vectors(terms), slots)
                 for wide in queries:
-                    ratio = wide.step // queries[0].step
-                    own = halves.reshape(-1, ratio, halves.shape[1]).sum(axis=1) if ratio > 1 else halves
-                    size = max(CELLS // max(len(wide.items), 1), 1)
-                    for low in range(0, len(own) - 1, size):
-                        high = min(low + size, len(own) - 1)
-                        collect(own[low:high] + own[low + 1 : high + 1], wide, low, first, names, begins, ends // ratio, found)
-            out = [sorted(own, key=lambda match: (match["item_id"] is None, match["item_id"] or 0)) for own in found]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("matches"), pa.array(out, kind)], ["row", "matches", "more"])
-
-    def collect(windows, wide, low, first, names, begins, ends, found):
-        window, item, cosine = wide.candidates(windows, limits)
-        best: dict[tuple[int, int], list] = {}
-        owner = np.searchsorted(ends, window + low, side="right") - 1
-        for own, slot, number, value in zip(owner.tolist(), (window + low - ends[owner]).tolist(), item.tolist(), cosine.tolist(), strict=True):
-            best.setdefault((own, number), []).append((value, slot))
-        for (own, number), places in best.items():
+                    ratio = wide.step // least
+                    held, own = _sums(sums, used // ratio) if ratio > 1 else (used, sums)
+                    for near in wide.candidates(held, own, limits):
+                        decide(*near, wide.step, first, names, begins, ends // ratio, found)
+            out = [sorted(own.values(), key=lambda match: (match["item_id"] is None, match["item_id"] or 0)) for own in found]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, kind)], ["row", "matches"])
+
+    def decide(window, item, cosine, step, first, names, begins, ends, found):
+        owner = np.searchsorted(ends, window, side="right") - 1
+        places: dict[tuple[int, int], list] = {}
+        for own, slot, number, value in zip(owner.tolist(), (window - ends[owner]).tolist(), item.tolist(), cosine.tolist(), strict=True):
+            places.setdefault((own, number), []).append((value, slot))
+        for (own, number), near in places.items():
             one = items[number]
             size = len(one.words)
-            reach = size + max(STEP, wide.step)
-            for slot, value in sorted(dict((slot, value) for value, slot in sorted(places)).items(), key=lambda place: -place[1]):
-                middle = int(begins[own]) + (slot + 1) * wide.step
-                near = names[max(middle - reach, begins[own]) : min(middle + reach, begins[own + 1])].tolist()
-                decided = verify(near, one, limits)
+            reach = size + max(STEP, step)
+            if one.key in found[first + own]:
+                continue
+            best = {slot: value for value, slot in sorted(near)}  # an item's passages may come near in one place
+            for slot, value in sorted(best.items(), key=lambda place: -place[1]):
+                middle = int(begins[own]) + (slot + 1) * step
+                words = names[max(middle - reach, begins[own]) : min(middle + reach, begins[own + 1])].tolist()
+                decided = verify(words, one, limits)
                 if decided:
-                    known = found[first + own]
-                    if all(match["item_id"] != one.key for match in known):
-                        known.append({"item_id": one.key, "item_words": size, "lcs": decided[0], "answer_lcs": decided[1], "cosine": float(value)})
+                    found[first + own][one.key] = {"item_id": one.key, "item_words": size, "lcs": decided[0], "answer_lcs": decided[1], "cosine": float(value)}
                     break
 
-    schema = f"row {sql_type(rows, 'row')}, matches {MATCHES}, more {MATCHES}"
-    scanned = rows.select("row", "matches", F.col(f"row.{text}").cast("string").alias("text")).mapInArrow(frugal(search), schema)
-    return scanned.select("row", F.concat("matches", "more").alias("matches"))
-
-
-def blocks_of(benchmark: DataFrame, key: str, text: str, size: int = ITEMS_PER_PASS) -> Iterator[list[Item]]:
-    """The stated query set in blocks of about ``size`` passages; items without words are left out."""
-    block: list[Item] = []
-    held = 0
-    for row in benchmark.select(F.col(key).cast("long"), F.col(text).cast("string")).toLocalIterator():
-        if row[1] and plain_words(row[1].encode()):
-            block.append(Item.of(row[0], row[1].encode()))
-            held += len(block[-1].passages())
-        if held >= size:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """``row`` (the document's columns) and ``matches``: the items that its text holds, verbatim or as a paraphrase.
-
-    All documents against all items, in blocks of items; each block is one fit over all passages and one
-    search over all windows. Null and empty texts match nothing; repeated rows are judged each for itself;
-    items that share a text match together; an empty benchmark matches nothing.
-    """
-    rows = docs.select(F.struct("*").alias("row"), F.array().cast(MATCHES).alias("matches"))
-    for block in blocks_of(benchmark, item_key, item_text):
-        rows = _scan_block(rows, text, block, limits)
-    return rows
+    return rows.mapInArrow(frugal(search), f"row {sql_type(rows, 'row')}, matches {MATCHES}")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:

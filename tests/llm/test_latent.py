@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from docforge.llm import latent
 from docforge.llm.queries import op8_decontamination
 
@@ -33,8 +35,7 @@ def test_leaks_are_found_and_clean_documents_left(spark, make_docs, monkeypatch)
     texts, items, want = corpus(1)
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     assert pairs(latent.scan(make_docs(texts), benchmark)) == want
-    monkeypatch.setattr(latent, "ITEMS_PER_PASS", 7)
-    monkeypatch.setattr(latent.blocks_of, "__defaults__", (7,))
+    monkeypatch.setattr(latent, "CELLS", 50)
     assert pairs(latent.scan(make_docs(texts), benchmark)) == want
     kept = latent.decontaminate(make_docs(texts), benchmark)
     assert {row.doc_id for row in kept.collect()} == set(range(len(texts))) - {key for key, _ in want}
@@ -51,6 +52,51 @@ def test_query_recall_against_brute_force(spark, small, document_rows):
     assert len(got - want) <= 0.1 * len(want) + 1
 
 
+def test_query_recall_against_the_verdict_of_all_windows(spark, small, document_rows):
+    """Every pair that any window of a document would decide for, accidental ones too."""
+    limits = latent.Limits()
+    items = [latent.Item.of(row.item_id, row.text.encode()) for row in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    want = set()
+    for key, text in document_rows:
+        words = latent.names_of(latent.plain_words((text or "").encode()))
+        for item in items:
+            reach = len(item.words) + 16
+            if latent.verify(words, item, limits) and any(latent.verify(words[max(at - reach, 0) : at + reach], item, limits) for at in range(0, len(words) + 1, 4)):
+                want.add((key, item.key))
+    got = {(row.doc_id, row.item_id) for row in op8_decontamination(spark, small).collect()}
+    assert want and len(want & got) >= 0.9 * len(want)
+    assert got <= want
+
+
+def test_products_of_halves_are_those_of_windows():
+    """Windows from used halves alone against all windows, built one by one."""
+    rng = random.Random(6)
+    words = [f"t{n}" for n in range(80)]
+    items = [latent.Item.of(n, " ".join(rng.choices(words, k=rng.randint(5, 16))).encode()) for n in range(12)]
+    terms = latent.Terms(np.unique(np.array([word for item in items for word in item.words], np.uint64)))
+    basis = np.random.default_rng(1).standard_normal((50, 9)).astype("f4")
+    space = latent.Space(terms, np.arange(len(terms.names)) % 50, np.ones(len(terms.names), "f4"), basis)
+    queries = latent.Queries(space, items, 8)
+    halves = np.zeros((60, 9), "f4")
+    held = np.array(sorted(rng.sample(range(59), 20)))
+    halves[held] = np.random.default_rng(2).standard_normal((20, 9))
+    limits = latent.Limits()
+    want = set()
+    for at in range(59):
+        window = halves[at] + halves[at + 1]
+        for query, item in enumerate(queries.items):
+            share = float(window @ queries.scaled[:, query])
+            if share >= limits.share and share * queries.lengths[query] / np.linalg.norm(window) >= limits.cosine * queries.fill[query]:
+                want.add((at, int(item)))
+    for cells in (1, 40, 1 << 23):
+        latent.CELLS, before = cells, latent.CELLS
+        try:
+            got = [(int(window), int(item)) for near in queries.candidates(held, halves[held], limits) for window, item in zip(near[0], near[1], strict=True)]
+        finally:
+            latent.CELLS = before
+        assert want and len(got) == len(set(got)) and set(got) == want
+
+
 def planted(rng, vocabulary, sizes, edits, per, clean=0):
     """Texts with one item each, its words before the answer edited in part; the items; and the size of each pair's item."""
     sentence = lambda n: rng.choices(vocabulary, k=n)
