@@ -98,23 +98,31 @@ class Item:
         return [self.words[at : at + 2 * step] for at in (*range(0, last, step), last)]
 
 
-def common_subsequence(words: list[int], places: dict[int, int], size: int) -> int:
-    """Length of the longest common subsequence, one bit operation on the item per word."""
+def matches_of(words: list[int], places: dict[int, int]) -> list[int]:
+    """The positions, as bits, of those words that an item has."""
+    return list(filter(None, map(places.get, words)))
+
+
+def longest(matches: list[int], size: int) -> int:
+    """Length of the longest common subsequence, one bit operation on the item per match."""
     full = (1 << size) - 1
     row = full
-    for word in words:
-        match = places.get(word, 0)
-        if match:
-            kept = row & match
-            row = ((row + kept) | (row - kept)) & full
+    for match in matches:
+        kept = row & match
+        row = ((row + kept) | (row - kept)) & full
     return size - row.bit_count()
 
 
+def common_subsequence(words: list[int], places: dict[int, int], size: int) -> int:
+    return longest(matches_of(words, places), size)
+
+
 class Terms:
-    """A sorted list of term names, and the numbers of those among other names."""
+    """A sorted list of names of the items' words, and the numbers of those among other names. ``use`` marks those that are features."""
 
     def __init__(self, names: np.ndarray):
         self.names = names
+        self.use = np.ones(len(names), bool)
         self.filter = np.zeros(1 << 16, bool)
         self.filter[(names & np.uint64(0xFFFF)).astype(np.int64)] = True
 
@@ -127,17 +135,19 @@ class Terms:
         hit = self.names[number] == names[at]
         return at[hit], number[hit]
 
-    def groups(self, column: pa.Array, step: int = STEP) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def groups(self, column: pa.Array, step: int = STEP) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For neighbouring texts together: the first one's row, all names, where each text's begin (and the end),
-        the first half window of each (and the end), and the half windows and numbers of terms. Half windows of any
-        width begin with the text, and the widest one after it is empty."""
+        the first half window of each (and the end), where items' words stand, and the half windows and numbers of features.
+        Half windows of any width begin with the text, and the widest one after it is empty."""
         for first, group in text_groups(column):
             names, ends = name_words(group, _TABLE)
             begins = np.concatenate([[0], ends])
             slots = np.concatenate([[0], np.cumsum(np.diff(begins) // STEPS[-1] + 2)]) * (STEPS[-1] // step)
-            at, term = self.find(names)
+            known, term = self.find(names)
+            used = self.use[term]
+            at, term = known[used], term[used]
             owner = np.searchsorted(ends, at, side="right")
-            yield first, names, begins, slots, slots[owner] + (at - begins[owner]) // step, term
+            yield first, names, begins, slots, known, slots[owner] + (at - begins[owner]) // step, term
 
 
 def _sums(rows: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +158,21 @@ def _sums(rows: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return groups[starts], np.add.reduceat(rows, starts, axis=0)
 
 
+def _short_sums(rows: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_sums`` for many groups of few rows: all first rows, then all second ones where there are any, and so on."""
+    if not len(groups):
+        return groups, rows
+    starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+    sizes = np.diff(np.append(starts, len(groups)))
+    sums = rows[starts]
+    longer, place = np.flatnonzero(sizes > 1), 1
+    while len(longer):
+        sums[longer] += rows[starts[longer] + place]
+        place += 1
+        longer = longer[sizes[longer] > place]
+    return groups[starts], sums
+
+
 def document_frequencies(docs: DataFrame, text: str, terms: Terms) -> np.ndarray:
     """Documents that hold each term, over all documents; the last number is the count of documents."""
 
@@ -183,7 +208,8 @@ class Space:
         return self.basis[self.features[found]] * self.weights[found, None]
 
     def place(self, words: list[int]) -> np.ndarray:
-        return self.vectors(self.terms.find(np.array(words, np.uint64))[1]).sum(axis=0)
+        found = self.terms.find(np.array(words, np.uint64))[1]
+        return self.vectors(found[self.terms.use[found]]).sum(axis=0)
 
 
 _BAND = 64  # features in one row of what tasks send
@@ -205,16 +231,16 @@ def fit_space(docs: DataFrame, text: str, items: list[Item], limits: Limits, see
         own = np.unique(known.find(np.array(words, np.uint64))[1])
         if use[own].sum() < RAREST:
             use[own[np.argsort(counts[own], kind="stable")[:RAREST]]] = True
-    terms = Terms(known.names[use])
-    weights = np.log((1 + total) / (1 + counts[:-1][use])).astype(np.float32) + np.float32(0.1)
-    features = (mix(terms.names) % np.uint64(FEATURES)).astype(np.int64)
+    known.use = use
+    weights = np.log((1 + total) / (1 + counts[:-1])).astype(np.float32) + np.float32(0.1)
+    features = (mix(known.names) % np.uint64(FEATURES)).astype(np.int64)
     random = np.random.default_rng(seed).standard_normal((FEATURES, RANK + OVERSAMPLE)).astype(np.float32)
 
     def product(slots, found, into):
         """Adds A' (A R) for the passages that the slots number."""
         if len(found):
             rows = random[features[found]] * weights[found, None]
-            held, images = _sums(rows, slots)
+            held, images = _short_sums(rows, slots)
             back = images[np.searchsorted(held, slots)] * weights[found, None]
             order = np.argsort(features[found], kind="stable")
             held, sums = _sums(back[order], features[found][order])
@@ -223,7 +249,7 @@ def fit_space(docs: DataFrame, text: str, items: list[Item], limits: Limits, see
     def multiply(batches):
         into = np.zeros_like(random, dtype=np.float64)
         for batch in batches:
-            for *_, slots, found in terms.groups(batch.column("text")):
+            for *_, slots, found in known.groups(batch.column("text")):
                 product(slots // 2, found, into)
         bands = into.astype(np.float32).reshape(-1, _BAND * into.shape[1])
         used = np.flatnonzero(np.abs(bands).max(axis=1) > 0)
@@ -250,11 +276,12 @@ def fit_space(docs: DataFrame, text: str, items: list[Item], limits: Limits, see
     for row in summed.collect():  # FEATURES / _BAND rows
         image[row.band * _BAND : (row.band + 1) * _BAND] += np.frombuffer(row.sums, "<f4").reshape(_BAND, -1)
     for words in passages:
-        found = terms.find(np.array(words, np.uint64))[1]
+        found = known.find(np.array(words, np.uint64))[1]
+        found = found[use[found]]
         product(np.zeros(len(found), np.int64), found, image)
     left, values, _ = np.linalg.svd(image, full_matrices=False)
     basis = left[:, :RANK] * np.sqrt(np.divide(1, values[:RANK], out=np.zeros(RANK), where=values[:RANK] > 1e-9 * values[0]))
-    return Space(terms, features, weights, basis.astype(np.float32))
+    return Space(known, features, weights, basis.astype(np.float32))
 
 
 class Queries:
@@ -312,7 +339,10 @@ MATCHES = "array<struct<item_id:long,item_words:long,lcs:long,answer_lcs:long,co
 def verify(words: list[int], item: Item, limits: Limits) -> tuple[int, int] | None:
     """The lengths of the common subsequence and of the answer's, if they decide for a leak."""
     size = len(item.words)
-    length = common_subsequence(words, item.places, size)
+    held = matches_of(words, item.places)
+    if len(held) < limits.paraphrase * size:  # a subsequence has no more words than match at all
+        return None
+    length = longest(held, size)
     if length < limits.paraphrase * size:
         return None
     said = common_subsequence(words, item.answer_places, len(item.answer))
@@ -347,17 +377,17 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: st
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("item_words", pa.int64()), ("lcs", pa.int64()), ("answer_lcs", pa.int64()), ("cosine", pa.float64())]))
         for batch in batches:
             found: list[dict[object, dict]] = [{} for _ in range(batch.num_rows)]
-            for first, names, begins, ends, slots, terms in space.terms.groups(batch.column("text"), least):
-                used, sums = _sums(space.vectors(terms), slots)
+            for first, names, begins, ends, known, slots, terms in space.terms.groups(batch.column("text"), least):
+                used, sums = _short_sums(space.vectors(terms), slots)
                 for wide in queries:
                     ratio = wide.step // least
-                    held, own = _sums(sums, used // ratio) if ratio > 1 else (used, sums)
+                    held, own = _short_sums(sums, used // ratio) if ratio > 1 else (used, sums)
                     for near in wide.candidates(held, own, limits):
-                        decide(*near, wide.step, first, names, begins, ends // ratio, found)
+                        decide(*near, wide.step, first, names, begins, known, ends // ratio, found)
             out = [sorted(own.values(), key=lambda match: (match["item_id"] is None, match["item_id"] or 0)) for own in found]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, kind)], ["row", "matches"])
 
-    def decide(window, item, cosine, step, first, names, begins, ends, found):
+    def decide(window, item, cosine, step, first, names, begins, known, ends, found):
         owner = np.searchsorted(ends, window, side="right") - 1
         places: dict[tuple[int, int], list] = {}
         for own, slot, number, value in zip(owner.tolist(), (window - ends[owner]).tolist(), item.tolist(), cosine.tolist(), strict=True):
@@ -371,8 +401,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: st
             best = {slot: value for value, slot in sorted(near)}  # an item's passages may come near in one place
             for slot, value in sorted(best.items(), key=lambda place: -place[1]):
                 middle = int(begins[own]) + (slot + 1) * step
-                words = names[max(middle - reach, begins[own]) : min(middle + reach, begins[own + 1])].tolist()
-                decided = verify(words, one, limits)
+                start, stop = np.searchsorted(known, (max(middle - reach, begins[own]), min(middle + reach, begins[own + 1])))
+                decided = verify(names[known[start:stop]].tolist(), one, limits)  # other words match no item
                 if decided:
                     found[first + own][one.key] = {"item_id": one.key, "item_words": size, "lcs": decided[0], "answer_lcs": decided[1], "cosine": float(value)}
                     break
