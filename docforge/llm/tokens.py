@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -119,9 +120,60 @@ class WordEncoder:
                 self._forget()
 
 
+class TextEncoder:
+    """Ids of texts by any tokenizer file, each text encoded whole."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def encode(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
+        for text in texts:
+            code = self.tokenizer.encode((text or b"").decode("utf-8", "replace"), add_special_tokens=False)
+            yield np.array(code.ids, np.uint32)
+
+
+#: The steps of tokenizer files that ``WordEncoder`` is right for.
+_NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPLITTERS = [
+    {"type": "Split", "pattern": {"Regex": _WORDS}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def by_words(path: str) -> bool:
+    """Whether a tokenizer file reads texts word by word, as ``WordEncoder`` does.
+
+    Its steps must be the known ones, no text may be cut or filled, and each added token must hold a character that
+    sends words with it through the whole tokenizer.
+    """
+    with open(path, encoding="utf-8") as source:
+        held = json.load(source)
+    marked = all(
+        not (token["lstrip"] or token["rstrip"])
+        and not any(letter.isspace() for letter in token["content"])
+        and any(not letter.isalpha() and letter not in _PUNCTUATION.decode() for letter in token["content"])
+        for token in held.get("added_tokens") or []
+    )
+    return (
+        marked
+        and (held.get("normalizer") or {}).get("normalizers") == _NORMALISERS
+        and (held.get("pre_tokenizer") or {}).get("pretokenizers") == _SPLITTERS
+        and held["model"].get("type") == "BPE"
+        and not any(held.get(name) for name in ("truncation", "padding", "post_processor"))
+        and not any(held["model"].get(name) for name in ("dropout", "unk_token", "byte_fallback", "ignore_merges"))
+    )
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str) -> WordEncoder | TextEncoder:
+    """The encoder for a tokenizer file: by words where that gives the same ids, else by whole texts."""
+    return WordEncoder(path) if by_words(path) else TextEncoder(path)
 
 
 def pack(keys: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:

@@ -2,6 +2,8 @@ import random
 from collections import defaultdict
 
 import pytest
+import xxhash
+from llm import brute
 from pyspark.sql import functions as F
 
 from docforge.llm import mixing
@@ -73,6 +75,48 @@ def test_each_leaf_gives_a_prefix_of_its_seeded_order(spark, monkeypatch):
     assert {row.doc_id for row in other} != taken[0].keys()
 
 
+def spark_hash(*values):
+    """Spark's ``xxhash64`` of ints, longs and strings: each value's hash is the next one's seed; nulls leave it."""
+    seed = 42
+    for size, value in values:
+        if value is not None:
+            data = value.encode() if size is None else value.to_bytes(size, "little", signed=True)
+            seed = xxhash.xxh64_intdigest(data, seed)
+    return seed
+
+
+@pytest.mark.parametrize("share, epochs", [(0.2, 1), (0.7, 1), (1.3, 2)])
+def test_chosen_documents_against_brute_force(spark, documents, document_rows, share, epochs, monkeypatch):
+    """Whole epochs, then documents in the order of the epoch's hash before which less than the rest of the budget stands."""
+    monkeypatch.setattr(mixing, "SLICE", 8)
+    rows = {row.doc_id: row for row in documents.select("doc_id", "text", "lang", "source").collect()}
+    words = {key: len(brute.words_of(row.text or "")) for key, row in rows.items()}
+    leaves = defaultdict(list)
+    for key, row in rows.items():
+        if words[key]:
+            leaves[row.lang, row.source].append(key)
+    budgets = tree({leaf: sum(words[key] for key in keys) for leaf, keys in leaves.items()}, {}, share, epochs)
+    want = {}
+    for leaf, keys in leaves.items():
+        supply = sum(words[key] for key in keys)
+        full, rest = divmod(round(budgets[leaf]), supply)
+        place = {key: spark_hash((4, 7), (4, full), (8, key), (8, unsigned(spark_hash((None, rows[key].text))))) >> 1 for key in keys}
+        ahead = 0
+        for key in sorted(keys, key=place.get):
+            copies = full + (ahead < rest)
+            ahead += words[key]
+            if copies:
+                want[key] = copies
+    levels = [F.col("lang"), F.col("source")]
+    got = mixing.mix(documents, levels, share=share, epochs=epochs, seed=7).select("row.doc_id", "copies").collect()
+    assert len(got) == len(want) and {row.doc_id: row.copies for row in got} == want
+
+
+def unsigned(value):
+    """The signed long of 64 bits."""
+    return value - (1 << 64) if value >> 63 else value
+
+
 def test_odd_tables(spark):
     schema = "doc_id long, text string, lang string, tokens int"
     rows = [(1, "a b", None, 9), (1, "a b", None, 9), (None, "c d", "x", 9), (2, None, "x", 9), (3, " \n", "x", 9)]

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -35,6 +36,24 @@ def test_word_encoder_equals_the_tokenizer():
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_files_with_other_steps_are_read_text_by_text(spark, tmp_path):
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert tokens.by_words(PATH) and isinstance(tokens.encoder(PATH), tokens.WordEncoder)
+    assert not tokens.by_words(other)
+    plain, rng = Tokenizer.from_file(other), random.Random(2)
+    texts = ["Hello  World", "a b\nc", "", "x " * 1000] + ["".join(rng.choices(ODD, k=rng.randint(0, 9))) for _ in range(500)]
+    for text, ids in zip(texts, tokens.encoder(other).encode([text.encode() for text in texts]), strict=True):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    docs = spark.createDataFrame(list(enumerate(texts[:4])) + [(4, None)], "doc_id long, text string")
+    read = {row.doc_id: row.n_tokens for row in tokens.tokenize_to_files(docs, other).collect()}
+    assert read == {key: len(plain.encode(text, add_special_tokens=False).ids) + 1 for key, text in [*enumerate(texts[:4]), (4, "")]}
+    held = json.load(open(PATH, encoding="utf-8"))
+    for change in ({"truncation": {"max_length": 5}}, {"normalizer": None}, {"added_tokens": [{"content": "word.", "lstrip": False, "rstrip": False}]}):
+        path = tmp_path / "changed.json"
+        path.write_text(json.dumps(held | change))
+        assert not tokens.by_words(str(path))
+
+
 def test_memory_that_is_emptied_changes_nothing(monkeypatch):
     texts = [f"w{n} x{n % 7}, Y{n}".encode() for n in range(500)]
     whole = [ids.tolist() for ids in tokens.WordEncoder(PATH).encode(texts)]
