@@ -15,6 +15,8 @@ from docforge.llm.common import barrier
 
 #: Documents of a leaf are dealt by their order into slices of about this many.
 SLICE = 512
+#: Hexadecimal digits of a document's place in its leaf's order.
+DIGITS = 15
 WHITE = r"[ \t-\r]+"
 
 
@@ -97,8 +99,8 @@ def mix(
 ) -> DataFrame:
     """``row`` (the document's columns), ``leaf`` (its path), ``tokens`` and ``copies`` for the documents that are taken.
 
-    In each epoch a leaf's documents stand in an order of their own, given by a hash of the seed, the
-    epoch and the key (and the text's hash, so that rows with one key have an order too). Whole
+    In each epoch a leaf's documents stand in an order of their own, given by the MD5 of the seed, the
+    epoch and the key (and the text's MD5, so that rows with one key have an order too). Whole
     epochs are taken while the budget lasts, then the documents of the next epoch's order before which
     fewer tokens than the rest of the budget stand. So a leaf falls short by nothing and goes over by
     less than one document. ``copies`` is the number of epochs that hold the document.
@@ -115,7 +117,7 @@ def mix(
         F.struct("*").alias("row"),
         *[level.cast("string").alias(name) for level, name in zip(levels, names, strict=True)],
         F.col(key).alias("key"),
-        F.xxhash64(F.col(text)).alias("print"),
+        F.md5(F.col(text)).alias("print"),
     )
     counted = keyed.select(*names, "key", "print", whitespace_tokens(F.col(f"row.{text}")).alias("tokens"))
     light, _ = barrier(counted.where("tokens > 0"), "mix-leaves")
@@ -144,11 +146,9 @@ def _with(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
 
 def _prefixes(light: DataFrame, plan: DataFrame, names: list[str], seed: int) -> DataFrame:
     """The documents of each leaf's last, partial epoch."""
-    epoch = F.col("full")
-    placed = _with(light, plan.where("rest > 0"), names).withColumn(
-        "place", F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch, "key", "print"), 1)
-    )
-    placed = placed.withColumn("slice", F.floor(F.col("place") / (F.lit(2.0**63) / F.col("slices"))).cast("long"))
+    name = F.md5(F.concat_ws(":", F.lit(seed), F.col("full"), F.col("key"), F.col("print")))
+    placed = _with(light, plan.where("rest > 0"), names).withColumn("place", F.conv(F.substring(name, 1, DIGITS), 16, 10).cast("long"))
+    placed = placed.withColumn("slice", F.floor(F.col("place") / (F.lit(16.0**DIGITS) / F.col("slices"))).cast("long"))
     sums = placed.groupBy(*names, "slice").agg(F.sum("tokens").alias("sum"))
     ahead = Window.partitionBy(*names).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("ahead", F.coalesce(F.sum("sum").over(ahead), F.lit(0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docforge.llm import quality
+from docforge.llm import mixing, quality, secrets
 from docforge.llm.chat import LEARNED, MARKS
 
 _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
@@ -54,6 +54,58 @@ SELECT *{more} FROM (
 JACCARD = _SIMILAR.format(words=_WORDS.format(text=_LOWER), shingle=5, percent=75, more="")
 MINHASH = _SIMILAR.format(words=_WORDS.format(text=_LOWER), shingle=4, percent=80, more=", component_id = doc_id AS kept")
 
+
+
+def _filled(name: str, nodes: str, parents: str, own: str) -> str:
+    """Siblings filled up to the level that the first open one sets."""
+    order = f"(PARTITION BY {parents} ORDER BY cap / weight, coalesce({own}, '')"
+    return f"""
+{name}_sized AS (
+  SELECT *, cap / weight AS rate, coalesce(sum(cap) OVER {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+    sum(weight) OVER {order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM ({nodes})
+),
+{name}_levels AS (SELECT *, CASE WHEN (budget - filled) / open < rate THEN (budget - filled) / open END AS own_level FROM {name}_sized),
+{name} AS (
+  SELECT * EXCLUDE (budget), least(cap, greatest(coalesce(level * weight, cap), 0)) AS given FROM (
+    SELECT *, first_value(own_level IGNORE NULLS) OVER {order} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS level FROM {name}_levels)
+)"""
+
+
+def _weigh(column: str, weights: dict[str, float]) -> str:
+    return f"CASE {column} {' '.join(f"WHEN '{name}' THEN {weight}" for name, weight in weights.items())} ELSE 1.0 END::DOUBLE AS weight"
+
+
+def mixing_sql(domains: dict[str, float], langs: dict[str, float], share: float, epochs: int, seed: int) -> str:
+    """The mixture over domain, language and source; languages have weights under the weighted domains, all else weighs 1."""
+    return f"""
+WITH docs AS (
+  SELECT *, regexp_extract(source, '([0-9]+)', 1) AS digits, CAST(len({_WORDS.format(text="text")}) AS BIGINT) AS tokens FROM documents
+),
+light AS (
+  SELECT *, 'd' || CASE WHEN digits = '' THEN 'x' ELSE (CAST(right(digits, 2) AS BIGINT) % 4)::VARCHAR END AS domain FROM docs WHERE tokens > 0
+),
+leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS supply, CAST({epochs} * sum(tokens) AS BIGINT) AS cap FROM light GROUP BY ALL),
+{_filled("tops", f"SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, {_weigh('domain', domains)}, "
+         f"CAST(sum(sum(cap)) OVER () AS BIGINT) * {share / epochs}::DOUBLE AS budget FROM leaves GROUP BY domain", "1", "domain")},
+{_filled("middle", "SELECT n.*, b.given AS budget FROM (SELECT domain, lang, CAST(sum(cap) AS BIGINT) AS cap, "
+         f"CASE WHEN domain IN ({', '.join(f"'{name}'" for name in domains)}) THEN weight ELSE 1 END AS weight "
+         f"FROM (SELECT *, {_weigh('lang', langs)} FROM leaves) GROUP BY domain, lang, weight) n "
+         "JOIN tops b ON n.domain IS NOT DISTINCT FROM b.domain", "domain", "lang")},
+{_filled("low", "SELECT n.*, 1.0::DOUBLE AS weight, b.given AS budget FROM leaves n "
+         "JOIN middle b ON n.domain IS NOT DISTINCT FROM b.domain AND n.lang IS NOT DISTINCT FROM b.lang", "domain, lang", "source")},
+plan AS (SELECT domain, lang, source, CAST(round(given) AS BIGINT) // supply AS whole, CAST(round(given) AS BIGINT) % supply AS rest FROM low),
+placed AS (
+  SELECT d.*, whole, rest, CAST('0x' || substr(md5('{seed}:' || whole || ':' || doc_id || ':' || md5(text)), 1, {mixing.DIGITS}) AS BIGINT) AS place
+  FROM light d JOIN plan p ON d.domain IS NOT DISTINCT FROM p.domain AND d.lang IS NOT DISTINCT FROM p.lang AND d.source IS NOT DISTINCT FROM p.source
+),
+chosen AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY place)
+    - sum(tokens) OVER (PARTITION BY domain, lang, source, place) AS ahead FROM placed
+)
+SELECT doc_id, lang, source, tokens, CAST(whole + CASE WHEN ahead < rest THEN 1 ELSE 0 END AS INTEGER) AS copies
+FROM chosen WHERE whole > 0 OR ahead < rest"""
+
+
 _FAILED = " + ".join(f"CASE WHEN {rule.fails} THEN {quality.BIT[rule.name]} ELSE 0 END" for rule in quality.RULES)
 
 QUALITY = f"""
@@ -92,6 +144,45 @@ SELECT doc_id, {", ".join(f"CAST({name} AS BIGINT) AS {name}" for name in ("n_wo
   fail_bits & {quality.BASE} <> 0 AS base_failed, fail_bits & {quality.POLICIES[quality.CURRENT]} = 0 AS kept
 FROM judged"""
 
+
+
+def _spans(number: int, rule: secrets.SecretRule) -> str:
+    """Matches and the pieces between them follow each other, so their lengths add up to where each match ends."""
+    pattern = _SQL_PATTERNS.get(rule.kind, rule.pattern).replace("'", "''")
+    return f"""
+  SELECT doc_id, {number} AS number, '{rule.kind}' AS kind, length(hit) AS size,
+    sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) AS stop
+  FROM (SELECT doc_id, unnest(hits) AS hit, unnest(parts) AS part, unnest(gaps[:len(hits)]) AS gap, unnest(range(len(hits))) AS i FROM (
+    SELECT doc_id, regexp_extract_all(text, '{pattern}') AS hits, regexp_extract_all(text, '{pattern}', {rule.group}) AS parts,
+      string_split_regex(text, '{pattern}') AS gaps FROM docs))
+  QUALIFY length(part) >= {rule.least}"""
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{letter.upper()}{letter}]" if letter.isalpha() else letter for letter in word)
+
+
+#: Rules that are written otherwise over code points than over bytes.
+_SQL_PATTERNS = {
+    "assign": f"({'|'.join(map(_either_case, ('password', 'passwd', 'secret', 'token', 'api_?key')))})"
+    + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "url_login": r"://[A-Za-z0-9._-]+:[^\x00-\x20/@:\x7f-\x{10FFFF}]+@",
+}
+
+SECRETS = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join(_spans(number, rule) for number, rule in enumerate(secrets.RULES))}),
+named AS (SELECT doc_id, number, kind, stop - size AS start, kind || ':' || (stop - size) || ':' || stop AS span FROM spans),
+found AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in secrets.BASE_KINDS)},
+    string_agg(span, ',' ORDER BY start, number) FILTER (number < {len(secrets.BASE_RULES)}) AS base,
+    string_agg(span, ',' ORDER BY start, number) AS spans
+  FROM named GROUP BY doc_id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in secrets.BASE_KINDS)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN found USING (doc_id)"""
+
 WARC = """
 WITH payloads AS (
   SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS size,
@@ -198,6 +289,7 @@ ORACLES: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING,
     "op2_jaccard_join": JACCARD,
     "op4_quality_rules": QUALITY,
+    "op6_secret_scans": SECRETS,
     "op7_warc": WARC,
     "op10_chat_formatting": CHAT,
     "op11_periodic_runs": PERIODS,

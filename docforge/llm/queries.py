@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docforge.llm import chat, interactions, jaccard, latent, minhash, mixing, periodic, quality, secrets, substring, tokens, warc, wordpiece
-from docforge.llm.oracles import ORACLES
+from docforge.llm.oracles import ORACLES as PLAIN
+from docforge.llm.oracles import mixing_sql
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -23,6 +24,10 @@ DOMAIN_WEIGHTS = {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}
 LANG_WEIGHTS = {"en": 5.0, "de": 2.0, "fr": 2.0, "es": 1.0}
 
 
+#: Half of all tokens, at most two epochs of a leaf.
+MIX = {"share": 0.5, "epochs": 2, "seed": 7}
+
+
 def domain() -> F.Column:
     number = F.regexp_extract("source", r"(\d+)", 1)  # of any length; its last two digits say what is left of it by 4
     return F.concat(F.lit("d"), F.when(number == "", "x").otherwise(F.substring(number, -2, 2).cast("long") % 4))
@@ -51,7 +56,7 @@ def op2_jaccard_join(spark, folder):
 
 def op3_mixing(spark, folder):
     """Half of all tokens by the example tree, at most two epochs of a leaf."""
-    taken = mixing.mix(_table(spark, folder, "documents"), tree_levels(), tree_weights(spark), share=0.5, epochs=2, seed=7)
+    taken = mixing.mix(_table(spark, folder, "documents"), tree_levels(), tree_weights(spark), **MIX)
     return taken.select("row.doc_id", "row.lang", "row.source", "tokens", "copies")
 
 
@@ -191,4 +196,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+ORACLES = {**PLAIN, "op3_mixing": mixing_sql(DOMAIN_WEIGHTS, LANG_WEIGHTS, **MIX)}
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,8 +1,8 @@
 import random
 from collections import defaultdict
+from hashlib import md5
 
 import pytest
-import xxhash
 from llm import brute
 from pyspark.sql import functions as F
 
@@ -75,14 +75,10 @@ def test_each_leaf_gives_a_prefix_of_its_seeded_order(spark, monkeypatch):
     assert {row.doc_id for row in other} != taken[0].keys()
 
 
-def spark_hash(*values):
-    """Spark's ``xxhash64`` of ints, longs and strings: each value's hash is the next one's seed; nulls leave it."""
-    seed = 42
-    for size, value in values:
-        if value is not None:
-            data = value.encode() if size is None else value.to_bytes(size, "little", signed=True)
-            seed = xxhash.xxh64_intdigest(data, seed)
-    return seed
+def place_of(seed, epoch, key, text):
+    """The document's place in its leaf's order of an epoch."""
+    name = f"{seed}:{epoch}:{key}:{md5(text.encode()).hexdigest()}"
+    return int(md5(name.encode()).hexdigest()[: mixing.DIGITS], 16)
 
 
 @pytest.mark.parametrize("share, epochs", [(0.2, 1), (0.7, 1), (1.3, 2)])
@@ -100,7 +96,7 @@ def test_chosen_documents_against_brute_force(spark, documents, document_rows, s
     for leaf, keys in leaves.items():
         supply = sum(words[key] for key in keys)
         full, rest = divmod(round(budgets[leaf]), supply)
-        place = {key: spark_hash((4, 7), (4, full), (8, key), (8, unsigned(spark_hash((None, rows[key].text))))) >> 1 for key in keys}
+        place = {key: place_of(7, full, key, rows[key].text) for key in keys}
         ahead = 0
         for key in sorted(keys, key=place.get):
             copies = full + (ahead < rest)
@@ -112,11 +108,6 @@ def test_chosen_documents_against_brute_force(spark, documents, document_rows, s
     assert len(got) == len(want) and {row.doc_id: row.copies for row in got} == want
 
 
-def unsigned(value):
-    """The signed long of 64 bits."""
-    return value - (1 << 64) if value >> 63 else value
-
-
 def test_odd_tables(spark):
     schema = "doc_id long, text string, lang string, tokens int"
     rows = [(1, "a b", None, 9), (1, "a b", None, 9), (None, "c d", "x", 9), (2, None, "x", 9), (3, " \n", "x", 9)]
