@@ -126,3 +126,61 @@ def anchors(names: np.ndarray, docs: np.ndarray, width: int, rounds: int = ROUND
             break
     settle(at, low, high)
     return windows, found_name, found_start, found_length
+
+
+#: One odd factor for each part that a round pops from a window.
+_FACTORS = mix(np.arange(1, 8, dtype=np.uint64)) | np.uint64(1)
+
+
+def spellings(names: np.ndarray, docs: np.ndarray, windows: np.ndarray, width: int) -> np.ndarray:
+    """A name of the words of each window of ``width`` words from ``windows``, made of its symbols.
+
+    The rounds go on until every window is spelled. In each, what its own words don't decide is popped from its
+    ends and spelled out: the first and the last run with their lengths inside, a right symbol in front, a
+    left symbol behind. What stays goes on to the next round as fewer, higher symbols; where nothing would
+    stay, the symbols of the level before are spelled out. So equal windows have equal spellings, and a
+    spelling says which words they are.
+    """
+    spelled = np.zeros(len(windows), np.uint64)
+    symbols = Symbols(names, np.arange(len(names)), np.arange(1, len(names) + 1), docs)
+    at, low, high = np.arange(len(windows)), windows, windows + width
+    seed = 0
+    while len(at):
+        seed += 1
+        runs, run = name_runs(symbols, seed)
+        right = sides(runs.names, seed)
+        first, behind = run[low], run[high - 1]
+        last = len(right) - 1
+        some = first + 1 < behind
+        front = some & right[np.minimum(first + 1, last)]
+        back = some & ~right[behind - 1]
+        next_low, next_high = first + 1 + front, behind - back
+        stays = next_low < next_high
+        done = ~stays
+        spelled[at[done]] = _spell(spelled[at[done]], symbols.names, low[done], high[done], seed)
+        at, low, high, first, behind, front, back = (column[stays] for column in (at, low, high, first, behind, front, back))
+        begins = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        popped = [
+            spelled[at],
+            symbols.names[low],
+            (begins[first + 1] - low).astype(np.uint64),
+            np.where(front, runs.names[first + 1], np.uint64(0)),
+            np.where(back, runs.names[behind - 1], np.uint64(0)),
+            (high - begins[behind]).astype(np.uint64),
+            symbols.names[high - 1],
+        ]
+        spelled[at] = mix(sum(part * factor for part, factor in zip(popped, _FACTORS, strict=True)))
+        symbols, place = name_pairs(runs, right)
+        low, high = place[next_low[stays]], place[next_high[stays] - 1] + 1
+    return spelled
+
+
+def _spell(before: np.ndarray, names: np.ndarray, low: np.ndarray, high: np.ndarray, level: int) -> np.ndarray:
+    """``before`` with all symbols from ``low`` to ``high`` added, symbol by symbol of all windows."""
+    spelled = join_hashes(before, np.full(len(before), level, np.uint64))
+    left = np.arange(len(before))
+    while len(left):
+        spelled[left] = join_hashes(spelled[left], names[low[left]])
+        low = low + 1
+        left = left[low[left] < high[left]]
+    return spelled

@@ -1,7 +1,7 @@
-"""Substring dedup by recompression: shared symbols reveal repeated windows, whole windows verify them.
+"""Substring dedup by recompression: shared symbols reveal repeated windows, their spellings in symbols verify them.
 
 Four steps, each a shuffle of its own size: every window's anchor goes by its name, and those that occur once
-fall out; documents with shared anchors send their windows by name, and all but the first occurrence come back;
+fall out; documents with shared anchors send their windows by spelling, and all but the first occurrence come back;
 each document is then cut.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docforge.llm.common import barrier, frugal, join_hashes, mix, name_words, release, remove, sql_type, text_groups, texts_of, window_hashes
-from docforge.llm.recompression import anchors
+from docforge.llm.recompression import anchors, spellings
 
 WIDTH = 20
 #: Words beside an anchor that its name takes in, where the window has them.
@@ -109,7 +109,7 @@ def _keep_shared(batches):
 def _send_windows(width: int):
     """``name, check, key, tie, start, sure`` of each window whose anchor is shared.
 
-    A window that has an earlier equal among neighbouring texts is decided there (``sure``) and goes under a name of
+    ``name`` is the window's spelling in symbols, ``check`` a second name made of its words. A window that has an earlier equal among neighbouring texts is decided there (``sure``) and goes under a name of
     its own; only the first of each name competes with those of other tasks.
     """
 
@@ -132,7 +132,7 @@ def _send_windows(width: int):
                 if not len(window):
                     continue
                 owner = docs[window]
-                name = window_hashes(names, width)[window]
+                name = spellings(names, docs, window, width)
                 check = window_hashes(mix(names + np.uint64(_ODD)), width)[window]
                 place = (keys[first + owner], ties[first + owner], window - begins[owner])
                 order = np.lexsort((*place[::-1], check, name))

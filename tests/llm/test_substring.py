@@ -39,6 +39,24 @@ def test_equal_windows_have_equal_anchors():
         assert ((place >> 6 >= window) & ((place >> 6) + (place & 63) <= window + 20)).all()
 
 
+@pytest.mark.parametrize("alphabet", [1, 2, 3, 7, 1000])
+@pytest.mark.parametrize("width", [1, 2, 5, 20])
+def test_spellings_are_equal_where_windows_are(alphabet, width):
+    rng = np.random.default_rng(alphabet + width)
+    names = rng.integers(0, alphabet, 6000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    names[2000:2300] = names[100:400]
+    names[3000:3050] = names[3100]
+    docs = np.repeat(np.arange(12), 500)
+    window = np.flatnonzero(docs[: 6000 - width + 1] == docs[width - 1 :])
+    window = window[rng.random(len(window)) < 0.8]
+    spelled = recompression.spellings(names, docs, window, width).tolist()
+    words = [tuple(names[start : start + width].tolist()) for start in window.tolist()]
+    known = {}
+    for name, own in zip(spelled, words, strict=True):
+        assert known.setdefault(name, own) == own
+    assert len(known) == len(set(words))
+
+
 def test_rounds_shrink_a_sequence():
     names = np.random.default_rng(1).integers(0, 2**63, 10_000).astype(np.uint64)
     symbols = recompression.Symbols(names, np.arange(10_000), np.arange(1, 10_001), np.zeros(10_000, int))
