@@ -18,6 +18,9 @@ RESULTS_PER_PAGE = 20
 MAX_PAGE = 500
 MIN_VOTES = 50
 
+#: Tasks that a wave of pages is dealt to, for each task that runs at once.
+TASKS_PER_SLOT = 4
+
 
 def check_page(page: int) -> int:
     if not 1 <= page <= MAX_PAGE:
@@ -51,7 +54,7 @@ def fetch_until_stop(
     """
     slots = spark.sparkContext.defaultParallelism
     pause = slots / max_requests_per_second if max_requests_per_second else 0.0
-    source = listing_source(open_fetcher, outcome, pause)
+    source = listing_source(open_fetcher, outcome, pause, TASKS_PER_SLOT * slots)
     done, last, ended = None, 0, False
     while last < most_pages and not ended:
         first, last = last + 1, min(max(2 * last, 1), most_pages)

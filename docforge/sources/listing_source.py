@@ -1,4 +1,4 @@
-"""A paged listing as a Spark data source: one input partition for each page."""
+"""A paged listing as a Spark data source: its input partitions are runs of pages."""
 
 from __future__ import annotations
 
@@ -15,10 +15,11 @@ NAME = "docforge_listing"
 SCHEMA = "page BIGINT, payload STRING, status STRING, error STRING, ingested_at TIMESTAMP"
 
 
-def listing_source(open_fetcher: Callable[[], Fetcher], outcome: Callable, pause: float = 0.0) -> type[DataSource]:
+def listing_source(open_fetcher: Callable[[], Fetcher], outcome: Callable, pause: float = 0.0, tasks: int = 64) -> type[DataSource]:
     """A data source class for the listing behind a fetcher. Options ``first`` and ``last`` are the pages to ask for.
 
-    ``outcome`` turns a fetcher and a request into ``payload, status, error``. Each task sleeps ``pause`` seconds before its request.
+    ``outcome`` turns a fetcher and a request into ``payload, status, error``. The pages are asked for by at most ``tasks`` tasks, each of
+    which opens one fetcher, and sleeps ``pause`` seconds before each request.
     """
 
     class Pages(DataSourceReader):
@@ -26,12 +27,16 @@ def listing_source(open_fetcher: Callable[[], Fetcher], outcome: Callable, pause
             self.first, self.last = int(options["first"]), int(options["last"])
 
         def partitions(self) -> list[InputPartition]:
-            return [InputPartition(page) for page in range(self.first, self.last + 1)]
+            pages = self.last + 1 - self.first
+            runs = min(pages, tasks)
+            cuts = [self.first + pages * run // runs for run in range(runs)] + [self.last + 1]
+            return [InputPartition(run) for run in zip(cuts, cuts[1:], strict=False)]
 
         def read(self, partition: InputPartition) -> Iterator[tuple]:
-            time.sleep(pause)
-            page = partition.value
-            yield (page, *outcome(open_fetcher(), {"page": page})[:3], datetime.now(timezone.utc))
+            fetcher = open_fetcher()
+            for page in range(*partition.value):
+                time.sleep(pause)
+                yield (page, *outcome(fetcher, {"page": page})[:3], datetime.now(timezone.utc))
 
     class Listing(DataSource):
         @classmethod
