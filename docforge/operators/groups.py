@@ -35,15 +35,22 @@ def exclude_seen(
 def seen_bitmaps(members: DataFrame, history: DataFrame, dislike_below: float = 3.0) -> DataFrame:
     """``group_id, bucket, seen``: a bitmap of the titles that some member has watched or disliked, for each 32,768 titles.
 
-    A member's history becomes bitmaps on the map side first. What meets the members is a row for each
-    member and bucket, however many titles a member has seen.
+    A member's history becomes words of 64 titles on the map side first, so what meets the members is never
+    more than a short row for each title that a member has seen. Whole bitmaps are made for groups alone.
     """
+    title = F.col("movie_id")
+    word = F.expr("movie_id div 64 - if(movie_id % 64 < 0, 1, 0)")
     own = (
-        history.where((F.col("watched") | (F.col("rating") < dislike_below)) & F.col("movie_id").isNotNull())
-        .groupBy("user_id", F.bitmap_bucket_number("movie_id").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("movie_id")).alias("seen"))
+        history.where((F.col("watched") | (F.col("rating") < dislike_below)) & title.isNotNull())
+        .groupBy("user_id", word.alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(movie_id, 64) as int))")).alias("bits"))
+    )
+    met = members.distinct().join(own, "user_id")
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda place: F.getbit("bits", place) == 1)
+    seen = met.select("group_id", "word", F.explode(places).alias("place")).select("group_id", (F.col("word") * 64 + F.col("place")).alias("movie_id"))
+    return seen.groupBy("group_id", F.bitmap_bucket_number("movie_id").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("movie_id")).alias("seen")
     )
-    return members.distinct().join(own, "user_id").groupBy("group_id", "bucket").agg(F.bitmap_or_agg("seen").alias("seen"))
 
 
 def exclude_seen_by_bitmap(
