@@ -13,7 +13,7 @@ KEY = ["movie_id"]
 LEDGER, PENDING = "payload_ledger", "pending_changes"
 
 
-def refresh(spark: SparkSession, settings: Settings) -> dict[str, int]:
+def refresh(spark: SparkSession, settings: Settings, bronze: DataFrame | None = None) -> dict[str, int]:
     """Bring all layers up to date; returns how many records were added, changed and removed.
 
     A ledger holds the digest of every payload that the layers were made of. Only records whose digest differs are parsed, and
@@ -23,9 +23,11 @@ def refresh(spark: SparkSession, settings: Settings) -> dict[str, int]:
     short is made up for by the next one, whatever happened to bronze in between. Raises, with
     all tables as they were, when bronze holds no payload. A new reference list changes links of records that
     didn't change; those are found in the parsed table by genre.
+
+    ``bronze`` are payloads that are written elsewhere already; by default the table's.
     """
     name = settings.table
-    bronze = spark.table(name("bronze_payloads"))
+    bronze = spark.table(name("bronze_payloads")) if bronze is None else bronze
     ledger = tables.write_barrier(changes.payload_digests(bronze), "ledger")
     if ledger.isEmpty():
         raise checks.QualityError("bronze holds no payload; the layers stay as they are")
@@ -37,19 +39,25 @@ def refresh(spark: SparkSession, settings: Settings) -> dict[str, int]:
     keys = changed.select(*KEY)
 
     moved_genres = _refresh_genres(spark, settings)
-    parsed = tables.write_barrier(parse.parse_payloads(bronze.join(keys, "movie_id", "left_semi")), "parsed")
+    parsed = parse.parse_payloads(bronze.join(keys, "movie_id", "left_semi"))
+    if whole:
+        # All there is: the table itself is what the layers are made of.
+        _bring(spark, settings, whole, "parsed", keys, parsed)
+        parsed = spark.table(name("parsed")).drop(parts.PART)
+    else:
+        parsed = tables.write_barrier(parsed, "parsed")
+        _bring(spark, settings, whole, "parsed", keys, parsed)
     unique = checks.keys_unique(parsed, "movie_id")
-    _bring(spark, settings, whole, "parsed", keys, parsed)
     if moved_genres is not None and not whole:
         _bring(spark, settings, whole, "silver_movie_genres", *_moved_links(spark, settings, keys, moved_genres))
     else:
         _bring(spark, settings, whole, "silver_movie_genres", keys, silver.genre_links(parsed, spark.table(name("silver_genres")), unique))
     for table, rows in _layers(parsed, settings, unique).items():
-        _bring(spark, settings, whole, table, keys, rows)
+        _bring(spark, settings, whole, table, keys, rows, gathered=whole and unique)
 
     tables.write_snapshot(ledger, name(LEDGER))
     spark.sql(f"DROP TABLE IF EXISTS {name(PENDING)}")
-    for written in (parsed, changed, ledger, *([moved_genres] if moved_genres is not None else [])):
+    for written in (*([] if whole else [parsed]), changed, ledger, *([moved_genres] if moved_genres is not None else [])):
         tables.drop_barrier(written)
     return counts
 
@@ -85,10 +93,10 @@ def _layers(parsed: DataFrame, settings: Settings, unique: bool) -> dict[str, Da
     }
 
 
-def _bring(spark: SparkSession, settings: Settings, whole: bool, table: str, keys: DataFrame, rows: DataFrame) -> None:
+def _bring(spark: SparkSession, settings: Settings, whole: bool, table: str, keys: DataFrame, rows: DataFrame, gathered: bool = False) -> None:
     """``rows`` in place of those of ``keys``; a table that is missing or was built otherwise is dealt to partitions.
 
-    With ``whole`` the rows are all there are.
+    With ``whole`` the rows are all there are; ``gathered`` is told to ``parts.write_whole``.
     """
     name = settings.table(table)
     tables.recover(spark, name)
@@ -98,7 +106,7 @@ def _bring(spark: SparkSession, settings: Settings, whole: bool, table: str, key
         if spark.catalog.tableExists(name) and not whole:
             held = spark.table(name).drop(parts.PART)
             rows = held.join(keys, "movie_id", "left_anti").unionByName(rows)
-        parts.write_whole(rows, name, KEY, settings.layer_partitions)
+        parts.write_whole(rows, name, KEY, settings.layer_partitions, gathered)
 
 
 def _refresh_genres(spark: SparkSession, settings: Settings) -> DataFrame | None:

@@ -36,13 +36,15 @@ def layout(spark: SparkSession, table: str) -> tuple[list[str], int] | None:
     return (held[_KEYS].split(","), int(held[_NUMBER])) if _NUMBER in held else None
 
 
-def write_whole(df: DataFrame, table: str, keys: Sequence[str], partitions: int) -> int:
+def write_whole(df: DataFrame, table: str, keys: Sequence[str], partitions: int, gathered: bool = False) -> int:
     """Replace ``table`` by the rows of ``df``, dealt by ``keys``; returns how many there are.
 
-    The rows are written to the shared folder first, so ``df`` may read the table. A table dealt by these keys keeps its number of partitions
+    The rows are written to the shared folder first, so ``df`` may read the table; where there is no table yet, they go straight
+    into it. A table dealt by these keys keeps its number of partitions
     and is overwritten in place. Others give way: an undealt one keeps its rows under another name until the new one
     stands, and ``tables.recover`` puts it back. (Renaming would leave a partitioned table's partitions behind in some catalogs.)
-    Each partition is gathered before it is written; Spark splits one that is large.
+    Each partition is gathered before it is written; Spark splits one that is large. ``gathered`` says that rows of one
+    partition lie together already, as they do when they are made row by row from a table dealt alike.
     """
     spark = df.sparkSession
     tables.recover(spark, table)
@@ -50,7 +52,11 @@ def write_whole(df: DataFrame, table: str, keys: Sequence[str], partitions: int)
     kept = held is not None and held[0] == list(keys)
     number = held[1] if kept else partitions
     columns = [name for name in (spark.table(table).columns if kept else df.columns) if name != PART]
-    dealt = df.select(*columns, part_of(keys, number)).hint("rebalance", PART)
+    dealt = df.select(*columns, part_of(keys, number))
+    dealt = dealt if gathered else dealt.hint("rebalance", PART)
+    if held is None and not spark.catalog.tableExists(table):
+        _create(dealt, table, keys, number)
+        return spark.table(table).count()
     rows = tables.write_barrier(dealt, "parts")
     if kept:
         _exchange(rows, table, [row[PART] for row in spark.table(table).select(PART).distinct().collect()])
@@ -61,8 +67,7 @@ def write_whole(df: DataFrame, table: str, keys: Sequence[str], partitions: int)
         elif spark.catalog.tableExists(table):
             old = tables.side_names(table)[1]
             tables.rename(spark, table, old)
-        made = rows.writeTo(table).using("parquet").partitionedBy(F.col(PART))
-        made.tableProperty(_NUMBER, str(number)).tableProperty(_KEYS, ",".join(keys)).create()
+        _create(rows, table, keys, number)
         if old:
             spark.sql(f"DROP TABLE {old}")
     tables.drop_barrier(rows)
@@ -70,6 +75,11 @@ def write_whole(df: DataFrame, table: str, keys: Sequence[str], partitions: int)
     return spark.table(table).count()  # from the files' footers
 
 
+def _create(rows: DataFrame, table: str, keys: Sequence[str], number: int) -> None:
+    made = rows.writeTo(table).using("parquet").option("compression", tables.COMPRESSION).partitionedBy(F.col(PART))
+    made.tableProperty(_NUMBER, str(number)).tableProperty(_KEYS, ",".join(keys)).create()
+
+
 def _exchange(rows: DataFrame, table: str, before: Iterable[int]) -> None:
     """The partitions ``before`` of a table replaced by written rows of its layout; those without rows go."""
     spark = rows.sparkSession

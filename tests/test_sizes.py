@@ -1,6 +1,13 @@
 """Whole results, and plans and files whose size grows no faster than their input."""
 
-from docforge.plans import queries
+import json
+import math
+
+from conftest import plan
+
+from docforge.operators import groups
+from docforge.plans import bridge, queries
+from docforge.sources import listing_source, parts, tables
 
 
 def test_the_reference_list_keeps_its_repeats(spark, tmp_path):
@@ -8,3 +15,52 @@ def test_the_reference_list_keeps_its_repeats(spark, tmp_path):
     spark.createDataFrame(list(enumerate(kinds)), "p_partkey long, p_type string").write.parquet(f"{tmp_path}/part.parquet")
     listed = queries.bronze_reference_list(spark, str(tmp_path))
     assert sorted((row.name or "") for row in listed.collect()) == ["", "LARGE", "LARGE", "SMALL"]
+
+
+def test_many_pages_are_asked_for_by_few_tasks(spark):
+    source = listing_source.listing_source(lambda: "fetcher", lambda fetcher, request: (f"{fetcher} {request['page']}", "success", None), 0.0, 8)
+    pages = listing_source.read_pages(spark, source, 3, 1002)
+    assert pages.rdd.getNumPartitions() == 8
+    assert [tuple(row) for row in pages.select("page", "payload").orderBy("page").collect()] == [(page, f"fetcher {page}") for page in range(3, 1003)]
+
+
+def test_a_member_sends_no_whole_bitmap(spark):
+    history = spark.range(200).selectExpr("id AS user_id", "id * 40000 - 100 AS movie_id", "true AS watched", "5.0 AS rating")
+    members = spark.range(200).selectExpr("id % 3 AS group_id", "id AS user_id")
+    bitmaps = groups.seen_bitmaps(members, history)
+    assert plan(bitmaps).count("partial_bitmap_construct_agg") == 1 and "bitmap_or_agg" not in plan(bitmaps)
+    assert bitmaps.selectExpr("sum(bitmap_count(seen))").first()[0] == 200
+
+
+def test_each_review_is_sent_once_and_reaches_all_its_movies(spark, tmp_path):
+    movies, slots = 40, 2
+    talks = [(conv, turn, "user", f"text {conv} {turn}") for conv in (-3, -1, 0, 1, 5) for turn in (0, 1)] + [(None, 1, "user", "lost")]
+    write = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    write([(key, "n", "b", "T", 11, 1.0) for key in range(-3, movies - 3)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double", "part")
+    write([(key, f"d{key}") for key in range(movies)], "doc_id long, text string", "documents")
+    write(talks, "conv_id long, turn long, role string, text string", "conversations")
+    write([(order, 0, 7, 1, "R") for order in range(-9, 9)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string", "lineitem")
+    made = bridge.bronze_payloads(spark, str(tmp_path))
+    assert "Generate" not in plan(made)
+    want = {}
+    for conv, turn, _, _ in talks[:-1]:
+        first = int(math.fmod(conv * 13 + turn * 7, slots))
+        for copy in range(16):
+            want.setdefault(first + copy * slots, set()).add(f"{conv}-{turn}")
+    cast = {int(math.fmod(order * 7 + 7 * 17 + 1, movies)) for order in range(-9, 9)}
+    for row in made.where("payload LIKE '{\"%'").collect():
+        payload = json.loads(row.payload)
+        assert {each["id"] for each in (payload["reviews"].get("results") or [])} == want.get(row.movie_id, set())
+        assert bool(payload.get("credits", {}).get("cast")) == (row.movie_id in cast)
+
+
+def test_a_new_table_is_written_once(spark, monkeypatch):
+    tables.ensure_namespace(spark, "spark_catalog", "once")
+
+    def refuse(df, name):
+        raise AssertionError("the rows of a new table need no second copy")
+
+    monkeypatch.setattr(tables, "write_barrier", refuse)
+    assert parts.write_whole(spark.range(30).selectExpr("id AS k"), "spark_catalog.once.t", ["k"], 4) == 30
+    assert spark.table("spark_catalog.once.t").where(parts.part_of(["k"], 4) != 0).count() <= 30
+    assert parts.layout(spark, "spark_catalog.once.t") == (["k"], 4)
