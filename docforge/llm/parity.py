@@ -65,26 +65,39 @@ def filter_pairs(pairs: DataFrame, sets: DataFrame, over: int, under: int) -> Da
     return sized.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(frugal(check), "a long, b long")
 
 
-def in_blocks(members: DataFrame) -> DataFrame:
-    """``center, kind, i, j, own`` and the rest of each member of a group, once for each pair of blocks that it is part of.
+def dealt(members: DataFrame) -> DataFrame:
+    """Members of groups with something to look for, each with its block ``own`` and the numbers of blocks ``k_in, k_out`` of its group.
 
-    ``members`` has ``center, node, inside`` and what goes with them; ``inside`` says that the node's label is the center's. Pairs to look at are
-    of kind 0, both outside, and kind 1, one of each. Inside members meet no other inside ones, so a group
-    of which few are outside is sent about once.
+    ``members`` has ``center, node, inside`` and what goes with them; ``inside`` says that the node's label is the center's.
     """
     counted = members.groupBy("center").agg(F.count(F.when(F.col("inside"), 1)).alias("n_in"), F.count(F.when(~F.col("inside"), 1)).alias("n_out"))
     counted, _ = barrier(counted.where("n_out > 0 AND n_in + n_out > 1"), "groups")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    dealt = members.join(counted, "center").withColumn("k_in", blocks("n_in")).withColumn("k_out", blocks("n_out"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("k_in")).otherwise(F.col("k_out"))).cast("int"))
+    sized = members.join(counted, "center").withColumn("k_in", blocks("n_in")).withColumn("k_out", blocks("n_out"))
+    return sized.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("k_in")).otherwise(F.col("k_out"))).cast("int"))
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """``center, kind, i, j, own`` and the rest of each of the ``dealt`` members, once for each pair of blocks that it is part of.
+
+    Pairs to look at are of kind 0, both outside, and kind 1, one of each. Inside members meet no other inside ones, so a group
+    of which few are outside is sent about once.
+    """
     place = lambda kind, i, j: F.struct(F.lit(kind).cast("int").alias("kind"), i.alias("i"), j.alias("j"))
     up_to = lambda n, made: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), made)).otherwise(F.array().cast("array<struct<kind:int,i:int,j:int>>"))
     own = F.col("own")
     outside = F.concat(up_to("k_out", lambda other: place(0, F.least(own, other), F.greatest(own, other))), up_to("k_in", lambda other: place(1, own, other)))
-    spread = dealt.withColumn("at", F.explode(F.when(F.col("inside"), up_to("k_out", lambda other: place(1, other, own))).otherwise(outside)))
+    spread = members.withColumn("at", F.explode(F.when(F.col("inside"), up_to("k_out", lambda other: place(1, other, own))).otherwise(outside)))
     return spread.select("center", "at.kind", "at.i", "at.j", "own", "inside", "node", "label", "n", "parity")
 
 
+def of_blocks(members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``in_blocks`` that are in one of the distinct ``wanted`` pairs of blocks; no others are made."""
+    side = lambda pairs, own, inside: pairs.select(*_BLOCK_KEY, F.col(own).alias("own"), F.lit(inside).alias("inside"))
+    sides = side(wanted, "i", False).union(side(wanted.where("kind = 1"), "j", True)).union(side(wanted.where("kind = 0 AND i <> j"), "j", False))
+    return members.join(sides, ["center", "own", "inside"]).select(*_BLOCK_KEY, "own", "inside", "node", "label", "n", "parity")
+
+
 def _passing(rows: pa.Table, key, over: int, under: int):
     """``at, others`` for each row: those behind it, of another label, that may be linked with it."""
     own, label, size, inside = (rows[name].to_numpy() for name in ("own", "label", "n", "inside"))
@@ -175,13 +188,13 @@ def between_spokes(pairs: DataFrame, labels: DataFrame, sets: DataFrame, over: i
     apart, _ = barrier(marked.where("label <> of").select("center").distinct(), "apart")
     members = marked.join(apart, "center", "left_semi").select("center", "node", (F.col("label") == F.col("of")).alias("inside"))
     members, _ = barrier(members.join(named, "node"), "members")
-    blocks = in_blocks(members)
-    forest, _ = barrier(possible_links(blocks, over, under, spanning=True), "forest")
+    members = dealt(members)
+    forest, _ = barrier(possible_links(in_blocks(members), over, under, spanning=True), "forest")
     links = confirm(forest.select("a", "b").distinct())
     labels = join_more(labels, links)
     refuted = labelled(labelled(forest.join(links, ["a", "b"], "left_anti"), labels, "a", "x"), labels, "b", "y").where("x <> y")
     doubtful, _ = barrier(refuted.select(*_BLOCK_KEY).distinct(), "doubtful")
-    again = labelled(blocks.drop("label").join(doubtful, list(_BLOCK_KEY), "left_semi"), labels)
-    rest = possible_links(again.select(blocks.columns), over, under, spanning=False)
+    again = of_blocks(labelled(members.drop("label"), labels), doubtful)
+    rest = possible_links(again, over, under, spanning=False)
     rest, _ = barrier(rest.select("a", "b").distinct().join(links, ["a", "b"], "left_anti"), "rest")
     return join_more(labels, confirm(rest))

@@ -102,6 +102,21 @@ def test_links_between_spokes(make_docs, monkeypatch):
     assert found(jaccard.similar_components(make_docs(texts))) == brute.groups(list(enumerate(texts)))
 
 
+def test_only_doubtful_blocks_are_made_again(spark, monkeypatch):
+    monkeypatch.setattr(parity, "BLOCK", 3)
+    rows = [(center, 100 * center + at, at % 3 == 0, 7, 10, b"") for center in (1, 2) for at in range(20)]
+    members = parity.dealt(spark.createDataFrame(rows, "center long, node long, inside boolean, label long, n long, parity binary"))
+    blocks = parity.in_blocks(members)
+    key = ["center", "kind", "i", "j"]
+    wanted = blocks.where("center = 1 AND (kind = 0 AND (i = j OR j = 4) OR kind = 1 AND j = 1)").select(*key).distinct()
+    assert wanted.where("kind = 0 AND i = j").count() and wanted.where("kind = 0 AND i < j").count() and wanted.where("kind = 1").count()
+    again = parity.of_blocks(members, wanted)
+    assert again.columns == blocks.columns
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, blocks.join(wanted, key, "left_semi").select(blocks.columns).collect()))
+    again = parity.of_blocks(members, spark.createDataFrame([(1, 0, 0, 0)], "center long, kind int, i int, j int"))
+    assert "Generate" not in again._jdf.queryExecution().executedPlan().toString()
+
+
 def test_very_long_text_and_clashing_columns(spark):
     long = " ".join(f"w{n % 5000}" for n in range(60_000))
     rows = [(1, long), (2, long + " one more"), (3, "q" * 1_000_000), (4, None), (5, long.upper())]
