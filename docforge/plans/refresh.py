@@ -10,6 +10,8 @@ from docforge.operators import changes, checks, gold, parse, silver
 from docforge.sources import parts, tables
 
 KEY = ["movie_id"]
+#: A table of more bytes than this is rewritten in pieces, of which there are no more than that.
+PIECE, PIECES = 64 << 20, 16
 LEDGER, PENDING = "payload_ledger", "pending_changes"
 
 
@@ -39,13 +41,13 @@ def refresh(spark: SparkSession, settings: Settings, bronze: DataFrame | None =
     keys = changed.select(*KEY)
 
     moved_genres = _refresh_genres(spark, settings)
-    parsed = parse.parse_payloads(bronze.join(keys, "movie_id", "left_semi"))
     if whole:
-        # All there is: the table itself is what the layers are made of.
+        # All there is, without a join; the table itself is what the layers are made of.
+        parsed = parse.parse_payloads(bronze.where("movie_id IS NOT NULL"))
         _bring(spark, settings, whole, "parsed", keys, parsed)
         parsed = spark.table(name("parsed")).drop(parts.PART)
     else:
-        parsed = tables.write_barrier(parsed, "parsed")
+        parsed = tables.write_barrier(parse.parse_payloads(bronze.join(keys, "movie_id", "left_semi")), "parsed")
         _bring(spark, settings, whole, "parsed", keys, parsed)
     unique = checks.keys_unique(parsed, "movie_id")
     if moved_genres is not None and not whole:
@@ -84,6 +86,9 @@ def _layers(parsed: DataFrame, settings: Settings, unique: bool) -> dict[str, Da
         documents = gold.documents_from_parsed(parsed, settings.cast_limit, settings.review_limit, settings.review_char_limit)
     else:
         documents = gold.documents(movies, cast, reviews)
+    # One time for all pieces that the table may be rewritten in.
+    now = parsed.sparkSession.range(1).select(F.unix_micros(F.current_timestamp())).first()[0]
+    documents = documents.withColumn("built_at", F.timestamp_micros(F.lit(now)))
     return {
         "silver_movies": movies,
         "silver_cast": cast,
@@ -101,12 +106,14 @@ def _bring(spark: SparkSession, settings: Settings, whole: bool, table: str, key
     name = settings.table(table)
     tables.recover(spark, name)
     if parts.layout(spark, name) and not whole:
-        parts.replace_keys(spark, name, keys, rows)
+        parts.replace_keys(spark, name, keys, rows, parts.pieces(spark, name, PIECE, PIECES))
     else:
         if spark.catalog.tableExists(name) and not whole:
             held = spark.table(name).drop(parts.PART)
             rows = held.join(keys, "movie_id", "left_anti").unionByName(rows)
         parts.write_whole(rows, name, KEY, settings.layer_partitions, gathered)
+    if parts.pieces(spark, name, PIECE, PIECES) > 1:
+        tables.release(spark)
 
 
 def _refresh_genres(spark: SparkSession, settings: Settings) -> DataFrame | None:

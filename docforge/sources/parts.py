@@ -88,6 +88,13 @@ def _exchange(rows: DataFrame, table: str, before: Iterable[int]) -> None:
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({PART} = {empty})")
 
 
+def pieces(spark: SparkSession, table: str, size: int, most: int) -> int:
+    """Into how many pieces a table is to be cut so that each has about ``size`` bytes, but no more than ``most``."""
+    place = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first()["data_type"]
+    held = sum(length for _, length, _ in tables.files_of(spark, place))
+    return max(1, min(most, -(-held // size)))
+
+
 def only(spark: SparkSession, table: str, touched: DataFrame) -> DataFrame:
     """The partitions of ``table`` that can hold a key of ``touched``; no other is read."""
     return spark.table(table).where(F.col(PART).isin(_touched(spark, table, touched)))
@@ -104,8 +111,11 @@ def rewrite(spark: SparkSession, table: str, touched: DataFrame, merge: Callable
     No other partition is read. The new rows are written to the shared folder first, so a failure before the exchange leaves the
     table as it was; the exchange itself goes partition by partition, and running it again gives the same rows.
     """
+    return _rewrite(spark, table, _touched(spark, table, touched), merge)
+
+
+def _rewrite(spark: SparkSession, table: str, parts: list[int], merge: Callable[[DataFrame], DataFrame]) -> list[int]:
     keys, partitions = layout(spark, table)
-    parts = _touched(spark, table, touched)
     if parts:
         held = spark.table(table)
         merged = merge(held.where(F.col(PART).isin(parts)).drop(PART))
@@ -117,8 +127,20 @@ def rewrite(spark: SparkSession, table: str, touched: DataFrame, merge: Callable
     return parts
 
 
-def replace_keys(spark: SparkSession, table: str, stale: DataFrame, fresh: DataFrame) -> list[int]:
-    """``fresh`` rows in place of those whose keys ``stale`` holds; ``fresh`` has no other keys."""
-    keys, _ = layout(spark, table)
+def replace_keys(spark: SparkSession, table: str, stale: DataFrame, fresh: DataFrame, pieces: int = 1) -> list[int]:
+    """``fresh`` rows in place of those whose keys ``stale`` holds; ``fresh`` has no other keys.
+
+    With ``pieces`` the partitions are replaced so many runs after each other, so the copies beside the table are as much smaller. A
+    failure between two runs leaves the partitions of those before replaced.
+    """
+    keys, number = layout(spark, table)
     gone = stale.select(*keys).distinct()
-    return rewrite(spark, table, gone, lambda held: held.join(gone, same(held, gone, keys), "left_anti").unionByName(fresh))
+    parts = _touched(spark, table, gone)
+    for run in range(pieces):
+        some = parts[run::pieces]
+        here = part_of(keys, number).isin(some)
+        old, new = (gone, fresh) if pieces == 1 else (gone.where(here), fresh.where(here))
+        _rewrite(spark, table, some, lambda held, old=old, new=new: held.join(old, same(held, old, keys), "left_anti").unionByName(new))
+        if pieces > 1:
+            tables.release(spark)
+    return parts

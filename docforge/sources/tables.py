@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -189,6 +190,17 @@ def overwrite_partitions(written: DataFrame, table: str) -> None:
     rows.write.mode("overwrite").insertInto(table)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect plans that have ended, so that their shuffle files go; else they stay as long as its heap has room.
+
+    The first pass frees what Python held; only the one after it reaches the plans themselves.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def drop_barrier(written: DataFrame) -> None:
     """Delete a barrier's files; nothing derived from it may run afterwards."""
     path = _barriers.pop(id(written))

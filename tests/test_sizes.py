@@ -6,7 +6,7 @@ import math
 from conftest import plan
 
 from docforge.operators import groups
-from docforge.plans import bridge, queries
+from docforge.plans import bridge, queries, refresh
 from docforge.sources import listing_source, parts, tables
 
 
@@ -64,3 +64,47 @@ def test_a_new_table_is_written_once(spark, monkeypatch):
     assert parts.write_whole(spark.range(30).selectExpr("id AS k"), "spark_catalog.once.t", ["k"], 4) == 30
     assert spark.table("spark_catalog.once.t").where(parts.part_of(["k"], 4) != 0).count() <= 30
     assert parts.layout(spark, "spark_catalog.once.t") == (["k"], 4)
+
+
+def test_a_large_table_is_rewritten_in_pieces(spark, monkeypatch):
+    tables.ensure_namespace(spark, "spark_catalog", "pieces")
+    name = "spark_catalog.pieces.t"
+    rows = [(None if k == 7 else k, f"old {k}") for k in range(200)]
+    parts.write_whole(spark.createDataFrame(rows, "k long, v string"), name, ["k"], 8)
+    assert parts.pieces(spark, name, 1, 4) == 4 and parts.pieces(spark, name, 1 << 40, 4) == 1
+    written, plain = [], tables.write_barrier
+
+    def noted(df, barrier):
+        written.append(plain(df, barrier))
+        sizes.append(written[-1].count())
+        return written[-1]
+
+    sizes = []
+    monkeypatch.setattr(tables, "write_barrier", noted)
+    stale = spark.createDataFrame([(k,) for k in (None, 1, 2, 3, 150, 900)], "k long")
+    fresh = spark.createDataFrame([(None, "new"), (1, "new"), (1, "twice"), (900, "came")], "k long, v string")
+    held = spark.table(name).where(parts.part_of(["k"], 8).isin(parts._touched(spark, name, stale))).count()
+    assert len(parts.replace_keys(spark, name, stale, fresh, pieces=3)) > 2
+    gone = {None, 1, 2, 3, 150}
+    want = [row for row in rows if row[0] not in gone] + [(None, "new"), (1, "new"), (1, "twice"), (900, "came")]
+    assert sorted(map(str, want)) == sorted(str((row.k, row.v)) for row in spark.table(name).collect())
+    assert len(sizes) == 3 and max(sizes) < held
+
+
+def test_a_whole_refresh_joins_no_payloads(spark, monkeypatch):
+    tables.ensure_namespace(spark, "spark_catalog", "whole")
+    settings = queries.Settings(schema="whole", layer_partitions=2)
+    tables.write_snapshot(spark.createDataFrame([(1, "A")], "genre_id long, name string"), settings.table("bronze_genres"))
+    body = json.dumps({"id": 1, "title": "t", "overview": "o", "genres": [{"id": 1, "name": "A"}]})
+    bronze = spark.createDataFrame([(1, body, "success"), (2, body, "success"), (None, body, "success")], "movie_id long, payload string, status string")
+    bronze = bronze.selectExpr("*", "CAST(NULL AS string) AS error", "current_timestamp() AS ingested_at")
+    made, plain = {}, refresh.parts.write_whole
+
+    def noted(df, name, *rest):
+        made[name.split(".")[-1]] = plan(df)
+        return plain(df, name, *rest)
+
+    monkeypatch.setattr(refresh.parts, "write_whole", noted)
+    assert refresh.refresh(spark, settings, bronze) == {"added": 3}
+    assert "Join" not in made["parsed"]
+    assert sorted(row.movie_id for row in spark.table(settings.table("gold_documents")).collect()) == [1, 2]
