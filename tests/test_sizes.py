@@ -108,3 +108,15 @@ def test_a_whole_refresh_joins_no_payloads(spark, monkeypatch):
     assert refresh.refresh(spark, settings, bronze) == {"added": 3}
     assert "Join" not in made["parsed"]
     assert sorted(row.movie_id for row in spark.table(settings.table("gold_documents")).collect()) == [1, 2]
+
+
+def test_null_counts_write_no_parsed_records(spark, monkeypatch):
+    bronze = spark.createDataFrame([(1, '{"title":"t","overview":"o"}', "success"), (2, "{", "success")], "movie_id long, payload string, status string").selectExpr("*", "current_timestamp() AS ingested_at")
+    monkeypatch.setattr(queries, "crawled", lambda spark, folder: bronze)
+
+    def refuse(spark, folder):
+        raise AssertionError("the layers are not needed")
+
+    monkeypatch.setattr(queries, "layers", refuse)
+    counts = queries.silver_null_counts(spark, "").first()
+    assert counts.title == 0 and counts.runtime_minutes == 1
