@@ -13,12 +13,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docforge.llm.codes import Codes, encode
-from docforge.llm.common import Memo, barrier, read_file, scratch, split_words, texts_of, write_file
+from docforge.llm.common import Memo, barrier, read_file, scratch, texts_of, write_file
 from docforge.llm.wordpiece import byte_letters
 
 #: A shard is closed when it holds this many ids or documents; bounds a task's memory and a file's size.
@@ -31,9 +32,11 @@ REMEMBERED = 600_000
 #: Letters before this one are precomposed, so no normal form changes them.
 _PLAIN = "\u0250"
 _BYTE_LETTERS = {byte: letter for letter, byte in byte_letters().items()}
-_PUNCTUATION = b".,;:!?"
-#: Words of the texts that are encoded together.
-_BLOCK = 50_000
+#: Marks that may close a word. They are pieces of their own wherever they follow letters; an apostrophe isn't always.
+_PUNCTUATION = b".,;:!?#$%&*"
+#: Bytes of the texts that are encoded together.
+_BLOCK = 4 << 20
+_ANY_BYTES = pc.CastOptions(pa.large_string(), allow_invalid_utf8=True)
 
 
 class WordEncoder:
@@ -42,7 +45,8 @@ class WordEncoder:
     For byte-level tokenizers that drop white space and never join across it, fold letters to lower case, and read
     letters and the marks that close a word as pieces of their own. Words that repeat are remembered by a
     number, their ids in one pool. New words of Latin letters go to the tokenizer's model as it
-    reads them itself, in lower case and byte by byte; any other word goes through the whole tokenizer.
+    reads them itself, in lower case and byte by byte, once for all their spellings by case and closing marks; any other word
+    goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -61,7 +65,7 @@ class WordEncoder:
     def _encode(self, parts: list[str]) -> list[list[int]]:
         return [code.ids for code in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         pieces, words_of, pool, ends, marked = self.tokenizer.model.tokenize, self.words, self.pool, self.ends, self.marks
         others: list[bytes] = []
         for word in words:
@@ -70,40 +74,52 @@ class WordEncoder:
                 core = word.rstrip(_PUNCTUATION)
                 marks = word[len(core) :]
             if core.isalpha():
-                letters = core.lower().decode()
+                letters, text = core.lower(), None
             else:
                 text = core.decode("utf-8", "replace")
                 lower = text.lower()
                 if not (text.isalpha() and lower.isalpha() and max(text) < _PLAIN):
                     others.append(word)
                     continue
-                letters = lower.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            pool.extend([piece.id for piece in pieces(letters)])
+                letters = lower.encode()
+            number = words_of.get(letters)
+            if number is None:
+                read = letters.decode() if text is None else letters.decode("latin-1").translate(_BYTE_LETTERS)
+                pool.extend([piece.id for piece in pieces(read)])
+                number = words_of[letters] = len(ends) - 1
+                ends.append(len(pool))
             if marks:
+                pool.extend(pool[ends[number] : ends[number + 1]])
                 pool.extend(marked[marks])
-            words_of[word] = len(ends) - 1
-            ends.append(len(pool))
+                number = len(ends) - 1
+                ends.append(len(pool))
+            words_of[word] = number
         for word, ids in zip(others, self._encode([word.decode("utf-8", "replace") for word in others]), strict=True):
             pool.extend(ids)
             words_of[word] = len(ends) - 1
             ends.append(len(pool))
 
     def encode(self, texts: list[bytes | None]) -> Iterator[np.ndarray]:
-        """The ids of each text, in order; words are looked up and learnt for some texts at a time."""
+        """The ids of each text, in order; the distinct words of some texts at a time are looked up and learnt."""
         at = 0
         while at < len(texts):
-            words: list[bytes] = []
-            stops = []
-            while at < len(texts) and len(words) < _BLOCK:
-                words += split_words(texts[at])
-                stops.append(len(words))
+            some, held = [], 0
+            while at < len(texts) and held < _BLOCK:
+                some.append(texts[at] or b"")
+                held += len(some[-1])
                 at += 1
-            numbers = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
-            missing = np.flatnonzero(numbers < 0)
+            # Arrow cuts at the same six characters; a word of no letters stands for white space at an end, and has no ids.
+            cut = pc.ascii_split_whitespace(pa.array(some, pa.large_binary()).cast(options=_ANY_BYTES))
+            told = pc.dictionary_encode(cut.flatten())
+            words = told.dictionary.cast(pa.large_binary()).to_pylist()
+            known = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+            missing = np.flatnonzero(known < 0)
             if len(missing):
                 new = [words[place] for place in missing.tolist()]
-                self._learn(set(new))
-                numbers[missing] = np.fromiter(map(self.words.__getitem__, new), np.int64, len(new))
+                self._learn(new)
+                known[missing] = np.fromiter(map(self.words.__getitem__, new), np.int64, len(new))
+            numbers = known[told.indices.to_numpy()]
+            stops = cut.offsets.to_numpy()[1:]
             ends = np.frombuffer(self.ends, np.int64)
             starts = ends[numbers]
             sizes = ends[numbers + 1] - starts

@@ -36,6 +36,27 @@ def test_word_encoder_equals_the_tokenizer():
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_spellings_of_a_word_are_read_once():
+    plain, own, read = Tokenizer.from_file(PATH), tokens.WordEncoder(PATH), []
+
+    class Noted:
+        model = property(lambda self: self)
+
+        def tokenize(self, letters):
+            read.append(letters)
+            return plain.model.tokenize(letters)
+
+        def encode_batch_fast(self, parts, add_special_tokens):
+            read.extend(parts)
+            return plain.encode_batch_fast(parts, add_special_tokens=add_special_tokens)
+
+    own.tokenizer = Noted()
+    texts = ["Éohaes ofonhe", "ofonhe, OFONHE*** éohaes.", " \x0bOfonhe&%$#\n\tofonhe!? ", "", "\t", "Ofonhe&&& ÉOHAES***"]
+    for text, ids in zip(texts, own.encode([text.encode() for text in texts]), strict=True):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert sum("ofonhe" in each.lower() for each in read) == 1 and len(read) <= 3 + len({",", "***", ".", "&%$#", "!?", "&&&"})
+
+
 def test_files_with_other_steps_are_read_text_by_text(spark, tmp_path):
     other = public_tokenizers.path("byte_bpe_50k.json")
     assert tokens.by_words(PATH) and isinstance(tokens.encoder(PATH), tokens.WordEncoder)
