@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,11 @@ KEY = ["movie_id"]
 #: A table of more bytes than this is rewritten in pieces, of which there are no more than that.
 PIECE, PIECES = 64 << 20, 16
 LEDGER, PENDING = "payload_ledger", "pending_changes"
+#: All that a refresh can keep, beside the reference list.
+LAYERS = ("parsed", "silver_movie_genres", "silver_movies", "silver_cast", "silver_keywords", "silver_reviews", "gold_documents")
 
 
-def refresh(spark: SparkSession, settings: Settings, bronze: DataFrame | None = None) -> dict[str, int]:
+def refresh(spark: SparkSession, settings: Settings, bronze: DataFrame | None = None, layers: Sequence[str] = LAYERS) -> dict[str, int]:
     """Bring all layers up to date; returns how many records were added, changed and removed.
 
     A ledger holds the digest of every payload that the layers were made of. Only records whose digest differs are parsed, and
@@ -24,46 +28,63 @@ def refresh(spark: SparkSession, settings: Settings, bronze: DataFrame | None =
     The changed keys are written down before the first table is touched, and the ledger after the last. A run that was cut
     short is made up for by the next one, whatever happened to bronze in between. Raises, with
     all tables as they were, when bronze holds no payload. A new reference list changes links of records that
-    didn't change; those are found in the parsed table by genre.
+    didn't change; those are found by genre among all parsed records.
 
-    ``bronze`` are payloads that are written elsewhere already; by default the table's.
+    ``bronze`` are payloads that are written elsewhere already; by default the table's. ``layers`` are those to keep. One that
+    has a table is kept in any case, and one that has none yet is made of all records, like all others in that run. Without
+    the parsed table records are parsed on the way.
     """
+    if not {*layers} <= {*LAYERS}:
+        raise ValueError(f"no such layer: {sorted({*layers} - {*LAYERS})}")
     name = settings.table
     bronze = spark.table(name("bronze_payloads")) if bronze is None else bronze
     ledger = tables.write_barrier(changes.payload_digests(bronze), "ledger")
     if ledger.isEmpty():
         raise checks.QualityError("bronze holds no payload; the layers stay as they are")
-    tables.recover(spark, name(LEDGER)), tables.recover(spark, name(PENDING))
-    whole = not spark.catalog.tableExists(name(LEDGER))
+    for table in (LEDGER, PENDING, *LAYERS):
+        tables.recover(spark, name(table))
+    held = {table for table in LAYERS if spark.catalog.tableExists(name(table))}
+    kept = held.union(layers)
+    whole = kept != held or not spark.catalog.tableExists(name(LEDGER))
     changed = _changed(spark, settings, ledger)
     counts = tables.collect_small(changed.groupBy("change").agg(F.count("*").alias("rows")), "change", "rows")
     tables.write_snapshot(changed, name(PENDING))
     keys = changed.select(*KEY)
 
     moved_genres = _refresh_genres(spark, settings)
-    if whole:
-        # All there is, without a join; the table itself is what the layers are made of.
-        parsed = parse.parse_payloads(bronze.where("movie_id IS NOT NULL"))
-        _bring(spark, settings, whole, "parsed", keys, parsed)
-        parsed = spark.table(name("parsed")).drop(parts.PART)
-    else:
-        parsed = tables.write_barrier(parse.parse_payloads(bronze.join(keys, "movie_id", "left_semi")), "parsed")
+    all_parsed = parse.parse_payloads(bronze.where("movie_id IS NOT NULL"))
+    # All there is, without a join, or the changed records; these are written when more than one layer is made of them.
+    parsed = all_parsed if whole else parse.parse_payloads(bronze.join(keys, "movie_id", "left_semi"))
+    barrier = None if whole or len(kept) == 1 else tables.write_barrier(parsed, "parsed")
+    parsed = parsed if barrier is None else barrier
+    if "parsed" in kept:
         _bring(spark, settings, whole, "parsed", keys, parsed)
-    unique = checks.keys_unique(parsed, "movie_id")
-    if moved_genres is not None and not whole:
-        _bring(spark, settings, whole, "silver_movie_genres", *_moved_links(spark, settings, keys, moved_genres))
-    else:
-        _bring(spark, settings, whole, "silver_movie_genres", keys, silver.genre_links(parsed, spark.table(name("silver_genres")), unique))
+        all_parsed = spark.table(name("parsed")).drop(parts.PART)
+        parsed = all_parsed if whole else parsed
+    unique = _unique(bronze, parsed, barrier is not None or "parsed" in kept)
+    if "silver_movie_genres" in kept:
+        if moved_genres is not None and not whole:
+            _bring(spark, settings, whole, "silver_movie_genres", *_moved_links(spark, settings, keys, moved_genres, all_parsed))
+        else:
+            _bring(spark, settings, whole, "silver_movie_genres", keys, silver.genre_links(parsed, spark.table(name("silver_genres")), unique))
     for table, rows in _layers(parsed, settings, unique).items():
-        _bring(spark, settings, whole, table, keys, rows, gathered=whole and unique)
+        if table in kept:
+            _bring(spark, settings, whole, table, keys, rows, gathered=whole and unique and "parsed" in kept)
 
     tables.write_snapshot(ledger, name(LEDGER))
     spark.sql(f"DROP TABLE IF EXISTS {name(PENDING)}")
-    for written in (*([] if whole else [parsed]), changed, ledger, *([moved_genres] if moved_genres is not None else [])):
-        tables.drop_barrier(written)
+    for written in (barrier, changed, ledger, moved_genres):
+        if written is not None:
+            tables.drop_barrier(written)
     return counts
 
 
+def _unique(bronze: DataFrame, parsed: DataFrame, written: bool) -> bool:
+    """Whether no id comes twice in ``parsed``; unless it is ``written``, the payloads' ids are looked at first, since that parses nothing."""
+    ids = bronze.where("status = 'success' AND movie_id IS NOT NULL")
+    return not written and checks.keys_unique(ids, "movie_id") or checks.keys_unique(parsed, "movie_id")
+
+
 def _changed(spark: SparkSession, settings: Settings, ledger: DataFrame) -> DataFrame:
     """Keys that differ from the ledger, and those that an unfinished run had begun with."""
     name = settings.table
@@ -131,9 +152,10 @@ def _refresh_genres(spark: SparkSession, settings: Settings) -> DataFrame | None
     return moved
 
 
-def _moved_links(spark: SparkSession, settings: Settings, keys: DataFrame, genres: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _moved_links(spark: SparkSession, settings: Settings, keys: DataFrame, genres: DataFrame, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Keys whose links may differ, and their links: changed records, and those that name a genre that came or went."""
-    parsed = spark.table(settings.table("parsed")).drop(parts.PART)
+    # Nothing else of a record is to be shuffled.
+    parsed = parsed.select("movie_id", F.struct("d.genres").alias("d"))
     naming = parsed.select("movie_id", F.explode("d.genres.id").alias("genre_id")).join(genres, "genre_id", "left_semi")
     moved = keys.union(naming.select("movie_id")).distinct()
     links = silver.genre_links(parsed.join(moved, "movie_id", "left_semi"), spark.table(settings.table("silver_genres")))

@@ -221,17 +221,17 @@ def files_of(spark: SparkSession, folder: str) -> tuple:
 
 
 def remembered(make: Callable) -> Callable:
-    """``make(spark, folder)``, once for each state of a folder's files in a session.
+    """``make(spark, folder, ...)``, once for each state of a folder's files, and for what else it is given, in a session.
 
     Files that change are read again. What ``make`` writes stays until the program ends.
     """
     held: dict[tuple, object] = {}
 
     @wraps(make)
-    def get(spark: SparkSession, folder: str):
-        key = spark.sparkContext.applicationId, folder, files_of(spark, folder)
+    def get(spark: SparkSession, folder: str, *more: str):
+        key = spark.sparkContext.applicationId, folder, files_of(spark, folder), *more
         if key not in held:
-            held[key] = make(spark, folder)
+            held[key] = make(spark, folder, *more)
         return held[key]
 
     return get

@@ -3,6 +3,7 @@
 import json
 import random
 import sys
+from dataclasses import replace
 from functools import partial
 
 import pytest
@@ -22,6 +23,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't imp
 
 LAYERS = ("parsed", "silver_genres", "silver_movies", "silver_movie_genres", "silver_cast", "silver_keywords", "silver_reviews", "gold_documents")
 
+COMPARED = {
+    "silver_movie_genres": ["genre_id", "movie_id"],
+    "silver_cast": ["movie_id", "person_id", "name", "character_name", "billing_order"],
+    "silver_reviews": ["movie_id", "review_id", "author", "content", "created_at", "review_rank"],
+    "gold_documents": ["movie_id", "title", "content_hash", "review_count", "char_length"],
+}
+
 
 @pytest.fixture
 def settings(spark, request):
@@ -100,6 +108,36 @@ def test_only_partitions_of_changed_records_are_read_and_written(spark, settings
     assert "PartitionFilters: [isnotnull(part" in plan(held) or "PartitionFilters: [part" in plan(held)
 
 
+@pytest.mark.filterwarnings("ignore::docforge.operators.checks.QualityWarning")
+@pytest.mark.parametrize("layer, repeats", [("silver_movie_genres", False), ("silver_movie_genres", True), ("silver_reviews", False), ("gold_documents", True)])
+def test_a_refresh_of_one_layer_writes_no_other(spark, settings, monkeypatch, layer, repeats):
+    monkeypatch.setattr(refresh, "PIECE", 1)
+    monkeypatch.setattr(refresh, "PIECES", 2)
+    settings = replace(settings, schema=f"one_{layer}_{repeats}".lower())
+    tables.ensure_namespace(spark, "spark_catalog", settings.schema)
+    rng = random.Random(5)
+    held = {key: film(rng, key) for key in range(30)}
+    again = [(key, film(rng, key)) for key in range(5)] if repeats else []
+    # Another layer is asked for in the third turn, when bronze is as it was.
+    for layers, genres in (([layer], [(n, f"G{n}") for n in range(4)]), ([layer], [(n, f"H{n}") for n in range(1, 6)]), (["silver_cast"], [(1, "H1"), (7, "H7")])):
+        land(spark, settings, list(held.items()) + again, genres)
+        refresh.refresh(spark, settings, layers=layers)
+        whole = Settings(schema=f"{settings.schema}_{len(genres)}")
+        tables.ensure_namespace(spark, "spark_catalog", whole.schema)
+        for name in ("bronze_payloads", "bronze_genres"):
+            tables.write_snapshot(spark.table(settings.table(name)), whole.table(name))
+        jobs.build(spark, whole)
+        kept = {layer, *layers}
+        assert {name for name in refresh.LAYERS if spark.catalog.tableExists(settings.table(name))} == kept
+        for name in kept:
+            now, want = (sorted(map(str, spark.table(each.table(name)).select(*COMPARED[name]).collect())) for each in (settings, whole))
+            assert now == want and now
+        if layers == [layer] and 100 not in held:
+            held = {key: film(rng, key) if key % 4 == 1 else value for key, value in held.items() if key % 9} | {100: film(rng, 100)}
+    with pytest.raises(ValueError, match="no such layer"):
+        refresh.refresh(spark, settings, layers=["silver_genres"])
+
+
 def test_a_refresh_that_was_cut_short_is_made_up_for(spark, settings, monkeypatch):
     films = {key: payload(key) for key in range(20)}
     land(spark, settings, list(films.items()), [(1, "a")])

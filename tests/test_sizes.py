@@ -120,3 +120,18 @@ def test_null_counts_write_no_parsed_records(spark, monkeypatch):
     monkeypatch.setattr(queries, "layers", refuse)
     counts = queries.silver_null_counts(spark, "").first()
     assert counts.title == 0 and counts.runtime_minutes == 1
+
+
+def test_a_refreshed_query_writes_its_own_layer_alone(spark, tmp_path, monkeypatch):
+    spark.range(1).write.parquet(f"{tmp_path}/part.parquet")
+    body = lambda key: json.dumps({"id": key, "title": "t", "overview": "o", "genres": [{"id": key % 3, "name": "A"}]}, separators=(",", ":"))
+    bronze = spark.createDataFrame([(key, body(key), "success") for key in range(40)], "movie_id long, payload string, status string")
+    bronze = bronze.selectExpr("*", "CAST(NULL AS string) AS error", "current_timestamp() AS ingested_at")
+    monkeypatch.setattr(queries, "crawled", lambda spark, folder: bronze)
+    monkeypatch.setattr(queries, "genre_entries", lambda spark, folder: spark.createDataFrame([(0, "A"), (1, "B")], "genre_id long, name string"))
+    brought, plain, written, barrier = [], refresh._bring, [], tables.write_barrier
+    monkeypatch.setattr(refresh, "_bring", lambda *args, **more: (brought.append(args[3]), plain(*args, **more)))
+    monkeypatch.setattr(tables, "write_barrier", lambda df, name: (written.append(name), barrier(df, name))[1])
+    links = queries.refreshed_links(spark, str(tmp_path)).collect()
+    assert sorted((row.genre_id, row.movie_id) for row in links) == sorted((key % 3, key) for key in range(40) if key % 3 < 2)
+    assert set(brought) == {"silver_movie_genres"} and "parsed" not in written
