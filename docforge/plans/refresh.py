@@ -69,7 +69,7 @@ def refresh(spark: SparkSession, settings: Settings, bronze: DataFrame | None =
             _bring(spark, settings, whole, "silver_movie_genres", keys, silver.genre_links(parsed, spark.table(name("silver_genres")), unique))
     for table, rows in _layers(parsed, settings, unique).items():
         if table in kept:
-            _bring(spark, settings, whole, table, keys, rows, gathered=whole and unique and "parsed" in kept)
+            _bring(spark, settings, whole, table, keys, rows, whole and unique and "parsed" in kept)
 
     tables.write_snapshot(ledger, name(LEDGER))
     spark.sql(f"DROP TABLE IF EXISTS {name(PENDING)}")
